@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
+from tidemark.llm.media import read_media, store_texts
 from tidemark.llm.simhash import near_duplicates
 
 
@@ -18,5 +19,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash}
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_media(store_texts(table(spark, sf_dir, "documents")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        F.octet_length("thumbnail").cast("long").alias("payload_bytes"),
+        F.sha2("thumbnail", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(thumbnail, -64, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws("-", F.concat_ws("x", "width", "height"), "thumb_hash").alias("feature"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op3_media": op3_media,
+}
 ORACLES: dict[str, str] = {}
