@@ -12,6 +12,7 @@ from tidemark.llm.bpe import decode_ids, encode_texts
 from tidemark.llm.common import table
 from tidemark.llm.media import read_media, store_texts
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.substrings import remove_recurring
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,12 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_recurring(table(spark, sf_dir, "documents"))
+    kept = F.when(F.col("n_removed") == 0, F.col("words_sha256")).otherwise(F.sha2(F.col("kept").cast("binary"), 256))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     found = decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path)
@@ -49,6 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_media": op3_media,
+    "op9_substrings": op9_substrings,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {}
