@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import decode_ids, encode_texts
-from tidemark.llm.common import table
+from tidemark.llm.common import crc_of_id, table
 from tidemark.llm.media import read_media, store_texts
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.substrings import remove_recurring
+from tidemark.llm.toxicity import learn, score_toxicity
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,17 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = score_toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        (F.pmod(crc_of_id("id"), F.lit(5)) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_recurring(table(spark, sf_dir, "documents"))
     kept = F.when(F.col("n_removed") == 0, F.col("words_sha256")).otherwise(F.sha2(F.col("kept").cast("binary"), 256))
@@ -56,6 +68,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_media": op3_media,
+    "op5_toxicity": op5_toxicity,
     "op9_substrings": op9_substrings,
     "op10_bpe": op10_bpe,
 }
