@@ -12,6 +12,7 @@ from tidemark.llm.bpe import decode_ids, encode_texts
 from tidemark.llm.common import crc_of_id, table
 from tidemark.llm.media import read_media, store_texts
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.sketches import as_string, fingerprint_edits, likeness
 from tidemark.llm.substrings import remove_recurring
 from tidemark.llm.toxicity import learn, score_toxicity
 
@@ -48,6 +49,19 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_edits(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        as_string(F.col("sketch")).alias("fingerprint"),
+        as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_recurring(table(spark, sf_dir, "documents"))
     kept = F.when(F.col("n_removed") == 0, F.col("words_sha256")).otherwise(F.sha2(F.col("kept").cast("binary"), 256))
@@ -69,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_media": op3_media,
     "op5_toxicity": op5_toxicity,
+    "op6_fingerprints": op6_fingerprints,
     "op9_substrings": op9_substrings,
     "op10_bpe": op10_bpe,
 }
