@@ -14,6 +14,7 @@ from tidemark.llm.media import read_media, store_texts
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.sketches import as_string, fingerprint_edits, likeness
 from tidemark.llm.substrings import remove_recurring
+from tidemark.llm.suffixtree import score_texts
 from tidemark.llm.toxicity import learn, score_toxicity
 
 
@@ -38,6 +39,12 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(crc_of_id("doc_id"), F.lit(7)) == 2
+    found = score_texts(table(spark, sf_dir, "documents"), ~held_out).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score_toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
@@ -82,6 +89,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_media": op3_media,
+    "op4_suffix_tree": op4_suffix_tree,
     "op5_toxicity": op5_toxicity,
     "op6_fingerprints": op6_fingerprints,
     "op9_substrings": op9_substrings,

@@ -40,6 +40,7 @@ from tidemark.llm.common import stage_table
 PIECE = 1 << 21
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.array([x + 32 if 65 <= x <= 90 else x for x in range(256)], np.uint8)
 _BYTE = np.random.default_rng(20240101).integers(0, 2**64, 256, np.uint64) | np.uint64(1)
 _BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 _powers: dict[tuple[int, bool], np.ndarray] = {}
@@ -79,17 +80,22 @@ def _slide(values: np.ndarray, n: int, pick) -> np.ndarray:
 class WordBatch:
     """The words of several texts: their hashes, and the text that each belongs to."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], lower: bool = False):
         flat = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        flat = _LOWER[flat] if lower else flat
         space = _SPACE[flat]
         edge = np.flatnonzero(np.diff(space, prepend=True))
         start, end = edge[::2], edge[1::2]
         self.hash = _spans(_BYTE[flat], start, end, _BASES[0])
+        self.flat, self.start, self.end = flat, start, end
         limits = np.cumsum([len(t) + 1 for t in texts])
         self.doc = np.searchsorted(limits, start, "right")
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))  # the first word of each text
         self.n = len(self.hash)
 
+    def word(self, i: int) -> bytes:
+        return self.flat[self.start[i] : self.end[i]].tobytes()
+
     def inside(self, width: int) -> np.ndarray:
         """For each start of a window in the batch, whether it ends in the same text."""
         return self.doc[: max(self.n - width + 1, 0)] == self.doc[width - 1 :]
