@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import decode_ids, encode_texts
 from tidemark.llm.common import crc_of_id, table
 from tidemark.llm.media import read_media, store_texts
+from tidemark.llm.packing import pack_documents, word_count
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.sketches import as_string, fingerprint_edits, likeness
 from tidemark.llm.substrings import remove_recurring
@@ -69,6 +70,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pack_documents(table(spark, sf_dir, "documents"), word_count(F.col("text")))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_recurring(table(spark, sf_dir, "documents"))
     kept = F.when(F.col("n_removed") == 0, F.col("words_sha256")).otherwise(F.sha2(F.col("kept").cast("binary"), 256))
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_tree": op4_suffix_tree,
     "op5_toxicity": op5_toxicity,
     "op6_fingerprints": op6_fingerprints,
+    "op7_packing": op7_packing,
     "op9_substrings": op9_substrings,
     "op10_bpe": op10_bpe,
 }
