@@ -74,8 +74,10 @@ def as_string(x: Column) -> Column:
     return F.array_join(F.transform(x, lambda h: F.lower(F.hex(h))), ",")
 
 
-def with_next(rows: DataFrame, values: list[str], id_col: str = "id", order_col: str = "text", ranges: int = 65_536, rows_each: int = 50) -> DataFrame:
-    """`rows` with next_<value> for each of `values`, from the next row in descending id order; after the last comes the first."""
+def with_next(
+    rows: DataFrame, values: dict[str, Column], id_col: str = "id", order_col: str = "text", ranges: int = 65_536, rows_each: int = 50
+) -> DataFrame:
+    """`rows` with the columns `values` and, as next_<name>, those of the next row in descending id order; after the last comes the first."""
     low, high, n = rows.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
     low, high = low or 0, high or 0
     wide = -(-(high - low + 1) // min(ranges, n // rows_each + 1))
@@ -90,8 +92,8 @@ def with_next(rows: DataFrame, values: list[str], id_col: str = "id", order_col:
     least = F.min_by(F.struct(*kept), F.col(order_col)).alias("row")
     guests = first.groupBy("_before").agg(least).select(*[F.col("row")[c].alias(c) for c in kept], F.col("_before").alias("_stretch"), F.lit(1).alias("_guest"))
     own = Window.partitionBy("_stretch").orderBy("_guest", F.col(id_col).desc_nulls_last(), order_col)
-    both = rows.withColumn("_guest", F.lit(0)).unionByName(guests)
-    ahead = both.select(*kept, "_guest", *[F.lead(v).over(own).alias(f"next_{v}") for v in values])
+    both = rows.withColumn("_guest", F.lit(0)).unionByName(guests).withColumns(values)
+    ahead = both.select(*dict.fromkeys([*kept, *values]), "_guest", *[F.lead(v).over(own).alias(f"next_{v}") for v in values])
     return ahead.where("_guest = 0").drop("_guest")
 
 
@@ -105,7 +107,6 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, text, edited, sketch, edited_sketch, next_sketch) for each row of `docs`."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    rows = rows.withColumn("sketch", sketch(F.col("text"), width, scale))
-    ahead = with_next(rows, ["text", "sketch"])
+    ahead = with_next(rows, {"text": F.col("text"), "sketch": sketch(F.col("text"), width, scale)})
     ahead = ahead.select("id", "text", edited(F.col("text"), F.col("next_text")).alias("edited"), "sketch", "next_sketch")
     return ahead.withColumn("edited_sketch", sketch(F.col("edited"), width, scale))
