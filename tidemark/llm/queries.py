@@ -16,6 +16,7 @@ from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.sketches import as_string, fingerprint_edits, likeness
 from tidemark.llm.substrings import remove_recurring
 from tidemark.llm.suffixtree import score_texts
+from tidemark.llm.tokencounts import count_tokens
 from tidemark.llm.toxicity import learn, score_toxicity
 
 
@@ -75,6 +76,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return count_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_recurring(table(spark, sf_dir, "documents"))
     kept = F.when(F.col("n_removed") == 0, F.col("words_sha256")).otherwise(F.sha2(F.col("kept").cast("binary"), 256))
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing,
+    "op8_token_counts": op8_token_counts,
     "op9_substrings": op9_substrings,
     "op10_bpe": op10_bpe,
 }
