@@ -12,6 +12,7 @@ from tidemark.llm.bpe import decode_ids, encode_texts
 from tidemark.llm.common import crc_of_id, table
 from tidemark.llm.media import read_media, store_texts
 from tidemark.llm.packing import pack_documents, word_count
+from tidemark.llm.quality import learn_quality, score_quality
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.sketches import as_string, fingerprint_edits, likeness
 from tidemark.llm.substrings import remove_recurring
@@ -27,6 +28,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = score_quality(docs, learn_quality(docs, table(spark, sf_dir, "labels")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        (F.pmod(crc_of_id("id"), F.lit(5)) == 0).alias("held_out"),
+        "score",
+        "content_score",
+        "metadata_score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read_media(store_texts(table(spark, sf_dir, "documents")))
     return found.select(
@@ -100,6 +114,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
     "op3_media": op3_media,
     "op4_suffix_tree": op4_suffix_tree,
     "op5_toxicity": op5_toxicity,
