@@ -163,6 +163,19 @@ def learn_quality(
     return model
 
 
+def _scores(model: QualityModel, content: list, meta: list) -> list[np.ndarray]:
+    """Combined, content and metadata scores of a batch."""
+    odds = {}
+    for v, rows in (("content", content), ("metadata", meta)):
+        if v in model.views and rows:
+            slope, cut = model.calibration[v]
+            odds[v] = slope * np.clip(_apply(np.array(rows, float), np.array(model.views[v])), -10, 10) + cut
+    if not odds:
+        return [np.ones(len(content))] * 3
+    both = sum(odds.values()) - (len(odds) - 1) * model.prior
+    return [sigmoid(both), *(sigmoid(x) for x in odds.values())]
+
+
 def score_quality(
     docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ("source", "lang", "n_chars")
 ) -> DataFrame:
@@ -170,17 +183,25 @@ def score_quality(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            odds = {}
-            for v, beta in model.views.items():
-                x = np.array(b.column(v).to_pylist(), float).reshape(b.num_rows, -1)
-                slope, cut = model.calibration[v]
-                odds[v] = slope * np.clip(_apply(x, np.array(beta)), -10, 10) + cut
-            if odds:
-                both = sum(odds.values()) - (len(odds) - 1) * model.prior
-                scores = [sigmoid(both), *(sigmoid(odds[v]) for v in ("content", "metadata"))]
-            else:
-                scores = [np.ones(b.num_rows)] * 3
+            content = [content_features(x) for x in b.column(1).to_pylist()]
+            meta = [metadata_features(x) for x in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
+            scores = _scores(model, content, meta)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(s) for s in scores)], ["id", "score", "content_score", "metadata_score"])
 
-    rows = _features(docs.select(F.col(id_col).alias("id"), text_col, *[c for c in metadata]), ["id"], text_col, metadata)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), *[F.col(c).alias(f"m{i}") for i, c in enumerate(metadata)])
     return rows.mapInArrow(run, f"id {rows.dtypes[0][1]}, score double, content_score double, metadata_score double")
+
+
+def reject_poor(
+    docs: DataFrame, model: QualityModel, text_col: str = "text", metadata: tuple[str, ...] = ("source", "lang", "n_chars"), threshold: float = 0.5
+) -> DataFrame:
+    """The rows of `docs` that score at least the threshold, as they are."""
+    names = [c.lower() for c in docs.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            content = [content_features(x) for x in b.column(names.index(text_col.lower())).cast(pa.binary()).to_pylist()]
+            meta = [metadata_features(x) for x in zip(*(b.column(names.index(c.lower())).to_pylist() for c in metadata), strict=True)]
+            yield b.filter(pa.array(_scores(model, content, meta)[0] >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

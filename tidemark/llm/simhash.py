@@ -12,6 +12,11 @@ the same construction over the remaining bits splits it again, and again, until
 Within a bucket only links that join something new are kept (a forest), and components are found by
 star contraction on tables in the shared folder.
 
+Masks of half the bits cover a small radius with few tables; their number doubles with each further bit. For larger radii
+`block_masks` cuts the bits into blocks and keeps every choice of some of them, which any differences that leave
+so many blocks alone cannot escape. With `similarity` given, links are then confirmed by the Jaccard similarity of the
+texts' shingles, and only texts that have links are moved for that.
+
 Edge cases: a null or empty text has no words and the fingerprint zero, linked like any other. Repeated
 rows are separate rows with equal results. Rows whose id is null keep a null id; they join the component
 of their fingerprint. An empty table gives an empty result. Only the two named columns are used.
@@ -19,7 +24,8 @@ of their fingerprint. An empty table gives an empty result. Only the two named c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -73,21 +79,31 @@ def covering_masks(positions: list[int], radius: int) -> list[int]:
     return [sum(1 << p for p, x in vectors if (x & v).bit_count() % 2) for v in range(1, size + 1)]
 
 
+def block_masks(positions: list[int], blocks: int, keep: int) -> list[int]:
+    """Masks that keep `keep` of `blocks` blocks of the bits: any blocks - keep differing bits leave one untouched."""
+    parts = [sum(1 << p for p in positions[i::blocks]) for i in range(blocks)]
+    return [sum(chosen) for chosen in itertools.combinations(parts, keep)]
+
+
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
 def _keys(rows: DataFrame, masks: list[list[int]]) -> DataFrame:
     """Rows (fp, node, path) spread over the tables: masks[path] are those of each path; path and key are renewed."""
-    tables = F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in own]) for own in masks])
-    spread = rows.select("fp", "node", "path", F.posexplode(F.element_at(tables, F.col("path") + 1)).alias("i", "mask"))
-    return spread.select(
-        "fp", "node", (F.col("path") * len(masks[0]) + F.col("i")).cast("int").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key")
-    )
+    own = len(masks[0])
+    listed = [(path, path * own + i, _signed(m)) for path, x in enumerate(masks) for i, m in enumerate(x)]
+    if len(listed) <= 1024:
+        each = F.array(*[F.array(*[F.struct(F.lit(t).alias("table"), F.lit(m).cast("long").alias("mask")) for _, t, m in g]) for _, g in itertools.groupby(listed, lambda x: x[0])])
+        spread = rows.select("fp", "node", F.explode(F.element_at(each, F.col("path") + 1)).alias("t")).select("fp", "node", "t.table", "t.mask")
+    else:
+        tables = rows.sparkSession.createDataFrame(listed, "path int, table int, mask long")
+        spread = rows.join(F.broadcast(tables), "path")  # as many rows as there are masks
+    return spread.select("fp", "node", F.col("table").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
 
 def _forest(fps: np.ndarray, nodes: np.ndarray, radius: int) -> list[dict]:
-    """Links of one bucket that join its members into their components."""
+    """Links of one bucket that join its members into their components, the closest first."""
     parent = list(range(len(fps)))
 
     def root(i: int) -> int:
@@ -95,13 +111,17 @@ def _forest(fps: np.ndarray, nodes: np.ndarray, radius: int) -> list[dict]:
             parent[i] = i = parent[parent[i]]
         return i
 
-    links = []
+    near: list[list[tuple[int, int]]] = [[] for _ in range(radius + 1)]
     for i in range(1, len(fps)):
-        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= radius).tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[a] = b
-                links.append({"a": int(nodes[i]), "b": int(nodes[j])})
+        far = np.bitwise_count(fps[:i] ^ fps[i])
+        for j in np.flatnonzero(far <= radius).tolist():
+            near[far[j]].append((i, j))
+    links = []
+    for i, j in itertools.chain.from_iterable(near):
+        a, b = root(i), root(j)
+        if a != b:
+            parent[a] = b
+            links.append({"a": int(nodes[i]), "b": int(nodes[j])})
     return links
 
 
@@ -117,36 +137,76 @@ def _links(keyed: DataFrame, counts: DataFrame, radius: int) -> DataFrame:
     return grouped.select(F.explode(forest(F.col("m.fp"), F.col("m.node"))).alias("x")).select("x.a", "x.b")
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 2, bucket: int = 256) -> DataFrame:
-    """Links (a, b) between nodes of distinct fingerprints (fp, node), enough to connect all pairs within the radius."""
-    rows, found = fps.select("fp", "node", F.lit(0).alias("path")), []
-    masks = [covering_masks(list(range(BITS)), radius)]
-    left = [[(1 << BITS) - 1 & ~m for m in masks[0]]]
-    for level in range(3):
+def fingerprint_links(
+    fps: DataFrame, radius: int = 2, bucket: int = 256, levels: int = 3, masks_of: Callable[[list[int]], list[int]] | None = None
+) -> DataFrame:
+    """Links (a, b) between nodes of distinct fingerprints (fp, node), enough to connect all pairs within the radius that share a table.
+
+    `masks_of` gives the masks over some bit positions; by default covering masks, with which every such pair shares one.
+    """
+    masks_of = masks_of or (lambda positions: covering_masks(positions, radius))
+    rows, found, left = fps.select("fp", "node", F.lit(0).alias("path")), [], [(1 << BITS) - 1]
+    for level in range(levels):
+        masks = [masks_of([p for p in range(BITS) if x >> p & 1]) for x in left]
+        left = [x & ~m for x, own in zip(left, masks, strict=True) for m in own]
         keyed = _keys(rows, masks)
         counts = stage_table(keyed.groupBy("path", "key").count().where("count > 1"), "buckets")
-        last = level == 2
+        last = level + 1 == levels
         found.append(_links(keyed, counts if last else counts.where(F.col("count") <= bucket), radius))
         large = counts.where(F.col("count") > bucket)
         if last or large.isEmpty():
             break
-        rows = keyed.join(large.select("path", "key"), ["path", "key"]).select("fp", "node", "path")
-        rest = [x for own in left for x in own]
-        masks = [covering_masks([p for p in range(BITS) if x >> p & 1], radius) for x in rest]
-        left = [[x & ~m for m in own] for x, own in zip(rest, masks, strict=True)]
+        rows = stage_table(keyed.join(large.select("path", "key"), ["path", "key"]).select("fp", "node", "path"), "large")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return out
 
 
+def _shingles(text: bytes | None, width: int) -> set[bytes]:
+    words = (text or b"").lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def confirm(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """The links whose texts' shingles have at least the given Jaccard similarity."""
+    links = stage_table(links.distinct(), "links")
+    ends = links.select(F.col("a").alias("end")).union(links.select("b")).distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("end"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    texts = stage_table(rows.join(ends, "end", "left_semi").dropDuplicates(["end"]), "texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                p, q = _shingles(x, width), _shingles(y, width)
+                shared = len(p & q)
+                same.append(shared >= similarity * (len(p) + len(q) - shared))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(same))
+
+    pairs = links.join(texts.select(F.col("end").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("end").alias("b"), F.col("text").alias("two")), "b")
+    return pairs.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, bucket: int = 256
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, bucket: int = 256,
+    levels: int = 3, masks_of: Callable[[list[int]], list[int]] | None = None, similarity: float | None = None,
+) -> DataFrame:
     """(id, fp, component) for each row of `docs`: component is the smallest id that links can reach."""
     prints = stage_table(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = stage_table(prints.groupBy("fp").agg(F.min("id").alias("node")), "distinct")
-    links = fingerprint_links(distinct.where("node is not null"), radius, bucket)
+    links = fingerprint_links(distinct.where("node is not null"), radius, bucket, levels, masks_of)
+    if similarity is not None:
+        links = confirm(links, docs, id_col, text_col, width, similarity)
     root = connected_components(links)
     classes = distinct.join(root, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return prints.join(classes, "fp").select("id", "fp", "component")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, fp, component): classes of documents whose shingles of five words are alike by 0.8 or more.
+
+    Candidates differ in at most 14 of 64 bits and agree on three of nine blocks: every pair up to 6 bits apart, and most of those further
+    apart, as several differing bits fall into one block.
+    """
+    return near_duplicates(docs, id_col, text_col, width, 14, levels=2, masks_of=lambda positions: block_masks(positions, 9, 3), similarity=similarity)

@@ -231,3 +231,20 @@ def _hits(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str) -> Data
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, n_hits, weight) for each row of `docs`: score from 0 to 1, higher for likelier toxic."""
     return _hits(docs, lexicon, id_col, text_col).select("id", "score", F.col("n").alias("n_hits"), F.col("total").alias("weight"))
+
+
+def reject_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` that score below the threshold, as they are."""
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, curve = lexicon.machine(), np.array(lexicon.curve)
+        for b in batches:
+            stay = []
+            for text in b.column(at).to_pylist():
+                folded = fold(text or "")
+                seen = np.array(features(*hits(machine, folded), folded.count(" ") - 1))
+                stay.append(not len(curve) or float(sigmoid(seen @ curve[:-1] + curve[-1])) < threshold)
+            yield b.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
