@@ -3,14 +3,494 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.session import table
+from tidemark.functions import columns as C
+from tidemark.functions.times import INTERVALS, TimeRange, to_ms
+from tidemark.operators import analysis, lookups, validation
+from tidemark.plans.query import Item, Query, daily_average, series
+from tidemark.sinks import export
+from tidemark.sources import imports, points
+from tidemark.streaming import streams
+
+#: The moment that the registered queries take as now: the end of the events.
+NOW = to_ms(datetime(2024, 1, 31))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# SQL twins share these: the events as points, and their daily means.
+P = "WITH p AS (SELECT event_type AS metric, ts, value, event_id AS seq, json_extract_string(props, '$.k') AS k, CAST(user_id AS VARCHAR) AS u FROM events)"
+D = P + ", d AS (SELECT metric, date_trunc('day', ts)::TIMESTAMP AS day, avg(value) AS mean, count(*) AS n FROM p GROUP BY ALL)"
+
+
+def add(name: str, sql: str | None = None):
+    """Register a query under a name, with its SQL twin where there is one."""
+
+    def put(run: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLES[name] = sql
+        return run
+
+    return put
+
+
+def on_points(query: Query, metrics: list[str] | None = None, places: int = 6) -> Callable[[SparkSession, str], DataFrame]:
+    """A query object as a registered query; numbers are rounded so that the order of sums does not show."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = query.run(points.event_points(spark, sf_dir), NOW, metrics)
+        return out.select(*[C.rounded(F.col(c), places).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+    return run
+
+
+def near(x: str, places: int = 6) -> str:
+    """SQL for the same rounding."""
+    return f"(sign({x}) * floor(abs({x}) * 1e{places} + 0.5) / 1e{places})"
+
+
+KINDS = [r[1] for r in points.EVENT_METRICS]
+JANUARY = TimeRange.month(2024, 1)
+WEEK = TimeRange(to_ms(datetime(2024, 1, 5)), to_ms(datetime(2024, 1, 12)))
+IN_JANUARY = "ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01'"
+IN_WEEK = "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12'"
+TWO = "metric IN ('click', 'view')"
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events")
+    return QUERIES["click_and_view_by_day"](spark, sf_dir)
+
+
+def cell_sql(name: str, metric: str) -> str:
+    where = f"FILTER (WHERE metric = '{metric}')"
+    if name == "count":
+        return f"CAST(nullif(count(value) {where}, 0) AS DOUBLE)"
+    if name in ("first", "last"):
+        return f"arg_{'min' if name == 'first' else 'max'}(value, row(ts, seq)) {where}"
+    return f"{name}(value) {where}"
+
+
+add(
+    "click_and_view_by_day",
+    f"{P} SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, {near(cell_sql('avg', 'click'))} AS click_avg, {near(cell_sql('sum', 'view'))} AS view_sum FROM p WHERE {IN_JANUARY} AND {TWO} GROUP BY 1",
+)(on_points(Query.select(Item("click", "avg", "click_avg"), Item("view", "sum", "view_sum")).time_range(JANUARY).group_by("day")))
+
+for _interval in INTERVALS:
+    for _name in C.AGGREGATES:
+        add(
+            f"{_name}_by_{_interval}",
+            f"{P} SELECT date_trunc('{_interval}', ts)::TIMESTAMP AS bucket, {near(cell_sql(_name, 'click'))} AS click, {near(cell_sql(_name, 'view'))} AS view FROM p WHERE {IN_JANUARY} AND {TWO} GROUP BY 1",
+        )(on_points(Query.select("click", "view").time_range(JANUARY).group_by(_interval).aggregate(_name)))
+
+_ROWS = f"{P} SELECT ts, {{cells}} FROM p WHERE {{where}} GROUP BY ts"
+_CLICK = "arg_min(value, seq) FILTER (WHERE metric = 'click') AS click"
+_VIEW = "arg_min(value, seq) FILTER (WHERE metric = 'view') AS view"
+
+
+def rows_sql(where: str, cells: str = _CLICK) -> str:
+    return _ROWS.format(cells=cells, where=where)
+
+
+add("scan_metric", rows_sql(f"{IN_WEEK} AND metric = 'click'"))(on_points(Query.select("click").time_range(WEEK)))
+add("select_multi", rows_sql(f"{IN_WEEK} AND {TWO}", f"{_CLICK}, {_VIEW}"))(on_points(Query.select("click", "view").time_range(WEEK)))
+add("limit_oldest", rows_sql(f"{IN_JANUARY} AND metric = 'click'") + " ORDER BY ts LIMIT 100")(on_points(Query.select("click").time_range(JANUARY).limit(100)))
+add("limit_zero", rows_sql(f"{IN_JANUARY} AND metric = 'click'") + " LIMIT 0")(on_points(Query.select("click").time_range(JANUARY).limit(0)))
+add("default_7d", rows_sql("ts >= TIMESTAMP '2024-01-24' AND ts < TIMESTAMP '2024-01-31' AND metric = 'click'"))(on_points(Query.select("click")))
+add("last_hours", rows_sql("ts >= TIMESTAMP '2024-01-29' AND ts < TIMESTAMP '2024-01-31' AND metric = 'click'"))(on_points(Query.select("click").last_hours(48)))
+add("global_aggregate", f"{P} SELECT {near('avg(value)')} AS click FROM p WHERE {IN_JANUARY} AND metric = 'click'")(on_points(Query.select("click").time_range(JANUARY).aggregate("avg")))
+add("group_default_last", f"{P} SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, {near(cell_sql('last', 'error'))} AS error FROM p WHERE {IN_JANUARY} AND metric = 'error' GROUP BY 1")(
+    on_points(Query.select("error").time_range(JANUARY).group_by("day"))
+)
+add(
+    "group_multi_metric_missing",
+    f"{P} SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket, " + ", ".join(f"{cell_sql('count', m)} AS {m}" for m in KINDS) + f" FROM p WHERE {IN_JANUARY} GROUP BY 1",
+)(on_points(Query.select(*KINDS).time_range(JANUARY).group_by("hour").aggregate("count")))
+add(
+    "select_star_wide",
+    f"{P} SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, " + ", ".join(f"{near(cell_sql('max', m))} AS {m}" for m in KINDS) + f" FROM p WHERE {IN_JANUARY} GROUP BY 1",
+)(on_points(Query.select("*").time_range(JANUARY).group_by("day").aggregate("max"), KINDS))
+add(
+    "request_weekly",
+    f"{P} SELECT date_trunc('week', ts)::TIMESTAMP AS bucket, {near(cell_sql('avg', 'click'))} AS click FROM p WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-31' AND metric = 'click' AND k <> '5' GROUP BY 1",
+)(
+    on_points(
+        Query.from_request(
+            {"select": ["click"], "time_range": {"start": "now-4w", "end": "now"}, "group_by": "w", "aggregation": "average", "filters": [{"tag": "k", "op": "!=", "value": 5}]}, NOW
+        )
+    )
+)
+for _op, _sign in (("eq", "="), ("ne", "<>"), ("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<=")):
+    _value = {"eq": "abs(value - 50.0) < 2.220446049250313e-16", "ne": "abs(value - 50.0) >= 2.220446049250313e-16"}.get(_op, f"value {_sign} 50.0")
+    add(f"value_{_op}", rows_sql(f"{IN_JANUARY} AND metric = 'click' AND {_value}"))(on_points(Query.select("click").time_range(JANUARY).where_value(_op, 50.0)))
+    add(f"tag_{_op}", rows_sql(f"{IN_JANUARY} AND metric = 'click' AND k {_sign} '50'"))(on_points(Query.select("click").time_range(JANUARY).where_tag("k", _op, "50")))
+add("tag_ne_missing", rows_sql(f"{IN_JANUARY} AND metric = 'click'"))(on_points(Query.select("click").time_range(JANUARY).where_tag("absent", "!=", "x")))
+add("tag_eq_missing", rows_sql(f"{IN_JANUARY} AND metric = 'click' AND false"))(on_points(Query.select("click").time_range(JANUARY).where_tag("absent", "=", "x")))
+add("tag_and_value", rows_sql(f"{IN_JANUARY} AND metric = 'click' AND k = '7' AND value >= 10"))(
+    on_points(Query.select("click").time_range(JANUARY).where_tag("k", "=", "7").where_value(">=", 10))
+)
+
+
+@add("scan_range", f"{P} SELECT metric, ts, value, seq FROM p WHERE {IN_WEEK}")
+def scan_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points.event_points(spark, sf_dir).where(C.in_range(WEEK)).select("metric", "ts", "value", "seq")
+
+
+@add("to_series", f"{P} SELECT ts AS time, value FROM (SELECT ts, arg_min(value, seq) FILTER (WHERE metric = 'click') AS value FROM p WHERE {IN_WEEK} AND {TWO} GROUP BY ts) WHERE value IS NOT NULL")
+def to_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series(Query.select("click", "view").time_range(WEEK).run(points.event_points(spark, sf_dir), NOW))
+
+
+@add("daily_average_series", f"{P} SELECT date_trunc('day', ts)::TIMESTAMP AS time, {near('avg(value)')} AS value FROM p WHERE ts >= TIMESTAMP '2024-01-17' AND ts < TIMESTAMP '2024-01-31' AND metric = 'signup' GROUP BY 1")
+def daily_average_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = series(daily_average("signup", 14).run(points.event_points(spark, sf_dir), NOW))
+    return found.select("time", C.rounded(F.col("value"), 6).alias("value"))
+
+
+@add("category_filter", f"{P} SELECT metric, count(*) AS n, {near('sum(value)')} AS total FROM p WHERE metric IN ('click', 'view') GROUP BY metric")
+def category_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lookups.of_category(points.event_points(spark, sf_dir), points.metric_table(spark), "productivity")
+    return found.groupBy("metric").agg(F.count("*").alias("n"), C.rounded(F.sum("value"), 6).alias("total"))
+
+
+@add("export_points", f"""{P} SELECT epoch_us(ts) // 1000 AS timestamp, metric, value, '{{"k":"' || k || '","user":"' || u || '"}}' AS tags FROM p WHERE {IN_WEEK} AND metric IN ('click', 'error')""")
+def export_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.export_rows(points.event_points(spark, sf_dir), WEEK, ["click", "error", "unknown"])
+
+
+@add(
+    "chart_series",
+    f"{P}, c AS (SELECT date_trunc('day', ts)::TIMESTAMP AS position, {cell_sql('avg', 'click')} AS click, {cell_sql('avg', 'absent')} AS absent FROM p WHERE {IN_JANUARY} GROUP BY 1) "
+    + " UNION ALL ".join(f"SELECT strftime(position, '%b %d') AS label, position, '{s}' AS series, '{c}' AS color, {near(f'coalesce({s}, 0.0)')} AS value FROM c" for s, c in (("click", "#3b82f6"), ("absent", "#10b981"))),
+)
+def chart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = Query.select("click", "absent").time_range(JANUARY).group_by("day").aggregate("avg").run(points.event_points(spark, sf_dir), NOW)
+    return export.chart_rows(wide).withColumn("value", C.rounded(F.col("value"), 6))
+
+
+@add("tags_any", f"{P} SELECT metric, ts, value, seq FROM p WHERE k IN ('3', '5', '8')")
+def tags_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.any_tag(points.event_points(spark, sf_dir), "k", ["3", "5", "8"]).select("metric", "ts", "value", "seq")
+
+
+@add("tags_all", f"{P} SELECT metric, ts, value, seq FROM p WHERE k = '3' AND u = '5'")
+def tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.all_tags(points.event_points(spark, sf_dir), {"k": "3", "user": "5"}).select("metric", "ts", "value", "seq")
+
+
+@add("tags_intersect", f"{P} SELECT seq FROM p WHERE k = '3' INTERSECT SELECT seq FROM p WHERE metric = 'view'")
+def tags_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = points.event_points(spark, sf_dir)
+    return lookups.all_tags(own, {"k": "3"}).select("seq").intersect(own.where("metric = 'view'").select("seq"))
+
+
+@add("remove_tagged", f"{P} SELECT metric, ts, value, seq FROM p WHERE k NOT IN ('1', '2')")
+def remove_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = points.event_points(spark, sf_dir)
+    return lookups.without(own, lookups.any_tag(own, "k", ["1", "2"])).select("metric", "ts", "value", "seq")
+
+
+@add("floor_lookup", f"{P} SELECT metric, max(ts) AS ts, arg_max(value, row(ts, seq)) AS value, arg_max(seq, row(ts, seq)) AS seq FROM p WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY metric")
+def floor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.floor_points(points.event_points(spark, sf_dir), to_ms(datetime(2024, 1, 15, 12)))
+
+
+@add("ceiling_lookup", f"{P} SELECT metric, min(ts) AS ts, arg_min(value, row(ts, seq)) AS value, arg_min(seq, row(ts, seq)) AS seq FROM p WHERE ts >= TIMESTAMP '2024-01-15 12:00:00' GROUP BY metric")
+def ceiling_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.ceiling_points(points.event_points(spark, sf_dir), to_ms(datetime(2024, 1, 15, 12)))
+
+
+@add(
+    "as_of_join",
+    f"{P}, q AS (SELECT seq, ts, 'click' AS metric FROM p WHERE metric = 'purchase') SELECT q.seq, q.ts, c.ts AS found_ts, c.value AS found_value FROM q ASOF LEFT JOIN (SELECT * FROM p WHERE metric = 'click') c ON q.ts >= c.ts",
+)
+def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = points.event_points(spark, sf_dir)
+    probes = own.where("metric = 'purchase'").select("seq", "ts", F.lit("click").alias("metric"))
+    return lookups.as_of(probes, own.where("metric = 'click'"), "metric").select("seq", "ts", "found_ts", "found_value")
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.daily_means(points.event_points(spark, sf_dir))
+
+
+_PAIRS = f"{D}, x AS (SELECT a.metric AS metric_a, b.metric AS metric_b, a.day, a.mean AS a, b.mean AS b FROM d a JOIN d b ON a.day = b.day AND a.metric < b.metric)"
+_R = (
+    ", s AS (SELECT metric_a, metric_b, count(*) AS sample_size, count(*) * sum(a * b) - sum(a) * sum(b) AS top, (count(*) * sum(a * a) - sum(a) * sum(a)) * (count(*) * sum(b * b) - sum(b) * sum(b)) AS spread FROM x GROUP BY ALL)"
+    ", r AS (SELECT metric_a, metric_b, sample_size, CASE WHEN spread > 0 THEN top / sqrt(spread) ELSE 0 END AS r FROM s)"
+)
+_SHOWN = (
+    f" SELECT metric_a, metric_b, {near('r', 2)} AS coefficient, CASE WHEN abs(r) > 0.7 THEN 'strong' WHEN abs(r) > 0.5 THEN 'moderate' WHEN abs(r) > 0.3 THEN 'weak' ELSE 'negligible' END AS strength,"
+    " CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction, sample_size FROM r"
+)
+
+
+@add("daily_correlation", _PAIRS + _R + _SHOWN + " WHERE abs(r) > 0.0")
+def daily_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.correlations(daily(spark, sf_dir), least_r=0.0)
+
+
+@add("strong_correlation", _PAIRS + _R + _SHOWN + " WHERE sample_size >= 7 AND abs(r) > 0.3")
+def strong_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.correlations(daily(spark, sf_dir))
+
+
+@add("correlation_for_metric", _PAIRS + _R + _SHOWN + " WHERE (metric_a = 'click' OR metric_b = 'click') AND abs(r) > 0.0")
+def correlation_for_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.correlations(daily(spark, sf_dir), least_r=0.0, metric="click")
+
+
+@add("pair_alignment", f"{_PAIRS} SELECT metric_a, metric_b, day, {near('a')} AS a, {near('b')} AS b FROM x")
+def pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.aligned_pairs(daily(spark, sf_dir)).withColumns({c: C.rounded(F.col(c), 6) for c in ("a", "b")})
+
+
+@add("zero_variance_corr", "WITH d AS (SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1) SELECT 0.0::DOUBLE AS r, count(*) AS days FROM d")
+def zero_variance_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = points.event_points(spark, sf_dir).groupBy(C.bucket("day").alias("day")).agg(F.count("*").cast("double").alias("n"), F.lit(1.0).alias("one"))
+    return days.agg(C.pearson("n", "one").alias("r"), F.count("*").alias("days"))
+
+
+_TREND = (
+    f"{D}, h AS (SELECT metric, mean, row_number() OVER (PARTITION BY metric ORDER BY day) > count(*) OVER (PARTITION BY metric) // 2 AS late FROM d)"
+    f" SELECT metric, {near('avg(mean)', 5)} AS average, CASE WHEN count(*) >= 4 THEN {near('(avg(mean) FILTER (WHERE late) - avg(mean) FILTER (WHERE NOT late))', 5)} END AS trend, count(*) AS days FROM h GROUP BY metric"
+)
+
+
+@add("half_split_trend", _TREND)
+def half_split_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.trends(daily(spark, sf_dir)).withColumns({c: C.rounded(F.col(c), 5) for c in ("average", "trend")})
+
+
+@add("mean_of_daily_means", f"{D} SELECT metric, {near('avg(mean)')} AS average FROM d GROUP BY metric")
+def mean_of_daily_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily(spark, sf_dir).groupBy("metric").agg(C.rounded(F.avg("mean"), 6).alias("average"))
+
+
+@add(
+    "daily_summary",
+    f"{D} SELECT strftime(day, '%Y-%m-%d') AS date, string_agg(metric || ': ' || printf('%.1f', {near('mean', 1)}), ', ' ORDER BY metric) AS content, count(*) AS metrics, CAST(sum(n) AS BIGINT) AS data_points FROM d GROUP BY 1",
+)
+def daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.daily_summary(daily(spark, sf_dir))
+
+
+@add(
+    "metric_card",
+    f"{D}, m AS (SELECT metric, arg_max(mean, day) AS current, avg(mean) AS average, min(mean) AS least, max(mean) AS most FROM d GROUP BY metric)"
+    f" SELECT metric, {near('current')} AS current, {near('average')} AS average, {near('(current - average)')} AS difference, {near('((current - average) / average * 100)')} AS percent,"
+    f" CASE WHEN current - average > 0.1 THEN 'up' WHEN current - average < -0.1 THEN 'down' ELSE 'flat' END AS arrow,"
+    f" {near('(least - CASE WHEN most > least THEN (most - least) * 0.1 ELSE 1.0 END)')} AS low, {near('(most + CASE WHEN most > least THEN (most - least) * 0.1 ELSE 1.0 END)')} AS high FROM m",
+)
+def metric_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = analysis.metric_cards(daily(spark, sf_dir))
+    return cards.select(*[C.rounded(F.col(c), 6).alias(c) if t == "double" else F.col(c) for c, t in cards.dtypes])
+
+
+@add(
+    "sparkline7",
+    f"{D}, l AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY day DESC) AS back FROM d), w AS (SELECT metric, day, mean, min(mean) OVER (PARTITION BY metric) AS least, max(mean) OVER (PARTITION BY metric) - min(mean) OVER (PARTITION BY metric) AS spread FROM l WHERE back <= 7)"
+    " SELECT metric, day, CAST(floor(20 + (mean - least) / CASE WHEN spread < 0.01 THEN 1.0 ELSE spread END * 80) AS BIGINT) AS height FROM w",
+)
+def sparkline7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.sparklines(daily(spark, sf_dir))
+
+
+@add("recent5", f"{P} SELECT metric, ts, value, seq FROM p ORDER BY ts DESC, seq DESC LIMIT 5")
+def recent5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points.event_points(spark, sf_dir).select("metric", "ts", "value", "seq").orderBy(F.col("ts").desc(), F.col("seq").desc()).limit(5)
+
+
+@add("delta_encode", f"{P} SELECT metric, seq, coalesce(epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY metric ORDER BY ts, seq), 0) AS delta_ms FROM p")
+def delta_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.deltas(points.event_points(spark, sf_dir))
+
+
+@add("moving_average", f"{P} SELECT metric, seq, {near('avg(value) OVER (PARTITION BY metric ORDER BY ts, seq ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)', 5)} AS moving_avg FROM p")
+def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.running(points.event_points(spark, sf_dir)).withColumn("moving_avg", C.rounded(F.col("moving_avg"), 5))
+
+
+@add(
+    "default_rollup",
+    f"{P} SELECT metric, date_trunc('day', ts)::TIMESTAMP AS bucket, {near('''CASE metric WHEN 'signup' THEN CAST(count(value) AS DOUBLE) WHEN 'view' THEN avg(value) ELSE sum(value) END''')} AS value FROM p GROUP BY 1, 2",
+)
+def default_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analysis.resampled(points.event_points(spark, sf_dir), points.metric_table(spark), "day")
+    return found.withColumn("value", C.rounded(F.col("value"), 6))
+
+
+@add(
+    "order_totals_by_month",
+    f"SELECT lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '_', 'g')) AS metric, date_trunc('month', o_orderdate)::TIMESTAMP AS bucket, count(*) AS n, {near('sum(o_totalprice)', 2)} AS total FROM orders GROUP BY 1, 2",
+)
+def order_totals_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = points.order_points(spark, sf_dir)
+    return own.groupBy("metric", C.bucket("month").alias("bucket")).agg(F.count("*").alias("n"), C.rounded(F.sum("value"), 2).alias("total"))
+
+
+@add("tag_keys", f"{P}, t AS (SELECT 'k' AS key, k AS value FROM p UNION ALL SELECT 'user', u FROM p) SELECT key, count(*) AS points, count(DISTINCT value) AS distinct_values FROM t GROUP BY key")
+def tag_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.tag_keys(points.event_points(spark, sf_dir))
+
+
+@add("tag_values", f"{P} SELECT k AS value, count(*) AS n FROM p GROUP BY k")
+def tag_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.tag_values(points.event_points(spark, sf_dir), "k")
+
+
+@add("metric_stats", f"{P} SELECT metric, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, min(value) AS least, max(value) AS most, {near('avg(value)')} AS mean FROM p GROUP BY metric")
+def metric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.metric_stats(points.event_points(spark, sf_dir)).withColumn("mean", C.rounded(F.col("mean"), 6))
+
+
+@add("time_bounds", f"{P} SELECT min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, count(DISTINCT metric) AS metrics FROM p")
+def time_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.time_bounds(points.event_points(spark, sf_dir))
+
+
+def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points as they might come in: some kinds without a name, very large values infinite, very small ones no number, tags too long for some users."""
+    own = points.event_points(spark, sf_dir)
+    return own.select(
+        F.when(F.col("metric") == "error", "").otherwise(F.col("metric")).alias("metric"), "ts",
+        F.when(F.col("value") > 200, float("inf")).when(F.col("value") < 1, float("nan")).otherwise(F.col("value")).alias("value"),
+        F.map_concat("tags", F.create_map(F.lit("note"), F.when(F.col("tags")["user"] == "7", F.repeat(F.lit("x"), 201)).otherwise("ok"))).alias("tags"), "seq",
+    )
+
+
+_GOOD = "metric <> 'error' AND value <= 200 AND value >= 1 AND u <> '7'"
+
+
+@add("ingest_valid", f"{P} SELECT metric, ts, value, seq FROM p WHERE {_GOOD}")
+def ingest_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.accepted(incoming(spark, sf_dir), NOW).select("metric", "ts", "value", "seq")
+
+
+@add(
+    "ingest_rejects",
+    f"{P} SELECT seq, concat_ws(',', CASE WHEN metric = 'error' THEN 'metric_empty' END, CASE WHEN value > 200 OR value < 1 THEN 'value_not_finite' END, CASE WHEN u = '7' THEN 'tag_value' END) AS errors FROM p WHERE NOT ({_GOOD})",
+)
+def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.rejected(incoming(spark, sf_dir), NOW).select("seq", F.array_join("errors", ",").alias("errors"))
+
+
+@add("bounds_check", f"{P} SELECT metric, ts, value, seq FROM p WHERE metric = 'error' AND value > 100")
+def bounds_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.out_of_bounds(points.event_points(spark, sf_dir), points.metric_table(spark)).select("metric", "ts", "value", "seq")
+
+
+@add(
+    "csv_melt",
+    f"{P}, w AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, " + ", ".join(f"count(*) FILTER (WHERE metric = '{m}' AND u = '3') AS {m}" for m in KINDS) + " FROM p GROUP BY 1) "
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric, day + INTERVAL 12 HOUR AS ts, CAST({m} AS DOUBLE) AS value FROM w WHERE {m} > 0" for m in KINDS),
+)
+def csv_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts of one user written as lines of a wide CSV and read again; counts of zero are empty cells."""
+    own = points.event_points(spark, sf_dir)
+    cells = [F.nullif(F.count_if((F.col("metric") == m) & (F.col("tags")["user"] == "3")), F.lit(0)).alias(m) for m in KINDS]
+    wide = own.groupBy(F.date_format(C.bucket("day"), "yyyy-MM-dd").alias("Date")).agg(*cells)
+    return imports.csv_points(wide.select(F.to_csv(F.struct(*wide.columns)).alias("line")), ",".join(wide.columns))
+
+
+@add(
+    "health_points",
+    f"{P} SELECT CASE metric WHEN 'click' THEN 'steps' ELSE 'heart_rate' END AS metric, date_trunc('second', ts)::TIMESTAMP AS ts, value, CASE metric WHEN 'click' THEN 'count' ELSE '' END AS unit, 'user ' || u AS source FROM p WHERE metric IN ('click', 'view')",
+)
+def health_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as health records (those of errors without a number) and read again."""
+    own = points.event_points(spark, sf_dir).where("metric in ('click', 'view', 'error')")
+    kind = F.when(F.col("metric") == "click", "HKQuantityTypeIdentifierStepCount").otherwise("HKQuantityTypeIdentifierHeartRate")
+    value = F.when(F.col("metric") == "error", "HKCategoryValueSleepAnalysisAsleep").otherwise(F.col("value").cast("string"))
+    unit = F.when(F.col("metric") == "click", ' unit="count"').otherwise("")
+    line = F.concat(
+        F.lit('<Record type="'), kind, F.lit('" sourceName="user '), F.col("tags")["user"], F.lit('"'), unit,
+        F.lit(' startDate="'), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(' +0000" value="'), value, F.lit('"/>'),
+    )
+    return imports.health_points(own.select(line.alias("line")))
+
+
+@add(
+    "repository_daily",
+    f"{P}, g AS (SELECT date_trunc('day', ts)::TIMESTAMP + INTERVAL 12 HOUR AS ts, CAST(2 * count(*) FILTER (WHERE metric = 'click') AS DOUBLE) AS commits, CAST(count(*) FILTER (WHERE metric = 'view' AND value > 50) AS DOUBLE) AS prs_merged,"
+    " CAST(count(*) FILTER (WHERE metric = 'signup') AS DOUBLE) AS prs_opened, CAST(count(*) FILTER (WHERE metric = 'error') AS DOUBLE) AS reviews FROM p GROUP BY 1) "
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric, ts, {m} AS value FROM g WHERE {m} > 0" for m in ("commits", "prs_merged", "prs_opened", "reviews")),
+)
+def repository_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as repository events in JSON and read again."""
+    metric, value = F.col("metric"), F.col("value")
+    kind = F.when(metric == "click", "PushEvent").when(metric.isin("view", "signup"), "PullRequestEvent").when(metric == "error", "PullRequestReviewEvent").otherwise("WatchEvent")
+    payload = F.struct(
+        F.when(metric == "view", "closed").when(metric == "signup", "opened").alias("action"),
+        F.when(metric == "click", F.array(F.struct(F.lit("a").alias("sha")), F.struct(F.lit("b").alias("sha")))).alias("commits"),
+        F.struct((value > 50).alias("merged")).alias("pull_request"),
+    )
+    line = F.to_json(F.struct(kind.alias("type"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), payload.alias("payload")))
+    return imports.repository_points(points.event_points(spark, sf_dir).select(line.alias("line")))
+
+
+@add(
+    "activity_points",
+    f"{P}, g AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, CAST(count(*) FILTER (WHERE metric = 'click') AS DOUBLE) AS c, CAST(count(*) FILTER (WHERE metric = 'view') AS DOUBLE) AS v, CAST(count(*) FILTER (WHERE metric = 'error' AND u = '3') AS DOUBLE) AS e FROM p GROUP BY 1)"
+    " SELECT 'steps' AS metric, day + INTERVAL 12 HOUR AS ts, c AS value FROM g UNION ALL SELECT 'calories', day + INTERVAL 12 HOUR, v FROM g UNION ALL SELECT 'active_minutes', day + INTERVAL 12 HOUR, c FROM g UNION ALL SELECT 'sleep_hours', day + INTERVAL 6 HOUR, e / 60 FROM g WHERE e > 0",
+)
+def activity_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts written as days of activity in JSON and read again."""
+    n = lambda test: F.count_if(test).cast("double")
+    metric = F.col("metric")
+    days = points.event_points(spark, sf_dir).groupBy(F.date_format(C.bucket("day"), "yyyy-MM-dd").alias("date")).agg(
+        n(metric == "click").alias("steps"), n(metric == "view").alias("caloriesOut"), n(metric == "click").alias("veryActiveMinutes"),
+        n((metric == "error") & (F.col("tags")["user"] == "3")).alias("totalMinutesAsleep"),
+    )
+    line = F.to_json(F.struct("date", F.struct("steps", "caloriesOut", "veryActiveMinutes", "totalMinutesAsleep").alias("summary")))
+    return imports.activity_points(days.select(line.alias("line")))
+
+
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.event_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet*")
+
+
+def _bucket_sql(interval: str) -> str:
+    return f"{P} SELECT date_trunc('{interval}', ts)::TIMESTAMP AS bucket, metric, {near('avg(value)')} AS mean, count(*) AS n FROM p GROUP BY 1, 2"
+
+
+for _interval in INTERVALS:
+
+    def stream_buckets(spark: SparkSession, sf_dir: str, interval: str = _interval) -> DataFrame:
+        made = streams.run_to_table(streams.bucketed(stream(spark, sf_dir), interval), "complete")
+        return made.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "metric", C.rounded(F.col("mean"), 6).alias("mean"), "n")
+
+    add(f"stream_{_interval}", _bucket_sql(_interval))(stream_buckets)
+
+
+@add("stream_dedup", f"{P} SELECT metric, ts, value, seq FROM p")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event twice in the stream, once in the result."""
+    twice = stream(spark, sf_dir)
+    made = streams.run_to_table(streams.first_only(twice.unionByName(stream(spark, sf_dir))))
+    return made.select("metric", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", "seq")
+
+
+_TOPICS = [("a", "metrics.click"), ("b", "metrics.*"), ("b", "metrics.view"), ("c", "category.custom"), ("d", "category.*")]
+
+
+@add(
+    "stream_topics",
+    f"{P}, c AS (SELECT *, CASE WHEN metric IN ('purchase', 'signup') THEN 'custom' ELSE 'other' END AS category FROM p) "
+    + " UNION ALL ".join(f"SELECT '{s}' AS subscriber, 'metrics.' || metric AS topic, value, seq FROM c WHERE {w}" for s, w in (("a", "metric = 'click'"), ("b", "true"), ("c", "category = 'custom'"), ("d", "true"))),
+)
+def stream_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subscriptions = spark.createDataFrame(_TOPICS, "subscriber string, topic string")
+    made = streams.run_to_table(stream(spark, sf_dir), batch=lambda rows: streams.routed(rows, subscriptions, points.metric_table(rows.sparkSession)))
+    return made.select("subscriber", "topic", "value", "seq")
+
+
+@add("stream_ingest", f"{P} SELECT metric, ts, value, seq FROM p WHERE value <= 200")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streamed events, very large values made infinite; the good rows that were written."""
+    rows = stream(spark, sf_dir).withColumn("value", F.when(F.col("value") > 200, float("inf")).otherwise(F.col("value")))
+    return streams.run_to_table(rows, batch=lambda b: streams.split_ingest(b, NOW)[0]).select("metric", "ts", "value", "seq")
