@@ -50,4 +50,4 @@ def json_rows(result: DataFrame) -> DataFrame:
 def text_rows(result: DataFrame) -> DataFrame:
     """Cells for a text table: one decimal, a dash where a value is missing."""
     time, *names = result.columns
-    return result.select(F.date_format(time, "yyyy-MM-dd HH:mm").alias("time"), *[F.coalesce(F.format_string("%.1f", n), F.lit("-")).alias(n) for n in names])
+    return result.select(F.date_format(time, "yyyy-MM-dd HH:mm").alias("time"), *[F.when(F.col(n).isNull(), "-").otherwise(F.format_string("%.1f", n)).alias(n) for n in names])
