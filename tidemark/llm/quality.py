@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_of_id
+from tidemark.llm.common import crc_of_id, small
 from tidemark.llm.logistic import fit_logistic, sigmoid
 from tidemark.llm.toxicity import training_rows
 
@@ -92,7 +92,7 @@ def _features(rows: DataFrame, columns: list[str], text_col: str, metadata: tupl
     """`columns` of the rows with both views' features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             n = len(columns)
             content = [content_features(x) for x in b.column(n).to_pylist()]
             meta = [metadata_features(x) for x in zip(*(c.to_pylist() for c in b.columns[n + 1 :]), strict=True)]
@@ -135,6 +135,7 @@ def learn_quality(
 ) -> QualityModel:
     """Fit both views from labelled rows of the training fold and a pool of others."""
     trains = F.pmod(crc_of_id(id_col), F.lit(5)) != 0
+    docs = docs.select(id_col, text_col, *metadata)
     labelled = training_rows(docs, labels, label, trains, id_col, sample)
     share = min(1.0, pool / max(1, docs.count()))
     others = docs.where(F.pmod(F.xxhash64(id_col, F.lit(13)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).withColumn("y", F.lit(-1))
@@ -144,14 +145,14 @@ def learn_quality(
     ids = found.column("_id").fill_null(-1).to_numpy()
     order = np.lexsort((ids, y))  # the same rows in the same order whatever the partitions
     y, ids = y[order], ids[order]
-    x = {v: np.array(found.column(v).to_pylist(), float).reshape(len(order), -1)[order] for v in ("content", "metadata")}
     known = y >= 0
+    if len(set(y[known].tolist())) < 2:
+        return QualityModel()
+    x = {v: np.array(found.column(v).to_pylist(), float).reshape(len(order), -1)[order] for v in ("content", "metadata")}
     fold = np.array([zlib.crc32(b"%d" % i) // 5 % 5 == 0 for i in ids.tolist()], bool)
     fit, check = known & ~fold, known & fold
     if len(set(y[fit].tolist())) < 2 or len(set(y[check].tolist())) < 2:
         check = fit = known
-    if len(set(y[known].tolist())) < 2:
-        return QualityModel()
     fitted = co_train({v: m[fit] for v, m in x.items()}, y[fit].astype(float), {v: m[~known] for v, m in x.items()}, rounds, per_round, sure)
     mean = float(np.clip(y[known].mean(), 1e-3, 1 - 1e-3))
     model = QualityModel({v: b.tolist() for v, b in fitted.items()}, {}, float(np.log(mean / (1 - mean))))
@@ -182,7 +183,7 @@ def score_quality(
     """(id, score, content_score, metadata_score) for each row: probabilities of good quality."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             content = [content_features(x) for x in b.column(1).to_pylist()]
             meta = [metadata_features(x) for x in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
             scores = _scores(model, content, meta)
@@ -199,7 +200,7 @@ def reject_poor(
     names = [c.lower() for c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             content = [content_features(x) for x in b.column(names.index(text_col.lower())).cast(pa.binary()).to_pylist()]
             meta = [metadata_features(x) for x in zip(*(b.column(names.index(c.lower())).to_pylist() for c in metadata), strict=True)]
             yield b.filter(pa.array(_scores(model, content, meta)[0] >= threshold, pa.bool_()))

@@ -48,8 +48,8 @@ def sketch(text: Column, width: int = 5, scale: int = SCALE) -> Column:
 
 
 def _kept(runs: Column, scale: int) -> Column:
-    limit = F.lit(-(2**63) + 2**64 // scale).cast("long")
-    low = F.array_sort(F.array_distinct(F.filter(runs, lambda x: x < limit)))
+    limit = F.lit(-(2**63) + 2**64 // scale - 1).cast("long")
+    low = F.array_sort(F.array_distinct(F.filter(runs, lambda x: x <= limit)))
     return F.when((F.size(low) == 0) & (F.size(runs) > 0), F.array(F.array_min(runs))).otherwise(low)
 
 

@@ -27,6 +27,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small
+
 RULES = ("start", "end", "most")
 _built: dict[int, tuple[tiktoken.Encoding, np.ndarray]] = {}
 
@@ -88,7 +90,7 @@ def count_tokens(
                 ["id", "section", "field", "start", "end", "n_tokens", "n_crossing", "doc_tokens"],
             )
 
-        for b in batches:
+        for b in small(batches):
             ids, texts, rows, first, size = b.column(0), [c.to_pylist() for c in b.columns[1:]], [], 0, 0
             for i, parts in enumerate(zip(*texts, strict=True)):
                 record = "\n".join(parts)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_of_id
+from tidemark.llm.common import crc_of_id, small
 from tidemark.llm.logistic import fit_logistic, sigmoid
 
 # Signs that stand in for Latin letters, then look-alike letters of Cyrillic and Greek.
@@ -146,7 +146,7 @@ def _count(rows: DataFrame, terms, name: str = "term") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
-        for b in batches:
+        for b in small(batches):
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 counts[1 - toxic].update(terms(fold(text)))
         keys = list(counts[0] | counts[1])
@@ -174,7 +174,7 @@ def learn(
 ) -> Lexicon:
     """Learn the lexicon from labelled rows whose crc32 of the id is no multiple of 5."""
     trains = F.pmod(crc_of_id(id_col), F.lit(5)) != 0
-    rows = training_rows(docs, labels, label, trains, id_col, sample)
+    rows = training_rows(docs.select(id_col, text_col), labels, label, trains, id_col, sample)
     rows = rows.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), "y").persist()
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -210,7 +210,7 @@ def _hits(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, curve = lexicon.machine(), np.array(lexicon.curve)
-        for b in batches:
+        for b in small(batches):
             found = []
             for text in b.column(1).to_pylist():
                 folded = fold(text)
@@ -239,7 +239,7 @@ def reject_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", thre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, curve = lexicon.machine(), np.array(lexicon.curve)
-        for b in batches:
+        for b in small(batches):
             stay = []
             for text in b.column(at).to_pylist():
                 folded = fold(text or "")
