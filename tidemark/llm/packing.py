@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_GAP
+from tidemark.llm.common import WORD_GAP, stage_table
 
 LENGTHS = (512, 1024, 2048, 4096)
 
@@ -75,7 +75,7 @@ def pack_documents(
     """(id, piece, start, n_tokens, bin, offset, capacity) for each piece: where it starts in the document and in its bin."""
     lengths = tuple(sorted(lengths))
     largest = lengths[-1]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), tokens.cast("long").alias("n"))
+    rows = stage_table(docs.select(F.col(id_col).cast("long").alias("id"), tokens.cast("long").alias("n")), "lengths")
     last = F.greatest(F.ceil(F.col("n") / largest).cast("int") - 1, F.lit(0))
     pieces = rows.select("id", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(
         "id", "piece", (F.col("piece").cast("long") * largest).alias("start"), F.least(F.lit(largest), F.col("n") - F.col("piece") * largest).alias("n_tokens")
