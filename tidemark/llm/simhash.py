@@ -6,7 +6,7 @@ a vector of radius+1 binary digits, not all zero; every non-zero vector v names
 vector has odd parity against v. Any `radius` differing positions leave some v orthogonal to all of
 them, so every pair within the radius shares a key in at least one table: no link can be missed.
 
-Scale: fingerprints are made distinct first, so exact copies cost one row. A key shared by more than
+Scale: joins whose sides grow with the corpus are sort-merge joins at any size. Fingerprints are made distinct first, so exact copies cost one row. A key shared by more than
 `bucket` fingerprints is not compared all against all: its members agree on the bits of the key, so
 the same construction over the remaining bits splits it again, and again, until few bits are left.
 Within a bucket only links that join something new are kept (a forest), and components are found by
@@ -34,42 +34,46 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage_table
+from tidemark.llm.common import small, stage_table
 from tidemark.llm.components import connected_components
 
 BITS = 64
 BLOCK = 65_536
+#: What a bucket is told by: the table, the bits that its mask keeps, and the band of lengths.
+BUCKET = ["path", "key", "band"]
 
 
-def simhash(text: bytes | None, width: int) -> int:
-    """Fingerprint of one text as an unsigned integer."""
+def simhash(text: bytes | None, width: int) -> tuple[int, int]:
+    """Fingerprint of one text as an unsigned integer, and its number of different shingles (of a block of shingles, as an upper bound, for very long texts)."""
     words = (text or b"").lower().split()  # bytes: lower() and split() know ASCII only
     n = len(words)
     if not n:
-        return 0
+        return 0, 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(width, n)
     starts, ends = starts[: n - k + 1].tolist(), ends[k - 1 :].tolist()
-    digest, votes = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    digest, votes, different = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64), 0
     for at in range(0, len(starts), BLOCK):
         part = [digest(joined[s:e], 42) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)]
+        different += len(set(part))
         bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(starts), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * votes > len(starts), bitorder="little").view("<u8")[0]), different
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp): one row per row of `docs`; fp is the fingerprint as a signed long."""
+    """(id, fp, size): one row per row of `docs`; fp is the fingerprint as a signed long, size the number of different shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = np.array([simhash(x, width) for x in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values.view(np.int64))], ["id", "fp"])
+        for b in small(batches):
+            found = [simhash(x, width) for x in b.column(1).to_pylist()]
+            values, sizes = (np.array([f[i] for f in found], np.uint64).view(np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values), pa.array(sizes)], ["id", "fp", "size"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "id long, fp long")
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return chosen.mapInArrow(run, "id long, fp long, size long")
 
 
 def covering_masks(positions: list[int], radius: int) -> list[int]:
@@ -90,16 +94,16 @@ def _signed(x: int) -> int:
 
 
 def _keys(rows: DataFrame, masks: list[list[int]]) -> DataFrame:
-    """Rows (fp, node, path) spread over the tables: masks[path] are those of each path; path and key are renewed."""
+    """Rows (fp, node, band, path) spread over the tables: masks[path] are those of each path; path and key are renewed."""
     own = len(masks[0])
     listed = [(path, path * own + i, _signed(m)) for path, x in enumerate(masks) for i, m in enumerate(x)]
     if len(listed) <= 1024:
         each = F.array(*[F.array(*[F.struct(F.lit(t).alias("table"), F.lit(m).cast("long").alias("mask")) for _, t, m in g]) for _, g in itertools.groupby(listed, lambda x: x[0])])
-        spread = rows.select("fp", "node", F.explode(F.element_at(each, F.col("path") + 1)).alias("t")).select("fp", "node", "t.table", "t.mask")
+        spread = rows.select("fp", "node", "band", F.explode(F.element_at(each, F.col("path") + 1)).alias("t")).select("fp", "node", "band", "t.table", "t.mask")
     else:
         tables = rows.sparkSession.createDataFrame(listed, "path int, table int, mask long")
         spread = rows.join(F.broadcast(tables), "path")  # as many rows as there are masks
-    return spread.select("fp", "node", F.col("table").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    return spread.select("fp", "node", "band", F.col("table").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
 
 def _forest(fps: np.ndarray, nodes: np.ndarray, radius: int) -> list[dict]:
@@ -133,30 +137,30 @@ def _links(keyed: DataFrame, counts: DataFrame, radius: int) -> DataFrame:
         return pd.Series([_forest(np.asarray(f).view(np.uint64), np.asarray(n), radius) for f, n in zip(fps, nodes, strict=True)])
 
     member = F.collect_list(F.struct("fp", "node")).alias("m")
-    grouped = keyed.join(counts.select("path", "key"), ["path", "key"]).groupBy("path", "key").agg(member)
+    grouped = keyed.join(counts.select(*BUCKET).hint("merge"), BUCKET).groupBy(*BUCKET).agg(member)
     return grouped.select(F.explode(forest(F.col("m.fp"), F.col("m.node"))).alias("x")).select("x.a", "x.b")
 
 
 def fingerprint_links(
     fps: DataFrame, radius: int = 2, bucket: int = 256, levels: int = 3, masks_of: Callable[[list[int]], list[int]] | None = None
 ) -> DataFrame:
-    """Links (a, b) between nodes of distinct fingerprints (fp, node), enough to connect all pairs within the radius that share a table.
+    """Links (a, b) between nodes of distinct fingerprints (fp, node, band), enough to connect all pairs within the radius and band that share a table.
 
     `masks_of` gives the masks over some bit positions; by default covering masks, with which every such pair shares one.
     """
     masks_of = masks_of or (lambda positions: covering_masks(positions, radius))
-    rows, found, left = fps.select("fp", "node", F.lit(0).alias("path")), [], [(1 << BITS) - 1]
+    rows, found, left = fps.select("fp", "node", "band", F.lit(0).alias("path")), [], [(1 << BITS) - 1]
     for level in range(levels):
         masks = [masks_of([p for p in range(BITS) if x >> p & 1]) for x in left]
         left = [x & ~m for x, own in zip(left, masks, strict=True) for m in own]
         keyed = _keys(rows, masks)
-        counts = stage_table(keyed.groupBy("path", "key").count().where("count > 1"), "buckets")
+        counts = stage_table(keyed.groupBy(*BUCKET).count().where("count > 1"), "buckets")
         last = level + 1 == levels
         found.append(_links(keyed, counts if last else counts.where(F.col("count") <= bucket), radius))
         large = counts.where(F.col("count") > bucket)
         if last or large.isEmpty():
             break
-        rows = stage_table(keyed.join(large.select("path", "key"), ["path", "key"]).select("fp", "node", "path"), "large")
+        rows = stage_table(keyed.join(large.select(*BUCKET).hint("merge"), BUCKET).select("fp", "node", "band", "path"), "large")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -173,10 +177,10 @@ def confirm(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
     links = stage_table(links.distinct(), "links")
     ends = links.select(F.col("a").alias("end")).union(links.select("b")).distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("end"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    texts = stage_table(rows.join(ends, "end", "left_semi").dropDuplicates(["end"]), "texts")
+    texts = stage_table(rows.join(ends.hint("merge"), "end", "left_semi").dropDuplicates(["end"]), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 256):
             same = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 p, q = _shingles(x, width), _shingles(y, width)
@@ -188,14 +192,25 @@ def confirm(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
     return pairs.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
+def _bands(distinct: DataFrame, similarity: float | None) -> DataFrame:
+    """(fp, node, band): numbers of shingles by powers of two; texts that are alike enough share a band.
+
+    A text whose similar ones may have enough shingles for the next band is in that too. Without a similarity all is one band.
+    """
+    if similarity is None:
+        return distinct.select("fp", "node", F.lit(0).alias("band"))
+    of = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1.0)))).cast("int")
+    return distinct.select("fp", "node", F.explode(F.array_distinct(F.array(of(F.col("size").cast("double")), of(F.col("size") / similarity)))).alias("band"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, bucket: int = 256,
     levels: int = 3, masks_of: Callable[[list[int]], list[int]] | None = None, similarity: float | None = None,
 ) -> DataFrame:
     """(id, fp, component) for each row of `docs`: component is the smallest id that links can reach."""
     prints = stage_table(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = stage_table(prints.groupBy("fp").agg(F.min("id").alias("node")), "distinct")
-    links = fingerprint_links(distinct.where("node is not null"), radius, bucket, levels, masks_of)
+    distinct = stage_table(prints.groupBy("fp").agg(F.min("id").alias("node"), F.max("size").alias("size")), "distinct")
+    links = fingerprint_links(_bands(distinct.where("node is not null"), similarity), radius, bucket, levels, masks_of)
     if similarity is not None:
         links = confirm(links, docs, id_col, text_col, width, similarity)
     root = connected_components(links)
