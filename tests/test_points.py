@@ -179,7 +179,7 @@ def test_health(spark):
     lines = ['<Record type="HKQuantityTypeIdentifierVO2Max" startDate="2024-01-15 08:00:00 +0100" value="40.5"/>', '<Record type="HKCategoryTypeIdentifierSleepAnalysis" startDate="2024-01-15" value="Asleep"/>', "<Other/>", '<Record type="HKQuantityTypeIdentifierStepCount" unit="count" startDate="2024-01-15" value="12"/>']
     found = sorted(values(imports.health_points(spark.createDataFrame([(x,) for x in lines], "line string")).select("metric", "ts", "value", "unit")))
     assert found == [("steps", datetime(2024, 1, 15), 12.0, "count"), ("v_o2_max", datetime(2024, 1, 15, 7), 40.5, "")]
-    names = spark.createDataFrame([("sleep",), ("heart_rate",), ("zzz",)], "m string").select(imports.health_category(F.col("m")))
+    names = spark.createDataFrame([("workout",), ("heart_rate",), ("zzz",)], "m string").select(imports.health_category(F.col("m")))
     assert [r[0] for r in names.collect()] == ["habit", "health", "custom"]
 
 

@@ -18,12 +18,16 @@ CSV_DATES = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy")
 
 # Names that differ from the record type's own words, and words that tell a category.
 HEALTH_NAMES = {
-    "step_count": "steps", "distance_walking_running": "distance", "active_energy_burned": "active_calories", "basal_energy_burned": "resting_calories",
-    "heart_rate": "heart_rate", "resting_heart_rate": "resting_heart_rate", "body_mass": "weight", "body_mass_index": "bmi", "sleep_analysis": "sleep",
-    "dietary_energy_consumed": "calories", "dietary_water": "water", "flights_climbed": "flights", "apple_exercise_time": "exercise_minutes",
-    "apple_stand_time": "stand_minutes", "mindful_session": "meditation",
+    "step_count": "steps", "distance_walking_running": "distance", "active_energy_burned": "calories_active", "basal_energy_burned": "calories_basal",
+    "sleep_analysis": "sleep", "body_mass": "weight", "body_mass_index": "bmi", "oxygen_saturation": "spo2", "walking_heart_rate_average": "walking_heart_rate",
+    "heart_rate_variability_sdnn": "hrv", "apple_stand_hour": "stand_hours", "apple_exercise_time": "exercise_minutes", "mindful_session": "mindfulness_minutes",
+    "dietary_water": "water", "dietary_caffeine": "caffeine",
 }
-HEALTH_CATEGORIES = (("habit", ("sleep", "meditation", "water")), ("mood", ("mood", "stress")), ("health", ("heart", "step", "weight", "calor", "bmi", "distance", "flight", "exercise", "stand")))
+HEALTH_CATEGORIES = (
+    ("health", ("heart", "blood", "spo2", "step", "distance", "calories", "weight", "bmi", "height", "sleep", "vo2", "respiratory")),
+    ("habit", ("exercise", "workout")),
+    ("mood", ("energy", "mood")),
+)
 
 
 def _noon(c: Column) -> Column:
