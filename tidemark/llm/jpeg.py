@@ -22,7 +22,6 @@ ROW, MAX_ROWS = 64, 8191
 
 # Code counts by length of the usual luminance DC table; its symbols are 0 to 11.
 DC_COUNTS = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
-# The zigzag order is not needed, as no AC coefficient is kept.
 
 SOI, EOI = b"\xff\xd8", b"\xff\xd9"
 _SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
