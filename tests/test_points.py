@@ -194,7 +194,7 @@ def test_repository_and_activity(spark):
     assert found == [("commits", datetime(2024, 1, 15, 12), 2.0), ("prs_merged", datetime(2024, 1, 15, 12), 1.0)]
     days = ['{"date":"2024-01-15","summary":{"steps":10,"caloriesOut":20,"veryActiveMinutes":3,"totalMinutesAsleep":450}}']
     found = sorted(values(imports.activity_points(spark.createDataFrame([(x,) for x in days], "line string"))))
-    assert found == [("active_minutes", datetime(2024, 1, 15, 12), 3.0), ("calories", datetime(2024, 1, 15, 12), 20.0), ("sleep_hours", datetime(2024, 1, 15, 6), 7.5), ("steps", datetime(2024, 1, 15, 12), 10.0)]
+    assert found == [("active_minutes", datetime(2024, 1, 15, 12), 3.0), ("calories_burned", datetime(2024, 1, 15, 12), 20.0), ("sleep_hours", datetime(2024, 1, 15, 6), 7.5), ("steps", datetime(2024, 1, 15, 12), 10.0)]
 
 
 def test_exports(spark, tmp_path):

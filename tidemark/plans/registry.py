@@ -417,8 +417,8 @@ def health_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add(
     "repository_daily",
     f"{P}, g AS (SELECT date_trunc('day', ts)::TIMESTAMP + INTERVAL 12 HOUR AS ts, CAST(2 * count(*) FILTER (WHERE metric = 'click') AS DOUBLE) AS commits, CAST(count(*) FILTER (WHERE metric = 'view' AND value > 50) AS DOUBLE) AS prs_merged,"
-    " CAST(count(*) FILTER (WHERE metric = 'signup') AS DOUBLE) AS prs_opened, CAST(count(*) FILTER (WHERE metric = 'error') AS DOUBLE) AS reviews FROM p GROUP BY 1) "
-    + " UNION ALL ".join(f"SELECT '{m}' AS metric, ts, {m} AS value FROM g WHERE {m} > 0" for m in ("commits", "prs_merged", "prs_opened", "reviews")),
+    " CAST(count(*) FILTER (WHERE metric = 'signup') AS DOUBLE) AS prs_opened, CAST(count(*) FILTER (WHERE metric = 'error') AS DOUBLE) AS code_reviews FROM p GROUP BY 1) "
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric, ts, {m} AS value FROM g WHERE {m} > 0" for m in ("commits", "prs_merged", "prs_opened", "code_reviews")),
 )
 def repository_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as repository events in JSON and read again."""
@@ -436,7 +436,7 @@ def repository_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add(
     "activity_points",
     f"{P}, g AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, CAST(count(*) FILTER (WHERE metric = 'click') AS DOUBLE) AS c, CAST(count(*) FILTER (WHERE metric = 'view') AS DOUBLE) AS v, CAST(count(*) FILTER (WHERE metric = 'error' AND u = '3') AS DOUBLE) AS e FROM p GROUP BY 1)"
-    " SELECT 'steps' AS metric, day + INTERVAL 12 HOUR AS ts, c AS value FROM g UNION ALL SELECT 'calories', day + INTERVAL 12 HOUR, v FROM g UNION ALL SELECT 'active_minutes', day + INTERVAL 12 HOUR, c FROM g UNION ALL SELECT 'sleep_hours', day + INTERVAL 6 HOUR, e / 60 FROM g WHERE e > 0",
+    " SELECT 'steps' AS metric, day + INTERVAL 12 HOUR AS ts, c AS value FROM g UNION ALL SELECT 'calories_burned', day + INTERVAL 12 HOUR, v FROM g UNION ALL SELECT 'active_minutes', day + INTERVAL 12 HOUR, c FROM g UNION ALL SELECT 'sleep_hours', day + INTERVAL 6 HOUR, e / 60 FROM g WHERE e > 0",
 )
 def activity_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts written as days of activity in JSON and read again."""

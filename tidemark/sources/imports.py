@@ -109,7 +109,7 @@ def repository_points(lines: DataFrame, line_col: str = "line", since: Column |
         "prs_opened": F.count_if(pull & (action == "opened")),
         "prs_merged": F.count_if(pull & closed & merged),
         "issues_closed": F.count_if((F.col("type") == "IssuesEvent") & closed),
-        "reviews": F.count_if(F.col("type") == "PullRequestReviewEvent"),
+        "code_reviews": F.count_if(F.col("type") == "PullRequestReviewEvent"),
     }
     days = rows.groupBy(F.date_trunc("day", "at").alias("day")).agg(*[c.cast("double").alias(n) for n, c in counts.items()])
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in counts])).alias("p")
@@ -126,7 +126,7 @@ def activity_points(lines: DataFrame, line_col: str = "line") -> DataFrame:
     days = lines.select(F.from_json(line_col, ACTIVITY_DAY).alias("d")).withColumn("day", F.try_to_timestamp("d.date", F.lit("yyyy-MM-dd"))).where("day is not null")
     active = F.coalesce(s["veryActiveMinutes"], F.lit(0.0)) + F.coalesce(s["fairlyActiveMinutes"], F.lit(0.0))
     sleep = F.when(s["totalMinutesAsleep"] > 0, s["totalMinutesAsleep"] / 60)
-    cells = [("steps", 12, s["steps"]), ("calories", 12, s["caloriesOut"]), ("active_minutes", 12, active), ("sleep_hours", 6, sleep)]
+    cells = [("steps", 12, s["steps"]), ("calories_burned", 12, s["caloriesOut"]), ("active_minutes", 12, active), ("sleep_hours", 6, sleep)]
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.lit(h).alias("hour"), v.cast("double").alias("value")) for n, h, v in cells])).alias("p")
     made = days.select("day", each).where("p.value is not null")
     return made.select("p.metric", (F.col("day") + F.make_dt_interval(hours=F.col("p.hour"))).cast("timestamp_ntz").alias("ts"), "p.value")
