@@ -34,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage_table
+from tidemark.llm.common import small, stage_table
 
 #: Bytes of text that are hashed at once, and that a shard's automaton is compiled for.
-PIECE = 1 << 21
+PIECE = 1 << 20
+#: Parts that the rows of a large group of copies are dealt into.
+SALTS = 32
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.array([x + 32 if 65 <= x <= 90 else x for x in range(256)], np.uint8)
@@ -112,14 +114,15 @@ class WordBatch:
 
 
 def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """The batch in slices of about PIECE bytes of text."""
-    texts = [x or b"" for x in batch.column(column).to_pylist()]
-    first = size = 0
-    for i, x in enumerate(texts):
-        size += len(x)
-        if size >= PIECE or i + 1 == len(texts):
-            yield batch.slice(first, i + 1 - first), texts[first : i + 1]
-            first, size = i + 1, 0
+    """The batch in slices of about PIECE bytes of text, or of 256 rows."""
+    for part in small([batch], 256):
+        texts = [x or b"" for x in part.column(column).to_pylist()]
+        first = size = 0
+        for i, x in enumerate(texts):
+            size += len(x)
+            if size >= PIECE or i + 1 == len(texts):
+                yield part.slice(first, i + 1 - first), texts[first : i + 1]
+                first, size = i + 1, 0
 
 
 def _lists(values: np.ndarray, owner: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
@@ -159,14 +162,16 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, phrase: int)
     return stage_table(rows.mapInArrow(run, schema).withColumn("rn", F.monotonically_increasing_id()), "sketch")
 
 
-def candidates(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, width: int, phrase: int) -> DataFrame:
-    """(rn, weight, text, runs), staged: texts with windows whose anchor recurs; runs lists starts and lengths of runs of such windows."""
-    spread = known.select("rn", F.explode("anchors").alias("anchor"))
-    hot = spread.groupBy("anchor").count().where("count > 1").select("anchor")
-    wanted = known.where("copies is null or rn = copies")
-    spread = wanted.select("rn", F.explode(F.array_distinct("anchors")).alias("anchor"))
-    by_row = spread.join(hot, "anchor").groupBy("rn").agg(F.collect_list("anchor").alias("hot"))
-    found = wanted.select("rn", F.col("id").alias("_id"), "text_hash", F.when(F.col("copies").isNull(), 1).otherwise(2).alias("weight")).join(by_row, "rn")
+def candidates(docs: DataFrame, anchors: DataFrame, known: DataFrame, id_col: str, text_col: str, width: int, phrase: int) -> DataFrame:
+    """(rn, weight, text, runs), staged: texts with windows whose anchor recurs; runs lists starts and lengths of runs of such windows.
+
+    Of texts that are alike only one is here, with weight 2; it is listed as often as its very row is repeated.
+    """
+    hot = anchors.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor")
+    spread = anchors.select("rn", F.explode(F.array_distinct("anchors")).alias("anchor"))
+    by_row = spread.join(hot.hint("merge"), "anchor").groupBy("rn").agg(F.collect_list("anchor").alias("hot"))
+    weight = F.when(F.col("copies").isNull(), 1).otherwise(2).alias("weight")
+    found = known.where("copies is null or rn = copies").select("rn", F.col("id").alias("_id"), "text_hash", weight).join(by_row, "rn")
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
     rows = rows.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("text_hash"))).select("rn", "weight", "text", "hot")
@@ -275,14 +280,16 @@ def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words_sha256 is that of all words joined by single spaces; kept is the rest of the text in the same
     form where words were removed, else null. text_hash is xxhash64 of the text, to join the result back.
     """
-    known = sketch(docs, id_col, text_col, width, phrase)
+    anchors = sketch(docs, id_col, text_col, width, phrase)
+    known = anchors.drop("anchors")
     groups = known.where(F.col("n_words") >= width).groupBy("words_sha256").agg(F.count("*").alias("n"), F.min("rn").alias("copies"))
-    known = known.join(groups.where("n > 1").select("words_sha256", "copies"), "words_sha256", "left")
-    found = candidates(docs, known, id_col, text_col, width, phrase)
-    changed = locate(found, lone_windows(found, width), width).where("n_removed > 0").dropDuplicates(["rn"])
+    salted = groups.where("n > 1").select("words_sha256", "copies", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    known = stage_table(known.withColumn("salt", F.pmod("rn", F.lit(SALTS)).cast("int")).join(salted, ["words_sha256", "salt"], "left").drop("salt"), "known")
+    found = candidates(docs, anchors, known, id_col, text_col, width, phrase)
+    changed = locate(found.where("weight = 1"), lone_windows(found, width), width).where("n_removed > 0")  # of the others all is known
     whole = F.col("copies").isNotNull()
     return (
-        known.drop("anchors").join(changed, "rn", "left")
+        known.join(changed, "rn", "left")
         .select(
             "id", "text_hash", "n_words",
             F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
