@@ -84,3 +84,10 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201), (None, 3), (7, 7), (201, 200)], "a long, b long")
     found = {r["node"]: r["component"] for r in connected_components(links).collect()}
     assert found == {i: 0 for i in range(1, 101)} | {201: 200}
+
+
+def test_sizes_of_very_long_texts_are_exact(spark):
+    cycle = [f"w{i}" for i in range(600)]
+    df = spark.createDataFrame([(1, " ".join(cycle * 100)), (2, " ".join((cycle * 117)[:70_000]))], "doc_id long, text string")
+    assert {r["id"]: r["size"] for r in s.fingerprints(df, width=5).collect()} == {1: 600, 2: 600}
+    assert {r["id"]: r["component"] for r in s.similar_documents(df).collect()} == {1: 1, 2: 1}

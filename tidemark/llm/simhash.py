@@ -43,24 +43,30 @@ BLOCK = 65_536
 BUCKET = ["path", "key", "band"]
 
 
-def simhash(text: bytes | None, width: int) -> tuple[int, int]:
-    """Fingerprint of one text as an unsigned integer, and its number of different shingles (of a block of shingles, as an upper bound, for very long texts)."""
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """XXH64 of each shingle of one text, repeated ones too; none for a text without words."""
     words = (text or b"").lower().split()  # bytes: lower() and split() know ASCII only
     n = len(words)
     if not n:
-        return 0, 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(width, n)
-    starts, ends = starts[: n - k + 1].tolist(), ends[k - 1 :].tolist()
-    digest, votes, different = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64), 0
+    starts, ends = starts[: n - k + 1], ends[k - 1 :]
+    digest, out = xxhash.xxh64_intdigest, np.empty(len(starts), "<u8")
     for at in range(0, len(starts), BLOCK):
-        part = [digest(joined[s:e], 42) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)]
-        different += len(set(part))
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out[at : at + BLOCK] = [digest(joined[s:e], 42) for s, e in zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True)]
+    return out
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Fingerprint of a text's shingle hashes as an unsigned integer."""
+    votes = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(starts), bitorder="little").view("<u8")[0]), different
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -68,9 +74,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            found = [simhash(x, width) for x in b.column(1).to_pylist()]
-            values, sizes = (np.array([f[i] for f in found], np.uint64).view(np.int64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values), pa.array(sizes)], ["id", "fp", "size"])
+            values, sizes = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64)
+            for i, x in enumerate(b.column(1)):
+                hashes = shingle_hashes(x.as_py(), width)
+                values[i], sizes[i] = simhash(hashes), len(np.unique(hashes))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values.view(np.int64)), pa.array(sizes)], ["id", "fp", "size"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return chosen.mapInArrow(run, "id long, fp long, size long")
