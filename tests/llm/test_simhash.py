@@ -91,3 +91,23 @@ def test_sizes_of_very_long_texts_are_exact(spark):
     df = spark.createDataFrame([(1, " ".join(cycle * 100)), (2, " ".join((cycle * 117)[:70_000]))], "doc_id long, text string")
     assert {r["id"]: r["size"] for r in s.fingerprints(df, width=5).collect()} == {1: 600, 2: 600}
     assert {r["id"]: r["component"] for r in s.similar_documents(df).collect()} == {1: 1, 2: 1}
+
+
+def test_no_similar_pair_is_missed(spark):
+    rnd = random.Random(7)
+    rows = []
+    for i in range(0, 800, 2):
+        base = [f"w{rnd.randrange(9999)}" for _ in range(rnd.choice([60, 120, 240]))]
+        near = list(base)
+        for k in range(len(base) // 60):  # 5 shingles of 56: similarity 51 / 61
+            near[60 * k + 30] = "changed"
+        rows += [(i, " ".join(base)), (i + 1, " ".join(near))]
+    found = s.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["id"]: r["component"] for r in found} == {i: i - i % 2 for i in range(800)}
+
+
+def test_classes_equal_those_of_all_pairs(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r["doc_id"]: set(s.shingle_hashes((r["text"] or "").encode(), 5).tolist()) for r in df.collect()}
+    alike = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert {r["id"]: r["component"] for r in s.similar_documents(df).collect()} == classes(sets, alike)

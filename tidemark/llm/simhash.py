@@ -14,8 +14,9 @@ star contraction on tables in the shared folder.
 
 Masks of half the bits cover a small radius with few tables; their number doubles with each further bit. For larger radii
 `block_masks` cuts the bits into blocks and keeps every choice of some of them, which any differences that leave
-so many blocks alone cannot escape. With `similarity` given, links are then confirmed by the Jaccard similarity of the
-texts' shingles, and only texts that have links are moved for that.
+so many blocks alone cannot escape. `similar_documents` confirms such links by the Jaccard similarity of the texts' shingles,
+and then, as fingerprints do not bound that similarity, looks at every pair still apart that shares a shingle of its prefixes
+(prefix filtering: texts that are alike enough must share one). Only texts that have links are moved for confirming.
 
 Edge cases: a null or empty text has no words and the fingerprint zero, linked like any other. Repeated
 rows are separate rows with equal results. Rows whose id is null keep a null id; they join the component
@@ -25,6 +26,7 @@ of their fingerprint. An empty table gives an empty result. Only the two named c
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -71,17 +73,51 @@ def simhash(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fp, size): one row per row of `docs`; fp is the fingerprint as a signed long, size the number of different shingles."""
+    return _sets(docs, id_col, text_col, width, 1.0, np.zeros(0, "<u8")).select("id", "fp", "size")
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """(id, fp, size, same, prefix): `same` tells the set of shingles, `prefix` has the hashes of which texts that are alike enough share one.
+
+    Of n shingles a text that is alike has ceil(similarity * n) at least, so in any order that is the same for all texts,
+    two such texts share one of the first n - ceil(similarity * n) + 1. `common` hashes come last in that order.
+    """
+    last = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            values, sizes = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64)
+            values, same, sizes, prefixes = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64), []
             for i, x in enumerate(b.column(1)):
                 hashes = shingle_hashes(x.as_py(), width)
-                values[i], sizes[i] = simhash(hashes), len(np.unique(hashes))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values.view(np.int64)), pa.array(sizes)], ["id", "fp", "size"])
+                different = np.unique(hashes)
+                values[i], same[i], sizes[i] = simhash(hashes), xxhash.xxh64_intdigest(different.tobytes()), len(different)
+                rare = ~np.isin(different, last.value)
+                needed = math.ceil(similarity * len(different) - 1e-9)
+                prefixes.append(np.concatenate((different[rare], different[~rare]))[: len(different) - needed + 1].view(np.int64))
+            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
+            made = [pa.array(values.view(np.int64)), pa.array(sizes), pa.array(same.view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], ["id", "fp", "size", "same", "prefix"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return chosen.mapInArrow(run, "id long, fp long, size long")
+    return chosen.mapInArrow(run, "id long, fp long, size long, same long, prefix array<long>")
+
+
+def _common(docs: DataFrame, text_col: str, width: int, one_in: int = 16, share: int = 5000) -> np.ndarray:
+    """Sorted hashes of shingles that more than 1 of `share` texts hold, by a sample; their number is bounded by `share` times a text's mean length.
+
+    They only order shingles: which pairs are found does not depend on them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(x.as_py(), width)).view(np.int64))], ["h"])
+
+    chosen = docs.select(F.col(text_col).cast("string").cast("binary").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
+    least = max(8, chosen.count() // share)
+    found = chosen.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least).select("h").toArrow()
+    return np.sort(found.column("h").to_numpy().view(np.uint64))
 
 
 def covering_masks(positions: list[int], radius: int) -> list[int]:
@@ -211,25 +247,80 @@ def _bands(distinct: DataFrame, similarity: float | None) -> DataFrame:
     return distinct.select("fp", "node", F.explode(F.array_distinct(F.array(of(F.col("size").cast("double")), of(F.col("size") / similarity)))).alias("band"))
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, bucket: int = 256,
-    levels: int = 3, masks_of: Callable[[list[int]], list[int]] | None = None, similarity: float | None = None,
-) -> DataFrame:
+def _pairs(h: np.ndarray, at: np.ndarray, node: np.ndarray, size: np.ndarray, component: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of rows with equal h, of different components, whose sizes and places in the order leave enough shingles to share."""
+    order = np.lexsort((size, h))
+    h, at, node, size, component = h[order], at[order], node[order], size[order], component[order]
+    start = np.flatnonzero(np.diff(h, prepend=h[0] - 1 if len(h) else 0))
+    ends = np.append(start[1:], len(h))
+    out = [np.zeros((0, 2), np.int64)]
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        most = 1 + np.minimum(size[i] - at[i], size[j] - at[j]) - 1
+        good = (component[i] != component[j]) & (most >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6)
+        a, b = node[i[good]], node[j[good]]
+        out.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
+
+    if len(h):
+        differs = np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start)
+        start, ends = start[differs], ends[differs]
+    wide = ends - start > 256
+    for a, b in zip(start[wide].tolist(), ends[wide].tolist(), strict=True):
+        by = a + np.argsort(component[a:b], kind="stable")  # sizes stay in order within a component
+        cuts = np.append(np.flatnonzero(np.diff(component[by], prepend=component[by[0]] - 1)), b - a)
+        for x, y in itertools.pairwise(cuts.tolist()):
+            rest = by[y:]
+            for i in by[x:y].tolist() if len(rest) else ():
+                j = rest[(size[rest] >= similarity * size[i] - 1e-6) & (size[i] >= similarity * size[rest] - 1e-6)]
+                keep(np.full(len(j), i), j)
+    start, ends = start[~wide], ends[~wide]
+    i = np.concatenate([np.zeros(0, np.int64), *[np.arange(a, b) for a, b in zip(start.tolist(), ends.tolist(), strict=True)]])
+    end, step = np.repeat(ends, ends - start), 1
+    while len(i):
+        there = i + step < end
+        i, end = i[there], end[there]
+        near = size[i] >= similarity * size[i + step] - 1e-6  # sizes grow: nothing further on is near either
+        i, end = i[near], end[near]
+        keep(i, i + step)
+        step += 1
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def prefix_links(nodes: DataFrame, similarity: float, rows_each: int = 400_000) -> DataFrame:
+    """Candidate links (a, b) between nodes (node, component, size, prefix): every pair of different components that is alike enough is among them."""
+    total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    rows = nodes.select("node", "component", F.col("size"), F.posexplode("prefix").alias("at", "h"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(total // rows_each + 1)))
+
+    def run(t: pa.Table) -> pa.Table:
+        found = _pairs(*[t.column(c).to_numpy() for c in ("h", "at", "node", "size", "component")], similarity)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return rows.groupBy("part").applyInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, bucket: int = 256, levels: int = 3) -> DataFrame:
     """(id, fp, component) for each row of `docs`: component is the smallest id that links can reach."""
     prints = stage_table(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = stage_table(prints.groupBy("fp").agg(F.min("id").alias("node"), F.max("size").alias("size")), "distinct")
-    links = fingerprint_links(_bands(distinct.where("node is not null"), similarity), radius, bucket, levels, masks_of)
-    if similarity is not None:
-        links = confirm(links, docs, id_col, text_col, width, similarity)
-    root = connected_components(links)
+    distinct = stage_table(prints.groupBy("fp").agg(F.min("id").alias("node")), "distinct")
+    root = connected_components(fingerprint_links(_bands(distinct.where("node is not null"), None), radius, bucket, levels))
     classes = distinct.join(root, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return prints.join(classes, "fp").select("id", "fp", "component")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, fp, component): classes of documents whose shingles of five words are alike by 0.8 or more.
+    """(id, fp, component): classes of documents whose shingles of five words are alike by 0.8 or more; no such pair is missed.
 
-    Candidates differ in at most 14 of 64 bits and agree on three of nine blocks: every pair up to 6 bits apart, and most of those further
-    apart, as several differing bits fall into one block.
+    First links of fingerprints that differ in at most 14 of 64 bits and agree on three of nine blocks are confirmed: they join most copies, and
+    large groups of them, by few links. Then all pairs that are still apart and share a shingle of their prefixes are confirmed.
     """
-    return near_duplicates(docs, id_col, text_col, width, 14, levels=2, masks_of=lambda positions: block_masks(positions, 9, 3), similarity=similarity)
+    prints = stage_table(_sets(docs, id_col, text_col, width, similarity, _common(docs, text_col, width)), "fingerprints")
+    one = F.min_by(F.struct("id", "fp", "size", "prefix"), "id").alias("x")
+    distinct = stage_table(prints.where("id is not null").groupBy("same").agg(one).select("same", F.col("x.id").alias("node"), "x.fp", "x.size", "x.prefix"), "distinct")
+    links = fingerprint_links(_bands(distinct, similarity), 14, levels=2, masks_of=lambda positions: block_masks(positions, 9, 3))
+    root = stage_table(connected_components(confirm(links, docs, id_col, text_col, width, similarity)), "near")
+    nodes = distinct.join(root.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "size", "prefix")
+    more = confirm(prefix_links(nodes, similarity), docs, id_col, text_col, width, similarity)
+    root = connected_components(root.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    classes = distinct.join(root, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
+    return prints.join(classes, "same", "left").select("id", "fp", "component")
