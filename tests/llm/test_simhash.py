@@ -111,3 +111,29 @@ def test_classes_equal_those_of_all_pairs(spark):
     sets = {r["doc_id"]: set(s.shingle_hashes((r["text"] or "").encode(), 5).tolist()) for r in df.collect()}
     alike = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert {r["id"]: r["component"] for r in s.similar_documents(df).collect()} == classes(sets, alike)
+
+
+def test_deeper_masks_keep_the_bits_before():
+    covering = lambda positions: s.covering_masks(positions, 2)
+    kept = [0]
+    for _ in range(3):
+        levels = s.deeper(kept, covering)
+        assert all(x & m == x for x, own in zip(kept, levels, strict=True) for m in own)
+        kept = [m for own in levels for m in own]
+    assert max(64 - m.bit_count() for m in kept) <= 8  # a last bucket holds 256 fingerprints at most
+
+
+def test_large_buckets_of_blocks_are_dealt(spark):
+    base, masks = random.Random(3).getrandbits(64), lambda positions: s.block_masks(positions, 9, 3)
+    changed = [p for i in (0, 1) for p in range(i, 64, 9)]
+    prints = [base ^ sum(1 << p for k, p in enumerate(changed) if n >> k & 1) for n in range(600)]
+    rows = [(s._signed(x), i, 0) for i, x in enumerate(prints)]
+    links = s.fingerprint_links(spark.createDataFrame(rows, "fp long, node long, band int"), 14, 64, 1, masks)
+    parts = s._links(*one_bucket(spark, rows), 14, 64)
+    assert {r["component"] for r in connected_components(links).collect()} == {0} and parts.count() <= 2 * 599
+
+
+def one_bucket(spark, rows):
+    """All rows in one bucket, and its count."""
+    keyed = spark.createDataFrame([(*r, 0, 0) for r in rows], "fp long, node long, band int, path int, key long")
+    return keyed, keyed.selectExpr("path", "key", "band", "count(*) over () as count", "min(struct(node, fp)) over () as first").limit(1)

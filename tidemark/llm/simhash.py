@@ -8,7 +8,7 @@ them, so every pair within the radius shares a key in at least one table: no lin
 
 Scale: joins whose sides grow with the corpus are sort-merge joins at any size. Fingerprints are made distinct first, so exact copies cost one row. A key shared by more than
 `bucket` fingerprints is not compared all against all: its members agree on the bits of the key, so
-the same construction over the remaining bits splits it again, and again, until few bits are left.
+the same construction over the remaining bits, added to the key, splits it again, and again, until few bits are left.
 Within a bucket only links that join something new are kept (a forest), and components are found by
 star contraction on tables in the shared folder.
 
@@ -173,16 +173,31 @@ def _forest(fps: np.ndarray, nodes: np.ndarray, radius: int) -> list[dict]:
     return links
 
 
-def _links(keyed: DataFrame, counts: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) among the members of buckets whose size `counts` has found to be bounded."""
+def _links(keyed: DataFrame, counts: DataFrame, radius: int, bucket: int | None = None) -> DataFrame:
+    """Links (a, b) among the members of the buckets in `counts`.
+
+    With `bucket`, larger buckets are dealt into parts of about so many members by a salt; each member within the radius of the bucket's
+    first is linked to that one, too.
+    """
 
     @F.pandas_udf("array<struct<a:long,b:long>>")
     def forest(fps: pd.Series, nodes: pd.Series) -> pd.Series:
         return pd.Series([_forest(np.asarray(f).view(np.uint64), np.asarray(n), radius) for f, n in zip(fps, nodes, strict=True)])
 
     member = F.collect_list(F.struct("fp", "node")).alias("m")
-    grouped = keyed.join(counts.select(*BUCKET).hint("merge"), BUCKET).groupBy(*BUCKET).agg(member)
-    return grouped.select(F.explode(forest(F.col("m.fp"), F.col("m.node"))).alias("x")).select("x.a", "x.b")
+    joined = keyed.join(counts.select(*BUCKET, "count", "first").hint("merge"), BUCKET)
+    parts = F.ceil(F.col("count") / bucket) if bucket else F.lit(1)
+    grouped = joined.groupBy(*BUCKET, F.pmod(F.xxhash64("node"), parts).alias("salt")).agg(member)
+    found = grouped.select(F.explode(forest(F.col("m.fp"), F.col("m.node"))).alias("x")).select("x.a", "x.b")
+    if bucket:
+        near = (F.col("count") > bucket) & (F.col("node") != F.col("first.node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= radius)
+        found = found.union(joined.where(near).select(F.col("first.node"), "node"))
+    return found
+
+
+def deeper(masks: list[int], masks_of: Callable[[list[int]], list[int]]) -> list[list[int]]:
+    """The masks of the next level for each mask of a level: they keep its bits and some of those it leaves out."""
+    return [[x | m for m in masks_of([p for p in range(BITS) if not x >> p & 1])] for x in masks]
 
 
 def fingerprint_links(
@@ -190,17 +205,20 @@ def fingerprint_links(
 ) -> DataFrame:
     """Links (a, b) between nodes of distinct fingerprints (fp, node, band), enough to connect all pairs within the radius and band that share a table.
 
-    `masks_of` gives the masks over some bit positions; by default covering masks, with which every such pair shares one.
+    By default masks are covering masks, with which every such pair shares a table, and three levels leave so few bits that a bucket holds 256
+    fingerprints at most. `masks_of` gives other masks over some bit positions; their last buckets are bounded by a salt, which may part pairs.
     """
+    salted = bucket if masks_of else None
     masks_of = masks_of or (lambda positions: covering_masks(positions, radius))
-    rows, found, left = fps.select("fp", "node", "band", F.lit(0).alias("path")), [], [(1 << BITS) - 1]
+    rows, found, kept = fps.select("fp", "node", "band", F.lit(0).alias("path")), [], [0]
     for level in range(levels):
-        masks = [masks_of([p for p in range(BITS) if x >> p & 1]) for x in left]
-        left = [x & ~m for x, own in zip(left, masks, strict=True) for m in own]
+        masks = deeper(kept, masks_of)
+        kept = list(itertools.chain.from_iterable(masks))
         keyed = _keys(rows, masks)
-        counts = stage_table(keyed.groupBy(*BUCKET).count().where("count > 1"), "buckets")
+        first = F.min(F.struct("node", "fp")).alias("first")
+        counts = stage_table(keyed.groupBy(*BUCKET).agg(F.count("*").alias("count"), first).where("count > 1"), "buckets")
         last = level + 1 == levels
-        found.append(_links(keyed, counts if last else counts.where(F.col("count") <= bucket), radius))
+        found.append(_links(keyed, counts if last else counts.where(F.col("count") <= bucket), radius, salted if last else None))
         large = counts.where(F.col("count") > bucket)
         if last or large.isEmpty():
             break
@@ -256,7 +274,7 @@ def _pairs(h: np.ndarray, at: np.ndarray, node: np.ndarray, size: np.ndarray, co
     out = [np.zeros((0, 2), np.int64)]
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
-        most = 1 + np.minimum(size[i] - at[i], size[j] - at[j]) - 1
+        most = np.minimum(size[i] - at[i], size[j] - at[j])  # with the shared one first
         good = (component[i] != component[j]) & (most >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6)
         a, b = node[i[good]], node[j[good]]
         out.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
@@ -317,7 +335,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     prints = stage_table(_sets(docs, id_col, text_col, width, similarity, _common(docs, text_col, width)), "fingerprints")
     one = F.min_by(F.struct("id", "fp", "size", "prefix"), "id").alias("x")
     distinct = stage_table(prints.where("id is not null").groupBy("same").agg(one).select("same", F.col("x.id").alias("node"), "x.fp", "x.size", "x.prefix"), "distinct")
-    links = fingerprint_links(_bands(distinct, similarity), 14, levels=2, masks_of=lambda positions: block_masks(positions, 9, 3))
+    links = fingerprint_links(_bands(distinct, similarity), 14, levels=1, masks_of=lambda positions: block_masks(positions, 9, 3))
     root = stage_table(connected_components(confirm(links, docs, id_col, text_col, width, similarity)), "near")
     nodes = distinct.join(root.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "size", "prefix")
     more = confirm(prefix_links(nodes, similarity), docs, id_col, text_col, width, similarity)
