@@ -55,3 +55,25 @@ def test_odd_rows(odd, empty):
 def test_one_row_follows_itself(spark):
     row = k.fingerprint_edits(spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")).first()
     assert row["edited"] == "abcdab"
+
+
+def test_absolute_error_of_likeness(spark, sf_dir, texts):
+    found = {r["doc_id"]: r["near_edited"] for r in op6_fingerprints(spark, sf_dir).collect()}
+    ids = sorted(texts, reverse=True)
+    errors = []
+    for a, b in zip(ids, [*ids[1:], ids[0]], strict=True):
+        x, y = shingles(texts[a]), shingles(edit(texts[a], texts[b]))
+        errors.append(abs(found[a] - (len(x & y) / len(x | y) if x | y else 1.0)))
+    print("mean absolute error", sum(errors) / len(errors), "off by more than 0.2", sum(e > 0.2 for e in errors) / len(errors))
+    assert sum(errors) / len(errors) < 0.05 and sum(e > 0.2 for e in errors) < 0.05 * len(errors)
+
+
+def test_union_and_containment_of_short_texts_in_a_long_one(spark):
+    words = [f"w{i}" for i in range(3000)]
+    long = " ".join(words)
+    rows = [(" ".join(words[i : i + 6]), long) for i in range(0, 2900, 6)]
+    x, y = k.sketch(F.col("x")), k.sketch(F.col("y"))
+    made = spark.createDataFrame(rows, "x string, y string").select(k.merged(x, y, k.SCALE).alias("m"), y.alias("y"), k.containment(x, y, k.SCALE).alias("c")).collect()
+    assert all(r["m"] == r["y"] for r in made)  # the long text has all runs of the short one
+    told = [r["c"] for r in made if r["c"] is not None]
+    assert set(told) == {1.0} and len(made) / 2 < len(told) < len(made)

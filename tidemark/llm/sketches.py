@@ -4,7 +4,8 @@ A text's words are lower-cased; each run of `width` words is hashed (a shorter t
 every hash below a fixed fraction of the range is kept. Unlike a sketch of fixed size it grows with the
 text, so the sketch of a union is the union of sketches, and the share of a small text that lies in a
 very large one can be told. `likeness` is the estimated Jaccard similarity, `containment` the share of the first
-sketch that is in the second. A text with words but no hash below the threshold keeps its least hash alone.
+sketch that is in the second. A text with words but no hash below the threshold keeps its least hash alone, which lies above the threshold
+and is known by that: given the scale, `merged` drops it beside others and `containment` is null, as nothing can be told.
 
 `with_next` puts beside each row the values of the next one in descending id order, without gathering rows in one task: ids
 are cut into stretches of equal width, and the first row of the next stretch is added to each stretch
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import WORD_GAP
 
 #: One hash in SCALE is kept.
-SCALE = 16
+SCALE = 2
 
 
 def words_of(text: Column) -> Column:
@@ -47,15 +48,19 @@ def sketch(text: Column, width: int = 5, scale: int = SCALE) -> Column:
     return F.transform(F.array(hashes), below)[0]
 
 
+def _limit(scale: int) -> Column:
+    return F.lit(-(2**63) + 2**64 // scale - 1).cast("long")
+
+
 def _kept(runs: Column, scale: int) -> Column:
-    limit = F.lit(-(2**63) + 2**64 // scale - 1).cast("long")
-    low = F.array_sort(F.array_distinct(F.filter(runs, lambda x: x <= limit)))
+    low = F.array_sort(F.array_distinct(F.filter(runs, lambda x: x <= _limit(scale))))
     return F.when((F.size(low) == 0) & (F.size(runs) > 0), F.array(F.array_min(runs))).otherwise(low)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first text's runs that the second has too."""
-    return F.when(F.size(a) == 0, (F.size(b) == 0).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, scale: int = 1) -> Column:
+    """Estimated share of the first text's runs that the second has too; null if the first has no hash below 1/scale of the range, but words."""
+    share = F.when(F.size(a) == 0, (F.size(b) == 0).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    return F.when((F.size(a) == 0) | (F.array_min(a) <= _limit(scale)), share)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -64,9 +69,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The sketch of both texts together."""
-    return F.array_sort(F.array_union(a, b))
+def merged(a: Column, b: Column, scale: int = 1) -> Column:
+    """The sketch of both texts together; `scale` is that of their sketches."""
+    return F.transform(F.array(F.array_union(a, b)), lambda both: _kept(both, scale))[0]
 
 
 def as_string(x: Column) -> Column:
