@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -5,10 +6,11 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm.bpe import MergeAutomaton, decode_ids, encode_texts, load_automaton
+from tidemark.llm.bpe import MergeAutomaton, compiled, decode_ids, encode_texts, read_merges
 from tidemark.llm.queries import op10_bpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+MERGES = read_merges(PATH)
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +20,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def automaton():
-    return load_automaton(PATH)
+    return compiled(MERGES)
 
 
 def successive(word, merges):
@@ -63,17 +65,22 @@ def test_odd_texts(library, automaton):
 
 
 def test_corpus(spark, sf_dir, texts, library):
-    found = op10_bpe(spark, sf_dir).collect()
-    assert {r["doc_id"]: r["n_tokens"] for r in found} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
+    found = {r["doc_id"]: r for r in op10_bpe(spark, sf_dir).collect()}
+    assert found.keys() == texts.keys()
+    for i, t in texts.items():
+        ids = library.encode(t, add_special_tokens=False).ids
+        text = library.decode(ids, skip_special_tokens=False)
+        assert found[i]["n_tokens"] == len(ids) and found[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert found[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_odd_rows(odd, empty):
-    found = {r["id"]: r for r in decode_ids(encode_texts(odd, PATH), PATH).collect()}
+    found = {r["id"]: r for r in decode_ids(encode_texts(odd, MERGES), MERGES).collect()}
     assert all(found[r["doc_id"]]["text"] == (r["text"] or "") for r in odd.collect())
-    assert found[2]["ids"] == b"" and encode_texts(odd, PATH).count() == odd.count()
-    assert decode_ids(encode_texts(empty, PATH), PATH).count() == 0
+    assert found[2]["ids"] == b"" and encode_texts(odd, MERGES).count() == odd.count()
+    assert decode_ids(encode_texts(empty, MERGES), MERGES).count() == 0
 
 
 def test_null_ids(spark):
     rows = spark.createDataFrame([(1, None)], "id long, ids binary")
-    assert decode_ids(rows, PATH).first()["text"] == ""
+    assert decode_ids(rows, MERGES).first()["text"] == ""

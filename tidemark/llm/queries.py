@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import decode_ids, encode_texts
+from tidemark.llm.bpe import decode_ids, encode_texts, read_merges
 from tidemark.llm.common import crc_of_id, table
 from tidemark.llm.media import read_media, store_texts
 from tidemark.llm.packing import pack_documents, word_count
@@ -102,8 +102,8 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    found = decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path)
+    merges = read_merges(public_tokenizers.path("byte_bpe_50k.json"))
+    found = decode_ids(encode_texts(table(spark, sf_dir, "documents"), merges), merges)
     return found.select(
         F.col("id").alias("doc_id"),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
