@@ -6,11 +6,12 @@ shared folder and reads them again as the next one's docs. All stages but the la
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage_table, table
-from tidemark.llm.packing import pack_documents, word_count
+from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import learn_quality, reject_poor
 from tidemark.llm.simhash import similar_documents
 from tidemark.llm.substrings import remove_recurring
@@ -45,8 +46,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies: bin, offset and the bin's capacity."""
-    return pack_documents(docs, word_count(F.col("text"))).withColumnRenamed("id", "doc_id")
+    """Where each piece of each document lies, in tokens: bin, offset and the bin's capacity."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return pack_documents(docs, path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id").drop("text_hash")
 
 
 STAGES = [

@@ -1,12 +1,14 @@
+from collections import Counter
+
 import public_tokenizers
 import pytest
+import tiktoken
 from hypothesis import given
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.packing import pack, pack_documents, word_count
-from tidemark.llm.tokencounts import attribute, count_tokens
+from tidemark.llm.packing import pack, pack_documents, packed_sequences
+from tidemark.llm.tokencounts import attribute, count_tokens, read_ranks
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -30,24 +32,71 @@ def test_best_fit_and_downsizing():
     assert pack([20], (10, 30, 100), 0)[2] == [30]
 
 
+def plain_pack(sizes, lengths, overhead):
+    """Best fit by trying every open bin."""
+    used, room, bins, opened, put = [], [], [], {c: 1.0 for c in lengths}, {c: 1.0 * c for c in lengths}
+    for size in sizes:
+        fitting = [(room[b] - used[b], b) for b in range(len(used)) if room[b] - used[b] >= size]
+        if fitting:
+            b = min(fitting)[1]
+        else:
+            able = [c for c in lengths if c >= size]
+            cost = {c: (c + overhead) / (c * min(1.0, max(put[c] / (opened[c] * c), size / c))) for c in able}
+            best = max(c for c in able if cost[c] == min(cost.values()))
+            b = len(used)
+            used.append(0)
+            room.append(best)
+            opened[best] += 1
+        bins.append(b)
+        used[b] += size
+        put[room[b]] += size
+    return bins, [min(c for c in lengths if c >= n) for n in used]
+
+
+@given(st.lists(st.integers(0, 100), max_size=120))
+def test_against_trying_every_bin(sizes):
+    sizes = sorted(sizes, reverse=True)
+    bins, _, final = pack(sizes, (10, 30, 100), 2)
+    assert (bins, final) == plain_pack(sizes, (10, 30, 100), 2)
+
+
+ENCODING = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(read_ranks(RANKS)), special_tokens={})
+END = 50256
+
+
 def test_documents(docs, texts):
-    found = pack_documents(docs, word_count(F.col("text"))).collect()
-    total = {}
+    placed = pack_documents(docs, RANKS, public_tokenizers.PATTERN)
+    found = placed.collect()
+    ids = {i: ENCODING.encode_ordinary(t) for i, t in texts.items()}
+    total = Counter()
     for r in found:
-        total[r["id"]] = total.get(r["id"], 0) + r["n_tokens"]
-    assert total == {i: len(t.split()) + 1 for i, t in texts.items()}
-    size, room = {}, {r["bin"]: r["capacity"] for r in found}
+        total[r["id"]] += r["n_tokens"]
+    assert total == {i: len(x) + 1 for i, x in ids.items()}
+    room = {r["bin"]: r["capacity"] for r in found}
+    built = {r["bin"]: r for r in packed_sequences(placed, docs, RANKS, public_tokenizers.PATTERN, END).collect()}
+    assert built.keys() == room.keys() and all(len(r["ids"]) == r["n_tokens"] <= r["capacity"] == room[b] for b, r in built.items())
     for r in found:
-        size[r["bin"]] = size.get(r["bin"], 0) + r["n_tokens"]
-    assert all(size[b] <= room[b] for b in room) and sum(size.values()) > 0.9 * sum(room.values())
+        assert built[r["bin"]]["ids"][r["offset"] : r["offset"] + r["n_tokens"]] == [*ids[r["id"]], END][r["start"] : r["start"] + r["n_tokens"]]
+    assert sum(total.values()) > 0.9 * sum(room.values())
 
 
 def test_packing_odd_rows(odd, empty):
-    found = pack_documents(odd, word_count(F.col("text"))).collect()
+    placed = pack_documents(odd, RANKS, public_tokenizers.PATTERN)
+    found = placed.collect()
     assert {r["id"] for r in found} == {r["doc_id"] for r in odd.collect()}
-    assert sum(r["n_tokens"] for r in found if r["id"] == 7) == 60_001 and max(r["n_tokens"] for r in found) == 4096
-    assert [r["n_tokens"] for r in found if r["id"] in (2, 3, 4)] == [0, 0, 0] and len([r for r in found if r["id"] == 6]) == 2
-    assert pack_documents(empty, word_count(F.col("text"))).count() == 0
+    long = next(r["text"] for r in odd.collect() if r["doc_id"] == 7)
+    assert sum(r["n_tokens"] for r in found if r["id"] == 7) == len(ENCODING.encode_ordinary(long)) + 1 and max(r["n_tokens"] for r in found) == 4096
+    assert [r["n_tokens"] for r in found if r["id"] in (2, 3)] == [0, 0] and len([r for r in found if r["id"] == 6]) == 2
+    built = packed_sequences(placed, odd, RANKS, public_tokenizers.PATTERN, END).collect()
+    assert sum(r["n_tokens"] for r in built) == sum(r["n_tokens"] for r in found)
+    assert pack_documents(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+    assert packed_sequences(pack_documents(empty, RANKS, public_tokenizers.PATTERN), empty, RANKS, public_tokenizers.PATTERN, END).count() == 0
+
+
+def test_rows_without_an_id_spread_over_shards(spark):
+    rows = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "'some words' as text")
+    found = pack_documents(rows, RANKS, public_tokenizers.PATTERN, shard=1000).selectExpr("split(bin, '-')[0] as shard").groupBy("shard").count().collect()
+    assert sum(r["count"] for r in found) == 20_000 and max(r["count"] for r in found) < 1500
 
 
 def test_counts_against_the_library(docs):

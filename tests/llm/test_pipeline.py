@@ -1,12 +1,14 @@
 import re
 from collections import Counter
 
+import public_tokenizers
 import pytest
+import tiktoken
 
 import corpus_pipeline
 from llm_helpers import classes
 from tidemark.llm.common import stage_table
-
+from tidemark.llm.tokencounts import read_ranks
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -56,7 +58,9 @@ def test_recurring_windows_are_gone(stages):
 def test_everything_is_packed(stages):
     found, texts = stages[5].collect(), rows(stages[4])
     assert {r["doc_id"] for r in found} == set(texts)
-    assert sum(r["n_tokens"] for r in found) == sum(len(t.split()) + 1 for t in texts.values() if t.split())
+    ranks = dict(read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    encoding = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert sum(r["n_tokens"] for r in found) == sum(len(encoding.encode_ordinary(t)) + 1 for t in texts.values() if t)
 
 
 def test_odd_rows(spark, odd, empty):

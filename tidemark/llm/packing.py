@@ -7,30 +7,50 @@ a sequence of it costs (per-sequence `overhead` in tokens plus its length) divid
 full bins of that length have become so far. When all pieces are placed every bin shrinks to the
 shortest permitted length that holds its contents.
 
-Scale: texts are not moved. Pieces (id, number, tokens) are dealt by a hash into shards of about `shard` pieces; each shard is
+Tokens come from a public vocabulary; each text that has some is closed by an end token. `pack_documents` says where every piece goes,
+`packed_sequences` builds the sequences themselves.
+
+Scale: texts are encoded once in a map and not moved; their lengths are staged. Pieces are dealt into shards of about `shard` pieces by a hash
+of the row's number in that table, so that rows with one id, or none, spread like others; each shard is
 packed by one task, so bins are never filled across shards, which costs at most a few open bins a shard.
 
 Edge cases: a text without tokens is a piece of length 0 that takes no room in a bin (alone, in one of the smallest length).
-Null texts count as empty. Repeated rows are pieces of their own. Only the named columns are read.
+Null texts count as empty. Null ids stay null. Repeated rows are pieces of their own, of equal ones in any order. An empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_GAP, stage_table
+from tidemark.llm.common import small, stage_table
+from tidemark.llm.tokencounts import encoder, read_ranks
 
 LENGTHS = (512, 1024, 2048, 4096)
 
 
-def word_count(text: Column) -> Column:
-    """Words of a text, and one for its end."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{WORD_GAP}|{WORD_GAP}$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, WORD_GAP)) + 1).cast("long")
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def token_lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_hash, n): the tokens of each text, its end included."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding, _ = encoder(shared.value, pattern)
+        for b in small(batches):
+            n = [len(encoding.encode_to_numpy(x, disallowed_special=())) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x + (x > 0) for x in n], pa.int64())], ["id", "text_hash", "n"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, text_hash long, n long")
 
 
 def pack(sizes: list[int], lengths: tuple[int, ...], overhead: int) -> tuple[list[int], list[int], list[int]]:
@@ -70,26 +90,54 @@ def pack(sizes: list[int], lengths: tuple[int, ...], overhead: int) -> tuple[lis
 
 
 def pack_documents(
-    docs: DataFrame, tokens: Column, id_col: str = "doc_id", lengths: tuple[int, ...] = LENGTHS, overhead: int = 8, shard: int = 4096
-) -> DataFrame:
-    """(id, piece, start, n_tokens, bin, offset, capacity) for each piece: where it starts in the document and in its bin."""
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, overhead: int = 8, shard: int = 4096
+) -> DataFrame:
+    """(id, text_hash, piece, start, n_tokens, bin, offset, capacity) for each piece: where it starts in the document and in its bin, in tokens."""
     lengths = tuple(sorted(lengths))
     largest = lengths[-1]
-    rows = stage_table(docs.select(F.col(id_col).cast("long").alias("id"), tokens.cast("long").alias("n")), "lengths")
+    rows = stage_table(token_lengths(docs, path, pattern, id_col, text_col), "lengths").withColumn("rn", F.monotonically_increasing_id())
     last = F.greatest(F.ceil(F.col("n") / largest).cast("int") - 1, F.lit(0))
-    pieces = rows.select("id", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(
-        "id", "piece", (F.col("piece").cast("long") * largest).alias("start"), F.least(F.lit(largest), F.col("n") - F.col("piece") * largest).alias("n_tokens")
+    pieces = rows.select("rn", "id", "text_hash", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(
+        "rn", "id", "text_hash", "piece", (F.col("piece").cast("long") * largest).alias("start"), F.least(F.lit(largest), F.col("n") - F.col("piece") * largest).alias("n_tokens")
     )
     estimate = rows.agg(F.sum(1 + F.floor(F.col("n") / largest))).first()[0] or 0
     shards = int(estimate // shard + 1)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n_tokens", "id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        group = group.sort_values(["n_tokens", "id", "piece", "rn"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         bins, offsets, final = pack(group["n_tokens"].tolist(), lengths, overhead)
         name = group["shard"].astype(str)
-        return group[["id", "piece", "start", "n_tokens"]].assign(
+        return group[["id", "text_hash", "piece", "start", "n_tokens"]].assign(
             bin=[f"{s}-{b}" for s, b in zip(name, bins, strict=True)], offset=offsets, capacity=[final[b] for b in bins]
         )
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", F.lit(11)), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(run, "id long, piece int, start long, n_tokens long, bin string, offset long, capacity int")
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("rn", "piece", F.lit(11)), F.lit(shards)).cast("int"))
+    return dealt.groupBy("shard").applyInPandas(run, "id long, text_hash long, piece int, start long, n_tokens long, bin string, offset long, capacity int")
+
+
+def packed_sequences(
+    placed: DataFrame, docs: DataFrame, path: str, pattern: str, end: int, id_col: str = "doc_id", text_col: str = "text", largest: int = LENGTHS[-1]
+) -> DataFrame:
+    """(bin, capacity, n_tokens, ids): the sequences of `pack_documents`, read once; each document closes with the id `end`. `largest` is the largest permitted length."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    kind = pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding, _ = encoder(shared.value, pattern)
+        for b in small(batches, 64):
+            rows, pieces, parts = [], [], []
+            for i, x in enumerate(b.column(2).to_pylist()):
+                ids = np.append(encoding.encode_to_numpy(x, disallowed_special=()).astype(np.int32), np.int32(end))
+                for k in range(0, len(ids) if x else 0, largest):
+                    rows.append(i)
+                    pieces.append(k // largest)
+                    parts.append(ids[k : k + largest])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(pieces, pa.int32()), pa.array(parts, kind)], ["_id", "_hash", "_piece", "part"])
+
+    parts = _texts(docs, id_col, text_col).dropDuplicates(["id", "text_hash"]).mapInArrow(run, "_id long, _hash long, _piece int, part array<int>")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & (F.col("piece") == F.col("_piece"))
+    found = placed.join(parts, same, "left").select("bin", "capacity", F.struct("offset", "piece", F.coalesce("part", F.array().cast("array<int>")).alias("part")).alias("x"))
+    built = found.groupBy("bin").agg(F.first("capacity").alias("capacity"), F.array_sort(F.collect_list("x")).alias("x"))  # a bin is bounded by its capacity and its shard
+    ids = F.flatten(F.transform("x", lambda x: x["part"]))
+    return built.select("bin", "capacity", F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"))

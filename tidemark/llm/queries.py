@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import decode_ids, encode_texts, read_merges
 from tidemark.llm.common import crc_of_id, table
 from tidemark.llm.media import read_media, store_texts
-from tidemark.llm.packing import pack_documents, word_count
+from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import learn_quality, score_quality
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.sketches import as_string, fingerprint_edits, likeness
@@ -86,8 +86,9 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pack_documents(table(spark, sf_dir, "documents"), word_count(F.col("text")))
-    return found.withColumnRenamed("id", "doc_id")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return found.withColumnRenamed("id", "doc_id").drop("text_hash")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

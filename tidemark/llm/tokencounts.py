@@ -39,7 +39,7 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(token), int(rank)) for token, rank in map(bytes.split, f)]
 
 
-def _encoding(ranks: list[tuple[bytes, int]], pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]:
+def encoder(ranks: list[tuple[bytes, int]], pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     """The encoder, and the length in bytes of each token; built once in a Python worker."""
     key = hash((pattern, len(ranks), ranks[-1]))
     if key not in _built:
@@ -78,7 +78,7 @@ def count_tokens(
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, length = _encoding(shared.value, pattern)
+        encoding, length = encoder(shared.value, pattern)
         names = np.array(fields)
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
