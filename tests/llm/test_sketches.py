@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import sketches as k
@@ -31,13 +33,13 @@ def test_edits_and_likeness(spark, sf_dir, texts):
 
 def test_whole_sketch_is_exact(spark):
     df = spark.createDataFrame([("a b c d e f g", "b c d e f g h")], "x string, y string")
-    row = df.select(k.likeness(k.sketch(F.col("x"), 5, 1), k.sketch(F.col("y"), 5, 1)), k.containment(k.sketch(F.col("x"), 5, 1), k.sketch(F.col("y"), 5, 1))).first()
+    row = df.select(k.likeness(k.sketch(F.col("x"), 5, 1), k.sketch(F.col("y"), 5, 1)), k.containment(k.sketch(F.col("x"), 5, 1), k.sketch(F.col("y"), 5, 1), 1)).first()
     assert tuple(row) == (0.5, 2 / 3)
 
 
 def test_merging(spark):
     df = spark.createDataFrame([("a b c d e f g", "p q r s t u")], "x string, y string")
-    both = df.select(k.merged(k.sketch(F.col("x"), 5, 1), k.sketch(F.col("y"), 5, 1)).alias("m"), k.sketch(F.col("x"), 5, 1).alias("x")).first()
+    both = df.select(k.merged(k.sketch(F.col("x"), 5, 1), k.sketch(F.col("y"), 5, 1), 1).alias("m"), k.sketch(F.col("x"), 5, 1).alias("x")).first()
     assert len(both["m"]) == 5 and set(both["x"]) <= set(both["m"])
 
 
@@ -73,7 +75,77 @@ def test_union_and_containment_of_short_texts_in_a_long_one(spark):
     long = " ".join(words)
     rows = [(" ".join(words[i : i + 6]), long) for i in range(0, 2900, 6)]
     x, y = k.sketch(F.col("x")), k.sketch(F.col("y"))
-    made = spark.createDataFrame(rows, "x string, y string").select(k.merged(x, y, k.SCALE).alias("m"), y.alias("y"), k.containment(x, y, k.SCALE).alias("c")).collect()
+    made = spark.createDataFrame(rows, "x string, y string").select(k.merged(x, y).alias("m"), y.alias("y"), k.containment(x, y).alias("c")).collect()
     assert all(r["m"] == r["y"] for r in made)  # the long text has all runs of the short one
     told = [r["c"] for r in made if r["c"] is not None]
     assert set(told) == {1.0} and len(made) / 2 < len(told) < len(made)
+
+
+MASK = 2**64 - 1
+
+
+def hash_long(x, seed):
+    """XXH64 of eight bytes, as Spark SQL applies it to a long with the hash so far as seed."""
+    return xxhash.xxh64_intdigest((x & MASK).to_bytes(8, "little"), seed & MASK)
+
+
+def plain_sketch(text):
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in text.lower().split()]
+    runs = [words[i : i + 5] for i in range(len(words) - 4)] if len(words) >= 5 else ([words] if words else [])
+    found = set()
+    for run in runs:
+        h = 42
+        for w in run:
+            h = hash_long(w, h)
+        found.add(h - 2**64 if h >= 2**63 else h)
+    low = {h for h in found if h < 0}  # below half of the range
+    return sorted(low) or ([min(found)] if found else [])
+
+
+def test_sketches_against_brute_force(spark, sf_dir, texts):
+    found = {r["doc_id"]: r["fingerprint"] for r in op6_fingerprints(spark, sf_dir).collect()}
+    plain = {i: t for i, t in texts.items() if t.isascii()}
+    assert len(plain) > 50
+    assert {i: found[i] for i in plain} == {i: ",".join(f"{h & MASK:x}" for h in plain_sketch(t)) for i, t in plain.items()}
+
+
+def test_merged_sketches_are_those_of_the_union(spark):
+    short = [f"a{i} b{i} c{i} d{i} e{i}" for i in range(40)]
+    long = [" ".join(f"x{i}{j}" for j in range(300)) for i in range(5)]
+    rows = [(a, b) for a in short[:20] + long for b in short[20:] + long]
+    found = spark.createDataFrame(rows, "x string, y string").select("x", "y", k.merged(k.sketch(F.col("x")), k.sketch(F.col("y"))).alias("m")).collect()
+    for r in found:
+        both = sorted(set(plain_sketch(r["x"])) | set(plain_sketch(r["y"])))
+        assert r["m"] == ([h for h in both if h < 0] or both[:1])
+
+
+@pytest.mark.parametrize("kind", ["dense", "outlier", "extremes", "null ids", "one id", "equal rows"])
+def test_successors_whatever_the_ids(spark, kind):
+    n = 1500
+    ids = {"dense": range(n), "outlier": [*range(n - 1), 2**62], "extremes": [-(2**63), 2**63 - 1, *range(n - 2)], "null ids": [*range(200), *[None] * (n - 200)]}.get(kind, [5] * n)
+    rows = [(i, "same" if kind == "equal rows" else f"text {k}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    found = k.with_next(df, {"text": F.col("text")}, rows_each=20).collect()
+    assert sorted((r["id"] is None, r["id"] or 0, r["text"]) for r in found) == sorted((i is None, i or 0, t) for i, t in rows)
+    if kind in ("dense", "outlier", "extremes"):
+        order = sorted(rows, reverse=True)
+        assert {(r["text"], r["next_text"]) for r in found} == {(a[1], b[1]) for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+    elif kind == "equal rows":
+        assert {r["next_text"] for r in found} == {"same"}
+    else:  # one ring through all rows
+        after = {r["text"]: r["next_text"] for r in found}
+        seen, at = set(), "text 0"
+        while at not in seen:
+            seen.add(at)
+            at = after[at]
+        assert len(seen) == n
+
+
+@pytest.mark.parametrize("kind", ["outlier", "null ids", "equal rows"])
+def test_stretches_are_of_like_size(spark, kind):
+    ids = {"outlier": [*range(4999), 2**62], "null ids": [None] * 5000}.get(kind, [5] * 5000)
+    df = spark.createDataFrame([(i, "same" if kind == "equal rows" else f"t{n}") for n, i in enumerate(ids)], "id long, text string").withColumns(
+        {"n": F.col("id").isNull().cast("long"), "d": F.bitwise_not(F.coalesce("id", F.lit(0))), "h": F.xxhash64("text"), "r": F.monotonically_increasing_id()}
+    )
+    sizes = [r["count"] for r in df.groupBy(k._stretches(df, ["n", "d", "h", "r"], 4096, 100).alias("s")).count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 400

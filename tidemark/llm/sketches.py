@@ -5,19 +5,23 @@ every hash below a fixed fraction of the range is kept. Unlike a sketch of fixed
 text, so the sketch of a union is the union of sketches, and the share of a small text that lies in a
 very large one can be told. `likeness` is the estimated Jaccard similarity, `containment` the share of the first
 sketch that is in the second. A text with words but no hash below the threshold keeps its least hash alone, which lies above the threshold
-and is known by that: given the scale, `merged` drops it beside others and `containment` is null, as nothing can be told.
+and is known by that. So a sketch is the kept hashes of a text, or else the least of all, and both merge exactly: `merged` drops a least hash
+beside kept ones and takes the lesser of two, which is the sketch of both texts together. `containment` is null for a least hash, as nothing can be told.
 
-`with_next` puts beside each row the values of the next one in descending id order, without gathering rows in one task: ids
-are cut into stretches of equal width, and the first row of the next stretch is added to each stretch
-before a window over the stretch looks ahead. At most `ranges` ids, one for each stretch, are broadcast.
+`with_next` puts beside each row the values of the next one in descending id order, without gathering rows in one task: the
+order is cut into stretches at places taken from a sample of the rows, which decide nothing but the stretches' sizes, and the first row of
+the next stretch is added to each before a window over the stretch looks ahead. Places compare whole (null, id, hash of the text, number of the
+row), so neither outlying ids nor an id, a missing id or a row that very many share crowd a stretch. At most `ranges` places are sent.
 
 Edge cases: null texts count as empty. A text without words has an empty sketch; two empty sketches are
-alike (1), an empty and another are not (0). Equal ids stand in the order of their texts, equal rows in
-any; null ids come last. An only row is its own successor. Only the two named columns are read.
+alike (1), an empty and another are not (0). Equal ids stand in the order of their texts' hashes, equal rows in
+any; null ids come last; ids may be any long. An only row is its own successor. Only the two named columns are read.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +61,7 @@ def _kept(runs: Column, scale: int) -> Column:
     return F.when((F.size(low) == 0) & (F.size(runs) > 0), F.array(F.array_min(runs))).otherwise(low)
 
 
-def containment(a: Column, b: Column, scale: int = 1) -> Column:
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Estimated share of the first text's runs that the second has too; null if the first has no hash below 1/scale of the range, but words."""
     share = F.when(F.size(a) == 0, (F.size(b) == 0).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
     return F.when((F.size(a) == 0) | (F.array_min(a) <= _limit(scale)), share)
@@ -69,7 +73,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
-def merged(a: Column, b: Column, scale: int = 1) -> Column:
+def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
     """The sketch of both texts together; `scale` is that of their sketches."""
     return F.transform(F.array(F.array_union(a, b)), lambda both: _kept(both, scale))[0]
 
@@ -79,25 +83,44 @@ def as_string(x: Column) -> Column:
     return F.array_join(F.transform(x, lambda h: F.lower(F.hex(h))), ",")
 
 
+def _stretches(rows: DataFrame, place: list[str], ranges: int, rows_each: int, oversample: int = 20) -> Column:
+    """The number of the stretch that a row lies in, by its `place` columns: places are looked up in blocks."""
+    n = rows.count()
+    wanted = min(ranges, n // rows_each + 1)
+    share = min(1.0, oversample * wanted / max(1, n))
+    seen = sorted(tuple(r) for r in rows.select(*place).sample(share, 17).collect())  # about oversample * ranges at most
+    cuts = sorted(set(seen[:: max(1, len(seen) // wanted)]))
+    block = 64
+    kind = "struct<" + ",".join(f"p{i}:bigint" for i in range(len(place))) + ">"
+    named = [{f"p{i}": x for i, x in enumerate(c)} for c in cuts]
+    blocks = F.from_json(F.lit(json.dumps([named[i : i + block] for i in range(0, len(named), block)])), f"array<array<{kind}>>")
+    firsts = F.from_json(F.lit(json.dumps(named[::block])), f"array<{kind}>")
+    own = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(place)])
+    before = F.size(F.filter(firsts, lambda x: x <= own))
+    within = F.size(F.filter(F.coalesce(F.get(blocks, before - 1), F.array().cast(f"array<{kind}>")), lambda x: x <= own))
+    return (F.greatest(before - 1, F.lit(0)) * block + within).cast("int")
+
+
 def with_next(
-    rows: DataFrame, values: dict[str, Column], id_col: str = "id", order_col: str = "text", ranges: int = 65_536, rows_each: int = 50
+    rows: DataFrame, values: dict[str, Column], id_col: str = "id", order_col: str = "text", ranges: int = 4096, rows_each: int = 100
 ) -> DataFrame:
     """`rows` with the columns `values` and, as next_<name>, those of the next row in descending id order; after the last comes the first."""
-    low, high, n = rows.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    low, high = low or 0, high or 0
-    wide = -(-(high - low + 1) // min(ranges, n // rows_each + 1))
-    stretch = F.when(F.col(id_col).isNull(), F.lit(ranges)).otherwise(F.floor((F.lit(high) - F.col(id_col)) / F.lit(wide))).cast("int")
-    rows = rows.withColumn("_stretch", stretch)
-    heads = rows.groupBy("_stretch").agg(F.max(id_col).alias("_head"))
-    every = Window.partitionBy(F.lit(0)).orderBy("_stretch")  # at most `ranges` + 1 rows
+    kept, place = rows.columns, ["_none", "_down", "_hash", "_row"]
+    rows = rows.withColumns({
+        "_none": F.col(id_col).isNull().cast("long"), "_down": F.bitwise_not(F.coalesce(F.col(id_col), F.lit(0))).cast("long"),
+        "_hash": F.xxhash64(order_col), "_row": F.monotonically_increasing_id(),
+    })
+    rows = rows.withColumn("_stretch", _stretches(rows, place, ranges, rows_each))
+    heads = rows.groupBy("_stretch").agg(F.min(F.struct(*place[:3])).alias("_head"))
+    every = Window.partitionBy(F.lit(0)).orderBy("_stretch")  # a row for each stretch
     before = F.coalesce(F.lag("_stretch").over(every), F.max("_stretch").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = heads.select("_head", before.alias("_before"))
-    first = rows.join(F.broadcast(heads), F.col(id_col).eqNullSafe(F.col("_head")))
-    kept = [c for c in rows.columns if c != "_stretch"]
-    least = F.min_by(F.struct(*kept), F.col(order_col)).alias("row")
-    guests = first.groupBy("_before").agg(least).select(*[F.col("row")[c].alias(c) for c in kept], F.col("_before").alias("_stretch"), F.lit(1).alias("_guest"))
-    own = Window.partitionBy("_stretch").orderBy("_guest", F.col(id_col).desc_nulls_last(), order_col)
-    both = rows.withColumn("_guest", F.lit(0)).unionByName(guests).withColumns(values)
+    heads = heads.select(F.col("_stretch").alias("_own"), F.col("_head"), before.alias("_before"))
+    is_head = (F.col("_stretch") == F.col("_own")) & (F.struct(*place[:3]) == F.col("_head"))
+    first = rows.join(F.broadcast(heads), is_head)  # at most `ranges` + 1 rows are sent
+    guests = first.groupBy("_before").agg(F.first(F.struct(*kept, *place)).alias("row"))
+    guests = guests.select(*[F.col("row")[c].alias(c) for c in [*kept, *place]], F.col("_before").alias("_stretch"), F.lit(1).alias("_guest"))
+    own = Window.partitionBy("_stretch").orderBy("_guest", *place)
+    both = rows.withColumn("_guest", F.lit(0)).unionByName(guests).repartition("_stretch").withColumns(values)  # values are not shuffled
     ahead = both.select(*dict.fromkeys([*kept, *values]), "_guest", *[F.lead(v).over(own).alias(f"next_{v}") for v in values])
     return ahead.where("_guest = 0").drop("_guest")
 
