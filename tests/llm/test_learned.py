@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import quality, toxicity
+from tidemark.llm.common import crc_of_id
 from tidemark.llm.queries import op2_quality, op4_suffix_tree, op5_toxicity
 from tidemark.llm.suffixtree import score_texts
 
@@ -61,17 +62,57 @@ def test_quality_of_odd_rows(spark, odd, empty, no_labels):
     assert quality.score_quality(empty, model).count() == 0
 
 
-def test_co_training_teaches_the_other_view():
+def test_rounds_help_where_labels_are_few(spark):
+    """The given texts, with metadata that say something about their quality; the rounds carry it to the other view."""
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    y = rng.integers(0, 2, 3000).astype(float)
-    x = {"one": (y + rng.normal(0, 0.3, 3000))[:, None], "two": (y + rng.normal(0, 0.6, 3000))[:, None]}
-    few = {k: v[:12] for k, v in x.items()}
-    pool = {k: v[12:] for k, v in x.items()}
-    alone, taught = (quality.co_train(few, y[:12], pool, n, 200, 0.9) for n in (0, 4))
-    right = lambda b: float(((pool["two"] @ b[:-1] + b[-1] > 0) == (y[12:] > 0)).mean())
-    assert right(taught["two"]) >= right(alone["two"])
+    labels = spark.read.parquet(f"{BIGGER}/labels.parquet").select("doc_id", "quality")
+    noise = F.pmod(F.xxhash64("doc_id"), F.lit(1000)) / 1000
+    docs = spark.read.parquet(f"{BIGGER}/documents.parquet").join(labels, "doc_id").withColumn("links", (F.col("quality") * 30 + 20 * noise).cast("long")).cache()
+    few = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(60)) == 0)
+    right = []
+    for rounds in (0, 3):
+        model = quality.learn_quality(docs, few, metadata=("links",), rounds=rounds, per_round=200)
+        found = quality.score_quality(docs, model, metadata=("links",)).join(labels.withColumnRenamed("doc_id", "id"), "id").collect()
+        right.append(np.mean([(r["content_score"] >= 0.5) == r["quality"] for r in found]))
+    docs.unpersist()
+    print("content view alone, and taught", right)
+    assert right[1] > right[0]
+
+
+@pytest.mark.parametrize("label", ["quality", "toxic"])
+def test_conflicting_and_repeated_labels(spark, docs, label):
+    rows = [(1, "a"), (1, "b"), (1, "a"), (2, "c"), (3, "d"), (None, "e"), (4, "f")]
+    own = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (None, 1), (4, 5)], f"doc_id long, {label} int")
+    found = toxicity.training_rows(own, marks, label, F.lit(True), "doc_id", "text", 8000).collect()
+    assert sorted((r["doc_id"], r["y"]) for r in found) == [(1, 1), (3, 0)]
+
+
+def test_a_repeated_id_does_not_fill_the_sample(spark):
+    own = spark.range(20_000).selectExpr("if(id < 15000, 1, id) as doc_id", "concat('text ', id) as text")
+    marks = own.selectExpr("doc_id", "1 as quality").distinct()
+    assert toxicity.training_rows(own, marks, "quality", F.lit(True), "doc_id", "text", 1000).count() < 1300
+
+
+def test_surest_rows_are_those_of_all(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(a)], [float(b)]) for i, (a, b) in enumerate(rng.normal(0, 4, (500, 2)))]
+    pool = spark.createDataFrame(rows, "key long, content array<float>, metadata array<float>").repartition(7)
+    fitted = {v: np.array([1.0, 0.0]) for v in quality.VIEWS}
+    found = quality.surest(pool, fitted, 20, 0.9, {"content": [], "metadata": [3, 4]})
+    for n, v in enumerate(quality.VIEWS):
+        free = [r for r in rows if v == "metadata" or r[0] not in (3, 4)]
+        high = sorted(free, key=lambda r: -np.float32(r[n + 1][0]))
+        assert {k for k, y in zip(found[v]["key"].to_pylist(), found[v]["label"].to_pylist(), strict=True) if y} == {r[0] for r in high[:20]}
+        assert {k for k, y in zip(found[v]["key"].to_pylist(), found[v]["label"].to_pylist(), strict=True) if not y} == {r[0] for r in high[-20:]}
+
+
+def test_null_ids_have_a_fold(spark):
+    own = spark.createDataFrame([(None,), (3,)], "doc_id long")
+    assert [r[0] for r in own.select(crc_of_id("doc_id")).collect()] == [0, zlib.crc32(b"3")]
 
 
 def brute_base(rows, trains):

@@ -60,5 +60,5 @@ def fresh_name(taken: list[str], wanted: str) -> str:
 
 
 def crc_of_id(id_col: str = "doc_id"):
-    """crc32 of the id written as text, as the held-out folds use it."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary"))
+    """crc32 of the id written as text, as the held-out folds use it; a missing id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))

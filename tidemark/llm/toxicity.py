@@ -9,9 +9,11 @@ hits are normalised by its length, and a small logistic curve turns them into a
 
 Learning uses a bounded sample: rows of `labels` in the training fold, thinned by a hash of the id to about
 `sample` rows. Everything learned (lexicon, exceptions, curve) is bounded by it and small enough to broadcast.
-Scoring is a map over all rows: nothing is shuffled.
+Scoring is a map over all rows: nothing is shuffled. What limits the lexicon are parameters of `learn`: `entries` of it at most, beginnings of
+`shortest` to `longest` letters, in `rarest` of the toxic sample at least (and three of its texts), with evidence of `sure` or more.
 
-Edge cases: null and empty texts get a score like any text without hits. Repeated rows are scored alike.
+Edge cases: labels other than 0 and 1 and labels or rows without an id do not teach. Equal labels of one id count once; an id with
+both labels does not teach. Of several rows with one id the one whose text has the least hash teaches. Null and empty texts get a score like any text without hits. Repeated rows are scored alike.
 Without a toxic or a clean label the score is 0. Only the named columns are read.
 """
 
@@ -42,7 +44,7 @@ LOOK_ALIKES = {
 }
 
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
-#: Lengths of the word beginnings that can enter the lexicon.
+#: Lengths of the word beginnings that can enter the lexicon, where nothing else is asked for.
 SHORTEST, LONGEST = 4, 10
 
 
@@ -68,8 +70,8 @@ def fold(text: str) -> str:
     return " " + " ".join(text.translate(_FOLDING).split()) + " "
 
 
-def _beginnings(folded: str) -> set[str]:
-    return {w[:k] for w in set(folded.split()) for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
+def _beginnings(folded: str, shortest: int = SHORTEST, longest: int = LONGEST) -> set[str]:
+    return {w[:k] for w in set(folded.split()) for k in range(shortest, min(len(w), longest) + 1)}
 
 
 @dataclass
@@ -123,7 +125,7 @@ def _log_odds(a: int, b: int, toxic: int, clean: int) -> tuple[float, float]:
     return odds, math.copysign(math.sqrt(max(0.0, 2 * ratio)), odds)
 
 
-def _choose(counts: dict[str, tuple[int, int]], toxic: int, clean: int, sure: float, entries: int) -> dict[str, float]:
+def _choose(counts: dict[str, tuple[int, int]], toxic: int, clean: int, sure: float, entries: int, shortest: int) -> dict[str, float]:
     """The strongest entries none of which is a beginning of another; of equals the longer is kept."""
     ranked = []
     for term, (a, b) in counts.items():
@@ -133,9 +135,9 @@ def _choose(counts: dict[str, tuple[int, int]], toxic: int, clean: int, sure: fl
     chosen: dict[str, float] = {}
     begun: set[str] = set()
     for _, _, term, odds in sorted(ranked):
-        if term not in begun and not any(term[:k] in chosen for k in range(SHORTEST, len(term))):
+        if term not in begun and not any(term[:k] in chosen for k in range(shortest, len(term))):
             chosen[term] = odds
-            begun.update(term[:k] for k in range(SHORTEST, len(term)))
+            begun.update(term[:k] for k in range(shortest, len(term)))
             if len(chosen) == entries:
                 break
     return chosen
@@ -156,41 +158,50 @@ def _count(rows: DataFrame, terms, name: str = "term") -> DataFrame:
     return out.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold_of: Column, id_col: str, sample: int) -> DataFrame:
+def one_each(rows: DataFrame, by: Column, order: Column) -> DataFrame:
+    """Of the rows that `by` tells alike the one with the least `order`; rows for which it is null go."""
+    kept = rows.columns
+    first = rows.withColumns({"_by": by, "_order": order}).where("_by is not null").groupBy("_by").agg(F.min_by(F.struct(*kept), "_order").alias("_row"))
+    return first.select("_row.*")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold_of: Column, id_col: str, text_col: str, sample: int) -> DataFrame:
     """The labelled rows of `docs` that `fold_of` lets learn, about `sample` of them at most, with the label in column y.
 
-    Rows are chosen by a hash of the id; the chosen labels are bounded by the sample and broadcast.
+    Rows are chosen by a hash of the id, one for each id; the chosen labels are bounded by the sample and broadcast.
     """
-    usable = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & fold_of)
+    usable = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & fold_of).groupBy(F.col(id_col).alias("_labelled"))
+    usable = usable.agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("_most")).where("y = _most").drop("_most")
     share = min(1.0, sample / max(1, usable.count()))
-    chosen = usable.where(F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    chosen = chosen.select(F.col(id_col).alias("_labelled"), F.col(label).cast("int").alias("y")).dropDuplicates(["_labelled"])
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_labelled")).drop("_labelled")
+    chosen = usable.where(F.pmod(F.xxhash64("_labelled", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    found = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_labelled")).drop("_labelled")
+    return one_each(found, F.col(id_col), F.xxhash64(text_col))
 
 
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
-    sample: int = 8000, sure: float = 4.5, entries: int = 1000,
+    sample: int = 8000, sure: float = 4.5, entries: int = 1000, shortest: int = SHORTEST, longest: int = LONGEST, rarest: float = 0.005,
 ) -> Lexicon:
     """Learn the lexicon from labelled rows whose crc32 of the id is no multiple of 5."""
     trains = F.pmod(crc_of_id(id_col), F.lit(5)) != 0
-    rows = training_rows(docs.select(id_col, text_col), labels, label, trains, id_col, sample)
+    rows = training_rows(docs.select(id_col, text_col), labels, label, trains, id_col, text_col, sample)
     rows = rows.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), "y").persist()
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         rows.unpersist()
         return Lexicon()
-    likely = {r["term"] for r in _count(rows.where("y = 1"), _beginnings).where(F.col("toxic") >= max(3, toxic // 200)).collect()}
-    seen = _count(rows, lambda folded: _beginnings(folded) & likely)
-    found = Lexicon(_choose({r["term"]: (r["toxic"], r["clean"]) for r in seen.collect()}, toxic, clean, sure, entries))
+    beginnings = lambda folded: _beginnings(folded, shortest, longest)
+    likely = {r["term"] for r in _count(rows.where("y = 1"), beginnings).where(F.col("toxic") >= max(3.0, rarest * toxic)).collect()}
+    seen = _count(rows, lambda folded: beginnings(folded) & likely)
+    found = Lexicon(_choose({r["term"]: (r["toxic"], r["clean"]) for r in seen.collect()}, toxic, clean, sure, entries, shortest))
     if found.weights:
         stems = found.weights
 
         def contexts(folded: str) -> set[str]:
             words, out = folded.split(), set()
             for i, w in enumerate(words):
-                if any(w[:k] in stems for k in range(SHORTEST, min(len(w), LONGEST) + 1)):
+                if any(w[:k] in stems for k in range(shortest, min(len(w), longest) + 1)):
                     out.add(w)
                     out.add(" ".join(words[i : i + 2]))
                     out.add(" ".join(words[max(i - 1, 0) : i + 1]))
