@@ -2,10 +2,13 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
-from tidemark.llm.substrings import WordBatch, _slide, remove_recurring
+from tidemark.llm import substrings
+from tidemark.llm.queries import ORACLES, op9_substrings
+from tidemark.llm.substrings import PassageAutomaton, WordBatch, _slide, remove_recurring
 
 
 def brute(rows, width):
@@ -62,3 +65,28 @@ def test_slide():
     x = np.array([5, 1, 4, 1, 5, 9, 2, 6])
     for n in range(1, 9):
         assert _slide(x, n, np.minimum).tolist() == [x[i : i + n].min() for i in range(len(x) - n + 1)]
+
+
+def test_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    found = op9_substrings(spark, sf_dir)
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(ORACLES["op9_substrings"]).fetchall())
+
+
+def test_shards_that_are_split_and_repeated(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "PATTERNS", 7)
+    monkeypatch.setattr(substrings, "STRETCHES", 20)
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in rng.integers(0, 500, 200)]
+    rows = [(i, " ".join([*base[i % 50 : 120 + i % 7], f"own{i}", *base[150 - i % 9 :]])) for i in range(60)]
+    rows += [(100 + i, " ".join(rng.choice(base, 80))) for i in range(10)] + [(200, rows[0][1]), (201, rows[0][1])]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == wanted(rows, 35)
+
+
+def test_only_hits_of_the_automaton_are_removed(spark, monkeypatch):
+    rows = [(1, " ".join(f"a{k}" for k in range(50)) + " x"), (2, "y " + " ".join(f"a{k}" for k in range(50)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["n_removed"] for r in remove_recurring(df).collect()] == [50, 50]
+    found = PassageAutomaton([np.arange(35, dtype="<u4").tobytes()], 35).covered([np.arange(3, 50, dtype="<u4").tobytes(), np.arange(0, 50, dtype="<u4").tobytes()])
+    assert [x.tolist() for x in found] == [[1], [0], [35]]

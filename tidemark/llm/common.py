@@ -7,9 +7,11 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows with one key from which on they are too many for one task.
+HEAVY = 100_000
 #: Words are runs of anything but ASCII white space; Java and Spark SQL read this pattern alike.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -62,3 +64,14 @@ def fresh_name(taken: list[str], wanted: str) -> str:
 def crc_of_id(id_col: str = "doc_id"):
     """crc32 of the id written as text, as the held-out folds use it; a missing id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+
+
+def join_heavy(left: DataFrame, right: DataFrame, key: str, heavy: Column) -> DataFrame:
+    """Inner join on `key`, unique in `right`, of which some keys occur very often in `left`.
+
+    `heavy` marks those in `right`; the caller vouches that they are few (what occurs at least HEAVY times in a table of n rows is at
+    most n / HEAVY keys). They are broadcast, so their rows in `left` stay where they are; the rest is merged by key.
+    """
+    few = right.where(heavy)
+    rest = left.join(F.broadcast(few.select(key)), key, "left_anti").join(right.where(~heavy).hint("merge"), key)
+    return left.join(F.broadcast(few), key).select(*rest.columns).union(rest)

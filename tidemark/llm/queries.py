@@ -125,4 +125,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substrings": op9_substrings,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+#: SQL for what SQL can say over whole tables; the other operators are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op9_substrings": r"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), starts AS (
+            SELECT rn, words, unnest(range(1, len(words) - 33)) AS start FROM texts
+        ), counted AS (
+            SELECT rn, start, count(*) OVER (PARTITION BY array_to_string(words[start : start + 34], ' ')) AS n FROM starts
+        ), spread AS (
+            SELECT rn, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM texts
+        ), marked AS (
+            SELECT spread.rn, word, place,
+                max(start) OVER (PARTITION BY spread.rn ORDER BY place ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS hit
+            FROM spread LEFT JOIN counted ON counted.rn = spread.rn AND start = place AND n > 1
+        ), found AS (
+            SELECT rn, count(hit) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (WHERE hit IS NULL) AS kept FROM marked GROUP BY rn
+        )
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM texts LEFT JOIN found USING (rn)
+    """,
+}

@@ -7,16 +7,18 @@ All windows are judged on the input.
 1. `sketch`: of the hashes of all `phrase`-word phrases in a window the least one is its anchor. Equal
    windows have equal anchors, so a window can only recur if its anchor occurs twice. Only anchors, about
    one in thirteen words, are counted over the corpus.
-2. `candidates`: documents that hold recurring anchors, each with its runs of windows that have one.
-   Documents whose whole word sequence recurs need no search: one of them stands for all, counted twice.
-3. `lone_windows`: the windows of those runs are counted by a 96-bit hash. A window that is counted
-   once is no recurring one; its place comes out of the same grouping. The rest is confirmed.
-4. `locate`: the confirmed runs are cut into passages of `width` words. Each shard of documents compiles
-   the passages confirmed in it into an Aho-Corasick automaton whose symbols are words, and streams its
-   documents through it. What the occurrences cover is removed.
-
-Nothing is grouped by passage or anchor beyond counts, which are summed before the shuffle, so a passage that a
-third of all documents share costs no task more than its share. Shards are cut by size.
+2. `candidates`: texts with windows whose anchor recurs. Of documents whose whole word sequence recurs one stands for all, counted twice.
+3. `lone_windows`: those windows are counted by a 96-bit hash. A window that is counted once is no recurring one; its place
+   comes out of the same grouping. The rest confirms the recurring passages.
+4. `passages`: confirmed passages are cut into patterns of `width` words, at places that depend on the words around only, so that
+   copies give the same patterns. Each distinct pattern is kept once, in the shard of its anchor.
+5. `locate`: each shard's patterns are compiled into an Aho-Corasick automaton whose symbols are words, and the texts are streamed
+   through it: every stretch of windows that has recurring anchors of a shard, whether its windows were confirmed or not, goes to that shard, since no
+   pattern elsewhere could match there. What the hits cover, and only that, is removed.
+
+A shard with more patterns than `PATTERNS` is split, and its texts go to each part; a shard through which very many texts go is
+repeated, and each text goes to one copy. So neither a passage that a third of all documents share nor one with very many variants
+crowds a task, and no automaton grows beyond its bound. A shard's rows are sorted, patterns first, and streamed.
 
 Edge cases: null and empty texts have no words. Repeated rows are documents of their own, so all their
 windows recur. Rows whose id is null are handled like others. Only the two named columns are read.
@@ -34,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, stage_table
+from tidemark.llm.common import HEAVY, join_heavy, small, stage_table
 
-#: Bytes of text that are hashed at once, and that a shard's automaton is compiled for.
+#: Bytes of text that are hashed at once.
 PIECE = 1 << 20
-#: Parts that the rows of a large group of copies are dealt into.
-SALTS = 32
+#: Patterns in one automaton, and stretches of text that go through one copy of it, at most about.
+PATTERNS, STRETCHES = 20_000, 200_000
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.array([x + 32 if 65 <= x <= 90 else x for x in range(256)], np.uint8)
@@ -162,19 +164,19 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, phrase: int)
     return stage_table(rows.mapInArrow(run, schema).withColumn("rn", F.monotonically_increasing_id()), "sketch")
 
 
-def candidates(docs: DataFrame, anchors: DataFrame, known: DataFrame, id_col: str, text_col: str, width: int, phrase: int) -> DataFrame:
+def candidates(docs: DataFrame, anchors: DataFrame, known: DataFrame, hot: DataFrame, id_col: str, text_col: str, width: int, phrase: int) -> DataFrame:
     """(rn, weight, text, runs), staged: texts with windows whose anchor recurs; runs lists starts and lengths of runs of such windows.
 
-    Of texts that are alike only one is here, with weight 2; it is listed as often as its very row is repeated.
+    Of texts that are alike only one is here, with weight 2. `hot` has the recurring anchors and their counts.
     """
-    hot = anchors.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor")
     spread = anchors.select("rn", F.explode(F.array_distinct("anchors")).alias("anchor"))
-    by_row = spread.join(hot.hint("merge"), "anchor").groupBy("rn").agg(F.collect_list("anchor").alias("hot"))
+    by_row = join_heavy(spread, hot, "anchor", F.col("count") > HEAVY).groupBy("rn").agg(F.collect_list("anchor").alias("hot"))
     weight = F.when(F.col("copies").isNull(), 1).otherwise(2).alias("weight")
     found = known.where("copies is null or rn = copies").select("rn", F.col("id").alias("_id"), "text_hash", weight).join(by_row, "rn")
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
     rows = rows.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("text_hash"))).select("rn", "weight", "text", "hot")
+    rows = rows.where("weight = 1").union(rows.where("weight = 2").dropDuplicates(["rn"]))  # its very row may be repeated
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,53 +224,173 @@ def lone_windows(found: DataFrame, width: int) -> DataFrame:
     return counted.where("n = 1").groupBy("rn").agg(F.collect_list("start").alias("lone"))
 
 
-def _cover(symbols: np.ndarray, first: np.ndarray, tiles: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
-    """Which words of a shard are covered by occurrences of the passages that start at `tiles`."""
-    text = np.where(symbols >= 0xD800, symbols + 0x800, symbols)  # word numbers as characters
-    machine, known = ahocorasick.Automaton(), np.unique(hashes[tiles])
-    coded = text.astype("<u4").tobytes().decode("utf-32-le")
-    for t in tiles.tolist():
-        machine.add_word(coded[t : t + width], t)
-    machine.make_automaton()
-    change = np.zeros(len(symbols) + 1, np.int64)
-    for s, e in itertools.pairwise(first.tolist()):
-        hits = np.fromiter((end for end, _ in machine.iter(coded[s:e])), np.int64) + s - width + 1
-        if len(hits):
-            hits = hits[np.isin(hashes[hits], known)]
-            change[hits] += 1
-            change[hits + width] -= 1
-    return np.cumsum(change)[:-1] > 0
-
-
-#: Characters that stand for word numbers; where a shard has more words, the hashes tell occurrences from others.
-_CHARACTERS = 0x110000 - 0x800
+def _picked(points: list[int], first: int, last: int, width: int) -> list[int]:
+    """Some of the ascending points between first and last, with both of these, at most `width` apart where points allow."""
+    out, before = [first], first
+    for p in points:
+        if p - out[-1] > width and before > out[-1]:
+            out.append(before)
+        before = p
+    if last - out[-1] > width and before > out[-1]:
+        out.append(before)
+    return out if out[-1] == last else [*out, last]
 
 
-def locate(found: DataFrame, lone: DataFrame, width: int) -> DataFrame:
-    """(rn, n_removed, kept): for each candidate text the number of words that recurring windows cover, and the rest."""
-    rows = found.select("rn", "text", "runs").join(lone, "rn", "left").select("rn", "text", "runs", F.coalesce("lone", F.array().cast("array<int>")).alias("lone"))
+def passages(found: DataFrame, lone: DataFrame, width: int, phrase: int) -> DataFrame:
+    """(anchor, one, words), staged: each distinct pattern of `width` words (32-bit hashes) that confirmed windows are covered by, its 64-bit hash and its anchor."""
+    rows = found.select("rn", "text", "runs").join(lone, "rn", "left").select("text", "runs", F.coalesce("lone", F.array().cast("array<int>")).alias("lone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, texts in _pieces(batch, 1):
+            for b, texts in _pieces(batch, 0):
                 w = WordBatch(texts)
-                start, _ = _starts(w, b.column(2))
-                lone_of = np.repeat(np.arange(len(texts)), np.diff(b.column(3).offsets.to_numpy()))
+                start, _ = _starts(w, b.column(1))
+                lone_of = np.repeat(np.arange(len(texts)), np.diff(b.column(2).offsets.to_numpy()))
                 confirmed = np.zeros(w.n + 1, bool)
                 confirmed[start] = True
-                confirmed[b.column(3).flatten().to_numpy(zero_copy_only=False) + w.first[lone_of]] = False
-                edge = np.flatnonzero(np.diff(confirmed.astype(np.int8), prepend=0, append=0))
-                tiles = [t for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) for t in [*range(s, e, width), e - 1]]
-                gone = np.zeros(w.n, bool)
-                if tiles:
-                    _, numbers = np.unique(w.hash, return_inverse=True)
-                    at = np.arange(w.n - width + 1)
-                    gone = _cover(numbers % _CHARACTERS, w.first, np.array(tiles), w.windows(at, width)[0], width)
-                removed = np.add.reduceat(np.append(gone, False).astype(np.int64), w.first[:-1]) * (np.diff(w.first) > 0)
-                kept = []
-                for i, t in enumerate(texts):
-                    stay = ~gone[w.first[i] : w.first[i + 1]]
-                    kept.append(b" ".join(itertools.compress(t.split(), stay.tolist())).decode())
+                confirmed[b.column(2).flatten().to_numpy(zero_copy_only=False) + w.first[lone_of]] = False
+                least, inside, _ = w.anchors(width, phrase)
+                confirmed[: len(inside)] &= inside
+                turns = np.flatnonzero(np.diff(least)) if len(least) else np.zeros(0, np.int64)  # the last windows with an anchor
+                edge = np.flatnonzero(np.diff((confirmed[: len(least)]).astype(np.int8), prepend=0, append=0))
+                at = []
+                for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                    i, j = np.searchsorted(turns, (s, e))
+                    at += _picked(turns[i:j].tolist(), s, e - 1, width)
+                at = np.array(at, np.int64)
+                words = _short(w.hash)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(least[at].view(np.int64)), pa.array(w.windows(at, width)[0].view(np.int64)), pa.array([words[k : k + width].tobytes() for k in at.tolist()], pa.binary())],
+                    ["anchor", "one", "words"],
+                )
+
+    return stage_table(rows.mapInArrow(run, "anchor long, one long, words binary").dropDuplicates(["one"]), "passages")
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """32 bits of each word's hash."""
+    return (hashes >> np.uint64(32)).astype("<u4")
+
+
+def stretches(found: DataFrame, shards: int, width: int, phrase: int) -> DataFrame:
+    """(shard, rn, at, words): each stretch of windows of a text whose recurring anchors are of one shard, with its words (32-bit hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, texts in _pieces(batch, 1):
+                w = WordBatch(texts)
+                start, doc = _starts(w, b.column(2))
+                shard = w.anchors(width, phrase)[0][start].view(np.int64) % shards
+                begins = np.ones(len(start), bool)
+                begins[1:] = (np.diff(start) != 1) | (doc[1:] != doc[:-1]) | (shard[1:] != shard[:-1])
+                first = np.flatnonzero(begins)
+                last = np.append(first[1:], len(start)) - 1
+                words, own = _short(w.hash), doc[first]
+                cut = [words[s : e + width].tobytes() for s, e in zip(start[first].tolist(), start[last].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard[first]), b.column(0).take(pa.array(own)), pa.array((start[first] - w.first[own]).astype(np.int32)), pa.array(cut, pa.binary())],
+                    ["shard", "rn", "at", "words"],
+                )
+
+    return found.select("rn", "text", "runs").mapInArrow(run, "shard long, rn long, at int, words binary")
+
+
+#: Characters that stand for word hashes; as there are fewer of them, 64-bit hashes tell occurrences from others.
+_CHARACTERS = 0x110000 - 0x800
+
+
+def _coded(words: np.ndarray, between: np.ndarray | None = None) -> str:
+    """Words as characters; the first character stands for none, and is put where texts end."""
+    code = words % np.uint32(_CHARACTERS - 1) + np.uint32(1)
+    code = np.where(code >= 0xD800, code + 0x800, code).astype("<u4")
+    if between is not None:
+        code[between] = 0
+    return code.tobytes().decode("utf-32-le")
+
+
+class PassageAutomaton:
+    """An Aho-Corasick automaton over the patterns of one shard."""
+
+    def __init__(self, patterns: list[bytes], width: int):
+        self.width, self.machine = width, ahocorasick.Automaton()
+        words = np.frombuffer(b"".join(patterns), "<u4")
+        coded, at = _coded(words), np.arange(0, len(words), width)
+        self.hashes = np.unique(_spans(words.astype(np.uint64), at, at + width, _BASES[0]))
+        for i in at.tolist():
+            self.machine.add_word(coded[i : i + width], i)
+        self.machine.make_automaton()
+
+    def covered(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What occurrences of patterns cover in texts of word hashes: the text's number, the first word and the end of each stretch."""
+        size = np.array([len(t) // 4 for t in texts], np.int64)
+        words = np.frombuffer(b"".join(t + b"\0\0\0\0" for t in texts), "<u4")
+        begin = np.cumsum(size + 1) - size - 1
+        hits = np.fromiter((end for end, _ in self.machine.iter(_coded(words, begin + size))), np.int64) - self.width + 1
+        hits = hits[np.isin(_spans(words.astype(np.uint64), hits, hits + self.width, _BASES[0]), self.hashes)] if len(hits) else hits
+        change = np.zeros(len(words) + 1, np.int32)
+        np.add.at(change, hits, 1)
+        np.add.at(change, hits + self.width, -1)
+        edge = np.flatnonzero(np.diff(np.cumsum(change)[:-1] > 0, prepend=False, append=False))
+        start, end = edge[::2], edge[1::2]
+        own = np.searchsorted(begin, start, "right") - 1
+        return own, start - begin[own], end - begin[own]
+
+
+def locate(found: DataFrame, patterns: DataFrame, hot: DataFrame, width: int, phrase: int) -> DataFrame:
+    """(rn, first, end): stretches of words of the texts in `found` that occurrences of patterns cover."""
+    shards = patterns.count() // PATTERNS + 1
+    shard = F.pmod("anchor", F.lit(shards)).alias("shard")
+    loads = hot.groupBy(shard).agg(F.sum("count").alias("load"))
+    plan = patterns.groupBy(shard).agg(F.count("*").alias("n")).join(loads, "shard").select(
+        "shard", F.ceil(F.col("n") / PATTERNS).alias("parts"), F.ceil(F.col("load") / STRETCHES).alias("copies")
+    )
+    plan = stage_table(plan, "plan")  # a row for each shard
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    one_part, one_copy = F.pmod("one", F.col("parts")).cast("int").alias("part"), F.pmod(F.xxhash64("rn"), F.col("copies")).cast("int").alias("copy")
+    known = patterns.select(shard, "one", "words").join(plan, "shard").select("shard", one_part, each("copies").alias("copy"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("rn"), F.lit(0).alias("at"), "words")
+    texts = stretches(found, shards, width, phrase).join(plan, "shard").select("shard", each("parts").alias("part"), one_copy, F.lit(1).alias("kind"), "rn", "at", "words")
+    place = ["shard", "part", "copy"]
+    rows = known.union(texts).repartition(*place).sortWithinPartitions(*place, "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, machine = None, [], None
+        for b in small(batches, 4096):
+            keys = np.stack([b.column(i).to_numpy() for i in range(4)])
+            cuts = np.flatnonzero(np.append(np.append(True, (np.diff(keys) != 0).any(axis=0)), True))
+            for s, e in itertools.pairwise(cuts.tolist()):
+                key, words = tuple(keys[:3, s].tolist()), b.column(6)[s:e].to_pylist()
+                if key != now:
+                    now, own, machine = key, [], None
+                if not keys[3, s]:
+                    own += words
+                    continue
+                if machine is None:
+                    machine = PassageAutomaton(own, width) if own else None
+                    own = []
+                if machine is not None:
+                    doc, first, end = machine.covered(words)
+                    at = b.column(5)[s:e].to_numpy()[doc]
+                    yield pa.RecordBatch.from_arrays([b.column(4)[s:e].take(pa.array(doc)), pa.array((first + at).astype(np.int32)), pa.array((end + at).astype(np.int32))], ["rn", "first", "end"])
+
+    return rows.mapInArrow(run, "rn long, first int, end int")
+
+
+def cut_out(found: DataFrame, places: DataFrame) -> DataFrame:
+    """(rn, n_removed, kept): the texts that lose words, without the words at `places` (rn, first, end)."""
+    lists = places.groupBy("rn").agg(F.collect_set(F.struct("first", "end")).alias("places"))
+    rows = found.select("rn", "text").join(lists, "rn").select("rn", "text", "places.first", "places.end")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, texts in _pieces(batch, 1):
+                removed, kept = [], []
+                for t, first, end in zip(texts, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    words = t.split()
+                    stay = np.ones(len(words), bool)
+                    for s, e in zip(first, end, strict=True):
+                        stay[s:e] = False
+                    removed.append(int((~stay).sum()))
+                    kept.append(b" ".join(itertools.compress(words, stay.tolist())).decode())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["rn", "n_removed", "kept"])
 
     return rows.mapInArrow(run, "rn long, n_removed long, kept string")
@@ -281,19 +403,19 @@ def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     form where words were removed, else null. text_hash is xxhash64 of the text, to join the result back.
     """
     anchors = sketch(docs, id_col, text_col, width, phrase)
-    known = anchors.drop("anchors")
-    groups = known.where(F.col("n_words") >= width).groupBy("words_sha256").agg(F.count("*").alias("n"), F.min("rn").alias("copies"))
-    salted = groups.where("n > 1").select("words_sha256", "copies", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    known = stage_table(known.withColumn("salt", F.pmod("rn", F.lit(SALTS)).cast("int")).join(salted, ["words_sha256", "salt"], "left").drop("salt"), "known")
-    found = candidates(docs, anchors, known, id_col, text_col, width, phrase)
-    changed = locate(found.where("weight = 1"), lone_windows(found, width), width).where("n_removed > 0")  # of the others all is known
-    whole = F.col("copies").isNotNull()
-    return (
-        known.join(changed, "rn", "left")
-        .select(
-            "id", "text_hash", "n_words",
-            F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-            "words_sha256",
-            F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"),
-        )
-    )
+    own = anchors.drop("anchors")
+    groups = own.where(F.col("n_words") >= width).groupBy("words_sha256").agg(F.count("*").alias("n"), F.min("rn").alias("copies"))
+    groups = stage_table(groups.where("n > 1"), "copies")
+    alike = join_heavy(own, groups, "words_sha256", F.col("n") > HEAVY).select(*own.columns, "copies", "n")
+    alone = own.join(groups.select("words_sha256").hint("merge"), "words_sha256", "left_anti").withColumns({"copies": F.lit(None).cast("long"), "n": F.lit(1).cast("long")})
+    known = stage_table(alike.unionByName(alone), "known")
+    hot = stage_table(anchors.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1"), "anchors")
+    found = candidates(docs, anchors, known, hot, id_col, text_col, width, phrase)
+    patterns = passages(found, lone_windows(found, width), width, phrase)
+    changed = stage_table(cut_out(found, locate(found, patterns, hot, width, phrase)), "cut")
+    shown = known.withColumn("rep", F.coalesce("copies", "rn"))
+    of = changed.join(known.select("rn", "n"), "rn").withColumnRenamed("rn", "rep")
+    whole = join_heavy(shown.where("copies is not null").drop("n"), of, "rep", F.col("n") > HEAVY)
+    single = shown.where("copies is null").drop("n").join(changed.withColumnRenamed("rn", "rep"), "rep", "left")
+    out = ["id", "text_hash", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), "words_sha256", "kept"]
+    return whole.select(*out).union(single.select(*out))
