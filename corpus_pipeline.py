@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage_table, table
+from tidemark.llm.common import fresh_name, scratch, stage_table, table
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import learn_quality, reject_poor
 from tidemark.llm.simhash import similar_documents
@@ -29,11 +29,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays; of rows with one id, one; rows without an id stay."""
+    """Of each class of near copies one row stays: that with the smallest id (rows without one last), of equal ids the one with the least text hash.
+
+    Rows are judged by their texts: rows with one id and different texts are different documents. All texts without words are one class.
+    """
     found = similar_documents(docs)
-    chosen = found.where("id = component").select("id").distinct()
-    named = docs.join(chosen.hint("merge"), docs["doc_id"] == chosen["id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    gone = found.where("not first").select("id", "text_hash").distinct()
+    often = found.where("first").groupBy("id", "text_hash").count().where("count > 1").select("id", "text_hash")
+    own = fresh_name(docs.columns, "_text_hash")
+    hashed = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    names = [fresh_name(docs.columns, x) for x in ("id_", "text_hash_")]
+    gone, often = (x.toDF(*names) for x in (gone, often))
+    same = hashed["doc_id"].eqNullSafe(F.col(names[0])) & (hashed[own] == F.col(names[1]))
+    once = hashed.join(gone, same, "left_anti").join(often, same, "left_anti")
+    return once.union(hashed.join(often, same, "left_semi").dropDuplicates(["doc_id", own])).drop(own)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +75,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage_table(stage(spark, docs, sf_dir), name)
-    return docs
+    with scratch(spark):
+        for name, stage in STAGES[:-1]:
+            with scratch(spark):
+                docs = stage_table(stage(spark, docs, sf_dir), name, keep=True)
+        name, stage = STAGES[-1]
+        return stage_table(stage(spark, docs, sf_dir), name, keep=True)

@@ -44,6 +44,15 @@ def test_against_brute_force(docs, texts):
     assert {i: r["component"] for i, r in found.items()} == classes(prints, links)
 
 
+def test_copies_beyond_the_bound_of_one_task(spark, monkeypatch):
+    monkeypatch.setattr(s, "HEAVY", 3)
+    rows = [(i, "" if i % 2 else f"some words {i % 10}") for i in range(40)]
+    found = {r["id"]: r["component"] for r in s.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: 1 if i % 2 else i % 10 for i in range(40)}
+    found = {r["id"]: r["component"] for r in s.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: 1 if i % 2 else i % 10 for i in range(40)}
+
+
 @pytest.mark.parametrize("bucket", [1, 8])
 def test_large_buckets_are_split(spark, bucket):
     rnd = random.Random(5)
@@ -123,17 +132,39 @@ def test_deeper_masks_keep_the_bits_before():
     assert max(64 - m.bit_count() for m in kept) <= 8  # a last bucket holds 256 fingerprints at most
 
 
-def test_large_buckets_of_blocks_are_dealt(spark):
-    base, masks = random.Random(3).getrandbits(64), lambda positions: s.block_masks(positions, 9, 3)
+def test_blocks_link_what_shares_a_bucket(spark):
+    rnd = random.Random(3)
+    prints = []
+    for _ in range(150):
+        x = rnd.getrandbits(64)
+        prints += [x, x ^ sum(1 << b for b in rnd.sample(range(64), 5))]
+    rows = [(s._signed(x), i, 0) for i, x in enumerate(prints)]
+    links = s.block_links(spark.createDataFrame(rows, "fp long, node long, band int"), 14)
+    found = {r["node"]: r["component"] for r in connected_components(links).collect()}
+    assert all(found.get(i, i) == found.get(i + 1, i + 1) == i for i in range(0, 300, 2))
+
+
+def test_large_buckets_of_blocks_are_read_in_runs(spark):
+    base = random.Random(3).getrandbits(64)
     changed = [p for i in (0, 1) for p in range(i, 64, 9)]
     prints = [base ^ sum(1 << p for k, p in enumerate(changed) if n >> k & 1) for n in range(600)]
     rows = [(s._signed(x), i, 0) for i, x in enumerate(prints)]
-    links = s.fingerprint_links(spark.createDataFrame(rows, "fp long, node long, band int"), 14, 64, 1, masks)
-    parts = s._links(*one_bucket(spark, rows), 14, 64)
-    assert {r["component"] for r in connected_components(links).collect()} == {0} and parts.count() <= 2 * 599
+    links = s.block_links(spark.createDataFrame(rows, "fp long, node long, band int").repartition(1), 14, bucket=64)
+    assert {r["component"] for r in connected_components(links).collect()} == {0}
+    assert links.count() <= 84 * 2 * 600
+
 
+def test_repeated_lines_do_not_make_pages_alike(spark):
+    menu = "Home About Contact Privacy Terms\n"
+    rows = [(i, menu * n + " ".join(f"{i}x{k}" for k in range(150))) for i, n in enumerate([50, 200, 1000, 400])]
+    found = s.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["id"]: r["component"] for r in found} == {i: i for i in range(4)} and all(r["first"] for r in found)
 
-def one_bucket(spark, rows):
-    """All rows in one bucket, and its count."""
-    keyed = spark.createDataFrame([(*r, 0, 0) for r in rows], "fp long, node long, band int, path int, key long")
-    return keyed, keyed.selectExpr("path", "key", "band", "count(*) over () as count", "min(struct(node, fp)) over () as first").limit(1)
+
+def test_rows_of_one_id_and_rows_without(spark):
+    one, two, three = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(7, one), (7, two), (8, one), (None, two), (None, three), (None, three), (7, one)]
+    found = s.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {(r["id"], r["text_hash"]): (r["component"], r["first"]) for r in found}
+    assert len(found) == 7 and sorted(by.values(), key=str) == [(7, False), (7, False), (7, True), (7, True), (None, True)]
+    assert sum(r["first"] for r in found) == 5  # both rows of three, and (7, one) twice

@@ -2,50 +2,51 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import shared_folder, table  # noqa: F401
+
 #: Rows with one key from which on they are too many for one task.
 HEAVY = 100_000
 #: Words are runs of anything but ASCII white space; Java and Spark SQL read this pattern alike.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given Parquet tables."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+#: Tables staged so far, by open `scratch`, innermost last.
+_scopes: list[list[str]] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
+def stage_table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write `df` to a table in the shared folder and read it again: cuts lineage, survives lost executors.
 
-    Where spark.checkpoint.dir is unset (tests, a single machine) a local folder is made once and
-    remembered in the session.
+    Inside `scratch` it is removed at its end; one that is to be kept, at the end of the scratch around it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("tidemark.local.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("tidemark.local.checkpoint.dir", folder)
-    return folder
-
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to a table in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    if len(_scopes) > keep:
+        _scopes[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes tables staged inside when it ends: what leaves must be a kept table, or read none of the others."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in slices of some rows, so that what a task unpacks at once stays small."""
     for b in batches:

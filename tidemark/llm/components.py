@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage_table
+from tidemark.llm.common import scratch, stage_table
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -29,21 +29,22 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component) for every node of `links` (a, b) but the smallest of its component.
+    """(node, component) for every node of `links` (a, b) but the smallest of its component, a kept table.
 
     Nulls and loops are ignored, repeated and reversed links count once. The component is the smallest
     node that can be reached. An empty link table gives an empty result.
     """
-    state = stage_table(
+    spark = links.sparkSession
+    first = (
         links.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        name,
+        .distinct()
     )
-    mark = None
-    while True:
-        now = state.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now[0] == 0 or tuple(now) == mark:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = tuple(now)
-        state = stage_table(_small_star(_large_star(state)), name)
+    with scratch(spark):
+        state, mark = stage_table(first, name), None
+        while True:
+            now = state.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+            if now[0] == 0 or tuple(now) == mark:
+                return stage_table(state.select(F.col("u").alias("node"), F.col("v").alias("component")), name, keep=True)
+            mark = tuple(now)
+            state = stage_table(_small_star(_large_star(state)), name)

@@ -14,13 +14,17 @@ star contraction on tables in the shared folder.
 
 Masks of half the bits cover a small radius with few tables; their number doubles with each further bit. For larger radii
 `block_masks` cuts the bits into blocks and keeps every choice of some of them, which any differences that leave
-so many blocks alone cannot escape. `similar_documents` confirms such links by the Jaccard similarity of the texts' shingles,
-and then, as fingerprints do not bound that similarity, looks at every pair still apart that shares a shingle of its prefixes
-(prefix filtering: texts that are alike enough must share one). Only texts that have links are moved for confirming.
+so many blocks alone cannot escape.
 
-Edge cases: a null or empty text has no words and the fingerprint zero, linked like any other. Repeated
+`similar_documents` finds classes by the Jaccard similarity of texts' shingles. Its nodes are the distinct sets of shingles (repeats
+within a text do not vote, so a repeated line decides nothing); rows with one set are exact copies. `block_links` takes fingerprints that agree on three of nine blocks
+and differ in at most `radius` bits as candidates, which joins most copies, and large groups of them, by few links; then, as fingerprints do
+not bound the similarity, every pair still apart that shares a shingle of its prefixes is a candidate (prefix filtering: sets that are alike enough must share
+one). Every link is confirmed on the texts before it counts, and only texts with links are moved for that.
+
+Edge cases: a null or empty text has no words and the fingerprint zero, linked like any other; all such texts are copies of each other. Repeated
 rows are separate rows with equal results. Rows whose id is null keep a null id; they join the component
-of their fingerprint. An empty table gives an empty result. Only the two named columns are used.
+of their text, and rows with one id and different texts are told apart. An empty table gives an empty result. Only the two named columns are used.
 """
 
 from __future__ import annotations
@@ -33,16 +37,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, stage_table
+from tidemark.llm.common import HEAVY, join_heavy, scratch, small, stage_table
 from tidemark.llm.components import connected_components
 
 BITS = 64
 BLOCK = 65_536
-#: What a bucket is told by: the table, the bits that its mask keeps, and the band of lengths.
-BUCKET = ["path", "key", "band"]
+#: What a bucket is told by: the table, and the bits that its mask keeps.
+BUCKET = ["path", "key"]
 
 
 def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
@@ -73,34 +77,43 @@ def simhash(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fp, size): one row per row of `docs`; fp is the fingerprint as a signed long, size the number of different shingles."""
-    return _sets(docs, id_col, text_col, width, 1.0, np.zeros(0, "<u8")).select("id", "fp", "size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            found = [shingle_hashes(x.as_py(), width) for x in b.column(1)]
+            fps = np.array([simhash(h) for h in found], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array([len(np.unique(h)) for h in found], pa.int64())], ["id", "fp", "size"])
+
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return chosen.mapInArrow(run, "id long, fp long, size long")
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """(id, fp, size, same, prefix): `same` tells the set of shingles, `prefix` has the hashes of which texts that are alike enough share one.
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """(id, text_hash, fp, size, same, prefix, rare): `fp` is the vote of different shingles, `same` tells their set, `prefix` has the hashes of which texts that are alike enough share one.
 
     Of n shingles a text that is alike has ceil(similarity * n) at least, so in any order that is the same for all texts,
-    two such texts share one of the first n - ceil(similarity * n) + 1. `common` hashes come last in that order.
+    two such texts share one of the first n - ceil(similarity * n) + 1. `common` hashes come last in that order; `rare` counts the others.
     """
     last = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            values, same, sizes, prefixes = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64), []
-            for i, x in enumerate(b.column(1)):
-                hashes = shingle_hashes(x.as_py(), width)
-                different = np.unique(hashes)
-                values[i], same[i], sizes[i] = simhash(hashes), xxhash.xxh64_intdigest(different.tobytes()), len(different)
+            values, same, sizes, rares, prefixes = (*(np.zeros(b.num_rows, k) for k in (np.uint64, np.uint64, np.int64, np.int32)), [])
+            for i, x in enumerate(b.column(2)):
+                different = np.unique(shingle_hashes(x.as_py(), width))
+                values[i], same[i], sizes[i] = simhash(different), xxhash.xxh3_64_intdigest(different.tobytes(), 7), len(different)
                 rare = ~np.isin(different, last.value)
+                rares[i] = rare.sum()
                 needed = math.ceil(similarity * len(different) - 1e-9)
                 prefixes.append(np.concatenate((different[rare], different[~rare]))[: len(different) - needed + 1].view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            made = [pa.array(values.view(np.int64)), pa.array(sizes), pa.array(same.view(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays([b.column(0), *made], ["id", "fp", "size", "same", "prefix"])
+            made = [pa.array(values.view(np.int64)), pa.array(sizes), pa.array(same.view(np.int64)), lists, pa.array(rares)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["id", "text_hash", "fp", "size", "same", "prefix", "rare"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return chosen.mapInArrow(run, "id long, fp long, size long, same long, prefix array<long>")
+    text = F.col(text_col).cast("string")
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+    return chosen.mapInArrow(run, "id long, text_hash long, fp long, size long, same long, prefix array<long>, rare int")
 
 
 def _common(docs: DataFrame, text_col: str, width: int, one_in: int = 16, share: int = 5000) -> np.ndarray:
@@ -138,19 +151,19 @@ def _signed(x: int) -> int:
 
 
 def _keys(rows: DataFrame, masks: list[list[int]]) -> DataFrame:
-    """Rows (fp, node, band, path) spread over the tables: masks[path] are those of each path; path and key are renewed."""
+    """Rows (fp, node, path) spread over the tables: masks[path] are those of each path; path and key are renewed."""
     own = len(masks[0])
     listed = [(path, path * own + i, _signed(m)) for path, x in enumerate(masks) for i, m in enumerate(x)]
     if len(listed) <= 1024:
         each = F.array(*[F.array(*[F.struct(F.lit(t).alias("table"), F.lit(m).cast("long").alias("mask")) for _, t, m in g]) for _, g in itertools.groupby(listed, lambda x: x[0])])
-        spread = rows.select("fp", "node", "band", F.explode(F.element_at(each, F.col("path") + 1)).alias("t")).select("fp", "node", "band", "t.table", "t.mask")
+        spread = rows.select("fp", "node", F.explode(F.element_at(each, F.col("path") + 1)).alias("t")).select("fp", "node", "t.table", "t.mask")
     else:
         tables = rows.sparkSession.createDataFrame(listed, "path int, table int, mask long")
         spread = rows.join(F.broadcast(tables), "path")  # as many rows as there are masks
-    return spread.select("fp", "node", "band", F.col("table").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    return spread.select("fp", "node", F.col("table").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
 
-def _forest(fps: np.ndarray, nodes: np.ndarray, radius: int) -> list[dict]:
+def _forest(fps: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links of one bucket that join its members into their components, the closest first."""
     parent = list(range(len(fps)))
 
@@ -169,30 +182,21 @@ def _forest(fps: np.ndarray, nodes: np.ndarray, radius: int) -> list[dict]:
         a, b = root(i), root(j)
         if a != b:
             parent[a] = b
-            links.append({"a": int(nodes[i]), "b": int(nodes[j])})
+            links.append((int(nodes[i]), int(nodes[j])))
     return links
 
 
-def _links(keyed: DataFrame, counts: DataFrame, radius: int, bucket: int | None = None) -> DataFrame:
-    """Links (a, b) among the members of the buckets in `counts`.
-
-    With `bucket`, larger buckets are dealt into parts of about so many members by a salt; each member within the radius of the bucket's
-    first is linked to that one, too.
-    """
+def _links(keyed: DataFrame, counts: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) among the members of the buckets in `counts`."""
 
     @F.pandas_udf("array<struct<a:long,b:long>>")
     def forest(fps: pd.Series, nodes: pd.Series) -> pd.Series:
-        return pd.Series([_forest(np.asarray(f).view(np.uint64), np.asarray(n), radius) for f, n in zip(fps, nodes, strict=True)])
+        found = [_forest(np.asarray(f).view(np.uint64), np.asarray(n), radius) for f, n in zip(fps, nodes, strict=True)]
+        return pd.Series([[{"a": a, "b": b} for a, b in x] for x in found])
 
-    member = F.collect_list(F.struct("fp", "node")).alias("m")
-    joined = keyed.join(counts.select(*BUCKET, "count", "first").hint("merge"), BUCKET)
-    parts = F.ceil(F.col("count") / bucket) if bucket else F.lit(1)
-    grouped = joined.groupBy(*BUCKET, F.pmod(F.xxhash64("node"), parts).alias("salt")).agg(member)
-    found = grouped.select(F.explode(forest(F.col("m.fp"), F.col("m.node"))).alias("x")).select("x.a", "x.b")
-    if bucket:
-        near = (F.col("count") > bucket) & (F.col("node") != F.col("first.node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= radius)
-        found = found.union(joined.where(near).select(F.col("first.node"), "node"))
-    return found
+    member = F.collect_list(F.struct("fp", "node")).alias("m")  # the caller gives buckets of bounded size
+    grouped = keyed.join(counts.select(*BUCKET).hint("merge"), BUCKET).groupBy(*BUCKET).agg(member)
+    return grouped.select(F.explode(forest(F.col("m.fp"), F.col("m.node"))).alias("x")).select("x.a", "x.b")
 
 
 def deeper(masks: list[int], masks_of: Callable[[list[int]], list[int]]) -> list[list[int]]:
@@ -200,46 +204,88 @@ def deeper(masks: list[int], masks_of: Callable[[list[int]], list[int]]) -> list
     return [[x | m for m in masks_of([p for p in range(BITS) if not x >> p & 1])] for x in masks]
 
 
-def fingerprint_links(
-    fps: DataFrame, radius: int = 2, bucket: int = 256, levels: int = 3, masks_of: Callable[[list[int]], list[int]] | None = None
-) -> DataFrame:
-    """Links (a, b) between nodes of distinct fingerprints (fp, node, band), enough to connect all pairs within the radius and band that share a table.
+def fingerprint_links(fps: DataFrame, radius: int = 2, bucket: int = 256, levels: int = 3) -> DataFrame:
+    """Links (a, b) between nodes of distinct fingerprints (fp, node), enough to connect all pairs within the radius.
 
-    By default masks are covering masks, with which every such pair shares a table, and three levels leave so few bits that a bucket holds 256
-    fingerprints at most. `masks_of` gives other masks over some bit positions; their last buckets are bounded by a salt, which may part pairs.
+    Three levels of covering masks leave so few bits that a bucket of the last holds 256 fingerprints at most.
     """
-    salted = bucket if masks_of else None
-    masks_of = masks_of or (lambda positions: covering_masks(positions, radius))
-    rows, found, kept = fps.select("fp", "node", "band", F.lit(0).alias("path")), [], [0]
+    rows, found, kept = fps.select("fp", "node", F.lit(0).alias("path")), [], [0]
     for level in range(levels):
-        masks = deeper(kept, masks_of)
+        masks = deeper(kept, lambda positions: covering_masks(positions, radius))
         kept = list(itertools.chain.from_iterable(masks))
         keyed = _keys(rows, masks)
-        first = F.min(F.struct("node", "fp")).alias("first")
-        counts = stage_table(keyed.groupBy(*BUCKET).agg(F.count("*").alias("count"), first).where("count > 1"), "buckets")
+        counts = stage_table(keyed.groupBy(*BUCKET).agg(F.count("*").alias("count")).where("count > 1"), "buckets")
         last = level + 1 == levels
-        found.append(_links(keyed, counts if last else counts.where(F.col("count") <= bucket), radius, salted if last else None))
+        found.append(_links(keyed, counts if last else counts.where(F.col("count") <= bucket), radius))
         large = counts.where(F.col("count") > bucket)
         if last or large.isEmpty():
             break
-        rows = stage_table(keyed.join(large.select(*BUCKET).hint("merge"), BUCKET).select("fp", "node", "band", "path"), "large")
+        rows = stage_table(keyed.join(large.select(*BUCKET).hint("merge"), BUCKET).select("fp", "node", "path"), "large")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return out
 
 
+def block_links(fps: DataFrame, radius: int, blocks: int = 9, keep: int = 3, bucket: int = 256) -> DataFrame:
+    """Candidate links (a, b) between nodes of fingerprints (fp, node, band) that agree on `keep` blocks, within the radius and the band.
+
+    Buckets lie sorted in parts of like size, so a bucket that very many share goes on in the next parts, and are read in runs of at
+    most `bucket` members: each run gives a forest, and its members' links to the bucket's first member in that part. Links across runs
+    may be missed.
+    """
+    masks = [_signed(m) for m in block_masks(list(range(BITS)), blocks, keep)]
+    table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])).alias("x")
+    keyed = fps.select("fp", "node", "band", table).select(F.xxhash64("x.t", "x.key", "band").alias("bucket"), "fp", "node")
+    dealt = keyed.repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node")
+
+    def links(fp: np.ndarray, node: np.ndarray, first: tuple[np.uint64, int]) -> list[tuple[int, int]]:
+        near = (np.bitwise_count(fp ^ first[0]) <= radius) & (node != first[1])
+        return [*_forest(fp, node, radius), *((first[1], x) for x in node[near].tolist())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first, at = None, None, None  # members of the bucket that goes on, its first one, its name
+
+        def made(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            ends = np.array(found, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+        for b in batches:
+            name, fp, node = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
+            cuts = np.flatnonzero(np.append(np.append(True, np.diff(name) != 0), True))
+            found: list[tuple[int, int]] = []
+            if held is not None and name[0] == at:
+                cut = int(cuts[1])
+                held = np.append(held[0], fp[:cut]), np.append(held[1], node[:cut])
+                cuts = cuts[1:]
+            groups = [(s, e) for s, e in itertools.pairwise(cuts.tolist()) if e - s > 1 or e == len(name)]
+            if held is not None and (len(cuts) > 1 or name[0] != at):
+                found += links(*held, first)
+                held = None
+            for s, e in groups:
+                if e == len(name):
+                    held, first, at = (fp[s:e], node[s:e]), (fp[s], int(node[s])), name[s]
+                    continue
+                for k in range(s, e, bucket):
+                    found += links(fp[k : min(k + bucket, e)], node[k : min(k + bucket, e)], (fp[s], int(node[s])))
+            while held is not None and len(held[0]) > bucket:
+                found += links(held[0][:bucket], held[1][:bucket], first)
+                held = held[0][bucket:], held[1][bucket:]
+            if found:
+                yield made(found)
+        if held is not None:
+            yield made(links(*held, first))
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _shingles(text: bytes | None, width: int) -> set[bytes]:
     words = (text or b"").lower().split()
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def confirm(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """The links whose texts' shingles have at least the given Jaccard similarity."""
-    links = stage_table(links.distinct(), "links")
-    ends = links.select(F.col("a").alias("end")).union(links.select("b")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("end"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    texts = stage_table(rows.join(ends.hint("merge"), "end", "left_semi").dropDuplicates(["end"]), "texts")
+def confirm(links: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The links (a, b), each given once, whose texts (node, text) have shingles of at least the given Jaccard similarity, a kept table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 256):
@@ -250,19 +296,16 @@ def confirm(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
                 same.append(shared >= similarity * (len(p) + len(q) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(same))
 
-    pairs = links.join(texts.select(F.col("end").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("end").alias("b"), F.col("text").alias("two")), "b")
-    return pairs.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
-
+    with scratch(links.sparkSession):
+        texts = stage_table(texts.dropDuplicates(["node"]), "texts")
+        pairs = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("two")), "b")
+        return stage_table(pairs.select("a", "b", "one", "two").mapInArrow(run, "a long, b long"), "confirmed", keep=True)
 
-def _bands(distinct: DataFrame, similarity: float | None) -> DataFrame:
-    """(fp, node, band): numbers of shingles by powers of two; texts that are alike enough share a band.
 
-    A text whose similar ones may have enough shingles for the next band is in that too. Without a similarity all is one band.
-    """
-    if similarity is None:
-        return distinct.select("fp", "node", F.lit(0).alias("band"))
-    of = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1.0)))).cast("int")
-    return distinct.select("fp", "node", F.explode(F.array_distinct(F.array(of(F.col("size").cast("double")), of(F.col("size") / similarity)))).alias("band"))
+def _bands(size: Column, ratio: float) -> Column:
+    """Bands of sizes, each `ratio` times as wide as the one before: that of a size and the next, so that sizes of at most that ratio share one."""
+    own = F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / math.log(ratio * 1.0001)).cast("int")
+    return F.array(own, own + 1)
 
 
 def _pairs(h: np.ndarray, at: np.ndarray, node: np.ndarray, size: np.ndarray, component: np.ndarray, similarity: float) -> np.ndarray:
@@ -305,10 +348,15 @@ def _pairs(h: np.ndarray, at: np.ndarray, node: np.ndarray, size: np.ndarray, co
 
 
 def prefix_links(nodes: DataFrame, similarity: float, rows_each: int = 400_000) -> DataFrame:
-    """Candidate links (a, b) between nodes (node, component, size, prefix): every pair of different components that is alike enough is among them."""
+    """Candidate links (a, b) between nodes (node, component, size, prefix, rare): every pair of different components that is alike enough is among them.
+
+    Rows meet by shingle; those with a shingle that many texts hold (from place `rare` on in their prefix) meet by shingle and band of sizes.
+    """
     total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    rows = nodes.select("node", "component", F.col("size"), F.posexplode("prefix").alias("at", "h"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(total // rows_each + 1)))
+    rows = nodes.select("node", "component", "size", "rare", F.posexplode("prefix").alias("at", "h"))
+    bands = F.when(F.col("at") < F.col("rare"), F.array(F.lit(-1))).otherwise(_bands(F.col("size"), 1 / similarity))
+    rows = rows.select("node", "component", "size", "at", "h", F.explode(bands).alias("band"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("h", "band"), F.lit(total // rows_each + 1))).drop("band")
 
     def run(t: pa.Table) -> pa.Table:
         found = _pairs(*[t.column(c).to_numpy() for c in ("h", "at", "node", "size", "component")], similarity)
@@ -318,27 +366,47 @@ def prefix_links(nodes: DataFrame, similarity: float, rows_each: int = 400_000)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, bucket: int = 256, levels: int = 3) -> DataFrame:
-    """(id, fp, component) for each row of `docs`: component is the smallest id that links can reach."""
-    prints = stage_table(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = stage_table(prints.groupBy("fp").agg(F.min("id").alias("node")), "distinct")
-    root = connected_components(fingerprint_links(_bands(distinct.where("node is not null"), None), radius, bucket, levels))
-    classes = distinct.join(root, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(classes, "fp").select("id", "fp", "component")
+    """(id, fp, component) for each row of `docs`, a kept table: component is the smallest id that links can reach."""
+    with scratch(docs.sparkSession):
+        prints = stage_table(fingerprints(docs, id_col, text_col, width), "fingerprints")
+        distinct = stage_table(prints.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n")), "distinct")
+        root = connected_components(fingerprint_links(distinct.where("node is not null"), radius, bucket, levels))
+        classes = distinct.join(root, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "n")
+        found = join_heavy(prints, stage_table(classes, "classes"), "fp", F.col("n") > HEAVY)
+        return stage_table(found.select("id", "fp", "component"), "near", keep=True)
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, fp, component): classes of documents whose shingles of five words are alike by 0.8 or more; no such pair is missed.
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 14) -> DataFrame:
+    """(id, text_hash, fp, component, first) for each row of `docs`, a kept table: classes of documents whose shingles of five words are alike by 0.8 or more; no such pair is missed.
 
-    First links of fingerprints that differ in at most 14 of 64 bits and agree on three of nine blocks are confirmed: they join most copies, and
-    large groups of them, by few links. Then all pairs that are still apart and share a shingle of their prefixes are confirmed.
+    component is the smallest id of the class, null where no row has one; `first` tells the row that stands for the class, that with
+    the smallest id and text hash (its repetitions, alike in both, have it too). text_hash is xxhash64 of the text.
     """
-    prints = stage_table(_sets(docs, id_col, text_col, width, similarity, _common(docs, text_col, width)), "fingerprints")
-    one = F.min_by(F.struct("id", "fp", "size", "prefix"), "id").alias("x")
-    distinct = stage_table(prints.where("id is not null").groupBy("same").agg(one).select("same", F.col("x.id").alias("node"), "x.fp", "x.size", "x.prefix"), "distinct")
-    links = fingerprint_links(_bands(distinct, similarity), 14, levels=1, masks_of=lambda positions: block_masks(positions, 9, 3))
-    root = stage_table(connected_components(confirm(links, docs, id_col, text_col, width, similarity)), "near")
-    nodes = distinct.join(root.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "size", "prefix")
-    more = confirm(prefix_links(nodes, similarity), docs, id_col, text_col, width, similarity)
-    root = connected_components(root.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    classes = distinct.join(root, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
-    return prints.join(classes, "same", "left").select("id", "fp", "component")
+    with scratch(docs.sparkSession):
+        sets = stage_table(shingle_sets(docs, id_col, text_col, width, similarity, _common(docs, text_col, width)), "sets")
+        row = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+        distinct = sets.groupBy(F.col("same").alias("node")).agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min(row).alias("row"), F.count("*").alias("n"))
+        distinct = stage_table(distinct, "distinct")
+        text = F.col(text_col).cast("string")
+        own = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), text.cast("binary").alias("text"))
+
+        def confirmed(links: DataFrame) -> DataFrame:
+            links = stage_table(links.distinct(), "candidates")
+            ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+            wanted = distinct.join(ends, "node").select("node", "row.id", "row.text_hash")
+            texts = own.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash"))).select("node", "text")
+            return confirm(links, texts, width, similarity)
+
+        banded = distinct.select("fp", "node", F.explode(_bands(F.col("size"), 1 / similarity)).alias("band"))
+        root = connected_components(confirmed(block_links(banded, radius)))
+        prefixes = sets.groupBy(F.col("same").alias("node")).agg(F.first("prefix").alias("prefix"), F.first("rare").alias("rare"), F.first("size").alias("size"))
+        nodes = prefixes.join(root.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        more = confirmed(prefix_links(nodes, similarity))
+        root = connected_components(root.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        grouped = stage_table(distinct.join(root, "node", "left").withColumn("class", F.coalesce("component", "node")), "classed")
+        heads = grouped.groupBy("class").agg(F.min("row").alias("head"), F.count("*").alias("members"))
+        heads = join_heavy(grouped.select("node", "class", "n"), stage_table(heads, "heads"), "class", F.col("members") > HEAVY)
+        classes = stage_table(heads.select(F.col("node").alias("same"), "head", "n"), "classes")
+        found = join_heavy(sets.select("id", "text_hash", "fp", "same"), classes, "same", F.col("n") > HEAVY)
+        first = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("text_hash") == F.col("head.text_hash"))
+        return stage_table(found.select("id", "text_hash", "fp", F.col("head.id").alias("component"), first.alias("first")), "similar", keep=True)
