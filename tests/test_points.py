@@ -228,3 +228,112 @@ def test_empty_points(spark):
     assert values(Query.select("a").group_by("day").run(own, NOW)) == []
     assert values(analysis.correlations(analysis.daily_means(own))) == []
     assert validation.rejected(own, NOW).count() == 0 and NOW % DAY == 0
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_stream_buckets_in_other_zones(spark, sf_dir, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    wanted = {(r["bucket"], r["metric"]): r["n"] for r in points.event_points(spark, sf_dir).groupBy(C.bucket("week").alias("bucket"), "metric").agg(F.count("*").alias("n")).collect()}
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        for interval in ("week", "hour"):
+            stream = streams.event_stream(spark, f"{sf_dir}/events.parquet*")
+            found = streams.run_to_table(streams.bucketed(stream, interval), "complete").collect()
+            if interval == "week":
+                assert {(r["bucket"], r["metric"]): r["n"] for r in found} == wanted
+            assert all(r["bucket"].minute == 0 for r in found)
+        odd = spark.createDataFrame([(datetime(2024, 3, 10, 2, 30),)], "ts timestamp_ntz").select(streams.zone_free(streams.instant()).alias("t")).first()
+        assert odd["t"] == datetime(2024, 3, 10, 2, 30)  # an hour that New York skips
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_a_named_stream_goes_on(spark, tmp_path):
+    own = frame(spark, [("a", "2024-01-20 01:00", i, {}) for i in range(4)])
+    own.where("seq < 2").write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(own.schema).parquet(str(tmp_path / "in"))
+    name, seen = f"test-{tmp_path.name}-{id(own)}", []
+
+    def batch(rows):
+        seen.append(sorted(r["seq"] for r in rows.collect()))
+        return rows
+
+    assert streams.run_to_table(read(), batch=batch, name=name).count() == 2
+    own.where("seq >= 2").write.mode("append").parquet(str(tmp_path / "in"))
+    assert streams.run_to_table(read(), batch=batch, name=name).count() == 4
+    assert [x for x in seen if x] == [[0, 1], [2, 3]]
+
+
+def test_windows_reach_over_days_without_points(spark):
+    own = frame(spark, [("a", f"2024-01-{d:02d} 0{h}:00", 10 * d + h, {}) for d, h in ((1, 0), (1, 1), (2, 0), (5, 0), (5, 1), (6, 0), (9, 3), (9, 4), (20, 0))])
+    rows = sorted(own.collect(), key=lambda r: r["ts"])
+    mean = {r["seq"]: r["moving_avg"] for r in analysis.running(own, 3).collect()}
+    gap = {r["seq"]: r["delta_ms"] for r in analysis.deltas(own).collect()}
+    for i, r in enumerate(rows):
+        near = [x["value"] for x in rows[max(0, i - 3) : i + 1]]
+        assert mean[r["seq"]] == pytest.approx(sum(near) / len(near))
+        assert gap[r["seq"]] == (0 if not i else (r["ts"] - rows[i - 1]["ts"]).total_seconds() * 1000)
+
+
+def test_times_come_back_from_deltas(spark):
+    own = frame(spark, [("a", f"2024-01-0{d} 0{h}:00", 1, {}) for d in (1, 2) for h in range(3)])
+    day, at = C.bucket("day"), C.millis("ts")
+    starts = own.groupBy("metric", day.alias("day")).agg(F.min(at).alias("start_ms"))
+    inside = own.select("metric", "seq", day.alias("day"), at.alias("at")).join(starts, ["metric", "day"])
+    made = analysis.deltas(own).join(inside.select("metric", "seq", "day", "at", "start_ms"), ["metric", "seq"])
+    first = made.withColumn("delta_ms", F.when(F.col("at") == F.col("start_ms"), 0).otherwise(F.col("delta_ms")))
+    found = analysis.times_of(first.select("metric", "seq", "delta_ms", "day"), starts)
+    assert {(r["seq"], r["at_ms"]) for r in found.collect()} == {(r["seq"], r["at"]) for r in made.collect()}
+
+
+def test_time_conditions(spark):
+    own = frame(spark, [("a", f"2024-01-20 00:00:0{i}", i, {}) for i in range(5)])
+    at = to_ms(datetime(2024, 1, 20)) + 2000
+    run = lambda *tests: [r[1] for r in values(next(iter([_with(tests)])).run(own, NOW))]
+
+    def _with(tests):
+        query = Query.select("a")
+        for op, ms in tests:
+            query = query.where_time(op, ms)
+        return query
+
+    assert run(("gt", at)) == [3, 4] and run((">=", at)) == [2, 3, 4] and run(("<=", at)) == [0, 1, 2] and run(("=", at)) == [2]
+    assert run((">=", at - 1000), ("<", at + 1000)) == [1, 2]
+    with pytest.raises(ValueError):
+        Query.select("a").where_time("!=", at)
+
+
+def test_several_records_on_one_line_and_entities(spark):
+    record = '<Record type="HKQuantityTypeIdentifierHeartRate" sourceName="{}" startDate="2024-01-15 10:00:00 +0100" value="{}"/>'
+    lines = spark.createDataFrame([(record.format("A &amp; B &gt; C", 60) + record.format("x > y", 61) + "<Workout/>",), ("nothing",), (None,)], "line string")
+    found = sorted((r["value"], r["source"], r["ts"]) for r in imports.health_points(lines).collect())
+    assert found == [(60.0, "A & B > C", datetime(2024, 1, 15, 9)), (61.0, "x > y", datetime(2024, 1, 15, 9))]
+
+
+def test_broken_archives_give_nothing(spark):
+    rows = spark.createDataFrame([("bm90IGEgemlw",), (None,), ("%%%",)], "archive string")
+    assert imports.health_archives(rows).count() == 0
+
+
+def test_csv_with_separator_and_report(spark):
+    lines = spark.createDataFrame([(0, '"The date";"a;b";c'), (1, "2024-01-15;1;2"), (2, "2024-01-16;;3"), (3, "never;1;1"), (4, "")], "n long, line string")
+    header = '"The date";"a;b";c'
+    found = sorted((r["metric"], r["value"]) for r in imports.csv_points(lines, header, separator=";").collect())
+    assert found == [("a;b", 1.0), ("c", 2.0), ("c", 3.0)]
+    report = imports.csv_report(lines, header, "n", separator=";", listed=1).first()
+    assert tuple(report) == (4, 3, 2, ["row 3: not a time: never"], 1)
+    assert imports.csv_points(lines, header, separator=";", only=["c"]).count() == 2
+
+
+def test_insights_at_the_edges_of_bands():
+    text = lambda v: insights.explain("mood and sleep", {"mood": v, "sleep": v}, {}).text
+    assert "moderate" in text(7.0) and "positive" in text(7.0000005) and "positive" in text(120.0)
+    assert "healthy" in text(8.5) and "plenty" in text(8.5000005) and "plenty" in text(99.0)
+
+
+def test_sources_by_name(spark):
+    lines = spark.createDataFrame([('{"date":"2024-01-15","summary":{"steps":5}}',), ('{"date":"2024-01-17","summary":{"steps":7}}',)], "line string")
+    found = imports.sync("activity", lines, C.moment(to_ms(datetime(2024, 1, 16))))
+    assert {(r["metric"], r["value"]) for r in found.collect()} == {("steps", 7.0), ("active_minutes", 0.0)}
+    with pytest.raises(ValueError):
+        imports.sync("none", lines)

@@ -37,9 +37,15 @@ def bucket(interval: str, ts: str = "ts") -> Column:
     return F.date_trunc(interval_name(interval), F.col(ts)).cast("timestamp_ntz")
 
 
+def micros(ts: str = "ts") -> Column:
+    """Microseconds since 1970 of a timestamp without zone; no clock change of the session's zone enters."""
+    of_day = F.hour(ts) * 3600 + F.minute(ts) * 60
+    return (F.unix_date(F.to_date(ts)).cast("long") * 86_400 + of_day) * 1_000_000 + (F.extract(F.lit("SECOND"), F.col(ts)) * 1_000_000).cast("long")
+
+
 def millis(ts: str = "ts") -> Column:
     """Milliseconds since 1970 of a timestamp without zone, rounded down."""
-    return F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts)) / 1000)
+    return F.floor(micros(ts) / 1000)
 
 
 def value_is(op: str, number: float, value: str = "value") -> Column:

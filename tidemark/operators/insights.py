@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from tidemark.functions.columns import COMPARE
 from tidemark.operators.analysis import trends
 
 
@@ -18,15 +19,15 @@ class Insight:
     advice: list[str] = field(default_factory=list)
 
 
-# For each subject its metrics (the first that is present counts), bands of the average as (upper limit, words, advice), and trend words.
+# For each subject its metrics (the first that is present counts), bands of the average as (sign, limit, words, advice), the first that holds counts, and trend words.
 SUBJECTS = {
-    "mood": (("mood",), [(5, "mood has been low", "plan something pleasant each day"), (7.000001, "mood has been moderate", None), (99, "mood has been positive", None)], (-0.5, 0.5)),
+    "mood": (("mood",), [("<", 5, "mood has been low", "plan something pleasant each day"), (">", 7, "mood has been positive", None), (">=", 5, "mood has been moderate", None)], (-0.5, 0.5)),
     "sleep": (
         ("sleep_hours", "sleep"),
-        [(6, "sleep has been quite low", "aim for seven to nine hours"), (7, "sleep has been slightly below seven hours", None), (8.500001, "sleep has been in a healthy range", None), (99, "there has been plenty of sleep", None)],
+        [("<", 6, "sleep has been quite low", "aim for seven to nine hours"), ("<", 7, "sleep has been slightly below seven hours", None), (">", 8.5, "there has been plenty of sleep", None), (">=", 7, "sleep has been in a healthy range", None)],
         (-0.5, None),
     ),
-    "energy": (("energy",), [(5, "energy has been low", None), (7.000001, None, None), (99, "energy has been good", None)], (None, 0.5)),
+    "energy": (("energy",), [("<", 5, "energy has been low", None), (">", 7, "energy has been good", None)], (None, 0.5)),
     "productivity": (("productivity", "focus", "focus_hours", "deep_work"), [], (None, None)),
 }
 TRIGGERS = {"mood": ("mood",), "sleep": ("sleep",), "energy": ("energy",), "productivity": ("productivity", "focus")}
@@ -47,7 +48,7 @@ def explain(question: str, averages: dict[str, float], changes: dict[str, float]
             continue
         level, change = averages[name], changes.get(name)
         out.data[name] = level
-        band = next(((words, advice) for limit, words, advice in bands if level < limit), (None, None))
+        band = next(((words, advice) for sign, limit, words, advice in bands if COMPARE[sign](level, limit)), (None, None))
         if band[0]:
             said.append(f"Your {band[0]}, at {level:.1f} on average." if not band[0].startswith("there") else f"Lately {band[0]}, {level:.1f} hours on average.")
         if band[1]:

@@ -13,7 +13,15 @@ from tidemark.functions.times import TimeRange
 
 def of_category(points: DataFrame, metrics: DataFrame, category: str) -> DataFrame:
     """Points whose metric is of the category; points of unknown metrics are of none."""
-    return points.join(F.broadcast(metrics.where(F.col("category") == category).select(F.col("name").alias("metric"))), "metric", "left_semi")
+    return points.join(metrics.where(F.col("category") == category).select(F.col("name").alias("metric")), "metric", "left_semi")
+
+
+def metric_rows(metrics: DataFrame, name: str | None = None, number: int | None = None, category: str | None = None) -> DataFrame:
+    """(id, name, unit, category, aggregation, description, min_value, max_value) of the metrics asked for, all by default; kinds in lower case."""
+    rows = metrics
+    for column, wanted in (("name", name), ("id", number), ("category", category)):
+        rows = rows if wanted is None else rows.where(F.col(column) == wanted)
+    return rows.select("id", "name", "unit", F.lower("category").alias("category"), F.lower("aggregation").alias("aggregation"), "description", "min_value", "max_value").orderBy("id")
 
 
 def any_tag(points: DataFrame, key: str, values: list[str]) -> DataFrame:
@@ -57,7 +65,7 @@ def as_of(probes: DataFrame, points: DataFrame, by: str, at: str = "ts") -> Data
     own = points.select(F.col("metric").alias(by), F.col("ts").alias(at), F.lit(0).alias("_p"), C.bucket("day").alias("_day"), F.struct("ts", "value").alias("_seen"), F.col("seq").alias("_o"))
     inside = Window.partitionBy(by, "_day").orderBy(at, "_p", "_o").rowsBetween(Window.unboundedPreceding, 0)
     found = both.unionByName(own, allowMissingColumns=True).withColumn("_seen", F.last("_seen", ignorenulls=True).over(inside)).where("_p = 1")
-    days = found.select(by, "_day").distinct().unionByName(opening, allowMissingColumns=True).groupBy(by, "_day").agg(F.first("_last", ignorenulls=True).alias("_last"))
+    days = probes.select(by, C.bucket("day", at).alias("_day")).distinct().unionByName(opening, allowMissingColumns=True).groupBy(by, "_day").agg(F.first("_last", ignorenulls=True).alias("_last"))
     before = Window.partitionBy(by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # a row for each metric and day
     carried = days.select(by, "_day", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
     joined = found.join(carried, [by, "_day"], "left").withColumn("_found", F.coalesce("_seen", "_carried"))

@@ -40,9 +40,27 @@ def rejected(points: DataFrame, now_ms: int) -> DataFrame:
     return with_errors(points, now_ms).where(F.size("errors") > 0)
 
 
+def ingest_batches(items: DataFrame, now_ms: int, batch_col: str = "batch", item_col: str = "item", limit: int = BATCH) -> DataFrame:
+    """(batch, accepted, rejected, errors): what becomes of each batch; errors name the item by its index and the rules it breaks, in order of items.
+
+    A batch of more than `limit` items is turned away as a whole, with one error. So what is listed for a batch is bounded by the limit.
+    """
+    checked = with_errors(items.withColumn("ts", F.coalesce("ts", moment(now_ms))), now_ms)
+    sizes = items.groupBy(batch_col).agg(F.count("*").alias("n"))
+    bad = F.size("errors") > 0
+    told = F.when(bad, F.struct(F.col(item_col).alias("item"), F.concat(F.lit("item "), F.col(item_col).cast("string"), F.lit(": "), F.array_join("errors", ", ")).alias("text")))
+    good = checked.join(sizes.where(F.col("n") <= limit), batch_col).groupBy(batch_col).agg(
+        F.count_if(~bad).alias("accepted"), F.count_if(bad).alias("rejected"), F.transform(F.array_sort(F.collect_list(told)), lambda x: x["text"]).alias("errors")
+    )
+    large = sizes.where(F.col("n") > limit).select(
+        batch_col, F.lit(0).cast("long").alias("accepted"), F.col("n").alias("rejected"), F.array(F.format_string(f"%d items, {limit} at most", "n")).alias("errors")
+    )
+    return good.unionByName(large)
+
+
 def out_of_bounds(points: DataFrame, metrics: DataFrame) -> DataFrame:
     """Points outside the inclusive bounds of their metric; a bound that is not given holds nothing back."""
-    bounds = F.broadcast(metrics.select(F.col("name").alias("metric"), "min_value", "max_value"))
+    bounds = metrics.select(F.col("name").alias("metric"), "min_value", "max_value")
     low, high = F.coalesce(F.col("value") < F.col("min_value"), F.lit(False)), F.coalesce(F.col("value") > F.col("max_value"), F.lit(False))
     return points.join(bounds, "metric").where(low | high).select(points.columns)
 

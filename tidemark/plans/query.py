@@ -11,13 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.functions.times import REQUEST_UNITS, TimeRange, auto_interval, interval_name, parse_time
+from tidemark.functions.times import REQUEST_UNITS, TimeRange, auto_interval, interval_name, parse_time, to_ms
+
+
+#: The times that a condition without the other end reaches to.
+EARLIEST, LATEST = to_ms(datetime(1, 1, 1)), to_ms(datetime(9999, 12, 31))
 
 
 class MetricNotFound(ValueError):
@@ -57,6 +62,14 @@ class Query:
             raise ValueError("the time ranges do not meet")
         return replace(self, span=span)
 
+    def where_time(self, op: str, at_ms: int) -> Query:
+        """A condition on the time, exact to the millisecond; several are intersected, and with ranges, too."""
+        spans = {"eq": (at_ms, at_ms + 1), "ge": (at_ms, LATEST), "gt": (at_ms + 1, LATEST), "lt": (EARLIEST, at_ms), "le": (EARLIEST, at_ms + 1)}
+        kind = C.COMPARE[op].__name__
+        if kind not in spans:
+            raise ValueError(f"not a condition on the time: {op}")
+        return self.time_range(TimeRange(*spans[kind]))
+
     def last_days(self, n: int) -> Query:
         return replace(self, last=(n, 0, 0))
 

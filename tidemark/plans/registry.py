@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions.times import INTERVALS, TimeRange, to_ms
-from tidemark.operators import analysis, lookups, validation
+from tidemark.operators import analysis, insights, lookups, validation
 from tidemark.plans.query import Item, Query, daily_average, series
 from tidemark.sinks import export
 from tidemark.sources import imports, points
+from tidemark.session import staged
 from tidemark.streaming import streams
 
 #: The moment that the registered queries take as now: the end of the events.
@@ -39,11 +41,12 @@ def add(name: str, sql: str | None = None):
     return put
 
 
-def on_points(query: Query, metrics: list[str] | None = None, places: int = 6) -> Callable[[SparkSession, str], DataFrame]:
-    """A query object as a registered query; numbers are rounded so that the order of sums does not show."""
+def on_points(query: Query, metrics: list[str] | None = None, places: int = 6, whole: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    """A query object as a registered query; numbers are rounded so that the order of sums does not show. `whole` values are rounded down first."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = query.run(points.event_points(spark, sf_dir), NOW, metrics)
+        own = points.event_points(spark, sf_dir)
+        out = query.run(own.withColumn("value", F.floor("value").cast("double")) if whole else own, NOW, metrics or KINDS)
         return out.select(*[C.rounded(F.col(c), places).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
     return run
@@ -125,8 +128,8 @@ add(
     )
 )
 for _op, _sign in (("eq", "="), ("ne", "<>"), ("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<=")):
-    _value = {"eq": "abs(value - 50.0) < 2.220446049250313e-16", "ne": "abs(value - 50.0) >= 2.220446049250313e-16"}.get(_op, f"value {_sign} 50.0")
-    add(f"value_{_op}", rows_sql(f"{IN_JANUARY} AND metric = 'click' AND {_value}"))(on_points(Query.select("click").time_range(JANUARY).where_value(_op, 50.0)))
+    _whole = rows_sql(f"{IN_JANUARY} AND metric = 'click' AND floor(value) {_sign} 50.0", _CLICK.replace("arg_min(value", "arg_min(floor(value)"))
+    add(f"value_{_op}", _whole)(on_points(Query.select("click").time_range(JANUARY).where_value(_op, 50.0), whole=True))
     add(f"tag_{_op}", rows_sql(f"{IN_JANUARY} AND metric = 'click' AND k {_sign} '50'"))(on_points(Query.select("click").time_range(JANUARY).where_tag("k", _op, "50")))
 add("tag_ne_missing", rows_sql(f"{IN_JANUARY} AND metric = 'click'"))(on_points(Query.select("click").time_range(JANUARY).where_tag("absent", "!=", "x")))
 add("tag_eq_missing", rows_sql(f"{IN_JANUARY} AND metric = 'click' AND false"))(on_points(Query.select("click").time_range(JANUARY).where_tag("absent", "=", "x")))
@@ -218,6 +221,11 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.daily_means(points.event_points(spark, sf_dir))
 
 
+def stored_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily means as a table, for what reads them more than once."""
+    return staged(daily(spark, sf_dir), "daily")
+
+
 _PAIRS = f"{D}, x AS (SELECT a.metric AS metric_a, b.metric AS metric_b, a.day, a.mean AS a, b.mean AS b FROM d a JOIN d b ON a.day = b.day AND a.metric < b.metric)"
 _R = (
     ", s AS (SELECT metric_a, metric_b, count(*) AS sample_size, count(*) * sum(a * b) - sum(a) * sum(b) AS top, (count(*) * sum(a * a) - sum(a) * sum(a)) * (count(*) * sum(b * b) - sum(b) * sum(b)) AS spread FROM x GROUP BY ALL)"
@@ -231,22 +239,22 @@ _SHOWN = (
 
 @add("daily_correlation", _PAIRS + _R + _SHOWN + " WHERE abs(r) > 0.0")
 def daily_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.correlations(daily(spark, sf_dir), least_r=0.0)
+    return analysis.correlations(stored_daily(spark, sf_dir), least_r=0.0)
 
 
 @add("strong_correlation", _PAIRS + _R + _SHOWN + " WHERE sample_size >= 7 AND abs(r) > 0.3")
 def strong_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.correlations(daily(spark, sf_dir))
+    return analysis.correlations(stored_daily(spark, sf_dir))
 
 
 @add("correlation_for_metric", _PAIRS + _R + _SHOWN + " WHERE (metric_a = 'click' OR metric_b = 'click') AND abs(r) > 0.0")
 def correlation_for_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.correlations(daily(spark, sf_dir), least_r=0.0, metric="click")
+    return analysis.correlations(stored_daily(spark, sf_dir), least_r=0.0, metric="click")
 
 
 @add("pair_alignment", f"{_PAIRS} SELECT metric_a, metric_b, day, {near('a')} AS a, {near('b')} AS b FROM x")
 def pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.aligned_pairs(daily(spark, sf_dir)).withColumns({c: C.rounded(F.col(c), 6) for c in ("a", "b")})
+    return analysis.aligned_pairs(stored_daily(spark, sf_dir)).withColumns({c: C.rounded(F.col(c), 6) for c in ("a", "b")})
 
 
 @add("zero_variance_corr", "WITH d AS (SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1) SELECT 0.0::DOUBLE AS r, count(*) AS days FROM d")
@@ -462,7 +470,7 @@ for _interval in INTERVALS:
 
     def stream_buckets(spark: SparkSession, sf_dir: str, interval: str = _interval) -> DataFrame:
         made = streams.run_to_table(streams.bucketed(stream(spark, sf_dir), interval), "complete")
-        return made.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "metric", C.rounded(F.col("mean"), 6).alias("mean"), "n")
+        return made.select("bucket", "metric", C.rounded(F.col("mean"), 6).alias("mean"), "n")
 
     add(f"stream_{_interval}", _bucket_sql(_interval))(stream_buckets)
 
@@ -472,7 +480,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event twice in the stream, once in the result."""
     twice = stream(spark, sf_dir)
     made = streams.run_to_table(streams.first_only(twice.unionByName(stream(spark, sf_dir))))
-    return made.select("metric", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", "seq")
+    return made.select("metric", "ts", "value", "seq")
 
 
 _TOPICS = [("a", "metrics.click"), ("b", "metrics.*"), ("b", "metrics.view"), ("c", "category.custom"), ("d", "category.*")]
@@ -494,3 +502,140 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streamed events, very large values made infinite; the good rows that were written."""
     rows = stream(spark, sf_dir).withColumn("value", F.when(F.col("value") > 200, float("inf")).otherwise(F.col("value")))
     return streams.run_to_table(rows, batch=lambda b: streams.split_ingest(b, NOW)[0]).select("metric", "ts", "value", "seq")
+
+
+MIDDLE = to_ms(datetime(2024, 1, 15, 12))
+for _op, _sign in (("gte", ">="), ("gt", ">"), ("lt", "<"), ("lte", "<=")):
+    add(f"time_{_op}", rows_sql(f"date_trunc('millisecond', ts) {_sign} TIMESTAMP '2024-01-15 12:00:00' AND metric = 'click'"))(on_points(Query.select("click").where_time(_op, MIDDLE)))
+
+
+@add("time_eq", f"{P}, t AS (SELECT max(epoch_ms(ts)) AS latest FROM p WHERE metric = 'click') SELECT ts, arg_min(value, seq) AS click FROM p, t WHERE metric = 'click' AND epoch_ms(ts) = latest GROUP BY ts")
+def time_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last millisecond that has a click."""
+    own = points.event_points(spark, sf_dir)
+    at = own.where("metric = 'click'").agg(F.max(C.millis("ts"))).first()[0]
+    return Query.select("click").where_time("=", at).run(own, NOW, KINDS)
+
+
+add("time_between", rows_sql("ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-15 12:00:00' AND metric = 'click'"))(
+    on_points(Query.select("click").where_time(">=", to_ms(datetime(2024, 1, 10))).where_time("<", MIDDLE))
+)
+
+
+@add("export_sorted", f"""{P} SELECT row_number() OVER (ORDER BY ts, metric, seq) AS place, epoch_us(ts) // 1000 AS timestamp, metric, value FROM p WHERE {IN_WEEK} AND metric IN ('click', 'error')""")
+def export_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in the order of their file, as their number there shows."""
+    rows = export.export_rows(points.event_points(spark, sf_dir), WEEK, "click, error", ordered=True)
+    part = staged(rows.select("timestamp", "metric", "value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "export")
+    sizes = part.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    ahead = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    before = sizes.select("part", "first", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    return part.join(before, "part").select((F.col("row") - F.col("first") + F.col("before") + 1).alias("place"), "timestamp", "metric", "value")
+
+
+@add(
+    "ingest_batches",
+    f"{P}, e AS (SELECT day(ts) AS batch, seq, concat_ws(', ', CASE WHEN metric = 'error' THEN 'metric_empty' END, CASE WHEN value > 200 OR value < 1 THEN 'value_not_finite' END, CASE WHEN u = '7' THEN 'tag_value' END) AS errors FROM p),"
+    " b AS (SELECT batch, count(*) AS n, count(*) FILTER (WHERE errors <> '') AS bad, string_agg('item ' || seq || ': ' || errors, '; ' ORDER BY seq) FILTER (WHERE errors <> '') AS texts FROM e GROUP BY batch), m AS (SELECT count(*) // 31 AS most FROM p)"
+    " SELECT batch, CASE WHEN n > most THEN 0 ELSE n - bad END AS accepted, CASE WHEN n > most THEN n ELSE bad END AS rejected, CASE WHEN n > most THEN n || ' items, ' || most || ' at most' ELSE coalesce(texts, '') END AS errors FROM b, m",
+)
+def ingest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch for each day of the month; those above the usual size are turned away."""
+    items = incoming(spark, sf_dir).withColumns({"batch": F.dayofmonth("ts").cast("long"), "item": F.col("seq")})
+    found = validation.ingest_batches(items, NOW, limit=items.count() // 31)
+    return found.select("batch", "accepted", "rejected", F.array_join("errors", "; ").alias("errors"))
+
+
+@add("metrics_list", "SELECT event_type AS name, CASE event_type WHEN 'click' THEN 'sum' WHEN 'view' THEN 'average' END AS aggregation, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+def metrics_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of a category, with the number of their points."""
+    found = lookups.metric_rows(points.metric_table(spark), category="productivity")
+    return points.event_points(spark, sf_dir).join(found.withColumnRenamed("name", "metric"), "metric").groupBy(F.col("metric").alias("name"), "aggregation").agg(F.count("*").alias("n"))
+
+
+@add("json_rows", f"""{P}, c AS (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, CAST(count(*) FILTER (WHERE metric = 'click') AS BIGINT) AS click, nullif(count(*) FILTER (WHERE metric = 'error' AND u = '3'), 0) AS error FROM p GROUP BY 1)
+    SELECT '{{"day":"' || day || '","click":' || click || coalesce(',"error":' || error, '') || '}}' AS json FROM c""")
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = points.event_points(spark, sf_dir).groupBy(F.date_format(C.bucket("day"), "yyyy-MM-dd").alias("day"))
+    error = F.nullif(F.count_if((F.col("metric") == "error") & (F.col("tags")["user"] == "3")), F.lit(0))
+    return export.json_rows(days.agg(F.count_if(F.col("metric") == "click").alias("click"), error.alias("error")))
+
+
+@add("text_rows", f"{P} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS time, coalesce(printf('%.1f', CAST(nullif(count(*) FILTER (WHERE metric = 'click'), 0) AS DOUBLE)), '-') AS click, coalesce(printf('%.1f', CAST(nullif(count(*) FILTER (WHERE metric = 'error'), 0) AS DOUBLE)), '-') AS error FROM p WHERE {IN_WEEK} AND metric IN ('click', 'error') GROUP BY 1")
+def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.text_rows(Query.select("click", "error").time_range(WEEK).group_by("hour").aggregate("count").run(points.event_points(spark, sf_dir), NOW))
+
+
+@add(
+    "csv_report",
+    f"{P} SELECT count(*) AS rows_read, count(*) FILTER (WHERE metric <> 'error') * 1 AS points, count(*) FILTER (WHERE metric = 'error') AS failed,"
+    " array_to_string(list_slice(list('row ' || seq || ': not a time: soon' ORDER BY seq) FILTER (WHERE metric = 'error'), 1, 100), '; ') AS errors, greatest(count(*) FILTER (WHERE metric = 'error') - 100, 0) AS more FROM p",
+)
+def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as lines of a CSV between semicolons, those of errors without a good time, and a report of reading them."""
+    own = points.event_points(spark, sf_dir)
+    time = F.when(F.col("metric") == "error", "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    line = F.concat_ws(";", time, F.col("value").cast("string"), F.col("metric"))
+    found = imports.csv_report(own.select("seq", line.alias("line")), '"Local time";Value;"Kind; as text"', "seq", separator=";")
+    return found.withColumn("errors", F.array_join("errors", "; "))
+
+
+@add("health_archive", ORACLES["health_points"].replace("metric IN ('click', 'view')", "metric IN ('click', 'view') AND u < '3'"))
+def health_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of some users written as archives of health records, one for each user and day, and read again."""
+    own = points.event_points(spark, sf_dir).where("metric in ('click', 'view') and tags['user'] < '3'")
+    kind = F.when(F.col("metric") == "click", "HKQuantityTypeIdentifierStepCount").otherwise("HKQuantityTypeIdentifierHeartRate")
+    unit = F.when(F.col("metric") == "click", ' unit="count"').otherwise("")
+    record = F.concat(
+        F.lit('<Record type="'), kind, F.lit('" sourceName="user '), F.col("tags")["user"], F.lit('"'), unit,
+        F.lit(' startDate="'), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(' +0000" value="'), F.col("value").cast("string"), F.lit('"/>'),
+    )
+    files = own.groupBy(F.col("tags")["user"].alias("user"), C.bucket("day").alias("day")).agg(F.array_join(F.collect_list(record), "").alias("text"))
+    return imports.health_archives(files.select("text").mapInArrow(imports.zipped, "archive string"))
+
+
+@add(
+    "source_sync",
+    f"{P}, g AS (SELECT date_trunc('day', ts)::TIMESTAMP + INTERVAL 12 HOUR AS ts, count(*) FILTER (WHERE metric = 'click') AS n FROM p GROUP BY 1)"
+    " SELECT 'steps' AS metric, ts, CAST(n AS DOUBLE) AS value FROM g WHERE ts >= TIMESTAMP '2024-01-15' UNION ALL SELECT 'active_minutes', ts, 0.0 FROM g WHERE ts >= TIMESTAMP '2024-01-15'",
+)
+def source_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the activity source has from a time on."""
+    days = points.event_points(spark, sf_dir).groupBy(F.date_format(C.bucket("day"), "yyyy-MM-dd").alias("date")).agg(F.count_if(F.col("metric") == "click").cast("double").alias("steps"))
+    return imports.sync("activity", days.select(F.to_json(F.struct("date", F.struct("steps").alias("summary"))).alias("line")), C.moment(to_ms(datetime(2024, 1, 15))))
+
+
+@add("table_and_stream", f"{P} SELECT metric, ts, value, seq FROM p")
+def table_and_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a table holds up to a time and a stream has read from a time before on, each row once."""
+    streamed = streams.run_to_table(stream(spark, sf_dir).where(F.col("ts") >= C.moment(to_ms(datetime(2024, 1, 10)))))
+    stored = points.event_points(spark, sf_dir).where(F.col("ts") < C.moment(MIDDLE))
+    return streams.with_table(streamed, stored).select("metric", "ts", "value", "seq")
+
+
+@add("stream_resumed", f"{P} SELECT metric, ts, value, seq FROM p")
+def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A named stream run twice: the second run finds nothing new, and every row is there once."""
+    name = f"resumed-{uuid.uuid4().hex}"
+    streams.run_to_table(stream(spark, sf_dir), name=name)
+    return streams.run_to_table(stream(spark, sf_dir), name=name).select("metric", "ts", "value", "seq")
+
+
+_ASKED = {"click": "mood", "view": "sleep_hours", "purchase": "energy"}
+_LEVEL = f"{D}, l AS (SELECT metric, avg(mean) / 10 AS v FROM d GROUP BY metric)"
+
+
+@add(
+    "insight_rules",
+    f"{_LEVEL}, q AS (SELECT (SELECT v FROM l WHERE metric = 'click') AS mood, (SELECT v FROM l WHERE metric = 'view') AS sleep, (SELECT v FROM l WHERE metric = 'purchase') AS energy)"
+    " SELECT concat_ws(' ', 'Your mood has been ' || CASE WHEN mood < 5 THEN 'low' WHEN mood > 7 THEN 'positive' ELSE 'moderate' END || printf(', at %.1f on average.', mood),"
+    " CASE WHEN sleep < 6.5 AND mood < 6 THEN printf('Short sleep (%.1f hours) may play a part.', sleep) END,"
+    " CASE WHEN sleep > 8.5 THEN printf('Lately there has been plenty of sleep, %.1f hours on average.', sleep) ELSE 'Your sleep has been ' || CASE WHEN sleep < 6 THEN 'quite low' WHEN sleep < 7 THEN 'slightly below seven hours' ELSE 'in a healthy range' END || printf(', at %.1f on average.', sleep) END,"
+    " CASE WHEN energy < 5 THEN printf('Your energy has been low, at %.1f on average.', energy) WHEN energy > 7 THEN printf('Your energy has been good, at %.1f on average.', energy) END,"
+    " CASE WHEN energy < 5 AND sleep < 7 THEN printf('Short sleep (%.1f hours) may play a part.', sleep) END) AS text FROM q",
+)
+def insight_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules' answer about mood, sleep and energy, for which three kinds of events stand, without changes."""
+    rows = analysis.trends(daily(spark, sf_dir)).where(F.col("metric").isin(*_ASKED)).collect()
+    found = insights.explain("how are my mood, sleep and energy?", {_ASKED[r["metric"]]: r["average"] / 10 for r in rows}, {})
+    return spark.createDataFrame([(found.text,)], "text string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +38,10 @@ def shared_folder(spark: SparkSession) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("tidemark.local.checkpoint.dir", folder)
     return folder
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """A small result as a table in the shared folder, for plans that read it more than once."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,11 +9,16 @@ from tidemark.functions import columns as C
 from tidemark.functions.times import TimeRange
 
 
-def export_rows(points: DataFrame, span: TimeRange, metrics: list[str] | None = None) -> DataFrame:
-    """(timestamp, metric, value, tags): milliseconds and tags as JSON with keys in order; unknown metrics select nothing."""
+def export_rows(points: DataFrame, span: TimeRange, metrics: list[str] | str | None = None, ordered: bool = False) -> DataFrame:
+    """(timestamp, metric, value, tags): milliseconds and tags as JSON with keys in order; unknown metrics select nothing.
+
+    Metrics are a list, or names between commas. Ordered rows go by time, metric and sequence number, over all files that are written.
+    """
+    metrics = [m.strip() for m in metrics.split(",") if m.strip()] if isinstance(metrics, str) else metrics
     rows = points.where(C.in_range(span))
     rows = rows if metrics is None else rows.where(F.col("metric").isin(metrics))
     tags = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("tags"))))
+    rows = rows.orderBy("ts", "metric", "seq") if ordered else rows
     return rows.select(C.millis("ts").alias("timestamp"), F.coalesce("metric", F.lit("unknown")).alias("metric"), "value", tags.alias("tags"))
 
 
@@ -27,10 +32,15 @@ def write_ndjson(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_points(points: DataFrame, path: str, mode: str = "append") -> None:
-    """Points as Parquet by day, sorted by metric and time inside a file, so that days and row groups are skipped by later scans."""
+def write_points(points: DataFrame, path: str, mode: str = "append", rows_each: int = 5_000_000) -> None:
+    """Points as Parquet by day, sorted by metric and time inside a file, so that days and row groups are skipped by later scans.
+
+    A day has as many files as an average day has times `rows_each` points.
+    """
     days = points.withColumn("day", F.to_date("ts"))
-    days.repartition("day", F.pmod(F.xxhash64("metric", "seq"), F.lit(16))).sortWithinPartitions("metric", "ts", "seq").write.mode(mode).partitionBy("day").parquet(path)
+    n, several = days.agg(F.count("*"), F.approx_count_distinct("day")).first()
+    files = n // max(1, several) // rows_each + 1
+    days.repartition("day", F.pmod(F.xxhash64("metric", "seq"), F.lit(files))).sortWithinPartitions("metric", "ts", "seq").write.mode(mode).partitionBy("day").parquet(path)
 
 
 def chart_rows(result: DataFrame) -> DataFrame:
@@ -42,6 +52,12 @@ def chart_rows(result: DataFrame) -> DataFrame:
     return result.select(F.date_format(time, "MMM dd").alias("label"), F.col(time).alias("position"), cells).select("label", "position", "c.series", "c.color", "c.value")
 
 
+def write_csv_numbers(result: DataFrame, path: str) -> None:
+    """A wide result as CSV with two decimals."""
+    time, *names = result.columns
+    result.select(time, *[F.format_string("%.2f", F.col(n)).alias(n) if t in ("double", "float") else F.col(n) for n, t in result.dtypes[1:]]).write.mode("overwrite").option("header", True).csv(path)
+
+
 def json_rows(result: DataFrame) -> DataFrame:
     """(json): each row as an object; missing cells are left out."""
     return result.select(F.to_json(F.struct(*result.columns)).alias("json"))

@@ -1,14 +1,22 @@
 """Importers: wide CSV lines, health records in XML, repository events and daily activity in JSON.
 
 Each takes a DataFrame of raw text rows (from a file, a stream or a table) and returns points; all parsing is
-done by Spark's own expressions, so an import is spread over its input like any scan.
+done by Spark's own expressions, so an import is spread over its input like any scan. Archives alone are unpacked by Python, in a stream.
+`SOURCES` holds the importers of services by name; others can be added.
 """
 
 from __future__ import annotations
 
+import base64
+import csv
+import io
 import re
+import zipfile
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,24 +52,48 @@ def csv_time(text: Column, first_format: str | None = None) -> Column:
 
 def csv_columns(header: str, separator: str = ",") -> tuple[int, dict[int, str]]:
     """From a header the place of the time column (the last whose name says so) and the metric of each other column."""
-    names = [n.strip() for n in header.split(separator)]
+    names = [n.strip() for n in next(csv.reader([header], delimiter=separator))]
     times = [i for i, n in enumerate(names) if re.search("date|time", n.lower())]
     if not times:
         raise ValueError("no column is called date, time or timestamp")
     return times[-1], {i: n.lower().replace(" ", "_") for i, n in enumerate(names) if i not in times}
 
 
-def csv_points(lines: DataFrame, header: str, line_col: str = "line", first_format: str | None = None) -> DataFrame:
-    """(metric, ts, value) from lines of a wide CSV: a point for each cell that is a number; ragged rows and other cells are passed over."""
-    at, metrics = csv_columns(header)
-    width = len(header.split(","))
-    cells = F.from_csv(F.col(line_col), F.lit(", ".join(f"c{i} string" for i in range(width))), {"mode": "PERMISSIVE"})
-    rows = lines.where(F.col(line_col) != F.lit(header)).select(cells.alias("c"))
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(f"try_cast(trim(c.c{i}) as double)").alias("value")) for i, m in metrics.items()]))
-    long = rows.select(csv_time(F.trim(f"c.c{at}"), first_format).alias("ts"), each.alias("p"))
+def _csv_rows(lines: DataFrame, header: str, line_col: str, first_format: str | None, separator: str, only: list[str] | None, keep: list[str]) -> DataFrame:
+    """(line, ts, cells, *keep) of the lines that are no header; cells are structs of metric and value."""
+    at, metrics = csv_columns(header, separator)
+    names = next(csv.reader([header], delimiter=separator))
+    chosen = {i: m for i, m in metrics.items() if only is None or m in only}
+    cells = F.from_csv(F.col(line_col), F.lit(", ".join(f"c{i} string" for i in range(len(names)))), {"mode": "PERMISSIVE", "sep": separator})
+    rows = lines.where(F.col(line_col) != F.lit(header)).select(F.col(line_col).alias("line"), *keep, cells.alias("c"))
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(f"try_cast(trim(c.c{i}) as double)").alias("value")) for i, m in chosen.items()])
+    return rows.select("line", *keep, F.trim(f"c.c{at}").alias("time_text"), csv_time(F.trim(f"c.c{at}"), first_format).alias("ts"), each.alias("cells"))
+
+
+def csv_points(lines: DataFrame, header: str, line_col: str = "line", first_format: str | None = None, separator: str = ",", only: list[str] | None = None) -> DataFrame:
+    """(metric, ts, value) from lines of a wide CSV: a point for each cell that is a number; ragged rows and other cells are passed over.
+
+    Lines equal to the header are headers. `only` names the metrics to read, all by default.
+    """
+    long = _csv_rows(lines, header, line_col, first_format, separator, only, []).select("ts", F.explode("cells").alias("p"))
     return long.select("p.metric", "ts", "p.value").where("ts is not null and value is not null")
 
 
+def csv_report(
+    lines: DataFrame, header: str, number_col: str, line_col: str = "line", first_format: str | None = None, separator: str = ",", only: list[str] | None = None, listed: int = 100
+) -> DataFrame:
+    """One row (rows_read, points, failed, errors, more) about an import: rows without a good time fail; the first `listed` errors by number, and how many more there are."""
+    rows = _csv_rows(lines, header, line_col, first_format, separator, only, [number_col])
+    good = F.col("ts").isNotNull()
+    text = F.format_string("row %d: not a time: %s", F.col(number_col), F.coalesce("time_text", F.lit("")))
+    first = rows.where(~good).select(F.struct(F.col(number_col).alias("n"), text.alias("text")).alias("e")).orderBy("e").limit(listed)
+    errors = first.agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["text"]).alias("errors"), F.lit(1).alias("key"))  # `listed` at most
+    counts = rows.agg(
+        F.count("*").alias("rows_read"), F.coalesce(F.sum(F.when(good, F.size(F.filter("cells", lambda c: c["value"].isNotNull())))), F.lit(0)).cast("long").alias("points"), F.count_if(~good).alias("failed"), F.lit(1).alias("key")
+    )
+    return counts.join(errors, "key").select("rows_read", "points", "failed", "errors", (F.col("failed") - F.size("errors")).alias("more"))  # one row each
+
+
 def health_metric(kind: Column) -> Column:
     """A health record's type as a metric name: without prefix, words in lower case joined by underscores, usual names for some."""
     plain = F.regexp_replace(kind, "^HK(Quantity|Category)TypeIdentifier", "")
@@ -78,21 +110,73 @@ def health_category(metric: Column) -> Column:
     return out
 
 
+def _plain(text: Column) -> Column:
+    """Text without XML entities."""
+    for entity, sign in (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return text
+
+
 def health_points(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """(metric, ts, value, unit, source) from lines that hold a <Record …/>; values that are no numbers and times that are none are left out."""
+    """(metric, ts, value, unit, source) of every <Record …> in the lines; values that are no numbers and times that are none are left out."""
 
     def attribute(name: str) -> Column:
-        found = F.regexp_extract(F.col(line_col), rf'\b{name}="([^"]*)"', 1)
-        return F.when(found != "", found)
+        found = F.regexp_extract("_record", rf'\s{name}="([^"]*)"', 1)
+        return F.when(found != "", _plain(found))
 
     text = attribute("startDate")
     zoned = F.to_utc_timestamp(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss Z")), F.current_timezone()).cast("timestamp_ntz")
     ts = F.coalesce(zoned, F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("timestamp_ntz"))
-    rows = lines.where(F.col(line_col).contains("<Record"))
+    rows = lines.select(F.explode(F.regexp_extract_all(F.col(line_col), F.lit("<Record(?:[^>\"]|\"[^\"]*\")*>"), 0)).alias("_record"))
     made = rows.select(health_metric(attribute("type")).alias("metric"), ts.alias("ts"), attribute("value").alias("v"), attribute("unit").alias("unit"), attribute("sourceName").alias("source"))
     return made.select("metric", "ts", F.expr("try_cast(v as double)").alias("value"), F.coalesce("unit", F.lit("")).alias("unit"), "source").where("metric is not null and ts is not null and value is not null")
 
 
+def archive_lines(archives: DataFrame, archive_col: str = "archive", inside: str = "export.xml", piece: int = 1 << 20) -> DataFrame:
+    """(line): the file `inside` of each zipped archive (base64 text), read in pieces that end after a record; broken archives and those without the file give none."""
+
+    def pieces(packed: str | None) -> Iterator[str]:
+        try:
+            whole = zipfile.ZipFile(io.BytesIO(base64.b64decode(packed or "")))
+            name = next((n for n in whole.namelist() if n.rsplit("/", 1)[-1] == inside), None)
+        except (zipfile.BadZipFile, ValueError):
+            return
+        if name is None:
+            return
+        with whole.open(name) as f:
+            rest = b""
+            while more := f.read(piece):
+                cut = (rest + more).rfind(b">") + 1
+                yield (rest + more)[:cut].decode("utf-8", "replace")
+                rest = (rest + more)[cut:]
+            yield rest.decode("utf-8", "replace")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for packed in b.column(0):
+                for text in pieces(packed.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["line"])
+
+    return archives.select(F.col(archive_col).cast("string")).mapInArrow(run, "line string")
+
+
+def zipped(batches: Iterator[pa.RecordBatch], inside: str = "export/export.xml") -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: each text of the first column as an archive in base64."""
+    for b in batches:
+        out = []
+        for text in b.column(0).to_pylist():
+            whole = io.BytesIO()
+            with zipfile.ZipFile(whole, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(inside, f"<Data>{text or ''}</Data>")
+            out.append(base64.b64encode(whole.getvalue()).decode())
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["archive"])
+
+
+def health_archives(archives: DataFrame, archive_col: str = "archive") -> DataFrame:
+    """The points of `health_points` from exported archives as base64 text."""
+    return health_points(archive_lines(archives, archive_col))
+
+
 # The shape of a repository event.
 REPOSITORY_EVENT = "type string, created_at string, payload struct<action:string, commits:array<struct<sha:string>>, pull_request:struct<merged:boolean>>"
 
@@ -130,3 +214,28 @@ def activity_points(lines: DataFrame, line_col: str = "line") -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.lit(h).alias("hour"), v.cast("double").alias("value")) for n, h, v in cells])).alias("p")
     made = days.select("day", each).where("p.value is not null")
     return made.select("p.metric", (F.col("day") + F.make_dt_interval(hours=F.col("p.hour"))).cast("timestamp_ntz").alias("ts"), "p.value")
+
+
+@dataclass(frozen=True)
+class Source:
+    """An importer of a service: the metrics it can provide (none given: any) and how its raw lines become points."""
+
+    metrics: tuple[str, ...]
+    points: Callable[[DataFrame], DataFrame]
+
+
+#: Importers by name; a plug-in adds its own.
+SOURCES: dict[str, Source] = {
+    "repository": Source(("commits", "prs_opened", "prs_merged", "issues_closed", "code_reviews"), repository_points),
+    "activity": Source(("steps", "calories_burned", "active_minutes", "sleep_hours"), activity_points),
+    "health": Source((), lambda lines: health_points(lines).select("metric", "ts", "value")),
+}
+
+
+def sync(name: str, lines: DataFrame, since: Column | None = None) -> DataFrame:
+    """(metric, ts, value): what a source has from a time on, of the metrics it provides."""
+    if name not in SOURCES:
+        raise ValueError(f"no source is called {name!r}; there are {', '.join(sorted(SOURCES))}")
+    found = SOURCES[name].points(lines)
+    found = found.where(F.col("metric").isin(*SOURCES[name].metrics)) if SOURCES[name].metrics else found
+    return found if since is None else found.where(F.col("ts") >= since)

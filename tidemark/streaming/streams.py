@@ -1,16 +1,18 @@
 """Points as a stream: validated ingest, continuous buckets, first-only rows and routing to topics.
 
 Every stream reads files as they come, keeps its progress in a checkpoint in the shared folder, and here
-runs until what is there has been read (available now). Late rows count until the watermark has passed.
+runs until what is there has been read (available now). Under a name it goes on where its last run stopped. Late rows count until the
+watermark has passed. Times of points have no zone and mean UTC; the watermark runs on the instant, whatever the session's zone.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import micros
 from tidemark.operators.validation import with_errors
 from tidemark.session import shared_folder
 from tidemark.sources.points import from_events
@@ -25,23 +27,36 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return from_events(spark.readStream.schema(shape).parquet(path))
 
 
+def instant(ts: str = "ts") -> Column:
+    """The instant of a time without zone, read as UTC."""
+    return F.timestamp_micros(micros(ts))
+
+
+def zone_free(at: Column) -> Column:
+    """The time without zone, in UTC, of an instant; also where clocks are set forward in the session's zone."""
+    days, micros = F.floor(F.unix_micros(at) / 86_400_000_000), F.pmod(F.unix_micros(at), F.lit(86_400_000_000))
+    return F.date_from_unix_date(days.cast("int")).cast("timestamp_ntz") + F.make_dt_interval(secs=(micros / 1_000_000).cast("decimal(18,6)"))
+
+
 def timed(points: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Points with a watermark on the time."""
-    return points.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    """Points with a watermark on their instant, in the column at."""
+    return points.withColumn("at", instant()).withWatermark("at", delay)
 
 
 def bucketed(points: DataFrame, interval: str, delay: str = "1 day") -> DataFrame:
-    """(bucket, metric, mean, n): continuous aggregation by hour, day or week; a month needs update mode and date_trunc."""
+    """(bucket, metric, mean, n): continuous aggregation by hour, day or week, by UTC; a month needs update or complete mode."""
+    rows = timed(points, delay)
     if interval == "month":
-        bucket = F.date_trunc("month", "ts")
+        grouped = rows.groupBy(F.date_trunc("month", "ts").cast("timestamp_ntz").alias("bucket"), "metric")
     else:
-        bucket = F.window("ts", *WINDOWS[interval])["start"]
-    return timed(points, delay).groupBy(bucket.alias("bucket"), "metric").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+        grouped = rows.groupBy(F.window("at", *WINDOWS[interval])["start"].alias("bucket"), "metric")
+    made = grouped.agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    return made if interval == "month" else made.withColumn("bucket", zone_free(F.col("bucket")))
 
 
 def first_only(points: DataFrame, delay: str = "1 day") -> DataFrame:
     """Points less repeats of a sequence number within the delay."""
-    return timed(points, delay).dropDuplicatesWithinWatermark(["seq"])
+    return timed(points, delay).dropDuplicatesWithinWatermark(["seq"]).drop("at")
 
 
 def valid_topic(topic: str) -> bool:
@@ -53,20 +68,24 @@ def valid_topic(topic: str) -> bool:
 def routed(points: DataFrame, subscriptions: DataFrame, metrics: DataFrame) -> DataFrame:
     """(subscriber, topic, ts, value, seq): each point once for each subscriber to its metric, its category or all of a kind.
 
-    `subscriptions` (subscriber, topic) and `metrics` are small tables.
+    `subscriptions` (subscriber, topic) and `metrics` are tables; Spark broadcasts them where they are small enough.
     """
-    categories = F.broadcast(metrics.select(F.col("name").alias("metric"), "category"))
+    categories = metrics.select(F.col("name").alias("metric"), "category")
     own = F.concat(F.lit("metrics."), F.col("metric"))
     topics = F.array(own, F.lit("metrics.*"), F.concat(F.lit("category."), F.coalesce("category", F.lit("custom"))), F.lit("category.*"))
     each = points.join(categories, "metric", "left").select("ts", "value", "seq", own.alias("published"), F.explode(topics).alias("topic"))
-    found = each.join(F.broadcast(subscriptions), "topic").groupBy("subscriber", "seq")
+    found = each.join(subscriptions, "topic").groupBy("subscriber", "seq")
     return found.agg(F.first("published").alias("topic"), F.first("ts").alias("ts"), F.first("value").alias("value")).select("subscriber", "topic", "ts", "value", "seq")
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", batch=None) -> DataFrame:
-    """Run a stream over all that is there and return what it wrote. `batch` turns each micro-batch before it is written."""
+def run_to_table(stream: DataFrame, mode: str = "append", batch=None, name: str | None = None) -> DataFrame:
+    """Run a stream over all that is there and return what it wrote. `batch` turns each micro-batch before it is written.
+
+    With a `name` progress and rows stay under it in the shared folder: the next run reads only what is new and adds to
+    the table. A batch that is run again after a failure writes over its first try.
+    """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark).rstrip('/')}/tidemark-stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark).rstrip('/')}/tidemark-stream-{name or uuid.uuid4().hex}"
     schema = (batch(spark.createDataFrame([], stream.schema)) if batch else stream).schema
 
     def write(rows: DataFrame, number: int) -> None:
@@ -77,6 +96,12 @@ def run_to_table(stream: DataFrame, mode: str = "append", batch=None) -> DataFra
     return spark.read.schema(schema).parquet(f"{base}/out") if not mode == "complete" else spark.read.schema(schema).parquet(f"{base}/out/batch={query.lastProgress['batchId']}")
 
 
+def with_table(streamed: DataFrame, stored: DataFrame, key: str = "seq") -> DataFrame:
+    """What a stream has written and what a table holds, as one table; a row that is in both counts once, as stored."""
+    fresh = streamed.join(stored.select(key), key, "left_anti").select(stored.columns)
+    return stored.unionByName(fresh)
+
+
 def split_ingest(points: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
     """Good rows, and bad rows with their errors; works on streams and tables alike."""
     checked = with_errors(points, now_ms)
