@@ -136,14 +136,112 @@ def test_suffix_tree(spark, sf_dir, texts):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_probabilities_of_one_step_sum_to_one():
-    import numpy as np
-
-    from tidemark.llm.suffixtree import SuffixTree
-
-    tree = SuffixTree(3, np.log10(np.array([[0.5, 0.3, 0.2], [0.1, 0.6, 0.3]])), np.array([0, 1, 0]), np.array([1]), np.log10([0.5]), np.array([3, 5]), np.log10([0.5 / 2 + 0.05, 0.5 / 2 + 0.15]))
-    chance = [10 ** tree.score(np.array([0, 1, x]), np.arange(3))[2] for x in range(3)]
-    assert sum(chance) == pytest.approx(1.0)
+def test_held_out_score(spark):
+    found = op4_suffix_tree(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) / sum(n_tokens)", "sum(base_score) / sum(n_tokens)").first()
+    assert found[0] > -3.83 and found[1] < -4.06
+
+
+def brute_tree(rows, trains, own, rare, depth, worth, worth_each):
+    """The score of each text under a tree built by the definitions, with nested counts of whole runs."""
+    low = lambda t: [*(t or "").encode().lower().split(), None]
+    texts = {i: low(t) for i, t in rows}
+    c = Counter(w for i, t in texts.items() if trains(i) for w in t)
+    n = sum(c.values())
+    own_floor, floor = max(1.0, n**0.75 / own), max(2.0, n**0.6 / rare)
+    words = {w for t in texts.values() for w in t}
+    alone = {w for w in words if c[w] >= own_floor}
+    letters = lambda w: w[:3]
+    size = Counter()
+    for w in words - alone:
+        size[letters(w)] += c[w]
+    large = {x for x, k in size.items() if k >= own_floor}
+    symbol = {w: ("word", w) if w in alone else ("class", letters(w)) if letters(w) in large else "rest" for w in words}
+    mass, types = Counter(), Counter()
+    for w in words - alone:
+        mass[symbol[w]] += c[w]
+        types[symbol[w]] += c[w] > 0
+    alphabet = {("word", w) for w in alone} | {("class", x) for x in large} | {"rest"}
+    coded = {i: [symbol[w] for w in t] for i, t in texts.items()}
+    runs = Counter()
+    for i, t in coded.items():
+        if trains(i):
+            for k in range(len(t)):
+                for d in range(min(depth, k) + 1):
+                    runs[tuple(t[k - d : k + 1])] += 1
+    after = {}
+    for run, k in runs.items():
+        after.setdefault(run[:-1], {})[run[-1]] = k
+    total = sum(after.get((), {}).values()) + 0.5 * len(alphabet)
+    states = {(): ({x: (after.get((), {}).get(x, 0) + 0.5) / total for x in alphabet}, 0.0)}
+
+    def chance(context, x):
+        while context not in states:
+            context = context[1:]
+        known, m = states[context]
+        return known[x] if x in known else m * chance(context[1:], x)
+
+    for d in range(1, depth + 1):
+        for context in [x for x in after if len(x) == d and x[1:] in states]:
+            found = after[context]
+            t = sum(found.values())
+            every = {x: chance_before(context[1:], x, states, after) for x in found}
+            gain = sum(k * math.log(k / (t * every[x])) for x, k in found.items())
+            if t >= floor and runs[context] >= floor and gain >= worth + worth_each * len(found):
+                m = (len(found) + sum(k == 1 for k in found.values())) / (t + len(found))
+                states[context] = ({x: k / (t + len(found)) + m * every[x] for x, k in found.items() if k > 1}, m)
+    scores = {}
+    for i, t in coded.items():
+        s = 0.0
+        for k, (x, w) in enumerate(zip(t, texts[i], strict=True)):
+            s += math.log10(chance(tuple(t[max(0, k - depth) : k]), x))
+            if w not in alone:
+                s += math.log10((c[w] + 1) / (mass[x] + types[x] + 1))
+        scores[i] = s
+    return scores, states
+
+
+def chance_before(context, x, states, after):
+    """The chance of a symbol in a state, that of one seen once worked out like that of one not seen."""
+    known, m = states[context]
+    return known[x] if x in known else m * chance_before(context[1:], x, states, after)
+
+
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_tree_against_brute_force(spark, sent):
+    import random
+
+    rnd = random.Random(4)
+    names = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 6))) for _ in range(120)]
+    follow = {w: rnd.sample(names, 3) for w in names}
+    rows = []
+    for i in range(80):
+        w = rnd.choice(names)
+        text = [w]
+        for _ in range(rnd.randint(0, 90)):
+            w = rnd.choice(follow[w]) if rnd.random() < 0.8 else rnd.choice(names)
+            text.append(w.upper() if rnd.random() < 0.1 else w)
+        rows.append((i, " ".join(text)))
+    rows += [(80, None), (81, ""), (82, "qqq " * 30), (83, "never seen words"), (84, rows[3][1]), (85, rows[3][1])]
+    trains = lambda i: i % 7 != 2
+    settings = {"own": 40.0, "rare": 30.0, "depth": 4, "worth": 2.0, "worth_each": 0.3}
+    wanted, states = brute_tree(rows, trains, **settings)
+    assert {len(x) for x in states} >= {1, 2, 3}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["id"]: r["score"] for r in score_texts(df, F.col("doc_id") % 7 != 2, sent=sent, **settings).collect()}
+    assert found.keys() == wanted.keys()
+    for i in wanted:
+        assert found[i] == pytest.approx(wanted[i], rel=1e-5), i
+
+
+def test_copies_score_apart(spark, sf_dir):
+    """Texts that occur twice in training are likelier a token than others: longer contexts know them."""
+    found = op4_suffix_tree(spark, "/root/testdata/sf0.01").where("not held_out and n_tokens > 100").collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    times = Counter(texts[r["doc_id"]] for r in found)
+    gain = lambda r: (r["score"] - r["base_score"]) / r["n_tokens"]
+    twice, once = ([gain(r) for r in found if (times[texts[r["doc_id"]]] > 1) == more] for more in (True, False))
+    if len(twice) > 5:
+        assert sum(twice) / len(twice) > sum(once) / len(once)
 
 
 def test_suffix_tree_of_odd_rows(odd, empty):
