@@ -113,6 +113,27 @@ def test_counts_against_the_library(docs):
         assert b"".join(record.encode()[x["start"] : x["end"]] for x in own) == record.encode()
 
 
+@pytest.mark.parametrize("rule", ["start", "end", "most"])
+def test_every_line_against_brute_force(docs, rule):
+    """Each token goes byte by byte to the sections it lies in; the rule is applied to these counts."""
+    found = {(r["id"], r["section"]): (r["n_tokens"], r["n_crossing"]) for r in count_tokens(docs, RANKS, public_tokenizers.PATTERN, rule=rule).collect()}
+    wanted = {}
+    for r in docs.collect():
+        parts = [r["source"], r["lang"], *r["text"].split("\n")]
+        owner = [i for i, x in enumerate(parts) for _ in range(len(x.encode()) + (i + 1 < len(parts)))]
+        for i in range(len(parts)):
+            wanted[r["doc_id"], i] = [0, 0]
+        at = 0
+        for t in ENCODING.encode_ordinary("\n".join(parts)):
+            n = len(ENCODING.decode_single_token_bytes(t))
+            own = owner[at : at + n]
+            at += n
+            best = {"start": own[0], "end": own[-1], "most": min(set(own), key=lambda i: (-own.count(i), i))}[rule]
+            wanted[r["doc_id"], best][0] += 1
+            wanted[r["doc_id"], best][1] += own[0] != own[-1]
+    assert found == {k: tuple(v) for k, v in wanted.items()}
+
+
 @pytest.mark.parametrize(("rule", "wanted"), [("start", [0, 0, 1]), ("end", [0, 1, 2]), ("most", [0, 0, 1])])
 def test_rules(rule, wanted):
     import numpy as np

@@ -154,6 +154,12 @@ def test_large_buckets_of_blocks_are_read_in_runs(spark):
     assert links.count() <= 84 * 2 * 600
 
 
+def test_sizes_that_are_alike_enough_share_a_band(spark):
+    pairs = [(a, b) for a in range(1, 400) for b in range(a, int(a / 0.8) + 1)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    assert df.where(~s.F.arrays_overlap(s._bands(s.F.col("a"), 0.8), s._bands(s.F.col("b"), 0.8))).count() == 0
+
+
 def test_repeated_lines_do_not_make_pages_alike(spark):
     menu = "Home About Contact Privacy Terms\n"
     rows = [(i, menu * n + " ".join(f"{i}x{k}" for k in range(150))) for i, n in enumerate([50, 200, 1000, 400])]

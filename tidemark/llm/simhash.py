@@ -302,10 +302,10 @@ def confirm(links: DataFrame, texts: DataFrame, width: int, similarity: float) -
         return stage_table(pairs.select("a", "b", "one", "two").mapInArrow(run, "a long, b long"), "confirmed", keep=True)
 
 
-def _bands(size: Column, ratio: float) -> Column:
-    """Bands of sizes, each `ratio` times as wide as the one before: that of a size and the next, so that sizes of at most that ratio share one."""
-    own = F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / math.log(ratio * 1.0001)).cast("int")
-    return F.array(own, own + 1)
+def _bands(size: Column, similarity: float) -> Column:
+    """The band of a size, by powers of two, and that of the largest size which is alike enough, where this is another: sizes that are alike enough share a band."""
+    of = lambda n: F.floor(F.log2(F.greatest(n.cast("double"), F.lit(1.0)))).cast("int")
+    return F.array_distinct(F.array(of(size), of(size / similarity + 1e-9)))
 
 
 def _pairs(h: np.ndarray, at: np.ndarray, node: np.ndarray, size: np.ndarray, component: np.ndarray, similarity: float) -> np.ndarray:
@@ -354,7 +354,7 @@ def prefix_links(nodes: DataFrame, similarity: float, rows_each: int = 400_000)
     """
     total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     rows = nodes.select("node", "component", "size", "rare", F.posexplode("prefix").alias("at", "h"))
-    bands = F.when(F.col("at") < F.col("rare"), F.array(F.lit(-1))).otherwise(_bands(F.col("size"), 1 / similarity))
+    bands = F.when(F.col("at") < F.col("rare"), F.array(F.lit(-1))).otherwise(_bands(F.col("size"), similarity))
     rows = rows.select("node", "component", "size", "at", "h", F.explode(bands).alias("band"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("h", "band"), F.lit(total // rows_each + 1))).drop("band")
 
@@ -397,7 +397,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             texts = own.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash"))).select("node", "text")
             return confirm(links, texts, width, similarity)
 
-        banded = distinct.select("fp", "node", F.explode(_bands(F.col("size"), 1 / similarity)).alias("band"))
+        banded = distinct.select("fp", "node", F.explode(_bands(F.col("size"), similarity)).alias("band"))
         root = connected_components(confirmed(block_links(banded, radius)))
         prefixes = sets.groupBy(F.col("same").alias("node")).agg(F.first("prefix").alias("prefix"), F.first("rare").alias("rare"), F.first("size").alias("size"))
         nodes = prefixes.join(root.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
