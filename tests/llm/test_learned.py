@@ -184,11 +184,13 @@ def brute_tree(rows, trains, own, rare, depth, worth, worth_each):
         for context in [x for x in after if len(x) == d and x[1:] in states]:
             found = after[context]
             t = sum(found.values())
-            every = {x: chance_before(context[1:], x, states, after) for x in found}
-            gain = sum(k * math.log(k / (t * every[x])) for x, k in found.items())
-            if t >= floor and runs[context] >= floor and gain >= worth + worth_each * len(found):
-                m = (len(found) + sum(k == 1 for k in found.values())) / (t + len(found))
-                states[context] = ({x: k / (t + len(found)) + m * every[x] for x, k in found.items() if k > 1}, m)
+            often = {x: (k, chance_before(context[1:], x, states, after)) for x, k in found.items() if k > 1}
+            once = sum(k == 1 for k in found.values())
+            gain = sum(k * math.log(k / (t * p)) for k, p in often.values())
+            gain += once * math.log(once / (t * max(1 - sum(p for _, p in often.values()), 1e-12))) if once else 0.0
+            if often and t >= floor and gain >= worth + worth_each * len(often):
+                m = (len(found) + once) / (t + len(found))
+                states[context] = ({x: k / (t + len(found)) + m * p for x, (k, p) in often.items()}, m)
     scores = {}
     for i, t in coded.items():
         s = 0.0
