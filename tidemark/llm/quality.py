@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_of_id, small, stage_table
+from tidemark.llm.common import crc_of_id, scratch, small, stage_table
 from tidemark.llm.logistic import fit_logistic, sigmoid
 from tidemark.llm.substrings import WordBatch, _pieces
 from tidemark.llm.toxicity import one_each, training_rows
@@ -199,12 +199,13 @@ def learn_quality(
     used = F.broadcast(labelled.select(F.col(id_col).alias("_used")))  # the bounded sample
     others = _features(docs.join(used, F.col(id_col) == F.col("_used"), "left_anti"), [], text_col, metadata)
     key = F.xxhash64(*VIEWS)
-    pool = stage_table(one_each(others.select(key.alias("key"), *VIEWS), F.col("key"), F.col("key")), "pool")
     fold = np.array([zlib.crc32(b"%d" % i) // 5 % 5 == 0 for i in ids.tolist()], bool)
     fit, check = ~fold, fold
     if len(set(y[fit].tolist())) < 2 or len(set(y[check].tolist())) < 2:
         check = fit = np.ones(len(y), bool)
-    fitted = co_train({v: m[fit] for v, m in x.items()}, y[fit].astype(float), pool, rounds, per_round, sure)
+    with scratch(docs.sparkSession):
+        pool = stage_table(one_each(others.select(key.alias("key"), *VIEWS), F.col("key"), F.col("key")), "pool")
+        fitted = co_train({v: m[fit] for v, m in x.items()}, y[fit].astype(float), pool, rounds, per_round, sure)
     mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     model = QualityModel({v: b.tolist() for v, b in fitted.items()}, {}, float(np.log(mean / (1 - mean))))
     for v, b in fitted.items():

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import HEAVY, join_heavy, small, stage_table
+from tidemark.llm.common import HEAVY, join_heavy, scratch, small, stage_table
 
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 20
@@ -397,25 +397,26 @@ def cut_out(found: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def remove_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, phrase: int = 10) -> DataFrame:
-    """(id, text_hash, n_words, n_removed, words_sha256, kept) for each row of `docs`.
+    """(id, text_hash, n_words, n_removed, words_sha256, kept) for each row of `docs`, a kept table.
 
     words_sha256 is that of all words joined by single spaces; kept is the rest of the text in the same
     form where words were removed, else null. text_hash is xxhash64 of the text, to join the result back.
     """
-    anchors = sketch(docs, id_col, text_col, width, phrase)
-    own = anchors.drop("anchors")
-    groups = own.where(F.col("n_words") >= width).groupBy("words_sha256").agg(F.count("*").alias("n"), F.min("rn").alias("copies"))
-    groups = stage_table(groups.where("n > 1"), "copies")
-    alike = join_heavy(own, groups, "words_sha256", F.col("n") > HEAVY).select(*own.columns, "copies", "n")
-    alone = own.join(groups.select("words_sha256").hint("merge"), "words_sha256", "left_anti").withColumns({"copies": F.lit(None).cast("long"), "n": F.lit(1).cast("long")})
-    known = stage_table(alike.unionByName(alone), "known")
-    hot = stage_table(anchors.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1"), "anchors")
-    found = candidates(docs, anchors, known, hot, id_col, text_col, width, phrase)
-    patterns = passages(found, lone_windows(found, width), width, phrase)
-    changed = stage_table(cut_out(found, locate(found, patterns, hot, width, phrase)), "cut")
-    shown = known.withColumn("rep", F.coalesce("copies", "rn"))
-    of = changed.join(known.select("rn", "n"), "rn").withColumnRenamed("rn", "rep")
-    whole = join_heavy(shown.where("copies is not null").drop("n"), of, "rep", F.col("n") > HEAVY)
-    single = shown.where("copies is null").drop("n").join(changed.withColumnRenamed("rn", "rep"), "rep", "left")
-    out = ["id", "text_hash", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), "words_sha256", "kept"]
-    return whole.select(*out).union(single.select(*out))
+    with scratch(docs.sparkSession):
+        anchors = sketch(docs, id_col, text_col, width, phrase)
+        own = anchors.drop("anchors")
+        groups = own.where(F.col("n_words") >= width).groupBy("words_sha256").agg(F.count("*").alias("n"), F.min("rn").alias("copies"))
+        groups = stage_table(groups.where("n > 1"), "copies")
+        alike = join_heavy(own, groups, "words_sha256", F.col("n") > HEAVY).select(*own.columns, "copies", "n")
+        alone = own.join(groups.select("words_sha256").hint("merge"), "words_sha256", "left_anti").withColumns({"copies": F.lit(None).cast("long"), "n": F.lit(1).cast("long")})
+        known = stage_table(alike.unionByName(alone), "known")
+        hot = stage_table(anchors.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1"), "anchors")
+        found = candidates(docs, anchors, known, hot, id_col, text_col, width, phrase)
+        patterns = passages(found, lone_windows(found, width), width, phrase)
+        changed = stage_table(cut_out(found, locate(found, patterns, hot, width, phrase)), "cut")
+        shown = known.withColumn("rep", F.coalesce("copies", "rn"))
+        of = changed.join(known.select("rn", "n"), "rn").withColumnRenamed("rn", "rep")
+        whole = join_heavy(shown.where("copies is not null").drop("n"), of, "rep", F.col("n") > HEAVY)
+        single = shown.where("copies is null").drop("n").join(changed.withColumnRenamed("rn", "rep"), "rep", "left")
+        out = ["id", "text_hash", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), "words_sha256", "kept"]
+        return stage_table(whole.select(*out).union(single.select(*out)), "without_recurring", keep=True)
