@@ -90,6 +90,18 @@ def metric_stats(points: DataFrame) -> DataFrame:
     )
 
 
+def storage_stats(rows: DataFrame, by: str) -> DataFrame:
+    """(metric, files, n) from rows read from files: the number of files that hold each metric, and of its points; `by` is the column of the metric."""
+    each = rows.groupBy(F.col(by).alias("metric"), F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+    return each.groupBy("metric").agg(F.count("*").alias("files"), F.sum("n").alias("n"))
+
+
+def storage_size(rows: DataFrame) -> DataFrame:
+    """(files, bytes, n) of rows read from files."""
+    each = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.max("_metadata.file_size").alias("bytes"), F.count("*").alias("n"))
+    return each.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def time_bounds(points: DataFrame) -> DataFrame:
     """(first_ts, last_ts, n, metrics) of all points."""
     return points.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"), F.count_distinct("metric").alias("metrics"))

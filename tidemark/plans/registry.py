@@ -15,7 +15,7 @@ from tidemark.operators import analysis, insights, lookups, validation
 from tidemark.plans.query import Item, Query, daily_average, series
 from tidemark.sinks import export
 from tidemark.sources import imports, points
-from tidemark.session import staged
+from tidemark.session import staged, table
 from tidemark.streaming import streams
 
 #: The moment that the registered queries take as now: the end of the events.
@@ -356,6 +356,18 @@ def metric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.metric_stats(points.event_points(spark, sf_dir)).withColumn("mean", C.rounded(F.col("mean"), 6))
 
 
+@add("storage_stats", "SELECT event_type AS metric, 1::BIGINT AS files, count(*) AS n FROM events GROUP BY 1")
+def storage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of events is one file."""
+    return lookups.storage_stats(table(spark, sf_dir, "events"), "event_type")
+
+
+@add("storage_size", "SELECT 1::BIGINT AS files, true AS has_bytes, count(*) AS n FROM events")
+def storage_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lookups.storage_size(table(spark, sf_dir, "events"))
+    return found.select("files", (F.col("bytes") > 0).alias("has_bytes"), "n")
+
+
 @add("time_bounds", f"{P} SELECT min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, count(DISTINCT metric) AS metrics FROM p")
 def time_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.time_bounds(points.event_points(spark, sf_dir))
