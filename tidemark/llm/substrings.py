@@ -41,7 +41,7 @@ from tidemark.llm.common import HEAVY, join_heavy, scratch, small, stage_table
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 20
 #: Patterns in one automaton, and stretches of text that go through one copy of it, at most about.
-PATTERNS, STRETCHES = 20_000, 200_000
+PATTERNS, STRETCHES = 5_000, 50_000
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.array([x + 32 if 65 <= x <= 90 else x for x in range(256)], np.uint8)
