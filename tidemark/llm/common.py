@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -62,6 +63,11 @@ def fresh_name(taken: list[str], wanted: str) -> str:
     return wanted
 
 
+def lower_ascii(text: Column) -> Column:
+    """The text with A to Z in lower case and everything else as it is."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def crc_of_id(id_col: str = "doc_id"):
     """crc32 of the id written as text, as the held-out folds use it; a missing id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))

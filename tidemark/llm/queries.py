@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import decode_ids, encode_texts, read_merges
-from tidemark.llm.common import crc_of_id, table
+from tidemark.llm.common import crc_of_id, lower_ascii, table
+from tidemark.llm.manifest import document_leaves, manifest, versions
 from tidemark.llm.media import read_media, store_texts
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import learn_quality, score_quality
@@ -113,6 +114,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.pmod(crc_of_id("doc_id"), F.lit(3)) == 0
+    found = versions(manifest(document_leaves(docs, tampered, lower_ascii(F.col("text")))))
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", verified)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -124,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_substrings": op9_substrings,
     "op10_bpe": op10_bpe,
+    "op13_manifest": op13_manifest,
 }
 #: SQL for what SQL can say over whole tables; the other operators are tested against brute force.
 ORACLES: dict[str, str] = {
@@ -146,4 +156,56 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM texts LEFT JOIN found USING (rn)
     """,
+    "op13_manifest": r"""
+        WITH RECURSIVE rows_ AS (
+            SELECT row_number() OVER () AS rn, coalesce('1' || lang, '0') AS g, doc_id, text,
+                coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id, '-') || coalesce(strlen(source)::VARCHAR || ':' || source, '-')
+                || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars, '-') AS head,
+                list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(coalesce(doc_id::VARCHAR, ''), '') IF x <> ''])),
+                    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) AS crc
+            FROM documents
+        ), hashed AS (
+            SELECT rn, g, doc_id, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+                sha256(head || coalesce(strlen(text)::VARCHAR || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS changed,
+                xor(crc, 4294967295) % 3 = 0 AS tampered
+            FROM rows_
+        ), leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM hashed
+        ), nodes(g, level, place, node) AS (
+            SELECT g, 0, place, leaf FROM leaves
+            UNION ALL
+            SELECT g, level + 1, place // 8, sha256(string_agg(node, '' ORDER BY place))
+            FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM nodes) WHERE n > 1 GROUP BY g, level, place // 8
+        ), subroots AS (
+            SELECT g, arg_max(node, level) AS node, max(level) AS height FROM nodes GROUP BY g
+        ), groups AS (
+            SELECT g, node, height, row_number() OVER (ORDER BY g) - 1 AS place FROM subroots
+        ), tops(level, place, node) AS (
+            SELECT 0, place, node FROM groups
+            UNION ALL
+            SELECT level + 1, place // 8, sha256(string_agg(node, '' ORDER BY place))
+            FROM (SELECT *, count(*) OVER () AS n FROM tops) WHERE n > 1 GROUP BY level, place // 8
+        ), runs AS (
+            SELECT g, level, place // 8 AS run, list(node ORDER BY place) AS members FROM nodes GROUP BY ALL
+        ), top_runs AS (
+            SELECT level, place // 8 AS run, list(node ORDER BY place) AS members FROM tops GROUP BY ALL
+        ), steps AS (
+            SELECT rn, level AS step, members, ((place >> (3 * level)) % 8)::INT + 1 AS own
+            FROM leaves JOIN groups AS s(g, node, height, nth) USING (g) JOIN runs USING (g) WHERE run = place >> (3 * (level + 1)) AND level < height
+            UNION ALL
+            SELECT rn, height + level, members, ((nth >> (3 * level)) % 8)::INT + 1
+            FROM leaves JOIN groups AS s(g, node, height, nth) USING (g) JOIN top_runs ON run = nth >> (3 * (level + 1)) WHERE level < (SELECT max(level) FROM tops)
+        ), proofs AS (
+            SELECT rn, string_agg(array_to_string(members[: own - 1], '') || array_to_string(members[own + 1 :], ''), '' ORDER BY step) AS proof FROM steps GROUP BY rn
+        ), folds(rn, step, node) AS (
+            SELECT rn, 0, CASE WHEN tampered THEN changed ELSE leaf END FROM leaves
+            UNION ALL
+            SELECT rn, step + 1, sha256(array_to_string(members[: own - 1], '') || node || array_to_string(members[own + 1 :], '')) FROM folds JOIN steps USING (rn, step)
+        ), ends AS (
+            SELECT rn, arg_max(node, step) AS folded_root FROM folds GROUP BY rn
+        )
+        SELECT doc_id, leaf, s.node AS subroot, r.node AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = r.node AS verified
+        FROM leaves JOIN subroots AS s USING (g) JOIN ends USING (rn) LEFT JOIN proofs USING (rn)
+            CROSS JOIN (SELECT arg_max(node, level) AS node FROM tops) AS r
+    """,
 }
