@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import decode_ids, encode_texts, read_merges
+from tidemark.llm.collocations import collocations
 from tidemark.llm.common import crc_of_id, lower_ascii, table
 from tidemark.llm.manifest import document_leaves, manifest, versions
 from tidemark.llm.media import read_media, store_texts
@@ -114,6 +115,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations(table(spark, sf_dir, "documents"))
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = F.pmod(crc_of_id("doc_id"), F.lit(3)) == 0
@@ -133,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_substrings": op9_substrings,
     "op10_bpe": op10_bpe,
+    "op12_collocations": op12_collocations,
     "op13_manifest": op13_manifest,
 }
 #: SQL for what SQL can say over whole tables; the other operators are tested against brute force.
@@ -156,6 +163,35 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM texts LEFT JOIN found USING (rn)
     """,
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+            FROM (SELECT lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+        ), starts AS (
+            SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+        ), f AS (
+            SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, size, count(*) AS a
+            FROM starts, range(1, 6) AS sizes(size) WHERE i + size - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100
+        ), totals AS (
+            SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang
+        ), candidates AS (
+            SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size >= 2
+        ), inside AS (
+            SELECT lang, array_to_string(w[i : i + part - 1], ' ') AS phrase, max(a) AS around
+            FROM candidates, range(2, 5) AS parts(part), range(1, 5) AS firsts(i) WHERE part < size AND i + part - 1 <= size GROUP BY ALL
+        ), cuts AS (
+            SELECT c.lang, c.phrase, c.a, k, heads.a AS l, rests.a AS r, n,
+                (1000 * c.a::HUGEINT * n::HUGEINT) // (heads.a::HUGEINT * rests.a::HUGEINT) AS score
+            FROM candidates AS c JOIN totals USING (lang) JOIN range(1, 5) AS ks(k) ON k < size
+                JOIN f AS heads ON heads.lang = c.lang AND heads.phrase = array_to_string(w[:k], ' ')
+                JOIN f AS rests ON rests.lang = c.lang AND rests.phrase = array_to_string(w[k + 1 :], ' ')
+        ), best AS (
+            SELECT * FROM cuts ANTI JOIN (SELECT c.lang, c.phrase FROM candidates AS c JOIN inside AS i ON i.lang = c.lang AND i.phrase = c.phrase AND 100 * around >= 100 * c.a) AS gone USING (lang, phrase)
+            QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+        FROM best QUALIFY rank <= 2000
+    """,
     "op13_manifest": r"""
         WITH RECURSIVE rows_ AS (
             SELECT row_number() OVER () AS rn, coalesce('1' || lang, '0') AS g, doc_id, text,
