@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -63,6 +63,11 @@ def fresh_name(taken: list[str], wanted: str) -> str:
     return wanted
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often it is used in there."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lower_ascii(text: Column) -> Column:
     """The text with A to Z in lower case and everything else as it is."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import decode_ids, encode_texts, read_merges
 from tidemark.llm.collocations import collocations
 from tidemark.llm.common import crc_of_id, lower_ascii, table
+from tidemark.llm.licenses import GAP, NOTICES, PHRASES, RARE, SLACK, label_names, needed, scan_licenses
 from tidemark.llm.manifest import document_leaves, manifest, versions
 from tidemark.llm.media import read_media, store_texts
 from tidemark.llm.packing import pack_documents
@@ -115,6 +116,30 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = [*PHRASES, *NOTICES]
+    found = scan_licenses(table(spark, sf_dir, "documents"), templates)
+    found = found.withColumn("base", F.filter("matches", lambda m: m["template"] < len(PHRASES)))
+    starts = F.transform("base", lambda m: m["start"])
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        label_names(F.col("base"), templates).alias("base_labels"),
+        label_names(F.col("matches"), templates).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def _template_rows() -> str:
+    """The templates as SQL rows: number, label, words, key phrases, postings needed, indexed words, words around."""
+    show = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    rows = [(k, t, t.keys or (t.text,), RARE if t.keys else 99, SLACK if t.keys else 0) for k, t in enumerate([*PHRASES, *NOTICES])]
+    return ", ".join(f"({k}, '{t.label}', {show(t.words)}, {show(keys)}, {needed(t)}, {rare}, {slack})" for k, t, keys, rare, slack in rows)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = collocations(table(spark, sf_dir, "documents"))
     return found.withColumn("rank", F.col("rank").cast("long"))
@@ -139,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_substrings": op9_substrings,
     "op10_bpe": op10_bpe,
+    "op11_licenses": op11_licenses,
     "op12_collocations": op12_collocations,
     "op13_manifest": op13_manifest,
 }
@@ -163,6 +189,39 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM texts LEFT JOIN found USING (rn)
     """,
+    "op11_licenses": rf"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS rn, doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{GAP}'), lambda x: x <> '') AS w FROM documents
+        ), templates(t, label, tw, keys, need, rare, slack) AS (
+            VALUES {_template_rows()}
+        ), places AS (
+            SELECT rn, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM texts
+        ), posted AS (
+            SELECT t, unnest(tw) AS word, generate_subscripts(tw, 1) - 1 AS p FROM templates
+        ), frequency AS (
+            SELECT word, count(DISTINCT rn) AS df FROM places SEMI JOIN posted USING (word) GROUP BY word
+        ), indexed AS (
+            SELECT t, word FROM (SELECT DISTINCT t, word FROM posted) JOIN frequency USING (word) JOIN templates USING (t)
+            QUALIFY row_number() OVER (PARTITION BY t ORDER BY df, word) <= rare
+        ), spoken AS (
+            SELECT rn, t, i - p AS start FROM places JOIN (SELECT * FROM posted SEMI JOIN indexed USING (t, word)) USING (word)
+        ), agreed AS (
+            SELECT rn, t, start FROM spoken JOIN templates USING (t) GROUP BY rn, t, start, need HAVING count(*) >= need
+        ), stretches AS (
+            SELECT rn, t, start, label, keys, tw, w[greatest(start - slack, 0) + 1 : start + len(tw) + slack] AS s FROM agreed JOIN templates USING (t) JOIN texts USING (rn)
+        ), found AS (
+            SELECT rn, t < {len(PHRASES)} AS base, start, label, len(list_intersect(list_distinct(tw), s)) / len(list_distinct(tw)) AS share
+            FROM stretches WHERE list_bool_and([contains(' ' || array_to_string(s, ' ') || ' ', ' ' || k || ' ') FOR k IN keys])
+        ), summed AS (
+            SELECT rn, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+                string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+            FROM found GROUP BY rn
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+            coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+        FROM texts LEFT JOIN summed USING (rn)
+    """,
     "op12_collocations": r"""
         WITH pieces AS (
             SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
