@@ -4,14 +4,14 @@ A phrase of 2 to `longest` words stands for itself if it occurs at least `least`
 counts of the phrase and both parts among n words, scores floor(1000 a n / (l r)); the lowest cut counts. As r is at least a, no phrase that begins with w can score
 above floor(1000 n / f(w)): the count of a prefix bounds all that grows from it. First words are expanded from the highest bound downwards, in rounds: a round takes those
 from a limit on, grows their phrases level by level (only prefixes that occur `least` times grow) and scores what survives. Once `top` survivors of a language are
-known, the limit sinks to the score of the last of them; when all first words whose bound reaches that score are expanded, the list is settled, ties included. Languages
+known, the limit sinks no lower than the score of the last of them; when all first words whose bound reaches that score are expanded, the list is settled, ties included. Languages
 are settled independently; one with fewer survivors is expanded whole.
 
 A phrase is dropped if a longer candidate around it occurs as often. The extension by one word already does then, so each occurrence has the same
 word before it, or the same word after it: what is kept with each count is the least and greatest hash (64 bits) of those neighbours.
 
 The texts are read once, into chunks of numbered words in the shared folder; rounds read the chunks. What tasks need to know of earlier levels is
-sent as a bitmap of a fixed size over hashes of phrases: a false hit costs a row to count, and counts and joins are by the phrases themselves.
+sent as a bitmap of bounded size over hashes of phrases: a false hit costs a row to count, and counts and joins are by the phrases themselves.
 Memory: a chunk of about CHUNK bytes (or one text) in a task, bitmaps of BITS bits, and `top` rows for a language.
 
 Edge cases: null texts are empty, a null language is `und`; empty texts and pieces give nothing; phrases do not cross pieces or texts; repeated rows count each time;
@@ -33,9 +33,9 @@ from tidemark.llm.common import stage_table
 
 #: Bytes of text in a chunk, about.
 CHUNK = 4 << 20
-#: Bits of a filter (a multiple of 32768, a power of two): 8 MB.
+#: Bits of a filter at most (a multiple of 32768, a power of two): 8 MB.
 BITS = 1 << 26
-#: A round goes down to a bound so many times lower, while fewer survivors than wanted are known.
+#: A round goes down to a bound so many times lower, or to the last score that may still count.
 STEP = 32
 #: No word stands there.
 NONE = np.int64(-(2**63))
@@ -132,10 +132,11 @@ def chunks_of(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def _bitmap(hashed: DataFrame):
-    """The hashes as a filter for tasks: of a fixed size, whatever the number of rows."""
-    place = F.col("hash").bitwiseAND(F.lit(BITS - 1)) + 1
+    """The hashes as a filter for tasks, of about 16 bits for each, but at most BITS in all."""
+    size = min(BITS, max(1 << 15, 1 << (16 * hashed.count()).bit_length()))
+    place = F.col("hash").bitwiseAND(F.lit(size - 1)) + 1
     parts = hashed.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    bits = np.zeros(BITS // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for r in parts.collect():  # at most BITS / 32768 rows of 4 KB
         bits[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return hashed.sparkSession.sparkContext.broadcast(bits)
@@ -299,11 +300,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
             if size < longest:
                 prefixes.append(_bitmap(levels[-1]))
         scored = _round(live, levels, common, totals, known, longest, scored)
+        for x in prefixes:
+            x.destroy()
         found = ranked(scored, top).groupBy("lang").agg(F.count("*").alias("found"), F.min("score").alias("last"))
         after = limits.join(found, "lang", "left").withColumn("last", F.when(F.col("found") >= top, F.col("last")))
         open_ = (F.col("low") > F.coalesce("last", F.lit(0))) & (F.col("low") > 1000)  # no bound is below 1000
-        lower = F.coalesce("last", F.when(F.col("low") / STEP > 1000, F.floor(F.col("low") / STEP)).otherwise(1000)).cast("long")
+        lower = F.greatest(F.coalesce("last", F.lit(0)), F.floor(F.col("low") / STEP), F.lit(1000)).cast("long")
         limits = stage_table(after.where(open_).select("lang", "n", lower.alias("low"), F.col("low").alias("high")), "limits")
+    known.destroy()
     kinds = "lang string, rank int, phrase string, a long, l long, r long, n long, score long"
     if scored is None:
         return docs.sparkSession.createDataFrame([], kinds)
@@ -319,8 +323,11 @@ def _round(live: DataFrame, levels: list[DataFrame], common: DataFrame, totals:
     survivors = grown.where((F.col("size") == longest) | ~(alone("left") | alone("right")))
     starts = survivors.where("size > 2").select("lang", "phrase", "size", F.explode(F.sequence(F.lit(1), F.col("size") - 2)).alias("k"))
     wanted = stage_table(_hashed(starts.select("lang", _part(F.col("k") + 1, F.col("size") - F.col("k")).alias("phrase")).distinct()), "wanted")
-    counted = _occurrences(live, longest, known, _bitmap(wanted.select(F.col("first").alias("hash"))), _bitmap(wanted))
+    filters = _bitmap(wanted.select(F.col("first").alias("hash")).distinct()), _bitmap(wanted)
+    counted = _occurrences(live, longest, known, *filters)
     rests = stage_table(counted.join(wanted, ["lang", "phrase"], "left_semi").select("lang", "phrase", "a"), "rests")
+    for x in filters:
+        x.destroy()
     prefixes = grown.select("lang", "phrase", "a").join(rests, ["lang", "phrase"], "left_anti")
     parts = common.select("lang", "phrase", "a").unionByName(rests).unionByName(prefixes)
     new = stage_table(_scored(survivors, parts, totals), "scored")
