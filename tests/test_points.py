@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions.times import DAY, TimeRange, to_ms
-from tidemark.operators import analysis, insights, lookups, validation
+from tidemark.operators import analysis, insights, lookups, ordered, validation
 from tidemark.plans.query import Item, MetricNotFound, Query, series
 from tidemark.sinks import export
 from tidemark.sources import imports, points
@@ -138,7 +138,7 @@ def test_cards_and_sparkline_of_a_flat_metric(spark):
 def test_as_of_over_days(spark):
     own = frame(spark, [("m", "2024-01-01 10:00", 1, {}), ("m", "2024-01-01 12:00", 2, {}), ("m", "2024-01-05 09:00", 3, {})])
     probes = spark.createDataFrame([(i, datetime.fromisoformat(t), "m") for i, t in enumerate(["2024-01-01 09:00", "2024-01-01 12:00", "2024-01-03 00:00", "2024-01-05 08:00", "2024-01-06 00:00"])], "id long, ts timestamp_ntz, metric string")
-    found = sorted((r["id"], r["found_value"]) for r in lookups.as_of(probes, own, "metric").collect())
+    found = sorted((r["id"], r["found_value"]) for r in ordered.as_of(probes, own, "metric").collect())
     assert found == [(0, None), (1, 2.0), (2, 2.0), (3, 2.0), (4, 3.0)]
 
 
@@ -267,25 +267,14 @@ def test_a_named_stream_goes_on(spark, tmp_path):
 def test_windows_reach_over_days_without_points(spark):
     own = frame(spark, [("a", f"2024-01-{d:02d} 0{h}:00", 10 * d + h, {}) for d, h in ((1, 0), (1, 1), (2, 0), (5, 0), (5, 1), (6, 0), (9, 3), (9, 4), (20, 0))])
     rows = sorted(own.collect(), key=lambda r: r["ts"])
-    mean = {r["seq"]: r["moving_avg"] for r in analysis.running(own, 3).collect()}
-    gap = {r["seq"]: r["delta_ms"] for r in analysis.deltas(own).collect()}
+    mean = {r["seq"]: r["moving_avg"] for r in ordered.running(own, 3).collect()}
+    gap = {r["seq"]: r["delta_ms"] for r in ordered.deltas(own).collect()}
     for i, r in enumerate(rows):
         near = [x["value"] for x in rows[max(0, i - 3) : i + 1]]
         assert mean[r["seq"]] == pytest.approx(sum(near) / len(near))
         assert gap[r["seq"]] == (0 if not i else (r["ts"] - rows[i - 1]["ts"]).total_seconds() * 1000)
 
 
-def test_times_come_back_from_deltas(spark):
-    own = frame(spark, [("a", f"2024-01-0{d} 0{h}:00", 1, {}) for d in (1, 2) for h in range(3)])
-    day, at = C.bucket("day"), C.millis("ts")
-    starts = own.groupBy("metric", day.alias("day")).agg(F.min(at).alias("start_ms"))
-    inside = own.select("metric", "seq", day.alias("day"), at.alias("at")).join(starts, ["metric", "day"])
-    made = analysis.deltas(own).join(inside.select("metric", "seq", "day", "at", "start_ms"), ["metric", "seq"])
-    first = made.withColumn("delta_ms", F.when(F.col("at") == F.col("start_ms"), 0).otherwise(F.col("delta_ms")))
-    found = analysis.times_of(first.select("metric", "seq", "delta_ms", "day"), starts)
-    assert {(r["seq"], r["at_ms"]) for r in found.collect()} == {(r["seq"], r["at"]) for r in made.collect()}
-
-
 def test_time_conditions(spark):
     own = frame(spark, [("a", f"2024-01-20 00:00:0{i}", i, {}) for i in range(5)])
     at = to_ms(datetime(2024, 1, 20)) + 2000

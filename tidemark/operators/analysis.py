@@ -83,46 +83,6 @@ def sparklines(daily: DataFrame, n: int = 7) -> DataFrame:
     return last.select("metric", "day", F.floor(20 + scaled * 80).alias("height"))
 
 
-def deltas(points: DataFrame) -> DataFrame:
-    """(metric, seq, delta_ms): time since the metric's previous point; 0 for the first of a metric.
-
-    Windows are over one metric and day; the last time of the day before comes from one row for each metric and day.
-    """
-    rows = points.select("metric", "seq", "ts", C.bucket("day").alias("_day"))
-    ends = rows.groupBy("metric", "_day").agg(F.max("ts").alias("_end"))
-    before = ends.select("metric", "_day", F.lag("_end").over(Window.partitionBy("metric").orderBy("_day")).alias("_before"))
-    inside = Window.partitionBy("metric", "_day").orderBy("ts", "seq")
-    found = rows.withColumn("_last", F.lag("ts").over(inside)).join(before, ["metric", "_day"])
-    last = F.coalesce("_last", "_before")
-    return found.withColumn("_last", last).select("metric", "seq", F.coalesce(C.millis("ts") - C.millis("_last"), F.lit(0)).alias("delta_ms"))
-
-
-def times_of(deltas: DataFrame, starts: DataFrame) -> DataFrame:
-    """(metric, seq, at_ms): times again from `deltas` (metric, seq, delta_ms, day) in order of seq, and starts (metric, day, start_ms): sums run within a day."""
-    run = Window.partitionBy("metric", "day").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return deltas.join(starts, ["metric", "day"]).select("metric", "seq", (F.col("start_ms") + F.sum("delta_ms").over(run)).alias("at_ms"))
-
-
-def running(points: DataFrame, frame: int = 6) -> DataFrame:
-    """(metric, seq, moving_avg): mean of each point and the `frame` points before it.
-
-    Windows are over one metric and day, into which the last points of the days before, `frame` at most, are carried.
-    """
-    rows = points.select("metric", "seq", "ts", "value", C.bucket("day").alias("_day"))
-    back = F.row_number().over(Window.partitionBy("metric", "_day").orderBy(F.desc("ts"), F.desc("seq")))
-    tails = rows.withColumn("_back", back).where(F.col("_back") <= frame).groupBy("metric", "_day").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "value"))).alias("_tail"))
-    days = Window.partitionBy("metric").orderBy("_day").rowsBetween(-frame, -1)  # each day has a point at least
-    carried = (
-        tails.withColumn("_all", F.array_sort(F.flatten(F.collect_list("_tail").over(days))))
-        .where(F.size("_all") > 0)
-        .select("metric", "_day", F.explode(F.slice("_all", F.greatest(F.size("_all") - frame + 1, F.lit(1)), F.lit(frame))).alias("_p"))
-    )
-    guests = carried.select("metric", "_p.seq", "_p.ts", "_p.value", "_day", F.lit(True).alias("_guest"))
-    inside = Window.partitionBy("metric", "_day").orderBy("ts", "seq").rowsBetween(-frame, 0)
-    both = rows.withColumn("_guest", F.lit(False)).unionByName(guests)
-    return both.withColumn("moving_avg", F.avg("value").over(inside)).where("not _guest").select("metric", "seq", "moving_avg")
-
-
 def resampled(points: DataFrame, metrics: DataFrame, interval: str) -> DataFrame:
     """(metric, bucket, value): each metric by its own default aggregation; unknown metrics by their last value."""
     cells = F.struct(*[C.cell(a).alias(a) for a in ("sum", "avg", "last", "max", "min", "count")])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions.times import INTERVALS, TimeRange, to_ms
-from tidemark.operators import analysis, insights, lookups, validation
+from tidemark.operators import analysis, insights, lookups, ordered, validation
 from tidemark.plans.query import Item, Query, daily_average, series
 from tidemark.sinks import export
 from tidemark.sources import imports, points
@@ -20,6 +20,7 @@ from tidemark.streaming import streams
 
 #: The moment that the registered queries take as now: the end of the events.
 NOW = to_ms(datetime(2024, 1, 31))
+MIDDLE = to_ms(datetime(2024, 1, 15, 12))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -214,7 +215,7 @@ def ceiling_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = points.event_points(spark, sf_dir)
     probes = own.where("metric = 'purchase'").select("seq", "ts", F.lit("click").alias("metric"))
-    return lookups.as_of(probes, own.where("metric = 'click'"), "metric").select("seq", "ts", "found_ts", "found_value")
+    return ordered.as_of(probes, own.where("metric = 'click'"), "metric").select("seq", "ts", "found_ts", "found_value")
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,12 +316,55 @@ def recent5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("delta_encode", f"{P} SELECT metric, seq, coalesce(epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY metric ORDER BY ts, seq), 0) AS delta_ms FROM p")
 def delta_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.deltas(points.event_points(spark, sf_dir))
+    return ordered.deltas(points.event_points(spark, sf_dir)).drop("place")
 
 
 @add("moving_average", f"{P} SELECT metric, seq, {near('avg(value) OVER (PARTITION BY metric ORDER BY ts, seq ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)', 5)} AS moving_avg FROM p")
 def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.running(points.event_points(spark, sf_dir)).withColumn("moving_avg", C.rounded(F.col("moving_avg"), 5))
+    return ordered.running(points.event_points(spark, sf_dir)).withColumn("moving_avg", C.rounded(F.col("moving_avg"), 5))
+
+
+def one_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one metric on few instants: a metric, a day and a time that hold very many rows."""
+    hour = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    return points.event_points(spark, sf_dir).withColumns({"metric": F.lit("all"), "ts": F.when(F.col("ts") < C.moment(MIDDLE), C.moment(to_ms(datetime(2024, 1, 1)))).otherwise(hour)})
+
+
+#: In few rows a stretch, so that the given tables have many.
+FEW = 500
+_ONE = P + ", o AS (SELECT 'all' AS metric, CASE WHEN ts < TIMESTAMP '2024-01-15 12:00:00' THEN TIMESTAMP '2024-01-01' ELSE date_trunc('day', ts)::TIMESTAMP END AS ts, value, seq, metric AS kind FROM p)"
+
+
+@add("delta_encode_hot", f"{_ONE} SELECT seq, coalesce(epoch_ms(ts) - lag(epoch_ms(ts)) OVER w, 0) AS delta_ms, row_number() OVER w - 1 AS place FROM o WINDOW w AS (ORDER BY ts, seq)")
+def delta_encode_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences where one metric and instant holds half of all rows."""
+    return ordered.deltas(one_metric(spark, sf_dir), FEW).select("seq", "delta_ms", "place")
+
+
+@add("delta_decode", f"{P} SELECT metric, seq, epoch_us(ts) // 1000 AS at_ms FROM p")
+def delta_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times that come back from differences and each metric's first time."""
+    own = points.event_points(spark, sf_dir)
+    starts = own.groupBy("metric").agg(F.min(C.millis("ts")).alias("start_ms"))
+    return ordered.times_of(ordered.deltas(own, FEW), starts, FEW)
+
+
+@add("moving_average_hot", f"{_ONE} SELECT seq, {near('avg(value) OVER (ORDER BY ts, seq ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)', 5)} AS moving_avg FROM o")
+def moving_average_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.running(one_metric(spark, sf_dir), rows_each=FEW).select("seq", C.rounded(F.col("moving_avg"), 5).alias("moving_avg"))
+
+
+@add(
+    "as_of_hot",
+    f"{_ONE}, c AS (SELECT ts, max(seq) AS last, arg_max(value, seq) AS value FROM o WHERE kind = 'click' GROUP BY ts), q AS (SELECT seq, ts FROM o WHERE kind = 'purchase')"
+    " SELECT q.seq, q.ts, c.ts AS found_ts, c.value AS found_value FROM q ASOF LEFT JOIN c ON q.ts >= c.ts",
+)
+def as_of_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last click before each purchase, where half of both are at one instant."""
+    kinds = points.event_points(spark, sf_dir).select("seq", F.col("metric").alias("kind"))
+    own = one_metric(spark, sf_dir).join(kinds, "seq")
+    probes = own.where("kind = 'purchase'").select("seq", "ts", "metric")
+    return ordered.as_of(probes, own.where("kind = 'click'"), "metric", rows_each=FEW).select("seq", "ts", "found_ts", "found_value")
 
 
 @add(
@@ -516,7 +560,6 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_to_table(rows, batch=lambda b: streams.split_ingest(b, NOW)[0]).select("metric", "ts", "value", "seq")
 
 
-MIDDLE = to_ms(datetime(2024, 1, 15, 12))
 for _op, _sign in (("gte", ">="), ("gt", ">"), ("lt", "<"), ("lte", "<=")):
     add(f"time_{_op}", rows_sql(f"date_trunc('millisecond', ts) {_sign} TIMESTAMP '2024-01-15 12:00:00' AND metric = 'click'"))(on_points(Query.select("click").where_time(_op, MIDDLE)))
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,8 +44,53 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """A small result as a table in the shared folder, for plans that read it more than once."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+#: Tables staged so far, by open `scratch`, innermost last; each thread (and each task of asyncio) has its own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("tidemark_scopes", default=())
+#: Tables staged outside of any `scratch`: a lazy result may read them as long as this process runs.
+_open: list[str] = []
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write `df` to a table in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    Inside `scratch` it is removed at its end; one that is to be kept, at the end of the scratch around it. Outside of any it is removed when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    scopes = _scopes.get()
+    (scopes[-1 - keep] if len(scopes) > keep else _open).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, in whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes tables staged inside, by this thread, when it ends: what leaves must be a kept table, or read none of the others."""
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in own:
+            remove(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables staged outside of any `scratch`; lazy results that read them can no longer be used."""
+    while _open:
+        remove(spark, _open.pop())
+
+
+@atexit.register
+def _at_end() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with suppress(Exception):  # the session may be stopped already
+            release(spark)
