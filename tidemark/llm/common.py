@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import string
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_folder, table  # noqa: F401
+from tidemark.session import scratch, table  # noqa: F401
+from tidemark.session import staged as stage_table  # noqa: F401
 
 #: Rows with one key from which on they are too many for one task.
 HEAVY = 100_000
@@ -19,35 +18,6 @@ HEAVY = 100_000
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
-#: Tables staged so far, by open `scratch`, innermost last.
-_scopes: list[list[str]] = []
-
-
-def stage_table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write `df` to a table in the shared folder and read it again: cuts lineage, survives lost executors.
-
-    Inside `scratch` it is removed at its end; one that is to be kept, at the end of the scratch around it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
-    if len(_scopes) > keep:
-        _scopes[-1 - keep].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes tables staged inside when it ends: what leaves must be a kept table, or read none of the others."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        for path in _scopes.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def small(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in slices of some rows, so that what a task unpacks at once stays small."""
     for b in batches:
