@@ -10,7 +10,8 @@ are settled independently; one with fewer survivors is expanded whole.
 A phrase is dropped if a longer candidate around it occurs as often. The extension by one word already does then, so each occurrence has the same
 word before it, or the same word after it: what is kept with each count is the least and greatest hash (64 bits) of those neighbours.
 
-The texts are read once, into chunks of numbered words in the shared folder; rounds read the chunks. What tasks need to know of earlier levels is
+The texts are read once, into chunks of numbered words in the shared folder. Words that occur less than `least` times are in no candidate and can be no candidate's only neighbour,
+so they stand for breaks from then on: counts by hash tell most of them, and the chunks are written again without. Rounds read those. What tasks need to know of earlier levels is
 sent as a bitmap of bounded size over hashes of phrases: a false hit costs a row to count, and counts and joins are by the phrases themselves.
 Memory: a chunk of about CHUNK bytes (or one text) in a task, bitmaps of BITS bits, and `top` rows for a language.
 
@@ -79,13 +80,16 @@ def read_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nd
     ends = ends - ends[0]
     kind = _KIND[raw]
     inside = kind == 0
-    new_text = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(new_text, ends[:-1], 1)
-    edge = new_text[:-1] > 0
-    starts = np.flatnonzero(inside & (edge | np.concatenate([[True], ~inside[:-1]])[: len(raw)]))
-    stops = np.flatnonzero(inside & np.concatenate([edge[1:] | ~inside[1:], [True]])[: len(raw)]) + 1
-    piece = np.cumsum((kind == _BREAK) | edge)[starts] if len(starts) else np.zeros(0, np.int64)
-    text = np.cumsum(new_text[:-1])[starts] - 1 if len(starts) else np.zeros(0, np.int64)
+    edges = np.unique(ends[:-1][np.diff(ends) > 0])  # where texts begin
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    first[edges] = inside[edges]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    last[edges[1:] - 1] = inside[edges[1:] - 1]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    piece = np.searchsorted(np.union1d(np.flatnonzero(kind == _BREAK), edges), starts, "right")
+    text = np.searchsorted(ends[1:], starts, "right")
     offsets = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(_LOWER[raw[inside]]))
     coded = words.dictionary_encode()
@@ -117,12 +121,13 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 place = np.arange(len(numbers)) + np.cumsum(np.concatenate([[True], breaks[1:] != breaks[:-1]]))
                 line = np.full(place[-1] + 2, -1, np.int32)
                 line[place] = numbers
-                named = words.take(pa.array(seen)).to_pylist()
-                hashes = [word_hash(lang, w) for w in named]
-                yield pa.RecordBatch.from_pylist(
-                    [{"lang": lang, "words": named, "hashes": hashes, "counts": counts.tolist(), "ids": line.tobytes()}],
-                    pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())]),
-                )
+                named = words.take(pa.array(seen))
+                yield _row(lang, named, np.array([word_hash(lang, w) for w in named.to_pylist()], np.int64), counts, line)
+
+
+def _row(lang: str, words: pa.Array, hashes: np.ndarray, counts: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (words.cast(pa.string()), pa.array(hashes, pa.int64()), pa.array(counts, pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), *lists, pa.array([line.astype(np.int32).tobytes()], pa.binary())], ["lang", "words", "hashes", "counts", "ids"])
 
 
 def chunks_of(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -131,9 +136,42 @@ def chunks_of(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return stage_table(rows.mapInArrow(_chunked, CHUNKS), "chunks")
 
 
+def _array(column: pa.Array, k: int) -> pa.Array:
+    """Row k of a column of lists, without a copy."""
+    return column[k].values
+
+
+def dense(chunks: DataFrame, least: int) -> DataFrame:
+    """The chunks without words whose hashes occur less than `least` times: breaks stand for them, one for several in a row."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            value, group = np.unique(b.column(0).flatten().to_numpy(), return_inverse=True)
+            n = np.bincount(group, b.column(1).flatten().to_numpy(), len(value)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(n)], ["hash", "a"])
+
+    counts = chunks.select("hashes", "counts").mapInArrow(summed, "hash long, a long").groupBy("hash").agg(F.sum("a").alias("a"))
+    often = stage_table(counts.where(F.col("a") >= least).select("hash"), "often")
+    filter_ = _bitmap(often)
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                hashes, counts = (_array(b.column(c), k).to_numpy() for c in (2, 3))
+                stay = np.flatnonzero(_in(filter_.value, hashes))
+                number = np.full(len(hashes) + 1, -1, np.int32)  # the last stands for -1
+                number[stay] = np.arange(len(stay))
+                line = number[np.frombuffer(b.column(4)[k].as_buffer(), np.int32)]
+                line = line[np.append(True, (line[1:] >= 0) | (line[:-1] >= 0))]
+                if len(stay):
+                    yield _row(b.column(0)[k].as_py(), _array(b.column(1), k).take(pa.array(stay)), hashes[stay], counts[stay], line)
+
+    return stage_table(chunks.mapInArrow(thinned, CHUNKS), "dense")
+
+
 def _bitmap(hashed: DataFrame):
     """The hashes as a filter for tasks, of about 16 bits for each, but at most BITS in all."""
-    size = min(BITS, max(1 << 15, 1 << (16 * hashed.count()).bit_length()))
+    size = min(BITS, max(1 << 15, 1 << (16 * hashed.count()).bit_length()))  # the same results at any size
     place = F.col("hash").bitwiseAND(F.lit(size - 1)) + 1
     parts = hashed.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     bits = np.zeros(size // 8, np.uint8)
@@ -150,10 +188,10 @@ def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 class Chunk:
     """A chunk in a task: `line` holds the numbers of its words, padded at the end."""
 
-    def __init__(self, row: dict, longest: int):
-        self.lang, self.words = row["lang"], pa.array(row["words"], pa.string())
-        self.hashes = np.append(np.array(row["hashes"], np.int64), NONE)  # the last stands for -1
-        self.line = np.concatenate([np.frombuffer(row["ids"], np.int32), np.full(longest, -1, np.int32)])
+    def __init__(self, batch: pa.RecordBatch, k: int, longest: int):
+        self.lang, self.words = batch.column(0)[k].as_py(), _array(batch.column(1), k)
+        self.hashes = np.append(_array(batch.column(2), k).to_numpy(), NONE)  # the last stands for -1
+        self.line = np.concatenate([np.frombuffer(batch.column(3)[k].as_buffer(), np.int32), np.full(longest, -1, np.int32)])
 
     def marks(self, bits: np.ndarray) -> np.ndarray:
         """Whether each word is in a filter; never for -1."""
@@ -186,7 +224,7 @@ def _counts(chunks: DataFrame, find, longest: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                yield from find(Chunk(b.slice(k, 1).to_pylist()[0], longest))
+                yield from find(Chunk(b, k, longest))
 
     found = chunks.select("lang", "words", "hashes", "ids").mapInArrow(run, COUNTS)
     sides = [F.min("left_min"), F.max("left_max"), F.min("right_min"), F.max("right_max")]
@@ -282,8 +320,9 @@ def ranked(scored: DataFrame, top: int) -> DataFrame:
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 5, least: int = 100, top: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first `top` surviving phrases of each language."""
-    chunks = chunks_of(docs, text_col, lang_col)
-    totals = chunks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
+    raw = chunks_of(docs, text_col, lang_col)
+    totals = raw.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
+    chunks = dense(raw, least)
     each = chunks.select("lang", F.explode(F.arrays_zip("words", "hashes", "counts")).alias("w"))
     common = each.groupBy("lang", F.col("w.words").alias("phrase"), F.col("w.hashes").alias("hash")).agg(F.sum("w.counts").alias("a")).where(F.col("a") >= least)
     totals = stage_table(totals, "totals")
@@ -297,8 +336,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         live = chunks.join(limits.select("lang"), "lang", "left_semi")
         for size in range(2, longest + 1):
             levels.append(_level(live, size, longest, least, frontier, known, prefixes))
-            if size < longest:
-                prefixes.append(_bitmap(levels[-1]))
+            if size == longest or levels[-1].isEmpty():
+                break
+            prefixes.append(_bitmap(levels[-1]))
         scored = _round(live, levels, common, totals, known, longest, scored)
         for x in prefixes:
             x.destroy()
