@@ -30,12 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage_table
+from tidemark.llm.common import scratch, small, stage_table
 
 #: Bytes of text in a chunk, about.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Bits of a filter at most (a multiple of 32768, a power of two): 8 MB.
 BITS = 1 << 26
+#: Rows that a task hands on at once.
+ROWS = 20_000
 #: A round goes down to a bound so many times lower, or to the last score that may still count.
 STEP = 32
 #: No word stands there.
@@ -141,6 +143,11 @@ def _array(column: pa.Array, k: int) -> pa.Array:
     return column[k].values
 
 
+def _often(counted: DataFrame, least: int) -> DataFrame:
+    """(hash), staged: the hashes that occur `least` times, from counts (hash, a) of parts."""
+    return stage_table(counted.groupBy("hash").agg(F.sum("a").alias("a")).where(F.col("a") >= least).select("hash"), "often")
+
+
 def dense(chunks: DataFrame, least: int) -> DataFrame:
     """The chunks without words whose hashes occur less than `least` times: breaks stand for them, one for several in a row."""
 
@@ -148,10 +155,9 @@ def dense(chunks: DataFrame, least: int) -> DataFrame:
         for b in batches:
             value, group = np.unique(b.column(0).flatten().to_numpy(), return_inverse=True)
             n = np.bincount(group, b.column(1).flatten().to_numpy(), len(value)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(n)], ["hash", "a"])
+            yield from small([pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(n)], ["hash", "a"])], ROWS)
 
-    counts = chunks.select("hashes", "counts").mapInArrow(summed, "hash long, a long").groupBy("hash").agg(F.sum("a").alias("a"))
-    often = stage_table(counts.where(F.col("a") >= least).select("hash"), "often")
+    often = _often(chunks.select("hashes", "counts").mapInArrow(summed, "hash long, a long"), least)
     filter_ = _bitmap(often)
 
     def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,25 +225,40 @@ class Chunk:
 
 
 def _counts(chunks: DataFrame, find, longest: int) -> DataFrame:
-    """COUNTS over all chunks of what `find` (chunk -> batches) gives for each."""
+    """COUNTS over all chunks of what `find` (chunk -> (places, words, hashes) of phrases) gives for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                yield from find(Chunk(b, k, longest))
+                chunk = Chunk(b, k, longest)
+                yield from small((chunk.counted(*x) for x in find(chunk)), ROWS)
 
     found = chunks.select("lang", "words", "hashes", "ids").mapInArrow(run, COUNTS)
     sides = [F.min("left_min"), F.max("left_max"), F.min("right_min"), F.max("right_max")]
     return found.groupBy("lang", "phrase", "hash").agg(F.sum("a").alias("a"), *[s.alias(c) for s, c in zip(sides, ("left_min", "left_max", "right_min", "right_max"), strict=True)])
 
 
+def _hash_counts(chunks: DataFrame, find, longest: int) -> DataFrame:
+    """(hash, a) of the same phrases in parts: a little number for each, for the many that occur seldom."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                for _, _, hashes in find(Chunk(b, k, longest)):
+                    value, n = np.unique(hashes, return_counts=True)
+                    yield from small([pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(n, pa.int64())], ["hash", "a"])], ROWS)
+
+    return chunks.select("lang", "words", "hashes", "ids").mapInArrow(run, "hash long, a long")
+
+
 def _level(chunks: DataFrame, size: int, longest: int, least: int, frontier: DataFrame, common, prefixes: list) -> DataFrame:
     """The phrases of `size` words that occur `least` times and begin with a word of `frontier`.
 
-    `prefixes` has a filter for each shorter length; a phrase that passes one by chance is dropped by its count or its first word.
+    `prefixes` has a filter for each shorter length; a phrase that passes one by chance is dropped by its count or its first word. Pairs, most of which are
+    rare, are counted by their hashes first.
     """
 
-    def find(chunk: Chunk) -> Iterator[pa.RecordBatch]:
+    def find(chunk: Chunk, also=None) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         known = chunk.marks(common.value)
         at = np.flatnonzero(chunk.marks(prefixes[0].value)[chunk.line])
         h = chunk.hashes[chunk.line[at]]
@@ -247,17 +268,25 @@ def _level(chunks: DataFrame, size: int, longest: int, least: int, frontier: Dat
             if k < size - 1:
                 go = _in(prefixes[k].value, h)
                 at, h = at[go], h[go]
+        if also is not None:
+            go = _in(also.value, h)
+            at, h = at[go], h[go]
         if len(at):
-            yield chunk.counted(at, size, h)
+            yield at, size, h
 
-    often = _counts(chunks, find, longest).where(F.col("a") >= least).withColumns({"size": F.lit(size), "_first": _words("phrase")[0]})
-    return stage_table(often.join(frontier.select("lang", F.col("phrase").alias("_first")), ["lang", "_first"], "left_semi").drop("_first"), "phrases")
+    pairs = _bitmap(_often(_hash_counts(chunks, find, longest), least)) if size == 2 else None
+    counts = _counts(chunks, lambda chunk: find(chunk, pairs), longest)
+    often = counts.where(F.col("a") >= least).withColumns({"size": F.lit(size), "_first": _words("phrase")[0]})
+    found = stage_table(often.join(frontier.select("lang", F.col("phrase").alias("_first")), ["lang", "_first"], "left_semi").drop("_first"), "phrases")
+    if pairs is not None:
+        pairs.destroy()
+    return found
 
 
 def _occurrences(chunks: DataFrame, longest: int, common, firsts, wanted) -> DataFrame:
     """COUNTS of the phrases of 2 to longest - 1 words whose hashes are in `wanted`, and of some others."""
 
-    def find(chunk: Chunk) -> Iterator[pa.RecordBatch]:
+    def find(chunk: Chunk) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         known = chunk.marks(common.value)
         at = np.flatnonzero(chunk.marks(firsts.value)[chunk.line])
         h = chunk.hashes[chunk.line[at]]
@@ -266,7 +295,7 @@ def _occurrences(chunks: DataFrame, longest: int, common, firsts, wanted) -> Dat
             at, h = at[go], _mixed(h[go], chunk.hashes[chunk.line[at[go] + k]])
             hit = _in(wanted.value, h)
             if hit.any():
-                yield chunk.counted(at[hit], k + 1, h[hit])
+                yield at[hit], k + 1, h[hit]
 
     return _counts(chunks, find, longest)
 
@@ -320,7 +349,11 @@ def ranked(scored: DataFrame, top: int) -> DataFrame:
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 5, least: int = 100, top: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first `top` surviving phrases of each language."""
-    raw = chunks_of(docs, text_col, lang_col)
+    with scratch(docs.sparkSession):
+        return stage_table(_mined(chunks_of(docs, text_col, lang_col), longest, least, top), "collocations", keep=True)
+
+
+def _mined(raw: DataFrame, longest: int, least: int, top: int) -> DataFrame:
     totals = raw.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
     chunks = dense(raw, least)
     each = chunks.select("lang", F.explode(F.arrays_zip("words", "hashes", "counts")).alias("w"))
@@ -331,31 +364,39 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     scored = None
     limits = stage_table(totals.select("lang", "n", F.floor(F.col("n") * 1000 / least / STEP).cast("long").alias("low"), F.lit(None).cast("long").alias("high")), "limits")
     while limits.limit(1).count():
-        frontier = common.join(limits.select("lang", "low", "high"), "lang").where((F.col("bound") >= F.col("low")) & (F.col("high").isNull() | (F.col("bound") < F.col("high"))))
-        prefixes, levels = [_bitmap(frontier)], []
+        due = (F.col("bound") >= F.col("low")) & (F.col("high").isNull() | (F.col("bound") < F.col("high")))
+        frontier = stage_table(common.join(limits.select("lang", "low", "high"), "lang").where(due).select("lang", "phrase", "hash"), "frontier")
         live = chunks.join(limits.select("lang"), "lang", "left_semi")
-        for size in range(2, longest + 1):
-            levels.append(_level(live, size, longest, least, frontier, known, prefixes))
-            if size == longest or levels[-1].isEmpty():
-                break
-            prefixes.append(_bitmap(levels[-1]))
-        scored = _round(live, levels, common, totals, known, longest, scored)
-        for x in prefixes:
-            x.destroy()
+        levels = _grown(live, frontier, known, longest, least)
+        if levels or scored is None:
+            scored = _round(live, levels, common, totals, known, longest, scored)
         found = ranked(scored, top).groupBy("lang").agg(F.count("*").alias("found"), F.min("score").alias("last"))
         after = limits.join(found, "lang", "left").withColumn("last", F.when(F.col("found") >= top, F.col("last")))
         open_ = (F.col("low") > F.coalesce("last", F.lit(0))) & (F.col("low") > 1000)  # no bound is below 1000
         lower = F.greatest(F.coalesce("last", F.lit(0)), F.floor(F.col("low") / STEP), F.lit(1000)).cast("long")
         limits = stage_table(after.where(open_).select("lang", "n", lower.alias("low"), F.col("low").alias("high")), "limits")
     known.destroy()
-    kinds = "lang string, rank int, phrase string, a long, l long, r long, n long, score long"
-    if scored is None:
-        return docs.sparkSession.createDataFrame([], kinds)
+    scored = scored if scored is not None else _round(chunks, [], common, totals, known, longest, None)
     return ranked(scored, top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def _grown(live: DataFrame, frontier: DataFrame, known, longest: int, least: int) -> list[DataFrame]:
+    """The phrases that grow from the frontier, by their length, as far as there are any."""
+    prefixes, levels = [], [frontier]
+    for size in range(2, longest + 1):
+        if levels[-1].isEmpty():
+            break
+        prefixes.append(_bitmap(levels[-1]))
+        levels.append(_level(live, size, longest, least, frontier, known, prefixes))
+    for x in prefixes:
+        x.destroy()
+    return levels[1:]
+
+
 def _round(live: DataFrame, levels: list[DataFrame], common: DataFrame, totals: DataFrame, known, longest: int, before: DataFrame | None) -> DataFrame:
     """What earlier rounds scored and the survivors of this round's levels."""
+    if not levels:
+        return live.sparkSession.createDataFrame([], "lang string, phrase string, a long, l long, r long, n long, score long")
     grown = levels[0]
     for x in levels[1:]:
         grown = grown.unionByName(x)
@@ -363,6 +404,9 @@ def _round(live: DataFrame, levels: list[DataFrame], common: DataFrame, totals:
     survivors = grown.where((F.col("size") == longest) | ~(alone("left") | alone("right")))
     starts = survivors.where("size > 2").select("lang", "phrase", "size", F.explode(F.sequence(F.lit(1), F.col("size") - 2)).alias("k"))
     wanted = stage_table(_hashed(starts.select("lang", _part(F.col("k") + 1, F.col("size") - F.col("k")).alias("phrase")).distinct()), "wanted")
+    if wanted.isEmpty():  # pairs only
+        new = stage_table(_scored(survivors, common, totals), "scored")
+        return new if before is None else before.unionByName(new)
     filters = _bitmap(wanted.select(F.col("first").alias("hash")).distinct()), _bitmap(wanted)
     counted = _occurrences(live, longest, known, *filters)
     rests = stage_table(counted.join(wanted, ["lang", "phrase"], "left_semi").select("lang", "phrase", "a"), "rests")

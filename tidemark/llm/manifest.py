@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, stage_table
+from tidemark.llm.common import scratch, small, stage_table
 
 WIDTH = 8
 #: Levels of the tree in a block.
@@ -203,6 +203,12 @@ def versions(tree: DataFrame) -> DataFrame:
     return tree.select("nodes", "total", "path", "subroot", "root").mapInArrow(_versions, kinds)
 
 
+def proven(leaves: DataFrame) -> DataFrame:
+    """`versions` of the `manifest` over `leaves`, written; what was staged on the way is removed."""
+    with scratch(leaves.sparkSession):
+        return stage_table(versions(manifest(leaves)), "versions", keep=True)
+
+
 def document_leaves(docs: DataFrame, tampered: Column, changed_text: Column) -> DataFrame:
     """The leaves of documents by language: doc_id, source, lang, n_chars and text are hashed; tampered rows have `changed_text` for their text."""
     head = [docs[c] for c in ("doc_id", "source", "lang", "n_chars")]

@@ -12,7 +12,7 @@ from tidemark.llm.bpe import decode_ids, encode_texts, read_merges
 from tidemark.llm.collocations import collocations
 from tidemark.llm.common import crc_of_id, lower_ascii, table
 from tidemark.llm.licenses import GAP, NOTICES, PHRASES, RARE, SLACK, label_names, needed, scan_licenses
-from tidemark.llm.manifest import document_leaves, manifest, versions
+from tidemark.llm.manifest import document_leaves, proven
 from tidemark.llm.media import read_media, store_texts
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import learn_quality, score_quality
@@ -148,7 +148,7 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = F.pmod(crc_of_id("doc_id"), F.lit(3)) == 0
-    found = versions(manifest(document_leaves(docs, tampered, lower_ascii(F.col("text")))))
+    found = proven(document_leaves(docs, tampered, lower_ascii(F.col("text"))))
     verified = (F.col("folded_root") == F.col("root")).alias("verified")
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", verified)
 
