@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import scratch, small, stage_table
 
 #: Bytes of text in a chunk, about.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Bits of a filter at most (a multiple of 32768, a power of two): 8 MB.
 BITS = 1 << 26
 #: Rows that a task hands on at once.
@@ -175,6 +175,20 @@ def dense(chunks: DataFrame, least: int) -> DataFrame:
     return stage_table(chunks.mapInArrow(thinned, CHUNKS), "dense")
 
 
+def _words_of(chunks: DataFrame) -> DataFrame:
+    """(lang, phrase, hash, a): the words of the chunks with their counts, summed within a task's batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            value, first, group = np.unique(b.column(2).flatten().to_numpy(), return_index=True, return_inverse=True)
+            n = np.bincount(group, b.column(3).flatten().to_numpy(), len(value)).astype(np.int64)
+            row = np.searchsorted(np.cumsum([len(x) for x in b.column(1)]), first, "right")
+            made = [b.column(0).take(pa.array(row)), b.column(1).flatten().take(pa.array(first)), pa.array(value, pa.int64()), pa.array(n)]
+            yield from small([pa.RecordBatch.from_arrays(made, ["lang", "phrase", "hash", "a"])], ROWS)
+
+    return chunks.select("lang", "words", "hashes", "counts").mapInArrow(run, "lang string, phrase string, hash long, a long")
+
+
 def _bitmap(hashed: DataFrame):
     """The hashes as a filter for tasks, of about 16 bits for each, but at most BITS in all."""
     size = min(BITS, max(1 << 15, 1 << (16 * hashed.count()).bit_length()))  # the same results at any size
@@ -195,9 +209,10 @@ class Chunk:
     """A chunk in a task: `line` holds the numbers of its words, padded at the end."""
 
     def __init__(self, batch: pa.RecordBatch, k: int, longest: int):
-        self.lang, self.words = batch.column(0)[k].as_py(), _array(batch.column(1), k)
-        self.hashes = np.append(_array(batch.column(2), k).to_numpy(), NONE)  # the last stands for -1
-        self.line = np.concatenate([np.frombuffer(batch.column(3)[k].as_buffer(), np.int32), np.full(longest, -1, np.int32)])
+        """Row k of a batch of (hashes, ids) or (hashes, ids, lang, words)."""
+        self.hashes = np.append(_array(batch.column(0), k).to_numpy(), NONE)  # the last stands for -1
+        self.line = np.concatenate([np.frombuffer(batch.column(1)[k].as_buffer(), np.int32), np.full(longest, -1, np.int32)])
+        self.lang, self.words = (batch.column(2)[k].as_py(), _array(batch.column(3), k)) if batch.num_columns > 2 else (None, None)
 
     def marks(self, bits: np.ndarray) -> np.ndarray:
         """Whether each word is in a filter; never for -1."""
@@ -233,7 +248,7 @@ def _counts(chunks: DataFrame, find, longest: int) -> DataFrame:
                 chunk = Chunk(b, k, longest)
                 yield from small((chunk.counted(*x) for x in find(chunk)), ROWS)
 
-    found = chunks.select("lang", "words", "hashes", "ids").mapInArrow(run, COUNTS)
+    found = chunks.select("hashes", "ids", "lang", "words").mapInArrow(run, COUNTS)
     sides = [F.min("left_min"), F.max("left_max"), F.min("right_min"), F.max("right_max")]
     return found.groupBy("lang", "phrase", "hash").agg(F.sum("a").alias("a"), *[s.alias(c) for s, c in zip(sides, ("left_min", "left_max", "right_min", "right_max"), strict=True)])
 
@@ -248,7 +263,7 @@ def _hash_counts(chunks: DataFrame, find, longest: int) -> DataFrame:
                     value, n = np.unique(hashes, return_counts=True)
                     yield from small([pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(n, pa.int64())], ["hash", "a"])], ROWS)
 
-    return chunks.select("lang", "words", "hashes", "ids").mapInArrow(run, "hash long, a long")
+    return chunks.select("hashes", "ids").mapInArrow(run, "hash long, a long")
 
 
 def _level(chunks: DataFrame, size: int, longest: int, least: int, frontier: DataFrame, common, prefixes: list) -> DataFrame:
@@ -356,8 +371,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 def _mined(raw: DataFrame, longest: int, least: int, top: int) -> DataFrame:
     totals = raw.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
     chunks = dense(raw, least)
-    each = chunks.select("lang", F.explode(F.arrays_zip("words", "hashes", "counts")).alias("w"))
-    common = each.groupBy("lang", F.col("w.words").alias("phrase"), F.col("w.hashes").alias("hash")).agg(F.sum("w.counts").alias("a")).where(F.col("a") >= least)
+    common = _words_of(chunks).groupBy("lang", "phrase", "hash").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     totals = stage_table(totals, "totals")
     common = stage_table(common.join(totals, "lang").withColumn("bound", _bound("n", "a")), "common")
     known = _bitmap(common)
