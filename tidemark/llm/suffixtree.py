@@ -10,12 +10,12 @@ seen once are taken together in this test. Each state's distribution is smoothed
 as not seen, so m is `seen` and the number of those. A symbol is scored in the state of the longest suffix.
 
 1. `vocabulary`: every word of the corpus with its count in training rows, summed inside tasks and then by Spark.
-2. `alphabet`: words that occur N^0.9 / `own` times or more of N tokens are symbols, and so are classes; their number grows with the corpus.
+2. `alphabet`: words that occur N^0.75 / `own` times or more of N tokens are symbols, and so are classes; their number grows with the corpus.
 3. `read_texts`: each text as symbols. Words that make up `common` of all tokens, at most 1/common of them, are
    broadcast with their counts; the other words of a text are kept as hashes and joined to the vocabulary later.
 4. `grow`: level by level, what follows the contexts that occur often enough is counted, summed inside tasks and then by Spark; the
-   divergence test and the smoothing are joins and sums over these counts, all of them. A context must occur N^0.85 / `rare` times, so the
-   tree grows with the corpus, as N^0.15. It is a table; nothing of it is dropped.
+   divergence test and the smoothing are joins and sums over these counts, all of them. A context must occur N^0.6 / `rare` times, so the
+   tree grows with the corpus, as N^0.4 at least. It is a table; nothing of it is dropped.
 5. `score_texts` scores symbols in a map and adds the words' part, which comes from a join, by document.
 
 The frequent runs and the tree are sent to the tasks while they have at most `sent` rows; beyond that each text's own runs are joined to them (`told`), with
@@ -293,7 +293,7 @@ def told(texts: DataFrame, table: DataFrame, longest: int, sent: int, work: Call
 
 
 def _counted(texts: DataFrame, contexts: DataFrame, length: int, sent: int) -> DataFrame:
-    """(context, symbol, n): how often each symbol follows each of the contexts (run) of `length` symbols in training; dealt by context."""
+    """(context, symbol, n): how often each symbol follows each of the contexts (run) of `length` symbols in training."""
 
     def batch(context: np.ndarray, symbol: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((symbol, context))
@@ -320,7 +320,7 @@ def _counted(texts: DataFrame, contexts: DataFrame, length: int, sent: int) -> D
 
     schema = "context long, symbol int, n int"
     rows = told(texts.where("trains").select("rn", "symbols"), contexts.select("run"), max(length, 1), sent, work, schema)
-    return rows.repartition("context").groupBy("context", "symbol").agg(F.sum("n").alias("n"))  # at most a row a symbol from each task for a context
+    return rows.groupBy("context", "symbol").agg(F.sum("n").alias("n"))  # summed in each task first, then dealt by both: no context is one task
 
 
 def grow(texts: DataFrame, size: int, floor: float, depth: int, worth: float, worth_each: float, sent: int) -> DataFrame:
@@ -341,21 +341,24 @@ def grow(texts: DataFrame, size: int, floor: float, depth: int, worth: float, wo
     tree = chance.select("run", F.log10("p").alias("cost"), F.lit(None).cast("double").alias("weight"))
     contexts = stage_table(single.where(F.col("n") >= floor).select("run", F.lit(1).cast("long").alias("suffix"), F.col("n").alias("total")), "contexts")
     for length in range(1, depth + 1):
-        often = _counted(texts, contexts, length, sent).where("n > 1").join(contexts.withColumnRenamed("run", "context"), "context")
-        often = stage_table(often.select("n", "total", "context", "suffix", "symbol").mapInArrow(named, "n long, total long, context long, run long, suffix long"), "runs")
-        rated = stage_table(often.join(chance.withColumnRenamed("run", "suffix"), "suffix").select("run", "context", "n", "total", "p"), "rated")
-        tested = rated.groupBy("context").agg(
-            F.max("total").alias("total"), F.count("*").alias("often"), F.sum("n").alias("known"), F.sum("p").alias("q"), F.sum(F.col("n") * F.log(F.col("n") / (F.col("total") * F.col("p")))).alias("s")
-        )
-        once = F.col("total") - F.col("known")
-        gain = F.col("s") + F.when(once > 0, once * F.log(once / (F.col("total") * F.greatest(1 - F.col("q"), F.lit(1e-12))))).otherwise(0.0)
-        kept = tested.where(gain >= worth + worth_each * F.col("often"))
-        states = stage_table(kept.select("context", (F.col("total") + F.col("often") + once).alias("whole"), (F.col("often") + 2 * once).alias("m")), "states")
-        chance = stage_table(rated.join(states, "context").select("run", ((F.col("n") + F.col("m") * F.col("p")) / F.col("whole")).alias("p")), "chances")
-        costs = chance.select("run", F.log10("p").alias("cost"), F.lit(None).cast("double").alias("weight"))
+        with scratch(texts.sparkSession):  # what only this level needs goes at its end
+            often = _counted(texts, contexts, length, sent).where("n > 1").join(contexts.withColumnRenamed("run", "context"), "context")
+            often = often.select("n", "total", "context", "suffix", "symbol").mapInArrow(named, "n long, total long, context long, run long, suffix long")
+            every = stage_table(often.join(chance.withColumnRenamed("run", "suffix"), "suffix", "left").select("run", "context", "suffix", "n", "total", "p"), "runs")
+            rated = every.where("p is not null")
+            tested = rated.groupBy("context").agg(
+                F.max("total").alias("total"), F.count("*").alias("often"), F.sum("n").alias("known"), F.sum("p").alias("q"), F.sum(F.col("n") * F.log(F.col("n") / (F.col("total") * F.col("p")))).alias("s")
+            )
+            once = F.col("total") - F.col("known")
+            gain = F.col("s") + F.when(once > 0, once * F.log(once / (F.col("total") * F.greatest(1 - F.col("q"), F.lit(1e-12))))).otherwise(0.0)
+            kept = tested.where(gain >= worth + worth_each * F.col("often"))
+            states = stage_table(kept.select("context", (F.col("total") + F.col("often") + once).alias("whole"), (F.col("often") + 2 * once).alias("m")), "states", keep=True)
+            new = stage_table(rated.join(states, "context").select("run", ((F.col("n") + F.col("m") * F.col("p")) / F.col("whole")).alias("p")), "chances", keep=True)
+            longer = stage_table(every.where(F.col("n") >= floor).select("run", "suffix", F.col("n").alias("total")), "contexts", keep=True)
+        costs = new.select("run", F.log10("p").alias("cost"), F.lit(None).cast("double").alias("weight"))
         weights = states.select(F.col("context").alias("run"), F.lit(None).cast("double").alias("cost"), F.log10(F.col("m") / F.col("whole")).alias("weight"))
         tree = tree.unionByName(costs).unionByName(weights)
-        contexts = stage_table(often.where(F.col("n") >= floor).select("run", "suffix", F.col("n").alias("total")), "contexts")
+        chance, contexts = new, longer
         if states.isEmpty() or contexts.isEmpty():
             break
     return stage_table(tree.groupBy("run").agg(F.max("cost").cast("float").alias("cost"), F.max("weight").cast("float").alias("weight")), "tree")
@@ -380,7 +383,7 @@ def symbol_costs(symbols: np.ndarray, before: np.ndarray, known: Known, depth: i
 
 def score_texts(
     docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text",
-    own: float = 1300.0, common: float = 2e-6, rare: float = 8500.0, depth: int = 4, worth: float = 10.0, worth_each: float = 1.0, sent: int = 6_000_000,
+    own: float = 200.0, common: float = 2e-6, rare: float = 512.0, depth: int = 4, worth: float = 10.0, worth_each: float = 1.0, sent: int = 6_000_000,
 ) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row; `trains` tells the rows to learn from.
 
@@ -389,9 +392,9 @@ def score_texts(
     with scratch(docs.sparkSession):
         words = vocabulary(docs, text_col, trains)
         n, v = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 0)).first()
-        known, rated = alphabet(words, n, max(1.0, n**0.9 / own), common)
+        known, rated = alphabet(words, n, max(1.0, n**0.75 / own), common)
         texts = read_texts(docs, known, id_col, text_col, trains)
-        tree = grow(texts, known.size, max(2.0, n**0.85 / rare), depth, worth, worth_each, sent)
+        tree = grow(texts, known.size, max(2.0, n**0.6 / rare), depth, worth, worth_each, sent)
 
         def work(pieces: Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Known]]) -> Iterator[pa.RecordBatch]:
             for b, symbols, before, found in pieces:
