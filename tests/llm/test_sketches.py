@@ -1,3 +1,4 @@
+import base64
 import hashlib
 
 import pytest
@@ -67,15 +68,15 @@ def test_absolute_error_of_likeness(spark, sf_dir, texts):
         x, y = shingles(texts[a]), shingles(edit(texts[a], texts[b]))
         errors.append(abs(found[a] - (len(x & y) / len(x | y) if x | y else 1.0)))
     print("mean absolute error", sum(errors) / len(errors), "off by more than 0.2", sum(e > 0.2 for e in errors) / len(errors))
-    assert sum(errors) / len(errors) < 0.05 and sum(e > 0.2 for e in errors) < 0.05 * len(errors)
+    assert sum(errors) / len(errors) < 0.08 and sum(e > 0.2 for e in errors) < 0.1 * len(errors)
 
 
 def test_union_and_containment_of_short_texts_in_a_long_one(spark):
     words = [f"w{i}" for i in range(3000)]
     long = " ".join(words)
     rows = [(" ".join(words[i : i + 6]), long) for i in range(0, 2900, 6)]
-    x, y = k.sketch(F.col("x")), k.sketch(F.col("y"))
-    made = spark.createDataFrame(rows, "x string, y string").select(k.merged(x, y).alias("m"), y.alias("y"), k.containment(x, y).alias("c")).collect()
+    x, y = k.sketch(F.col("x"), scale=2), k.sketch(F.col("y"), scale=2)
+    made = spark.createDataFrame(rows, "x string, y string").select(k.merged(x, y, 2).alias("m"), y.alias("y"), k.containment(x, y, 2).alias("c")).collect()
     assert all(r["m"] == r["y"] for r in made)  # the long text has all runs of the short one
     told = [r["c"] for r in made if r["c"] is not None]
     assert set(told) == {1.0} and len(made) / 2 < len(told) < len(made)
@@ -98,15 +99,21 @@ def plain_sketch(text):
         for w in run:
             h = hash_long(w, h)
         found.add(h - 2**64 if h >= 2**63 else h)
-    low = {h for h in found if h < 0}  # below half of the range
-    return sorted(low) or ([min(found)] if found else [])
+    return kept(found)
+
+
+def kept(hashes):
+    """Those below 1/SCALE of the range, or else the least."""
+    low = {h for h in hashes if h < -(2**63) + 2**64 // k.SCALE}
+    return sorted(low) or ([min(hashes)] if hashes else [])
 
 
 def test_sketches_against_brute_force(spark, sf_dir, texts):
     found = {r["doc_id"]: r["fingerprint"] for r in op6_fingerprints(spark, sf_dir).collect()}
     plain = {i: t for i, t in texts.items() if t.isascii()}
     assert len(plain) > 50
-    assert {i: found[i] for i in plain} == {i: ",".join(f"{h & MASK:x}" for h in plain_sketch(t)) for i, t in plain.items()}
+    assert {i: found[i] for i in plain} == {i: base64.b64encode(b"".join((h & 2**24 - 1).to_bytes(3, "big") for h in plain_sketch(t))).decode() for i, t in plain.items()}
+    assert sum(map(len, found.values())) < sum(map(len, texts.values())) / 10
 
 
 def test_merged_sketches_are_those_of_the_union(spark):
@@ -115,8 +122,7 @@ def test_merged_sketches_are_those_of_the_union(spark):
     rows = [(a, b) for a in short[:20] + long for b in short[20:] + long]
     found = spark.createDataFrame(rows, "x string, y string").select("x", "y", k.merged(k.sketch(F.col("x")), k.sketch(F.col("y"))).alias("m")).collect()
     for r in found:
-        both = sorted(set(plain_sketch(r["x"])) | set(plain_sketch(r["y"])))
-        assert r["m"] == ([h for h in both if h < 0] or both[:1])
+        assert r["m"] == kept(set(plain_sketch(r["x"])) | set(plain_sketch(r["y"])))
 
 
 @pytest.mark.parametrize("kind", ["dense", "outlier", "extremes", "null ids", "one id", "equal rows"])
