@@ -174,3 +174,32 @@ def test_rows_of_one_id_and_rows_without(spark):
     by = {(r["id"], r["text_hash"]): (r["component"], r["first"]) for r in found}
     assert len(found) == 7 and sorted(by.values(), key=str) == [(7, False), (7, False), (7, True), (7, True), (None, True)]
     assert sum(r["first"] for r in found) == 5  # both rows of three, and (7, one) twice
+
+
+def template_nodes(spark, n, own=22, template=100):
+    """Nodes of pages that share a template of common shingles, of which each page's prefix holds two, and have some of their own."""
+    rnd = random.Random(5)
+    shared = [rnd.getrandbits(62) for _ in range(2)]
+    rows = [(i, i, own + template, [rnd.getrandbits(62) for _ in range(own)] + shared, own) for i in range(n)]
+    return spark.createDataFrame(rows, "node long, component long, size long, prefix array<long>, rare int")
+
+
+def test_no_group_grows_with_a_shared_template(spark):
+    nodes = template_nodes(spark, 3000)
+    rows = nodes.select("node", "component", "size", "rare", s.F.posexplode("prefix").alias("at", "h")).withColumn("band", s.F.lit(6))
+    sizes = [r["count"] for r in s._squares(rows, 200).groupBy("h").count().collect()]
+    assert max(sizes) <= 3 * 200 and sum(x > 1 for x in sizes) > 100
+
+
+def test_squares_lose_no_pair(spark):
+    """In blocks or whole, the same candidates: every two nodes of one shingle that are alike enough by size and place."""
+    rnd = random.Random(6)
+    rows = [(i, i % 150, 30 + rnd.randint(0, 3), [rnd.choice([11, 12, 13]), rnd.randint(100, 140)], 1) for i in range(700)]
+    nodes = spark.createDataFrame(rows, "node long, component long, size long, prefix array<long>, rare int")
+    whole, cut = ({tuple(r) for r in s.prefix_links(nodes, 0.8, square=x).distinct().collect()} for x in (10**6, 50))
+    assert whole == cut and whole
+    by = {i: (c, z, p) for i, c, z, p, _ in rows}
+    for a, b in itertools.combinations(range(700), 2):
+        (c, z, p), (d, y, q) = by[a], by[b]
+        if c != d and p[0] == q[0]:  # first in both orders
+            assert ((a, b) in cut) == (min(z, y) >= 0.8 / 1.8 * (z + y) - 1e-6)

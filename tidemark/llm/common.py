@@ -48,12 +48,12 @@ def crc_of_id(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
 
 
-def join_heavy(left: DataFrame, right: DataFrame, key: str, heavy: Column) -> DataFrame:
+def join_heavy(left: DataFrame, right: DataFrame, key: str | list[str], heavy: Column) -> DataFrame:
     """Inner join on `key`, unique in `right`, of which some keys occur very often in `left`.
 
     `heavy` marks those in `right`; the caller vouches that they are few (what occurs at least HEAVY times in a table of n rows is at
     most n / HEAVY keys). They are broadcast, so their rows in `left` stay where they are; the rest is merged by key.
     """
     few = right.where(heavy)
-    rest = left.join(F.broadcast(few.select(key)), key, "left_anti").join(right.where(~heavy).hint("merge"), key)
+    rest = left.join(F.broadcast(few.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(right.where(~heavy).hint("merge"), key)
     return left.join(F.broadcast(few), key).select(*rest.columns).union(rest)

@@ -45,6 +45,10 @@ from tidemark.llm.components import connected_components
 
 BITS = 64
 BLOCK = 65_536
+#: What a set of shingles is told by.
+SAME = ["same", "also"]
+#: Rows of one shingle and band from which on they are compared in squares of blocks of so many.
+SQUARE = 4096
 #: What a bucket is told by: the table, and the bits that its mask keeps.
 BUCKET = ["path", "key"]
 
@@ -89,7 +93,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """(id, text_hash, fp, size, same, prefix, rare): `fp` is the vote of different shingles, `same` tells their set, `prefix` has the hashes of which texts that are alike enough share one.
+    """(id, text_hash, fp, size, same, also, prefix, rare): `fp` is the vote of different shingles, `same` and `also` (128 bits) tell their set, `prefix` has the hashes of which texts that are alike enough share one.
 
     Of n shingles a text that is alike has ceil(similarity * n) at least, so in any order that is the same for all texts,
     two such texts share one of the first n - ceil(similarity * n) + 1. `common` hashes come last in that order; `rare` counts the others.
@@ -98,22 +102,23 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, simila
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            values, same, sizes, rares, prefixes = (*(np.zeros(b.num_rows, k) for k in (np.uint64, np.uint64, np.int64, np.int32)), [])
+            values, same, also, sizes, rares, prefixes = (*(np.zeros(b.num_rows, k) for k in (np.uint64, np.uint64, np.uint64, np.int64, np.int32)), [])
             for i, x in enumerate(b.column(2)):
                 different = np.unique(shingle_hashes(x.as_py(), width))
-                values[i], same[i], sizes[i] = simhash(different), xxhash.xxh3_64_intdigest(different.tobytes(), 7), len(different)
+                whole = xxhash.xxh3_128_intdigest(different.tobytes(), 7)
+                values[i], same[i], also[i], sizes[i] = simhash(different), whole >> 64, whole & (2**64 - 1), len(different)
                 rare = ~np.isin(different, last.value)
                 rares[i] = rare.sum()
                 needed = math.ceil(similarity * len(different) - 1e-9)
                 prefixes.append(np.concatenate((different[rare], different[~rare]))[: len(different) - needed + 1].view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            made = [pa.array(values.view(np.int64)), pa.array(sizes), pa.array(same.view(np.int64)), lists, pa.array(rares)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["id", "text_hash", "fp", "size", "same", "prefix", "rare"])
+            made = [pa.array(values.view(np.int64)), pa.array(sizes), pa.array(same.view(np.int64)), pa.array(also.view(np.int64)), lists, pa.array(rares)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["id", "text_hash", "fp", "size", "same", "also", "prefix", "rare"])
 
     text = F.col(text_col).cast("string")
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
-    return chosen.mapInArrow(run, "id long, text_hash long, fp long, size long, same long, prefix array<long>, rare int")
+    return chosen.mapInArrow(run, "id long, text_hash long, fp long, size long, same long, also long, prefix array<long>, rare int")
 
 
 def _common(docs: DataFrame, text_col: str, width: int, one_in: int = 16, share: int = 5000) -> np.ndarray:
@@ -347,16 +352,34 @@ def _pairs(h: np.ndarray, at: np.ndarray, node: np.ndarray, size: np.ndarray, co
     return np.unique(np.concatenate(out), axis=0)
 
 
-def prefix_links(nodes: DataFrame, similarity: float, rows_each: int = 400_000) -> DataFrame:
+def _squares(rows: DataFrame, square: int) -> DataFrame:
+    """Rows (node, component, size, at, h, band) in groups (h) of at most about two blocks of `square` rows, in which every two rows of one h and band meet.
+
+    The rows of a shingle and band that have more than a block are dealt into blocks, and every two blocks are a group: a row is in as many groups as there are blocks.
+    """
+    counts = rows.groupBy("h", "band").agg(F.count("*").alias("_n")).where(F.col("_n") > square)
+    large = stage_table(counts.select("h", "band", "_n", F.ceil(F.col("_n") / square).cast("int").alias("_k")), "large")
+    apart = rows.join(large.select("h", "band").hint("merge"), ["h", "band"], "left_anti") if not large.isEmpty() else rows
+    few = apart.select("node", "component", "size", "at", F.xxhash64("h", "band").alias("h"))
+    if apart is rows:
+        return few
+    dealt = join_heavy(rows, large, ["h", "band"], F.col("_n") > HEAVY)
+    own = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int").alias("_own")
+    dealt = dealt.select("node", "component", "size", "at", "h", "band", own, F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_other"))
+    return few.union(dealt.select("node", "component", "size", "at", F.xxhash64("h", "band", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("h")))
+
+
+def prefix_links(nodes: DataFrame, similarity: float, rows_each: int = 400_000, square: int = SQUARE) -> DataFrame:
     """Candidate links (a, b) between nodes (node, component, size, prefix, rare): every pair of different components that is alike enough is among them.
 
-    Rows meet by shingle; those with a shingle that many texts hold (from place `rare` on in their prefix) meet by shingle and band of sizes.
+    Rows meet by shingle; those with a shingle that many texts hold (from place `rare` on in their prefix) meet by shingle and band of sizes, and where there are very many in
+    squares of blocks, so that no task grows with the texts that share a shingle.
     """
     total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     rows = nodes.select("node", "component", "size", "rare", F.posexplode("prefix").alias("at", "h"))
     bands = F.when(F.col("at") < F.col("rare"), F.array(F.lit(-1))).otherwise(_bands(F.col("size"), similarity))
-    rows = rows.select("node", "component", "size", "at", "h", F.explode(bands).alias("band"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("h", "band"), F.lit(total // rows_each + 1))).drop("band")
+    rows = _squares(rows.select("node", "component", "size", "at", "h", F.explode(bands).alias("band")), square)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(total // rows_each + 1)))
 
     def run(t: pa.Table) -> pa.Table:
         found = _pairs(*[t.column(c).to_numpy() for c in ("h", "at", "node", "size", "component")], similarity)
@@ -385,8 +408,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     with scratch(docs.sparkSession):
         sets = stage_table(shingle_sets(docs, id_col, text_col, width, similarity, _common(docs, text_col, width)), "sets")
         row = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
-        distinct = sets.groupBy(F.col("same").alias("node")).agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min(row).alias("row"), F.count("*").alias("n"))
-        distinct = stage_table(distinct, "distinct")
+        distinct = sets.groupBy(*SAME).agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min(row).alias("row"), F.count("*").alias("n"))
+        distinct = stage_table(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")  # a number of its own for each set, fixed by being written
         text = F.col(text_col).cast("string")
         own = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), text.cast("binary").alias("text"))
 
@@ -399,14 +422,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         banded = distinct.select("fp", "node", F.explode(_bands(F.col("size"), similarity)).alias("band"))
         root = connected_components(confirmed(block_links(banded, radius)))
-        prefixes = sets.groupBy(F.col("same").alias("node")).agg(F.first("prefix").alias("prefix"), F.first("rare").alias("rare"), F.first("size").alias("size"))
-        nodes = prefixes.join(root.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        prefixes = sets.groupBy(*SAME).agg(F.first("prefix").alias("prefix"), F.first("rare").alias("rare"), F.first("size").alias("size"))
+        nodes = prefixes.join(distinct.select(*SAME, "node"), SAME).drop(*SAME).join(root.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         more = confirmed(prefix_links(nodes, similarity))
         root = connected_components(root.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         grouped = stage_table(distinct.join(root, "node", "left").withColumn("class", F.coalesce("component", "node")), "classed")
         heads = grouped.groupBy("class").agg(F.min("row").alias("head"), F.count("*").alias("members"))
-        heads = join_heavy(grouped.select("node", "class", "n"), stage_table(heads, "heads"), "class", F.col("members") > HEAVY)
-        classes = stage_table(heads.select(F.col("node").alias("same"), "head", "n"), "classes")
-        found = join_heavy(sets.select("id", "text_hash", "fp", "same"), classes, "same", F.col("n") > HEAVY)
+        heads = join_heavy(grouped.select(*SAME, "class", "n"), stage_table(heads, "heads"), "class", F.col("members") > HEAVY)
+        classes = stage_table(heads.select(*SAME, "head", "n"), "classes")
+        found = join_heavy(sets.select("id", "text_hash", "fp", *SAME), classes, SAME, F.col("n") > HEAVY)
         first = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("text_hash") == F.col("head.text_hash"))
         return stage_table(found.select("id", "text_hash", "fp", F.col("head.id").alias("component"), first.alias("first")), "similar", keep=True)
