@@ -10,7 +10,7 @@ from tidemark.operators import analysis, insights, lookups, ordered, validation
 from tidemark.plans.query import Item, MetricNotFound, Query, series
 from tidemark.sinks import export
 from tidemark.sources import imports, points
-from tidemark.streaming import streams
+from tidemark.streaming import streams, tables
 
 NOW = to_ms(datetime(2024, 1, 31))
 
@@ -238,7 +238,7 @@ def test_stream_buckets_in_other_zones(spark, sf_dir, zone):
         spark.conf.set("spark.sql.session.timeZone", zone)
         for interval in ("week", "hour"):
             stream = streams.event_stream(spark, f"{sf_dir}/events.parquet*")
-            found = streams.run_to_table(streams.bucketed(stream, interval), "complete").collect()
+            found = tables.run_to_table(streams.bucketed(stream, interval), "complete").collect()
             if interval == "week":
                 assert {(r["bucket"], r["metric"]): r["n"] for r in found} == wanted
             assert all(r["bucket"].minute == 0 for r in found)
@@ -258,9 +258,9 @@ def test_a_named_stream_goes_on(spark, tmp_path):
         seen.append(sorted(r["seq"] for r in rows.collect()))
         return rows
 
-    assert streams.run_to_table(read(), batch=batch, name=name).count() == 2
+    assert tables.run_to_table(read(), batch=batch, name=name).count() == 2
     own.where("seq >= 2").write.mode("append").parquet(str(tmp_path / "in"))
-    assert streams.run_to_table(read(), batch=batch, name=name).count() == 4
+    assert tables.run_to_table(read(), batch=batch, name=name).count() == 4
     assert [x for x in seen if x] == [[0, 1], [2, 3]]
 
 

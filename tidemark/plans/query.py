@@ -118,7 +118,10 @@ class Query:
         return [C.in_range(span), *(made[kind](*rest) for kind, *rest in self.tests)]
 
     def run(self, points: DataFrame, now_ms: int, metrics: list[str] | None = None) -> DataFrame:
-        """The result: the time (bucket or ts; none for one global row) and a nullable column for each item."""
+        """The result: the time (bucket or ts; none for one global row) and a nullable column for each item.
+
+        A metric that is not among `metrics`, or without them one that has no point at any time, is an error.
+        """
         items = self.items
         if [i.metric for i in items] == ["*"]:
             if metrics is None:
@@ -127,7 +130,9 @@ class Query:
         names = [i.name for i in items]
         if len(set(names)) < len(names):
             raise ValueError(f"two items have one name; give an alias: {names}")
-        if unknown := sorted({i.metric for i in items} - set(metrics)) if metrics is not None else []:
+        wanted = sorted({i.metric for i in items})
+        known = set(metrics) if metrics is not None else {m for m in wanted if not points.where(F.col("metric") == m).isEmpty()}
+        if unknown := [m for m in wanted if m not in known]:
             raise MetricNotFound(", ".join(unknown))
         chosen = points.where(F.col("metric").isin(sorted({i.metric for i in items}))).where(reduce(lambda a, b: a & b, self.predicates(now_ms)))
         if self.interval:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import base64
+import io
 import uuid
-from collections.abc import Callable
+import zipfile
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +18,10 @@ from tidemark.functions import columns as C
 from tidemark.functions.times import INTERVALS, TimeRange, to_ms
 from tidemark.operators import analysis, insights, lookups, ordered, validation
 from tidemark.plans.query import Item, Query, daily_average, series
-from tidemark.sinks import export
-from tidemark.sources import imports, points
-from tidemark.session import staged, table
-from tidemark.streaming import streams
+from tidemark.sinks import export, storage
+from tidemark.sources import imports, incremental, points, raw
+from tidemark.session import at_end, shared_folder, staged, table
+from tidemark.streaming import streams, subscriptions, tables
 
 #: The moment that the registered queries take as now: the end of the events.
 NOW = to_ms(datetime(2024, 1, 31))
@@ -58,6 +63,13 @@ def near(x: str, places: int = 6) -> str:
     return f"(sign({x}) * floor(abs({x}) * 1e{places} + 0.5) / 1e{places})"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; it goes with the driver."""
+    path = f"{shared_folder(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    at_end(path)
+    return path
+
+
 KINDS = [r[1] for r in points.EVENT_METRICS]
 JANUARY = TimeRange.month(2024, 1)
 WEEK = TimeRange(to_ms(datetime(2024, 1, 5)), to_ms(datetime(2024, 1, 12)))
@@ -400,16 +412,26 @@ def metric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.metric_stats(points.event_points(spark, sf_dir)).withColumn("mean", C.rounded(F.col("mean"), 6))
 
 
-@add("storage_stats", "SELECT event_type AS metric, 1::BIGINT AS files, count(*) AS n FROM events GROUP BY 1")
+def by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a file for each day."""
+    folder = shared_path(spark, "days")
+    points.event_points(spark, sf_dir).select("metric", "seq", F.to_date("ts").alias("day")).repartition("day").write.partitionBy("day").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+@add("storage_stats", "SELECT event_type AS metric, count(DISTINCT ts::DATE) AS files, count(*) AS n FROM events GROUP BY 1")
 def storage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of events is one file."""
-    return lookups.storage_stats(table(spark, sf_dir, "events"), "event_type")
+    """In how many files each metric lies, of a file for each day."""
+    return lookups.storage_stats(by_day(spark, sf_dir), "metric")
 
 
-@add("storage_size", "SELECT 1::BIGINT AS files, true AS has_bytes, count(*) AS n FROM events")
+@add("storage_size", "SELECT count(DISTINCT ts::DATE) AS files, true AS same_bytes, count(*) AS n FROM events")
 def storage_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lookups.storage_size(table(spark, sf_dir, "events"))
-    return found.select("files", (F.col("bytes") > 0).alias("has_bytes"), "n")
+    """Files, rows, and whether the bytes are those that the file system tells."""
+    rows = by_day(spark, sf_dir)
+    folder = rows.select("_metadata.file_path").first()[0].rsplit("/day=", 1)[0]
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).agg(F.sum("length")).first()[0]
+    return lookups.storage_size(rows).select("files", (F.col("bytes") == listed).alias("same_bytes"), "n")
 
 
 @add("time_bounds", f"{P} SELECT min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, count(DISTINCT metric) AS metrics FROM p")
@@ -486,6 +508,11 @@ def health_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def repository_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as repository events in JSON and read again."""
+    return imports.repository_points(repository_lines(spark, sf_dir))
+
+
+def repository_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line, ts): events as repository events in JSON."""
     metric, value = F.col("metric"), F.col("value")
     kind = F.when(metric == "click", "PushEvent").when(metric.isin("view", "signup"), "PullRequestEvent").when(metric == "error", "PullRequestReviewEvent").otherwise("WatchEvent")
     payload = F.struct(
@@ -494,7 +521,7 @@ def repository_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct((value > 50).alias("merged")).alias("pull_request"),
     )
     line = F.to_json(F.struct(kind.alias("type"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), payload.alias("payload")))
-    return imports.repository_points(points.event_points(spark, sf_dir).select(line.alias("line")))
+    return points.event_points(spark, sf_dir).select(line.alias("line"), "ts")
 
 
 @add(
@@ -525,7 +552,7 @@ def _bucket_sql(interval: str) -> str:
 for _interval in INTERVALS:
 
     def stream_buckets(spark: SparkSession, sf_dir: str, interval: str = _interval) -> DataFrame:
-        made = streams.run_to_table(streams.bucketed(stream(spark, sf_dir), interval), "complete")
+        made = tables.run_to_table(streams.bucketed(stream(spark, sf_dir), interval), "complete")
         return made.select("bucket", "metric", C.rounded(F.col("mean"), 6).alias("mean"), "n")
 
     add(f"stream_{_interval}", _bucket_sql(_interval))(stream_buckets)
@@ -535,7 +562,7 @@ for _interval in INTERVALS:
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event twice in the stream, once in the result."""
     twice = stream(spark, sf_dir)
-    made = streams.run_to_table(streams.first_only(twice.unionByName(stream(spark, sf_dir))))
+    made = tables.run_to_table(streams.first_only(twice.unionByName(stream(spark, sf_dir))))
     return made.select("metric", "ts", "value", "seq")
 
 
@@ -549,7 +576,7 @@ _TOPICS = [("a", "metrics.click"), ("b", "metrics.*"), ("b", "metrics.view"), ("
 )
 def stream_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     subscriptions = spark.createDataFrame(_TOPICS, "subscriber string, topic string")
-    made = streams.run_to_table(stream(spark, sf_dir), batch=lambda rows: streams.routed(rows, subscriptions, points.metric_table(rows.sparkSession)))
+    made = tables.run_to_table(stream(spark, sf_dir), batch=lambda rows: streams.routed(rows, subscriptions, points.metric_table(rows.sparkSession)))
     return made.select("subscriber", "topic", "value", "seq")
 
 
@@ -557,7 +584,7 @@ def stream_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streamed events, very large values made infinite; the good rows that were written."""
     rows = stream(spark, sf_dir).withColumn("value", F.when(F.col("value") > 200, float("inf")).otherwise(F.col("value")))
-    return streams.run_to_table(rows, batch=lambda b: streams.split_ingest(b, NOW)[0]).select("metric", "ts", "value", "seq")
+    return tables.run_to_table(rows, batch=lambda b: streams.split_ingest(b, NOW)[0]).select("metric", "ts", "value", "seq")
 
 
 for _op, _sign in (("gte", ">="), ("gt", ">"), ("lt", "<"), ("lte", "<=")):
@@ -635,18 +662,138 @@ def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("errors", F.array_join("errors", "; "))
 
 
-@add("health_archive", ORACLES["health_points"].replace("metric IN ('click', 'view')", "metric IN ('click', 'view') AND u < '3'"))
-def health_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of some users written as archives of health records, one for each user and day, and read again."""
-    own = points.event_points(spark, sf_dir).where("metric in ('click', 'view') and tags['user'] < '3'")
+def health_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user, day, record): clicks and views as health records in XML."""
+    own = points.event_points(spark, sf_dir).where("metric in ('click', 'view')")
     kind = F.when(F.col("metric") == "click", "HKQuantityTypeIdentifierStepCount").otherwise("HKQuantityTypeIdentifierHeartRate")
     unit = F.when(F.col("metric") == "click", ' unit="count"').otherwise("")
     record = F.concat(
         F.lit('<Record type="'), kind, F.lit('" sourceName="user '), F.col("tags")["user"], F.lit('"'), unit,
         F.lit(' startDate="'), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(' +0000" value="'), F.col("value").cast("string"), F.lit('"/>'),
     )
-    files = own.groupBy(F.col("tags")["user"].alias("user"), C.bucket("day").alias("day")).agg(F.array_join(F.collect_list(record), "").alias("text"))
-    return imports.health_archives(files.select("text").mapInArrow(imports.zipped, "archive string"))
+    return own.select(F.col("tags")["user"].alias("user"), C.bucket("day").alias("day"), record.alias("record"))
+
+
+def zipped(text: str) -> bytes:
+    """A health export as it comes: an archive with one file in a folder."""
+    whole = io.BytesIO()
+    with zipfile.ZipFile(whole, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("export/export.xml", f"<Data>{text}</Data>")
+    return whole.getvalue()
+
+
+@add("health_archive", ORACLES["health_points"])
+def health_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as archives in a column, one for each user and day, and read again."""
+    files = health_records(spark, sf_dir).groupBy("user", "day").agg(F.array_join(F.collect_list("record"), "").alias("text"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([base64.b64encode(zipped(x)).decode() for x in b.column(0).to_pylist()], pa.string())], ["archive"])
+
+    return imports.health_archives(files.select("text").mapInArrow(pack, "archive string"))
+
+
+@add("health_files", ORACLES["health_points"])
+def health_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as archives on disk, one for each user, unpacked where they lie."""
+    folder = shared_path(spark, "zips")
+    files = health_records(spark, sf_dir).groupBy("user").agg(F.array_join(F.collect_list("record"), "").alias("text"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            store, base = pafs.FileSystem.from_uri(folder)
+            store.create_dir(base)
+            for user, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{base}/{user}.zip") as f:
+                    f.write(zipped(text))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    files.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return imports.health_files(spark, folder).drop("file")
+
+
+@add("health_xml", ORACLES["health_points"])
+def health_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as plain XML, split by Spark's reader."""
+    folder = shared_path(spark, "xml")
+    health_records(spark, sf_dir).select("record").write.text(folder)
+    return imports.health_xml(spark, folder)
+
+
+_USER3 = ", ".join(f"CAST(count(*) FILTER (WHERE metric = '{m}' AND u = '3') AS DOUBLE) AS {m}3, CAST(count(*) FILTER (WHERE metric = '{m}' AND u <> '3') AS DOUBLE) AS {m}" for m in ("click", "error", "view"))
+
+
+@add(
+    "csv_files",
+    f"{P}, w AS (SELECT date_trunc('day', ts)::TIMESTAMP + INTERVAL 12 HOUR AS ts, {_USER3} FROM p GROUP BY 1)"
+    " SELECT 'click' AS metric, ts, click3 AS value FROM w UNION ALL SELECT 'error', ts, error3 FROM w UNION ALL SELECT 'page_view', ts, view FROM w UNION ALL SELECT 'click', ts, click FROM w",
+)
+def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts in two files that differ in the order and number of their columns, in one import."""
+    own, folder = points.event_points(spark, sf_dir), shared_path(spark, "csv")
+    count = lambda m, test: F.count_if((F.col("metric") == m) & test)
+    user3, day = F.col("tags")["user"] == "3", F.date_format(C.bucket("day"), "yyyy-MM-dd").alias("day")
+    days = own.groupBy(day).agg(count("click", user3).alias("a"), count("error", user3).alias("b"), count("view", ~user3).alias("c"), count("click", ~user3).alias("d"))
+    for header, columns in (("Date,click,error", ["day", "a", "b"]), ('"Page view",Click,Local time,note', ["c", "d", "day", F.lit("x").alias("e")])):
+        lines = days.select(F.lit(1).alias("rank"), F.to_csv(F.struct(*columns)).alias("value"))
+        head = spark.createDataFrame([(0, header)], "rank int, value string")
+        head.union(lines).repartition(1).sortWithinPartitions("rank").select("value").write.mode("append").text(folder)
+    return imports.csv_file_points(spark, folder).drop("file")
+
+
+def store(spark: SparkSession, sf_dir: str, **more) -> str:
+    """The events as a store that goes with the driver."""
+    folder = shared_path(spark, "store")
+    storage.store_points(points.event_points(spark, sf_dir), folder, **more)
+    return folder
+
+
+@add("tag_stored", f"{P} SELECT metric, ts, value, seq, u FROM p WHERE k = '7'")
+def tag_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points by a tag that a store keeps as a column: the test reaches the scan; other tags are still in the map."""
+    found = storage.with_tag(storage.stored_points(spark, store(spark, sf_dir, tags=("k",))), "k", ["7"])
+    return storage.whole_points(found).select("metric", "ts", "value", "seq", F.col("tags")["user"].alias("u"))
+
+
+@add("points_removed", f"{P} SELECT metric, ts, value, seq, k FROM p WHERE NOT (k IN ('1', '2') AND metric = 'click') AND ts < TIMESTAMP '2024-01-29'")
+def points_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points removed from the files of a store, whole days among them."""
+    folder = store(spark, sf_dir, tags=("k",))
+    stored = storage.stored_points(spark, folder)
+    storage.remove_points(spark, folder, stored.where("(tag_k in ('1', '2') and metric = 'click') or ts >= timestamp_ntz '2024-01-29'").select("seq", "ts"))
+    return storage.stored_points(spark, folder).select("metric", "ts", "value", "seq", F.col("tag_k").alias("k"))
+
+
+@add("points_compacted", f"{P} SELECT ts::DATE AS day, 1::BIGINT AS files, count(*) AS n, sum(seq)::BIGINT AS seqs FROM p GROUP BY 1")
+def points_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that was written in three turns, compacted: a file for each day."""
+    folder, own = shared_path(spark, "store"), points.event_points(spark, sf_dir)
+    for turn in range(3):
+        storage.store_points(own.where(F.col("seq") % 3 == turn), folder)
+    storage.compact(spark, folder)
+    files = F.count_distinct("_metadata.file_path").alias("files")
+    return storage.stored_points(spark, folder).groupBy("day").agg(files, F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+@add("tag_sketches", f"{P}, t AS (SELECT 'k' AS key, k AS value FROM p WHERE {IN_WEEK} UNION ALL SELECT 'user', u FROM p WHERE {IN_WEEK}) SELECT key, count(*) AS points, true AS near FROM t GROUP BY key")
+def tag_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values tags have in a week, from daily sketches, and whether that is within 5 % of the count."""
+    own = points.event_points(spark, sf_dir)
+    sketches = staged(storage.value_sketches(own), "sketches")
+    exact = lookups.tag_keys(own.where(C.in_range(WEEK))).select("key", F.col("distinct_values").alias("exact"))
+    near = F.abs(F.col("distinct_values") - F.col("exact")) <= 0.05 * F.col("exact") + 1
+    return storage.distinct_values(sketches, WEEK).join(exact, "key").select("key", "points", near.alias("near"))
+
+
+@add("json_array", f"{P} SELECT seq, metric, value FROM p WHERE metric <> 'error' UNION ALL SELECT -1, 'brackets', 2.0")
+def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points written as one JSON array over several files, and read by lines."""
+    folder = shared_path(spark, "array")
+    export.write_json_array(points.event_points(spark, sf_dir).where("metric <> 'error'").select("seq", "metric", "value"), folder)
+    lines = spark.read.text(folder)
+    own = lines.where("value not in ('[', ']')").select(F.from_json(F.regexp_replace("value", "^,", ""), "seq long, metric string, value double").alias("r")).select("r.*")
+    return own.union(lines.where("value in ('[', ']')").agg(F.lit(-1).cast("long").alias("seq"), F.lit("brackets").alias("metric"), F.count("*").cast("double").alias("value")))
 
 
 @add(
@@ -660,10 +807,57 @@ def source_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.sync("activity", days.select(F.to_json(F.struct("date", F.struct("steps").alias("summary"))).alias("line")), C.moment(to_ms(datetime(2024, 1, 15))))
 
 
+def _repository_sql(where: str) -> str:
+    counts = {"commits": "2 * count(*) FILTER (WHERE metric = 'click')", "prs_merged": "count(*) FILTER (WHERE metric = 'view' AND value > 50)", "prs_opened": "count(*) FILTER (WHERE metric = 'signup')", "code_reviews": "count(*) FILTER (WHERE metric = 'error')"}
+    return (
+        f"{P}, g AS (SELECT date_trunc('day', ts)::TIMESTAMP + INTERVAL 12 HOUR AS ts, {', '.join(f'CAST({x} AS DOUBLE) AS {m}' for m, x in counts.items())} FROM p WHERE {where} GROUP BY 1) "
+        + " UNION ALL ".join(f"SELECT '{m}' AS metric, ts, {m} AS value FROM g WHERE {m} > 0" for m in counts)
+    )
+
+
+def raw_folder(spark: SparkSession, lines: DataFrame) -> str:
+    """The lines as text files."""
+    path = shared_path(spark, "raw")
+    lines.select("line").write.text(path)
+    return path
+
+
+@add("repository_since", _repository_sql("ts >= TIMESTAMP '2024-01-15 12:00:00'"))
+def repository_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a source has from a time within a day on."""
+    return imports.sync("repository", repository_lines(spark, sf_dir), C.moment(MIDDLE))
+
+
+@add("raw_source", _repository_sql("ts >= TIMESTAMP '2024-01-15 12:00:00' AND metric IN ('click', 'error')"))
+def raw_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw event files read by the library's own format; the filters are applied by its reader."""
+    raw.register_raw(spark)
+    events = spark.read.format("tidemark_raw").options(**raw.RAW["repository"]).load(raw_folder(spark, repository_lines(spark, sf_dir)))
+    return imports.repository_points(events.where((F.col("at") >= C.moment(MIDDLE)) & F.col("kind").isin("PushEvent", "PullRequestReviewEvent")))
+
+
+@add("raw_stream", _repository_sql("true"))
+def raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as a stream, whose rows are summed afterwards."""
+    raw.register_raw(spark)
+    events = spark.readStream.format("tidemark_raw").options(**raw.RAW["repository"]).load(raw_folder(spark, repository_lines(spark, sf_dir)))
+    return imports.repository_points(tables.run_to_table(events))
+
+
+@add("sync_twice", _repository_sql("true"))
+def sync_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two syncs of one source that split a day, and a third that finds nothing: the totals of one."""
+    raw.register_raw(spark)
+    table_, lines = incremental.SyncTable(spark, shared_path(spark, "sync")), repository_lines(spark, sf_dir)
+    for some in (lines.where(F.col("ts") < C.moment(MIDDLE)), lines, lines):
+        table_.sync("repository", spark.read.format("tidemark_raw").options(**raw.RAW["repository"]).load(raw_folder(spark, some)))
+    return table_.points().drop("source")
+
+
 @add("table_and_stream", f"{P} SELECT metric, ts, value, seq FROM p")
 def table_and_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a table holds up to a time and a stream has read from a time before on, each row once."""
-    streamed = streams.run_to_table(stream(spark, sf_dir).where(F.col("ts") >= C.moment(to_ms(datetime(2024, 1, 10)))))
+    streamed = tables.run_to_table(stream(spark, sf_dir).where(F.col("ts") >= C.moment(to_ms(datetime(2024, 1, 10)))))
     stored = points.event_points(spark, sf_dir).where(F.col("ts") < C.moment(MIDDLE))
     return streams.with_table(streamed, stored).select("metric", "ts", "value", "seq")
 
@@ -672,8 +866,52 @@ def table_and_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A named stream run twice: the second run finds nothing new, and every row is there once."""
     name = f"resumed-{uuid.uuid4().hex}"
-    streams.run_to_table(stream(spark, sf_dir), name=name)
-    return streams.run_to_table(stream(spark, sf_dir), name=name).select("metric", "ts", "value", "seq")
+    tables.run_to_table(stream(spark, sf_dir), name=name)
+    return tables.run_to_table(stream(spark, sf_dir), name=name).select("metric", "ts", "value", "seq")
+
+
+_WANTED = ["metrics.click", "metrics.*", "category.productivity", "metrics.view"]
+
+
+@add(
+    "stream_subscriptions",
+    f"{P}, q AS (SELECT 's' || (user_id % 5) AS subscriber, {_WANTED}[user_id % 4 + 1] AS topic, ts, event_type FROM events WHERE event_type IN ('purchase', 'error')),"
+    " u AS (SELECT * FROM q WHERE event_type = 'error'), o AS (SELECT subscriber, topic, q.ts, least(q.ts + INTERVAL 2 DAY, min(u.ts)) AS until"
+    " FROM q LEFT JOIN u USING (subscriber, topic) WHERE q.event_type = 'purchase' AND (u.ts > q.ts OR u.ts IS NULL) GROUP BY ALL"
+    " UNION ALL SELECT subscriber, topic, ts, ts + INTERVAL 2 DAY FROM q WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM u WHERE u.subscriber = q.subscriber AND u.topic = q.topic AND u.ts > q.ts)),"
+    " w AS (SELECT (least(max(epoch_us(ts)) FILTER (metric IN ('click', 'view')), max(epoch_us(ts)) FILTER (metric IN ('purchase', 'error'))) // 1000 - 3600000) * 1000 AS passed FROM p)"
+    " SELECT DISTINCT subscriber, 'metrics.' || metric AS topic, p.ts, value, seq FROM p, w, o WHERE metric IN ('click', 'view') AND p.ts >= o.ts AND p.ts < until AND epoch_us(p.ts) < passed"
+    " AND o.topic IN ('metrics.' || metric, 'metrics.*', 'category.productivity', 'category.*')",
+)
+def stream_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and views for subscribers that come with each purchase, for two days, and go with each error; up to the watermark."""
+    events = stream(spark, sf_dir)
+    user = F.col("tags")["user"].cast("long")
+    asked = events.where("metric in ('purchase', 'error')").select(
+        F.concat(F.lit("s"), (user % 5).cast("string")).alias("subscriber"), F.get(F.array(*map(F.lit, _WANTED)), (user % 4).cast("int")).alias("topic"), "ts",
+        F.when(F.col("metric") == "purchase", "subscribe").otherwise("unsubscribe").alias("action"), F.expr("INTERVAL '2 00:00:00' DAY TO SECOND").alias("lease"),
+    )
+    made = subscriptions.deliveries(events.where("metric in ('click', 'view')"), asked, points.metric_table(spark), shards=8)
+    with subscriptions.rocksdb(spark):
+        return tables.run_to_table(made)
+
+
+@add("stream_standing", f"{P} SELECT metric, ts, value, seq FROM p")
+def stream_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that stands, is stopped, and stands again: every row is there once."""
+    kept = tables.stream_table(stream(spark, sf_dir))
+    for _ in range(2):
+        query = kept.start(stream(spark, sf_dir), every="100 milliseconds")
+        query.processAllAvailable()
+        tables.stop(query)
+    return kept.rows().select("metric", "ts", "value", "seq")
+
+
+@add("stream_update", _bucket_sql("day"))
+def stream_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily buckets in update mode: of each bucket the newest row."""
+    made = tables.run_to_table(streams.bucketed(stream(spark, sf_dir), "day"), "update", keys=("bucket", "metric"))
+    return made.select("bucket", "metric", C.rounded(F.col("mean"), 6).alias("mean"), "n")
 
 
 _ASKED = {"click": "mood", "view": "sleep_hours", "purchase": "energy"}

@@ -82,6 +82,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def at_end(path: str) -> None:
+    """Have a folder removed when the driver ends, or by `release`."""
+    _open.append(path)
+
+
 def release(spark: SparkSession) -> None:
     """Remove the tables staged outside of any `scratch`; lazy results that read them can no longer be used."""
     while _open:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions.times import TimeRange
+from tidemark.session import scratch, staged
 
 
 def export_rows(points: DataFrame, span: TimeRange, metrics: list[str] | str | None = None, ordered: bool = False) -> DataFrame:
@@ -32,6 +33,18 @@ def write_ndjson(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_json_array(rows: DataFrame, path: str) -> None:
+    """Rows as one JSON array over all files: read one after the other in the order of their names, they are the array; each row has a line."""
+    spark = rows.sparkSession
+    with scratch(spark):
+        lines = staged(rows.select(F.monotonically_increasing_id().alias("at"), F.to_json(F.struct(*rows.columns)).alias("value")), "lines")
+        first = lines.agg(F.min("at")).first()[0]
+        body = lines.select(F.concat(F.when(F.col("at") == F.lit(first), "").otherwise(","), "value").alias("value"), "at")
+        sign = lambda x: spark.range(0, 1, 1, 1).select(F.lit(x).alias("value"))
+        ordered = body.repartitionByRange("at").sortWithinPartitions("at").select("value")
+        sign("[").union(ordered).union(sign("]")).write.mode("overwrite").text(path)
+
+
 def write_points(points: DataFrame, path: str, mode: str = "append", rows_each: int = 5_000_000) -> None:
     """Points as Parquet by day, sorted by metric and time inside a file, so that days and row groups are skipped by later scans.
 

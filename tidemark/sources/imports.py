@@ -15,11 +15,15 @@ import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from typing import IO
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import staged
+
 # Time formats tried in turn for CSV cells; those of dates alone stand for noon.
 CSV_TIMES = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss")
 CSV_DATES = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy")
@@ -94,6 +98,30 @@ def csv_report(
     return counts.join(errors, "key").select("rows_read", "points", "failed", "errors", (F.col("failed") - F.size("errors")).alias("more"))  # one row each
 
 
+def csv_file_points(spark: SparkSession, path: str, first_format: str | None = None, separator: str = ",", only: list[str] | None = None) -> DataFrame:
+    """(file, metric, ts, value) from wide CSV files in a folder, each with a header of its own as its first line.
+
+    Files may differ in their columns, in their order and number. A file whose header names no time gives nothing; a line that equals the header further down is
+    a row like others. Lines do not go over ends of lines. Large files are split; headers are a row for each file and joined to its lines.
+    """
+    options = {"mode": "PERMISSIVE", "sep": separator}
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    first = text.where(F.col("_block") == 0).groupBy("file").agg(F.min_by("value", "_at").alias("_header"), F.min("_at").alias("_first"))
+    widest = first.agg(F.max(F.size(F.split("_header", re.escape(separator))))).first()[0] or 1
+    shape, places = ", ".join(f"c{i} string" for i in range(widest)), range(widest)
+    cells = lambda line: F.array(*[F.trim(F.from_csv(line, F.lit(shape), options)[f"c{i}"]) for i in places])
+    names = first.select("file", "_first", cells(F.col("_header")).alias("_names"))
+    timed = F.filter(F.sequence(F.lit(0), F.lit(widest - 1)), lambda i: F.coalesce(F.lower(F.get("_names", i)).rlike("date|time"), F.lit(False)))
+    heads = staged(names.withColumn("_times", timed).where(F.size("_times") > 0), "headers")
+    rows = text.join(heads, "file").where((F.col("_block") > 0) | (F.col("_at") != F.col("_first"))).withColumn("_cells", cells(F.col("value")))
+    ts = csv_time(F.get("_cells", F.element_at("_times", -1)), first_format)
+    metric = F.replace(F.lower("c._names"), F.lit(" "), F.lit("_"))
+    long = rows.select("file", "_times", ts.alias("ts"), F.posexplode(F.arrays_zip("_names", "_cells")).alias("place", "c"))
+    made = long.where(~F.array_contains("_times", F.col("place")) & F.col("c._names").isNotNull()).select("file", metric.alias("metric"), "ts", F.expr("try_cast(c._cells as double)").alias("value"))
+    made = made.where("ts is not null and value is not null")
+    return made if only is None else made.where(F.col("metric").isin(only))
+
+
 def health_metric(kind: Column) -> Column:
     """A health record's type as a metric name: without prefix, words in lower case joined by underscores, usual names for some."""
     plain = F.regexp_replace(kind, "^HK(Quantity|Category)TypeIdentifier", "")
@@ -117,66 +145,90 @@ def _plain(text: Column) -> Column:
     return text
 
 
-def health_points(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """(metric, ts, value, unit, source) of every <Record …> in the lines; values that are no numbers and times that are none are left out."""
+def _health_rows(records: DataFrame, keep: list[str]) -> DataFrame:
+    """(*keep, metric, ts, value, unit, source) from the attributes of records; values that are no numbers and times that are none are left out."""
+    zoned = F.to_utc_timestamp(F.try_to_timestamp("startDate", F.lit("yyyy-MM-dd HH:mm:ss Z")), F.current_timezone()).cast("timestamp_ntz")
+    ts = F.coalesce(zoned, F.try_to_timestamp("startDate", F.lit("yyyy-MM-dd")).cast("timestamp_ntz"))
+    made = records.select(*keep, health_metric(F.col("type")).alias("metric"), ts.alias("ts"), F.expr("try_cast(value as double)").alias("value"), F.coalesce("unit", F.lit("")).alias("unit"), F.col("sourceName").alias("source"))
+    return made.where("metric is not null and ts is not null and value is not null")
+
+
+def health_points(lines: DataFrame, line_col: str = "line", keep: list[str] | None = None) -> DataFrame:
+    """(*keep, metric, ts, value, unit, source) of every <Record …> in the lines."""
 
     def attribute(name: str) -> Column:
         found = F.regexp_extract("_record", rf'\s{name}="([^"]*)"', 1)
-        return F.when(found != "", _plain(found))
-
-    text = attribute("startDate")
-    zoned = F.to_utc_timestamp(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss Z")), F.current_timezone()).cast("timestamp_ntz")
-    ts = F.coalesce(zoned, F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("timestamp_ntz"))
-    rows = lines.select(F.explode(F.regexp_extract_all(F.col(line_col), F.lit("<Record(?:[^>\"]|\"[^\"]*\")*>"), 0)).alias("_record"))
-    made = rows.select(health_metric(attribute("type")).alias("metric"), ts.alias("ts"), attribute("value").alias("v"), attribute("unit").alias("unit"), attribute("sourceName").alias("source"))
-    return made.select("metric", "ts", F.expr("try_cast(v as double)").alias("value"), F.coalesce("unit", F.lit("")).alias("unit"), "source").where("metric is not null and ts is not null and value is not null")
+        return F.when(found != "", _plain(found)).alias(name)
+
+    rows = lines.select(*(keep or []), F.explode(F.regexp_extract_all(F.col(line_col), F.lit("<Record(?:[^>\"]|\"[^\"]*\")*>"), 0)).alias("_record"))
+    return _health_rows(rows.select(*(keep or []), *map(attribute, ("type", "startDate", "value", "unit", "sourceName"))), keep or [])
+
+
+def _pieces(archive: IO[bytes], inside: str, piece: int) -> Iterator[str]:
+    """The file `inside` of a zipped archive, in pieces that end after a record."""
+    try:
+        whole = zipfile.ZipFile(archive)
+    except (zipfile.BadZipFile, OSError, ValueError):
+        return
+    name = next((n for n in whole.namelist() if n.rsplit("/", 1)[-1] == inside), None)
+    if name is None:
+        return
+    with whole.open(name) as f:
+        rest = b""
+        while more := f.read(piece):
+            cut = (rest + more).rfind(b">") + 1
+            yield (rest + more)[:cut].decode("utf-8", "replace")
+            rest = (rest + more)[cut:]
+        yield rest.decode("utf-8", "replace")
 
 
 def archive_lines(archives: DataFrame, archive_col: str = "archive", inside: str = "export.xml", piece: int = 1 << 20) -> DataFrame:
     """(line): the file `inside` of each zipped archive (base64 text), read in pieces that end after a record; broken archives and those without the file give none."""
 
-    def pieces(packed: str | None) -> Iterator[str]:
-        try:
-            whole = zipfile.ZipFile(io.BytesIO(base64.b64decode(packed or "")))
-            name = next((n for n in whole.namelist() if n.rsplit("/", 1)[-1] == inside), None)
-        except (zipfile.BadZipFile, ValueError):
-            return
-        if name is None:
-            return
-        with whole.open(name) as f:
-            rest = b""
-            while more := f.read(piece):
-                cut = (rest + more).rfind(b">") + 1
-                yield (rest + more)[:cut].decode("utf-8", "replace")
-                rest = (rest + more)[cut:]
-            yield rest.decode("utf-8", "replace")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for packed in b.column(0):
-                for text in pieces(packed.as_py()):
+                try:
+                    whole = base64.b64decode(packed.as_py() or "")
+                except ValueError:
+                    continue
+                for text in _pieces(io.BytesIO(whole), inside, piece):
                     yield pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["line"])
 
     return archives.select(F.col(archive_col).cast("string")).mapInArrow(run, "line string")
 
 
-def zipped(batches: Iterator[pa.RecordBatch], inside: str = "export/export.xml") -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: each text of the first column as an archive in base64."""
-    for b in batches:
-        out = []
-        for text in b.column(0).to_pylist():
-            whole = io.BytesIO()
-            with zipfile.ZipFile(whole, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr(inside, f"<Data>{text or ''}</Data>")
-            out.append(base64.b64encode(whole.getvalue()).decode())
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["archive"])
-
-
 def health_archives(archives: DataFrame, archive_col: str = "archive") -> DataFrame:
     """The points of `health_points` from exported archives as base64 text."""
     return health_points(archive_lines(archives, archive_col))
 
 
+def health_files(spark: SparkSession, path: str, inside: str = "export.xml", piece: int = 1 << 20) -> DataFrame:
+    """(file, metric, ts, value, unit, source) from zipped exports in a folder, of whatever size.
+
+    Spark lists the files; a task opens its own where they lie and unpacks them in pieces, so neither an archive nor what is in it is held whole. Files that
+    are no archives or lack `inside` give nothing.
+    """
+    listed = spark.read.format("binaryFile").load(path).select("path")  # contents are not read
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                files, own = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with files.open_input_file(own) as f:
+                    for text in _pieces(f, inside, piece):
+                        yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([text], pa.string())], ["file", "line"])
+
+    return health_points(listed.mapInArrow(run, "file string, line string"), keep=["file"])
+
+
+def health_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(metric, ts, value, unit, source) from exports as plain XML, which Spark's reader splits at <Record …>, so that one large file is many tasks."""
+    shape = "_type string, _startDate string, _value string, _unit string, _sourceName string"
+    rows = spark.read.format("xml").option("rowTag", "Record").schema(shape).load(path)
+    return _health_rows(rows.select(*[F.col(f"_{c}").alias(c) for c in ("type", "startDate", "value", "unit", "sourceName")]), [])
+
+
 # The shape of a repository event.
 REPOSITORY_EVENT = "type string, created_at string, payload struct<action:string, commits:array<struct<sha:string>>, pull_request:struct<merged:boolean>>"
 
@@ -218,24 +270,39 @@ def activity_points(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 @dataclass(frozen=True)
 class Source:
-    """An importer of a service: the metrics it can provide (none given: any) and how its raw lines become points."""
+    """An importer of a service: the metrics it can provide (none given: any) and how its raw lines, from a time on, become points.
+
+    `additive`: points of one metric and time from different lines add up; else each line's point stands for itself.
+    """
 
     metrics: tuple[str, ...]
-    points: Callable[[DataFrame], DataFrame]
+    points: Callable[[DataFrame, Column | None], DataFrame]
+    additive: bool = False
+
+
+def _since(points: DataFrame, since: Column | None) -> DataFrame:
+    return points if since is None else points.where(F.col("ts") >= since)
 
 
 #: Importers by name; a plug-in adds its own.
 SOURCES: dict[str, Source] = {
-    "repository": Source(("commits", "prs_opened", "prs_merged", "issues_closed", "code_reviews"), repository_points),
-    "activity": Source(("steps", "calories_burned", "active_minutes", "sleep_hours"), activity_points),
-    "health": Source((), lambda lines: health_points(lines).select("metric", "ts", "value")),
+    "repository": Source(("commits", "prs_opened", "prs_merged", "issues_closed", "code_reviews"), lambda lines, since: repository_points(lines, since=since), additive=True),
+    "activity": Source(("steps", "calories_burned", "active_minutes", "sleep_hours"), lambda lines, since: _since(activity_points(lines), None if since is None else F.date_trunc("day", since).cast("timestamp_ntz"))),
+    "health": Source((), lambda lines, since: _since(health_points(lines).select("metric", "ts", "value"), since)),
 }
 
 
-def sync(name: str, lines: DataFrame, since: Column | None = None) -> DataFrame:
-    """(metric, ts, value): what a source has from a time on, of the metrics it provides."""
+def source(name: str) -> Source:
     if name not in SOURCES:
         raise ValueError(f"no source is called {name!r}; there are {', '.join(sorted(SOURCES))}")
-    found = SOURCES[name].points(lines)
-    found = found.where(F.col("metric").isin(*SOURCES[name].metrics)) if SOURCES[name].metrics else found
-    return found if since is None else found.where(F.col("ts") >= since)
+    return SOURCES[name]
+
+
+def sync(name: str, lines: DataFrame, since: Column | None = None) -> DataFrame:
+    """(metric, ts, value): what a source has from a time on, of the metrics it provides.
+
+    The time is applied to the source's own events before they are summed: events of a repository, records of health; of days of activity the whole day counts.
+    """
+    own = source(name)
+    found = own.points(lines, since)
+    return found.where(F.col("metric").isin(*own.metrics)) if own.metrics else found

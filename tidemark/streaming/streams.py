@@ -1,20 +1,16 @@
 """Points as a stream: validated ingest, continuous buckets, first-only rows and routing to topics.
 
-Every stream reads files as they come, keeps its progress in a checkpoint in the shared folder, and here
-runs until what is there has been read (available now). Under a name it goes on where its last run stopped. Late rows count until the
+Every stream reads files as they come; `tables` writes them, once or standing. Late rows count until the
 watermark has passed. Times of points have no zone and mean UTC; the watermark runs on the instant, whatever the session's zone.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import micros
 from tidemark.operators.validation import with_errors
-from tidemark.session import shared_folder
 from tidemark.sources.points import from_events
 
 # Windows for each interval; weeks start on Monday, four days after the epoch's Thursday.
@@ -78,24 +74,6 @@ def routed(points: DataFrame, subscriptions: DataFrame, metrics: DataFrame) -> D
     return found.agg(F.first("published").alias("topic"), F.first("ts").alias("ts"), F.first("value").alias("value")).select("subscriber", "topic", "ts", "value", "seq")
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", batch=None, name: str | None = None) -> DataFrame:
-    """Run a stream over all that is there and return what it wrote. `batch` turns each micro-batch before it is written.
-
-    With a `name` progress and rows stay under it in the shared folder: the next run reads only what is new and adds to
-    the table. A batch that is run again after a failure writes over its first try.
-    """
-    spark = stream.sparkSession
-    base = f"{shared_folder(spark).rstrip('/')}/tidemark-stream-{name or uuid.uuid4().hex}"
-    schema = (batch(spark.createDataFrame([], stream.schema)) if batch else stream).schema
-
-    def write(rows: DataFrame, number: int) -> None:
-        (batch(rows) if batch else rows).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{base}/out") if not mode == "complete" else spark.read.schema(schema).parquet(f"{base}/out/batch={query.lastProgress['batchId']}")
-
-
 def with_table(streamed: DataFrame, stored: DataFrame, key: str = "seq") -> DataFrame:
     """What a stream has written and what a table holds, as one table; a row that is in both counts once, as stored."""
     fresh = streamed.join(stored.select(key), key, "left_anti").select(stored.columns)
