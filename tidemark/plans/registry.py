@@ -715,9 +715,10 @@ def health_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("health_xml", ORACLES["health_points"])
 def health_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records as plain XML, split by Spark's reader."""
+    """Records as plain XML, a file for each user."""
     folder = shared_path(spark, "xml")
-    health_records(spark, sf_dir).select("record").write.text(folder)
+    text = F.concat(F.lit("<HealthData>\n"), F.array_join(F.collect_list("record"), "\n"), F.lit("\n</HealthData>"))
+    health_records(spark, sf_dir).groupBy("user").agg(text.alias("value")).write.partitionBy("user").text(folder)
     return imports.health_xml(spark, folder)
 
 
@@ -765,7 +766,7 @@ def points_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.stored_points(spark, folder).select("metric", "ts", "value", "seq", F.col("tag_k").alias("k"))
 
 
-@add("points_compacted", f"{P} SELECT ts::DATE AS day, 1::BIGINT AS files, count(*) AS n, sum(seq)::BIGINT AS seqs FROM p GROUP BY 1")
+@add("points_compacted", f"{P} SELECT strftime(ts, '%Y-%m-%d') AS day, 1::BIGINT AS files, count(*) AS n, sum(seq)::BIGINT AS seqs FROM p GROUP BY 1")
 def points_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store that was written in three turns, compacted: a file for each day."""
     folder, own = shared_path(spark, "store"), points.event_points(spark, sf_dir)
@@ -773,7 +774,7 @@ def points_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
         storage.store_points(own.where(F.col("seq") % 3 == turn), folder)
     storage.compact(spark, folder)
     files = F.count_distinct("_metadata.file_path").alias("files")
-    return storage.stored_points(spark, folder).groupBy("day").agg(files, F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+    return storage.stored_points(spark, folder).groupBy(F.col("day").cast("string").alias("day")).agg(files, F.count("*").alias("n"), F.sum("seq").alias("seqs"))
 
 
 @add("tag_sketches", f"{P}, t AS (SELECT 'k' AS key, k AS value FROM p WHERE {IN_WEEK} UNION ALL SELECT 'user', u FROM p WHERE {IN_WEEK}) SELECT key, count(*) AS points, true AS near FROM t GROUP BY key")
@@ -876,9 +877,8 @@ _WANTED = ["metrics.click", "metrics.*", "category.productivity", "metrics.view"
 @add(
     "stream_subscriptions",
     f"{P}, q AS (SELECT 's' || (user_id % 5) AS subscriber, {_WANTED}[user_id % 4 + 1] AS topic, ts, event_type FROM events WHERE event_type IN ('purchase', 'error')),"
-    " u AS (SELECT * FROM q WHERE event_type = 'error'), o AS (SELECT subscriber, topic, q.ts, least(q.ts + INTERVAL 2 DAY, min(u.ts)) AS until"
-    " FROM q LEFT JOIN u USING (subscriber, topic) WHERE q.event_type = 'purchase' AND (u.ts > q.ts OR u.ts IS NULL) GROUP BY ALL"
-    " UNION ALL SELECT subscriber, topic, ts, ts + INTERVAL 2 DAY FROM q WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM u WHERE u.subscriber = q.subscriber AND u.topic = q.topic AND u.ts > q.ts)),"
+    " s AS (SELECT q.subscriber, q.topic, q.ts, min(u.ts) AS gone FROM q LEFT JOIN q AS u ON u.subscriber = q.subscriber AND u.topic = q.topic AND u.ts > q.ts AND u.event_type = 'error'"
+    " WHERE q.event_type = 'purchase' GROUP BY q.subscriber, q.topic, q.ts), o AS (SELECT subscriber, topic, ts, least(ts + INTERVAL 2 DAY, coalesce(gone, ts + INTERVAL 2 DAY)) AS until FROM s),"
     " w AS (SELECT (least(max(epoch_us(ts)) FILTER (metric IN ('click', 'view')), max(epoch_us(ts)) FILTER (metric IN ('purchase', 'error'))) // 1000 - 3600000) * 1000 AS passed FROM p)"
     " SELECT DISTINCT subscriber, 'metrics.' || metric AS topic, p.ts, value, seq FROM p, w, o WHERE metric IN ('click', 'view') AND p.ts >= o.ts AND p.ts < until AND epoch_us(p.ts) < passed"
     " AND o.topic IN ('metrics.' || metric, 'metrics.*', 'category.productivity', 'category.*')",

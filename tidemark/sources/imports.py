@@ -223,7 +223,7 @@ def health_files(spark: SparkSession, path: str, inside: str = "export.xml", pie
 
 
 def health_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(metric, ts, value, unit, source) from exports as plain XML, which Spark's reader splits at <Record …>, so that one large file is many tasks."""
+    """(metric, ts, value, unit, source) from exports as plain XML, by Spark's own reader: each <Record …> of a well-formed file is a row."""
     shape = "_type string, _startDate string, _value string, _unit string, _sourceName string"
     rows = spark.read.format("xml").option("rowTag", "Record").schema(shape).load(path)
     return _health_rows(rows.select(*[F.col(f"_{c}").alias(c) for c in ("type", "startDate", "value", "unit", "sourceName")]), [])
