@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from tidemark.plans import registry
 
-TABLES = ["events", "orders", "lineitem", "customer"]
+TABLES = ["events", "orders", "lineitem", "customer", "part"]
 
 
 def rows(frame, columns):

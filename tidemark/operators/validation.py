@@ -73,3 +73,15 @@ def check_metric(name: str, unit: str, category: str, aggregation: str) -> None:
         raise ValueError("a unit has at most 50 bytes")
     if category.lower() not in CATEGORIES or aggregation.lower() not in AGGREGATIONS:
         raise ValueError(f"categories: {', '.join(CATEGORIES)}; aggregations: {', '.join(AGGREGATIONS)}")
+
+
+def checked_metrics(definitions: DataFrame) -> DataFrame:
+    """Metric definitions (name, unit, category, aggregation, ...) with the errors of each; those of `check_metric`, for whole tables."""
+    tests = {
+        "name": F.col("name").rlike(r"^[A-Za-z0-9_]{1,100}$"),
+        "unit": F.octet_length("unit") <= 50,
+        "category": F.lower("category").isin(*map(str.lower, CATEGORIES)),
+        "aggregation": F.lower("aggregation").isin(*map(str.lower, AGGREGATIONS)),
+    }
+    found = F.array(*[F.when(~F.coalesce(good, F.lit(False)), name) for name, good in tests.items()])
+    return definitions.withColumn("errors", F.array_compact(found))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.functions.times import INTERVALS, TimeRange, to_ms
+from tidemark.functions.times import DAY, INTERVALS, TimeRange, to_ms
 from tidemark.operators import analysis, insights, lookups, ordered, validation
 from tidemark.plans.query import Item, Query, daily_average, series
 from tidemark.sinks import export, storage
@@ -932,3 +932,53 @@ def insight_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = analysis.trends(daily(spark, sf_dir)).where(F.col("metric").isin(*_ASKED)).collect()
     found = insights.explain("how are my mood, sleep and energy?", {_ASKED[r["metric"]]: r["average"] / 10 for r in rows}, {})
     return spark.createDataFrame([(found.text,)], "text string")
+
+
+@add(
+    "insight_patterns",
+    _TREND.replace(" SELECT metric,", ", t AS (SELECT metric,", 1) + "), l AS (SELECT count(*) AS n, string_agg(metric, ', ' ORDER BY metric) FILTER (WHERE trend > 0.3) AS up, string_agg(metric, ', ' ORDER BY metric) FILTER (WHERE trend < -0.3) AS down FROM t)"
+    " SELECT concat_ws(' ', 'Going down: ' || down || '.', n || ' metrics were looked at.', 'Improving: ' || up || '.', 'Declining: ' || down || '.') AS text FROM l",
+)
+def insight_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules' answer about declines and patterns, from the trends of all kinds of events."""
+    found = insights.insight("why is it low, and do you see a pattern?", daily(spark, sf_dir))
+    return spark.createDataFrame([(found.text,)], "text string")
+
+
+@add(
+    "csv_rows",
+    f"""{P} SELECT (epoch_us(ts) // 1000) || ',' || metric || ',' || CAST(value AS VARCHAR) || ',"{{""k"":""' || k || '"",""user"":""' || u || '""}}"' AS line FROM p WHERE {IN_WEEK} AND metric = 'click' UNION ALL SELECT 'timestamp,metric,value,tags'""",
+)
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported CSV files, by lines; the header, which each file has, once."""
+    folder = shared_path(spark, "export")
+    export.write_csv(export.export_rows(points.event_points(spark, sf_dir), WEEK, "click").coalesce(1), folder)
+    return spark.read.text(folder).select(F.col("value").alias("line"))
+
+
+@add(
+    "metrics_registered",
+    "WITH n AS (SELECT o_orderpriority AS name, 'orders' AS unit FROM orders GROUP BY 1), k AS (SELECT DISTINCT event_type AS name FROM events WHERE event_type IN ('click', 'view'))"
+    " SELECT name, 'known' AS unit FROM k UNION ALL SELECT lower(regexp_replace(name, '[^A-Za-z0-9]+', '_', 'g')), unit FROM n UNION ALL SELECT 'signup', 'orders'",
+)
+def metrics_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions that are added to known ones: the first of a name stays."""
+    define = lambda names, unit: names.select(F.lit(0).cast("long").alias("id"), "name", F.lit(unit).alias("unit"), F.lit("custom").alias("category"), F.lit("sum").alias("aggregation"), F.lit("").alias("description"), F.lit(None).cast("double").alias("min_value"), F.lit(None).cast("double").alias("max_value"))
+    kinds = points.event_points(spark, sf_dir).select(F.col("metric").alias("name")).distinct()
+    known = define(kinds.where("name in ('click', 'view')"), "known")
+    new = points.order_points(spark, sf_dir).select(F.col("metric").alias("name")).distinct().union(kinds.where("name in ('click', 'signup')"))
+    return points.register(known, define(new, "orders")).select("name", "unit")
+
+
+@add("definitions_checked", "SELECT p_name AS name, regexp_matches(p_name, '^[A-Za-z0-9_]{1,100}$') AND strlen(p_type) <= 50 AS good FROM part")
+def definitions_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which names and units of parts may define a metric."""
+    return validation.checked_metrics(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("unit"), F.lit("custom").alias("category"), F.lit("sum").alias("aggregation"))).select("name", (F.size("errors") == 0).alias("good"))
+
+
+@add("ranges_met", f"{P} SELECT metric, count(*) AS n FROM p WHERE ts >= TIMESTAMP '2024-01-14' AND ts < TIMESTAMP '2024-01-15' GROUP BY metric")
+def ranges_met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in what a month and a range that is widened by a day share, less all but one day."""
+    month, around = TimeRange.month(2024, 1), TimeRange(to_ms(datetime(2023, 12, 1)), to_ms(datetime(2024, 1, 14))).expand(DAY)
+    found = month.intersection(around).intersection(TimeRange.day(2024, 1, 14))
+    return points.event_points(spark, sf_dir).where(C.in_range(found)).groupBy("metric").agg(F.count("*").alias("n"))
