@@ -167,3 +167,11 @@ def test_health_exports_as_files(spark, tmp_path):
     plain = imports.health_xml(spark, str(tmp_path / "xml"))
     key = ["metric", "ts", "value", "unit", "source"]
     assert sorted(map(tuple, plain.select(key).collect())) == sorted(map(tuple, found.where(F.col("file").contains("one")).select(key).collect()))
+
+
+def test_acronyms(spark):
+    kinds = ["HKQuantityTypeIdentifierVO2Max", "HKQuantityTypeIdentifierHeartRateVariabilitySDNN", "HKQuantityTypeIdentifierStepCount", "HKCategoryTypeIdentifierSleepAnalysis", "Plain"]
+    frame = spark.createDataFrame([(k,) for k in kinds], "k string")
+    names = lambda **more: [r[0] for r in frame.select(imports.health_metric(F.col("k"), **more)).collect()]
+    assert names(acronyms=True) == ["vo2_max", "hrv", "steps", "sleep", "plain"]
+    assert names() == ["v_o2_max", "heart_rate_variability_s_d_n_n", "steps", "sleep", "plain"]

@@ -722,6 +722,16 @@ def health_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.health_xml(spark, folder)
 
 
+@add(
+    "health_acronyms",
+    f"{P} SELECT CASE metric WHEN 'click' THEN 'hrv' ELSE 'vo2_max' END AS metric, date_trunc('second', ts)::TIMESTAMP AS ts, value FROM p WHERE metric IN ('click', 'view')",
+)
+def health_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose types hold acronyms, which are words of their own names."""
+    changed = F.replace(F.replace("record", F.lit("StepCount"), F.lit("HeartRateVariabilitySDNN")), F.lit("IdentifierHeartRate\""), F.lit("IdentifierVO2Max\""))
+    return imports.health_points(health_records(spark, sf_dir).select(changed.alias("line")), acronyms=True).select("metric", "ts", "value")
+
+
 _USER3 = ", ".join(f"CAST(count(*) FILTER (WHERE metric = '{m}' AND u = '3') AS DOUBLE) AS {m}3, CAST(count(*) FILTER (WHERE metric = '{m}' AND u <> '3') AS DOUBLE) AS {m}" for m in ("click", "error", "view"))
 
 

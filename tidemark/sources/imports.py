@@ -122,10 +122,14 @@ def csv_file_points(spark: SparkSession, path: str, first_format: str | None = N
     return made if only is None else made.where(F.col("metric").isin(only))
 
 
-def health_metric(kind: Column) -> Column:
-    """A health record's type as a metric name: without prefix, words in lower case joined by underscores, usual names for some."""
+def health_metric(kind: Column, acronyms: bool = False) -> Column:
+    """A health record's type as a metric name: without prefix, words in lower case joined by underscores, usual names for some.
+
+    Each capital begins a word, so that letters of an acronym are words of their own (v_o2_max); with `acronyms` it is one word (vo2_max), and hrv gets its usual name.
+    """
     plain = F.regexp_replace(kind, "^HK(Quantity|Category)TypeIdentifier", "")
-    snake = F.lower(F.regexp_replace(plain, "(?<!^)([A-Z])", "_$1"))
+    begins = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z0-9])(?=[A-Z][a-z])" if acronyms else "(?<!^)(?=[A-Z])"
+    snake = F.lower(F.regexp_replace(plain, begins, "_"))
     names = F.create_map(*[F.lit(x) for pair in HEALTH_NAMES.items() for x in pair])
     return F.coalesce(names[snake], snake)
 
@@ -145,15 +149,15 @@ def _plain(text: Column) -> Column:
     return text
 
 
-def _health_rows(records: DataFrame, keep: list[str]) -> DataFrame:
+def _health_rows(records: DataFrame, keep: list[str], acronyms: bool = False) -> DataFrame:
     """(*keep, metric, ts, value, unit, source) from the attributes of records; values that are no numbers and times that are none are left out."""
     zoned = F.to_utc_timestamp(F.try_to_timestamp("startDate", F.lit("yyyy-MM-dd HH:mm:ss Z")), F.current_timezone()).cast("timestamp_ntz")
     ts = F.coalesce(zoned, F.try_to_timestamp("startDate", F.lit("yyyy-MM-dd")).cast("timestamp_ntz"))
-    made = records.select(*keep, health_metric(F.col("type")).alias("metric"), ts.alias("ts"), F.expr("try_cast(value as double)").alias("value"), F.coalesce("unit", F.lit("")).alias("unit"), F.col("sourceName").alias("source"))
+    made = records.select(*keep, health_metric(F.col("type"), acronyms).alias("metric"), ts.alias("ts"), F.expr("try_cast(value as double)").alias("value"), F.coalesce("unit", F.lit("")).alias("unit"), F.col("sourceName").alias("source"))
     return made.where("metric is not null and ts is not null and value is not null")
 
 
-def health_points(lines: DataFrame, line_col: str = "line", keep: list[str] | None = None) -> DataFrame:
+def health_points(lines: DataFrame, line_col: str = "line", keep: list[str] | None = None, acronyms: bool = False) -> DataFrame:
     """(*keep, metric, ts, value, unit, source) of every <Record …> in the lines."""
 
     def attribute(name: str) -> Column:
@@ -161,7 +165,7 @@ def health_points(lines: DataFrame, line_col: str = "line", keep: list[str] | No
         return F.when(found != "", _plain(found)).alias(name)
 
     rows = lines.select(*(keep or []), F.explode(F.regexp_extract_all(F.col(line_col), F.lit("<Record(?:[^>\"]|\"[^\"]*\")*>"), 0)).alias("_record"))
-    return _health_rows(rows.select(*(keep or []), *map(attribute, ("type", "startDate", "value", "unit", "sourceName"))), keep or [])
+    return _health_rows(rows.select(*(keep or []), *map(attribute, ("type", "startDate", "value", "unit", "sourceName"))), keep or [], acronyms)
 
 
 def _pieces(archive: IO[bytes], inside: str, piece: int) -> Iterator[str]:
@@ -203,7 +207,7 @@ def health_archives(archives: DataFrame, archive_col: str = "archive") -> DataFr
     return health_points(archive_lines(archives, archive_col))
 
 
-def health_files(spark: SparkSession, path: str, inside: str = "export.xml", piece: int = 1 << 20) -> DataFrame:
+def health_files(spark: SparkSession, path: str, inside: str = "export.xml", piece: int = 1 << 20, acronyms: bool = False) -> DataFrame:
     """(file, metric, ts, value, unit, source) from zipped exports in a folder, of whatever size.
 
     Spark lists the files; a task opens its own where they lie and unpacks them in pieces, so neither an archive nor what is in it is held whole. Files that
@@ -219,14 +223,14 @@ def health_files(spark: SparkSession, path: str, inside: str = "export.xml", pie
                     for text in _pieces(f, inside, piece):
                         yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([text], pa.string())], ["file", "line"])
 
-    return health_points(listed.mapInArrow(run, "file string, line string"), keep=["file"])
+    return health_points(listed.mapInArrow(run, "file string, line string"), keep=["file"], acronyms=acronyms)
 
 
-def health_xml(spark: SparkSession, path: str) -> DataFrame:
+def health_xml(spark: SparkSession, path: str, acronyms: bool = False) -> DataFrame:
     """(metric, ts, value, unit, source) from exports as plain XML, by Spark's own reader: each <Record …> of a well-formed file is a row."""
     shape = "_type string, _startDate string, _value string, _unit string, _sourceName string"
     rows = spark.read.format("xml").option("rowTag", "Record").schema(shape).load(path)
-    return _health_rows(rows.select(*[F.col(f"_{c}").alias(c) for c in ("type", "startDate", "value", "unit", "sourceName")]), [])
+    return _health_rows(rows.select(*[F.col(f"_{c}").alias(c) for c in ("type", "startDate", "value", "unit", "sourceName")]), [], acronyms)
 
 
 # The shape of a repository event.
