@@ -44,6 +44,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark's setting for removing a query's shuffle files when it ends; else they stay on executors' disks until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables staged so far, by open `scratch`, innermost last; each thread (and each task of asyncio) has its own.
 _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("tidemark_scopes", default=())
 #: Tables staged outside of any `scratch`: a lazy result may read them as long as this process runs.
@@ -59,10 +61,21 @@ def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
     scopes = _scopes.get()
     (scopes[-1 - keep] if len(scopes) > keep else _open).append(path)
-    df.write.parquet(path)
+    with _cleaned(spark):  # nothing reads the shuffles of a written table again
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a folder, in whatever file system it is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
