@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import substrings
 from tidemark.llm.queries import ORACLES, op9_substrings
@@ -88,5 +89,10 @@ def test_only_hits_of_the_automaton_are_removed(spark, monkeypatch):
     rows = [(1, " ".join(f"a{k}" for k in range(50)) + " x"), (2, "y " + " ".join(f"a{k}" for k in range(50)))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r["n_removed"] for r in remove_recurring(df).collect()] == [50, 50]
+    real = substrings.locate
+    monkeypatch.setattr(substrings, "locate", lambda *a: real(*a).where("rn < 0"))  # no hits
+    assert [r["n_removed"] for r in remove_recurring(df).collect()] == [0, 0]
+    monkeypatch.setattr(substrings, "locate", lambda *a: real(*a).withColumn("end", F.least("end", F.col("first") + 40)))  # fewer
+    assert [r["n_removed"] for r in remove_recurring(df).collect()] == [40, 40]
     found = PassageAutomaton([np.arange(35, dtype="<u4").tobytes()], 35).covered([np.arange(3, 50, dtype="<u4").tobytes(), np.arange(0, 50, dtype="<u4").tobytes()])
     assert [x.tolist() for x in found] == [[1], [0], [35]]
