@@ -992,3 +992,25 @@ def ranges_met(spark: SparkSession, sf_dir: str) -> DataFrame:
     month, around = TimeRange.month(2024, 1), TimeRange(to_ms(datetime(2023, 12, 1)), to_ms(datetime(2024, 1, 14))).expand(DAY)
     found = month.intersection(around).intersection(TimeRange.day(2024, 1, 14))
     return points.event_points(spark, sf_dir).where(C.in_range(found)).groupBy("metric").agg(F.count("*").alias("n"))
+
+
+@add("request_auto", f"{P} SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, {near('sum(value)')} AS click FROM p WHERE metric = 'click' AND ts >= TIMESTAMP '2024-01-11' AND ts < TIMESTAMP '2024-01-30 12:00:00' GROUP BY 1")
+def request_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request with relative and written times, whose bucket follows from its range: days, for more than seven of them."""
+    request = {"select": ["click"], "time_range": {"start": "now-20d", "end": "2024-01-30T12:00:00Z"}, "group_by": "auto", "aggregation": "sum"}
+    found = Query.from_request(request, NOW).run(points.event_points(spark, sf_dir), NOW, KINDS)
+    return found.withColumn("click", C.rounded(F.col("click"), 6))
+
+
+_NAMED = {"click": ("step_count", "health"), "view": ("mood_score", "mood"), "error": ("workout_minutes", "habit"), "purchase": ("reading", "custom"), "signup": ("resting_heart_rate", "health")}
+
+
+@add(
+    "health_categories",
+    f"{P} SELECT CASE metric " + " ".join(f"WHEN '{k}' THEN '{n}'" for k, (n, _) in _NAMED.items()) + " END AS metric, CASE metric " + " ".join(f"WHEN '{k}' THEN '{c}'" for k, (_, c) in _NAMED.items()) + " END AS category, count(*) AS n FROM p GROUP BY p.metric",
+)
+def health_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categories that the names of metrics tell."""
+    names = F.create_map(*[F.lit(x) for k, (n, _) in _NAMED.items() for x in (k, n)])
+    own = points.event_points(spark, sf_dir).select(names[F.col("metric")].alias("metric"))
+    return own.groupBy("metric", imports.health_category(F.col("metric")).alias("category")).agg(F.count("*").alias("n"))
