@@ -14,7 +14,7 @@ as not seen, so m is `seen` and the number of those. A symbol is scored in the s
 3. `read_texts`: each text as symbols. Words that make up `common` of all tokens, at most 1/common of them, are
    broadcast with their counts; the other words of a text are kept as hashes and joined to the vocabulary later.
 4. `grow`: level by level, what follows the contexts that occur often enough is counted, summed inside tasks and then by Spark; the
-   divergence test and the smoothing are joins and sums over these counts, all of them. A context must occur N^0.6 / `rare` times, so the
+   divergence test and the smoothing are joins and sums over each context's counts, all of them. A context must occur N^0.6 / `rare` times, so the
    tree grows with the corpus, as N^0.4 at least. It is a table; nothing of it is dropped.
 5. `score_texts` scores symbols in a map and adds the words' part, which comes from a join, by document.
 
@@ -35,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import scratch, stage_table
@@ -128,7 +128,7 @@ def alphabet(words: DataFrame, n: int, own_floor: float, common: float) -> tuple
     rated = words.join(F.broadcast(large), "letters", "left").select(
         "hash", "count", F.when(own, F.lit(0.0)).otherwise(F.log10((F.col("count") + 1) / size)).alias("cost"), "letters", own.alias("own")
     )
-    rated = stage_table(rated, "rated")
+    rated = stage_table(rated, "rated", keep=True)
     often = rated.where(F.col("count") >= max(1.0, min(common * n, own_floor))).toArrow().sort_by("hash")
     own_symbol = often.column("own").to_numpy()
     singles, alone = np.cumsum(own_symbol) - 1, int(own_symbol.sum())
@@ -344,17 +344,20 @@ def grow(texts: DataFrame, size: int, floor: float, depth: int, worth: float, wo
         with scratch(texts.sparkSession):  # what only this level needs goes at its end
             often = _counted(texts, contexts, length, sent).where("n > 1").join(contexts.withColumnRenamed("run", "context"), "context")
             often = often.select("n", "total", "context", "suffix", "symbol").mapInArrow(named, "n long, total long, context long, run long, suffix long")
-            every = stage_table(often.join(chance.withColumnRenamed("run", "suffix"), "suffix", "left").select("run", "context", "suffix", "n", "total", "p"), "runs")
-            rated = every.where("p is not null")
-            tested = rated.groupBy("context").agg(
-                F.max("total").alias("total"), F.count("*").alias("often"), F.sum("n").alias("known"), F.sum("p").alias("q"), F.sum(F.col("n") * F.log(F.col("n") / (F.col("total") * F.col("p")))).alias("s")
-            )
-            once = F.col("total") - F.col("known")
+            rated = often.join(chance.withColumnRenamed("run", "suffix"), "suffix", "left").select("run", "context", "suffix", "n", "total", "p")
+            known = F.col("p").isNotNull()  # else the context without its first symbol is no state, and this one cannot be
+            own = Window.partitionBy("context")  # no more rows than there are symbols
+            over = lambda x: F.coalesce(F.sum(F.when(known, x)).over(own), F.lit(0))
+            tested = rated.withColumns({"often": over(F.lit(1)), "once": F.col("total") - over(F.col("n")), "q": over(F.col("p")), "s": over(F.col("n") * F.log(F.col("n") / (F.col("total") * F.col("p"))))})
+            once = F.col("once")
             gain = F.col("s") + F.when(once > 0, once * F.log(once / (F.col("total") * F.greatest(1 - F.col("q"), F.lit(1e-12))))).otherwise(0.0)
-            kept = tested.where(gain >= worth + worth_each * F.col("often"))
-            states = stage_table(kept.select("context", (F.col("total") + F.col("often") + once).alias("whole"), (F.col("often") + 2 * once).alias("m")), "states", keep=True)
-            new = stage_table(rated.join(states, "context").select("run", ((F.col("n") + F.col("m") * F.col("p")) / F.col("whole")).alias("p")), "chances", keep=True)
-            longer = stage_table(every.where(F.col("n") >= floor).select("run", "suffix", F.col("n").alias("total")), "contexts", keep=True)
+            whole, m = F.col("total") + F.col("often") + once, F.col("often") + 2 * once
+            state = known & (gain >= worth + worth_each * F.col("often"))
+            kept = tested.select("run", "context", "suffix", "n", F.when(state, whole).alias("whole"), F.when(state, m).alias("m"), F.when(state, (F.col("n") + m * F.col("p")) / whole).alias("p"))
+            kept = stage_table(kept.where(F.col("p").isNotNull() | (F.col("n") >= floor)), "kept")  # rows of states, and contexts of the next level
+            states = stage_table(kept.where("p is not null").groupBy("context").agg(F.first("whole").alias("whole"), F.first("m").alias("m")), "states", keep=True)
+            new = stage_table(kept.where("p is not null").select("run", "p"), "chances", keep=True)
+            longer = stage_table(kept.where(F.col("n") >= floor).select("run", "suffix", F.col("n").alias("total")), "contexts", keep=True)
         costs = new.select("run", F.log10("p").alias("cost"), F.lit(None).cast("double").alias("weight"))
         weights = states.select(F.col("context").alias("run"), F.lit(None).cast("double").alias("cost"), F.log10(F.col("m") / F.col("whole")).alias("weight"))
         tree = tree.unionByName(costs).unionByName(weights)
@@ -390,9 +393,10 @@ def score_texts(
     base_score is the text's log10 probability under add-one word frequencies, score that under the tree.
     """
     with scratch(docs.sparkSession):
-        words = vocabulary(docs, text_col, trains)
-        n, v = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 0)).first()
-        known, rated = alphabet(words, n, max(1.0, n**0.75 / own), common)
+        with scratch(docs.sparkSession):
+            words = vocabulary(docs, text_col, trains)
+            n, v = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 0)).first()
+            known, rated = alphabet(words, n, max(1.0, n**0.75 / own), common)
         texts = read_texts(docs, known, id_col, text_col, trains)
         tree = grow(texts, known.size, max(2.0, n**0.6 / rare), depth, worth, worth_each, sent)
 
