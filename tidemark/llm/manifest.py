@@ -127,10 +127,10 @@ def _handed_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
 
-def _tiers(nodes: DataFrame, blocks: DataFrame) -> list[DataFrame]:
+def _tiers(blocks: DataFrame) -> list[DataFrame]:
     """Blocks of each tier; the last has one block for each group."""
     tiers = [blocks]
-    widest = nodes.agg(F.max("total")).first()[0] or 0
+    widest = blocks.agg(F.max("total")).first()[0] or 0
     while widest > BLOCK:
         widest = -(-widest // BLOCK)
         tiers.append(_blocks(_folded(tiers[-1]), "tier"))
@@ -157,11 +157,11 @@ def manifest(leaves: DataFrame) -> DataFrame:
     """
     nodes = numbered(leaves, "g", ["id", "digest", "changed"])
     blocks = _blocks(nodes, "blocks", "id", "changed")
-    tiers = _tiers(blocks, blocks)
+    tiers = _tiers(blocks)
     subroots = stage_table(_folded(tiers[-1]).select("g", F.col("digest").alias("subroot")), "subroots")
     above = numbered(subroots.select(F.lit("").alias("g"), F.col("g").alias("id"), F.col("subroot").alias("digest")), "g", ["id"])
     upper = _blocks(above, "groups", "id")
-    upper_tiers = _tiers(upper, upper)
+    upper_tiers = _tiers(upper)
     root = _folded(upper_tiers[-1]).select("g", F.lit(0).cast("long").alias("block"), F.lit(None).cast(PATH).alias("path"), F.col("digest").alias("subroot"), F.col("digest").alias("root"))
     ways = _paths(upper_tiers, root)
     ways = upper.join(ways, ["g", "block"]).mapInArrow(_handed_down, f"g string, block long, path {PATH}, subroot string, root string")
