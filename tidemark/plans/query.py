@@ -120,7 +120,7 @@ class Query:
     def run(self, points: DataFrame, now_ms: int, metrics: list[str] | None = None) -> DataFrame:
         """The result: the time (bucket or ts; none for one global row) and a nullable column for each item.
 
-        A metric that is not among `metrics`, or without them one that has no point at any time, is an error.
+        A metric that is not among `metrics`, or without them one that has no point at any time, is an error; where there are no points at all, none is known to be wrong.
         """
         items = self.items
         if [i.metric for i in items] == ["*"]:
@@ -132,7 +132,8 @@ class Query:
             raise ValueError(f"two items have one name; give an alias: {names}")
         wanted = sorted({i.metric for i in items})
         known = set(metrics) if metrics is not None else {m for m in wanted if not points.where(F.col("metric") == m).isEmpty()}
-        if unknown := [m for m in wanted if m not in known]:
+        unknown = [m for m in wanted if m not in known]
+        if unknown and (metrics is not None or not points.isEmpty()):
             raise MetricNotFound(", ".join(unknown))
         chosen = points.where(F.col("metric").isin(sorted({i.metric for i in items}))).where(reduce(lambda a, b: a & b, self.predicates(now_ms)))
         if self.interval:
