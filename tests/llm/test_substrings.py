@@ -96,3 +96,21 @@ def test_only_hits_of_the_automaton_are_removed(spark, monkeypatch):
     assert [r["n_removed"] for r in remove_recurring(df).collect()] == [40, 40]
     found = PassageAutomaton([np.arange(35, dtype="<u4").tobytes()], 35).covered([np.arange(3, 50, dtype="<u4").tobytes(), np.arange(0, 50, dtype="<u4").tobytes()])
     assert [x.tolist() for x in found] == [[1], [0], [35]]
+
+
+def test_passages_in_which_one_phrase_comes_again_and_again(spark):
+    heads = [[f"head{i}x{k}" for k in range(10)] for i in range(3000)]
+    first = [WordBatch([" ".join(h).encode()]).anchors(10, 10)[0][0] for h in heads]
+    head = " ".join(heads[int(np.argmin(first))])  # the anchor of all windows below
+    passage = " ".join(f"{head} " + " ".join(f"v{i}x{k}" for k in range(3 + i % 13)) for i in range(30))
+    rows = [(1, f"own {passage}"), (2, f"{passage} last"), (3, f"{head} " * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df) == wanted(rows, 35)
+
+
+def test_long_words_that_sums_cannot_tell():
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    a, b = WordBatch([f"x {word} y".encode()]), WordBatch([word.translate(str.maketrans("ab", "ba")).encode(), word.encode()])
+    assert a.hash[1] == b.hash[1] != b.hash[0]

@@ -40,6 +40,8 @@ from tidemark.llm.common import HEAVY, join_heavy, scratch, small, stage_table
 
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 20
+#: Bytes from which on words have a stronger hash: sums modulo 2**64 cannot tell some words of 1024 bytes, such as a Thue-Morse sequence and its complement.
+LONG_WORD = 256
 #: Patterns in one automaton, and stretches of text that go through one copy of it, at most about.
 PATTERNS, STRETCHES = 5_000, 50_000
 
@@ -91,6 +93,8 @@ class WordBatch:
         edge = np.flatnonzero(np.diff(space, prepend=True))
         start, end = edge[::2], edge[1::2]
         self.hash = _spans(_BYTE[flat], start, end, _BASES[0])
+        for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+            self.hash[i] = int.from_bytes(hashlib.blake2b(flat[start[i] : end[i]], digest_size=8).digest(), "little")
         self.flat, self.start, self.end = flat, start, end
         limits = np.cumsum([len(t) + 1 for t in texts])
         self.doc = np.searchsorted(limits, start, "right")
@@ -225,7 +229,7 @@ def lone_windows(found: DataFrame, width: int) -> DataFrame:
 
 
 def _picked(points: list[int], first: int, last: int, width: int) -> list[int]:
-    """Some of the ascending points between first and last, with both of these, at most `width` apart where points allow."""
+    """Some of the ascending points between first and last, with both of these, at most `width` apart; points are no farther apart."""
     out, before = [first], first
     for p in points:
         if p - out[-1] > width and before > out[-1]:
@@ -249,9 +253,9 @@ def passages(found: DataFrame, lone: DataFrame, width: int, phrase: int) -> Data
                 confirmed = np.zeros(w.n + 1, bool)
                 confirmed[start] = True
                 confirmed[b.column(2).flatten().to_numpy(zero_copy_only=False) + w.first[lone_of]] = False
-                least, inside, _ = w.anchors(width, phrase)
+                least, inside, phrases = w.anchors(width, phrase)
                 confirmed[: len(inside)] &= inside
-                turns = np.flatnonzero(np.diff(least)) if len(least) else np.zeros(0, np.int64)  # the last windows with an anchor
+                turns = np.flatnonzero((np.diff(least, append=least[-1:]) != 0) | (phrases[: len(least)] == least))  # the last windows with an anchor, at whatever place of several
                 edge = np.flatnonzero(np.diff((confirmed[: len(least)]).astype(np.int8), prepend=0, append=0))
                 at = []
                 for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
