@@ -31,6 +31,18 @@ def test_query_equals_its_sql(spark, sf_dir, sql, name):
     assert rows(found, columns) == rows(wanted, columns)
 
 
+@pytest.mark.parametrize("name", ["chart_series", "to_series", "daily_average_series", "text_rows"])
+def test_events_that_lack_kinds(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.sql(f"""copy (select i::bigint as event_id, timestamp '2024-01-06' + to_days((i % 5)::int) as ts, i::bigint as user_id,
+        case when i % 5 = 3 then 'purchase' else 'click' end as event_type, i / 3 as value, '{{"k": 1}}' as props from range(40) t(i)) to '{tmp_path}/events.parquet'""")
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    found, wanted = registry.QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(registry.ORACLES[name]).df()
+    columns = sorted(found.columns)
+    assert columns == sorted(wanted.columns)
+    assert rows(found, columns) == rows(wanted, columns)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -158,12 +158,12 @@ def scan_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("to_series", f"{P} SELECT ts AS time, value FROM (SELECT ts, arg_min(value, seq) FILTER (WHERE metric = 'click') AS value FROM p WHERE {IN_WEEK} AND {TWO} GROUP BY ts) WHERE value IS NOT NULL")
 def to_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series(Query.select("click", "view").time_range(WEEK).run(points.event_points(spark, sf_dir), NOW))
+    return series(Query.select("click", "view").time_range(WEEK).run(points.event_points(spark, sf_dir), NOW, KINDS))
 
 
 @add("daily_average_series", f"{P} SELECT date_trunc('day', ts)::TIMESTAMP AS time, {near('avg(value)')} AS value FROM p WHERE ts >= TIMESTAMP '2024-01-17' AND ts < TIMESTAMP '2024-01-31' AND metric = 'signup' GROUP BY 1")
 def daily_average_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = series(daily_average("signup", 14).run(points.event_points(spark, sf_dir), NOW))
+    found = series(daily_average("signup", 14).run(points.event_points(spark, sf_dir), NOW, KINDS))
     return found.select("time", C.rounded(F.col("value"), 6).alias("value"))
 
 
@@ -184,8 +184,10 @@ def export_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " UNION ALL ".join(f"SELECT strftime(position, '%b %d') AS label, position, '{s}' AS series, '{c}' AS color, {near(f'coalesce({s}, 0.0)')} AS value FROM c" for s, c in (("click", "#3b82f6"), ("absent", "#10b981"))),
 )
 def chart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = Query.select("click", "absent").time_range(JANUARY).group_by("day").aggregate("avg").run(points.event_points(spark, sf_dir), NOW)
-    return export.chart_rows(wide).withColumn("value", C.rounded(F.col("value"), 6))
+    own = points.event_points(spark, sf_dir)
+    wide = Query.select("click", "absent").time_range(JANUARY).group_by("day").aggregate("avg").run(own, NOW, [*KINDS, "absent"])
+    days = own.where(C.in_range(JANUARY)).select(C.bucket("day").alias("bucket")).distinct()  # days on which other metrics alone have points are on the axis too
+    return export.chart_rows(days.join(wide, "bucket", "left")).withColumn("value", C.rounded(F.col("value"), 6))
 
 
 @add("tags_any", f"{P} SELECT metric, ts, value, seq FROM p WHERE k IN ('3', '5', '8')")
@@ -645,7 +647,7 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("text_rows", f"{P} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS time, coalesce(printf('%.1f', CAST(nullif(count(*) FILTER (WHERE metric = 'click'), 0) AS DOUBLE)), '-') AS click, coalesce(printf('%.1f', CAST(nullif(count(*) FILTER (WHERE metric = 'error'), 0) AS DOUBLE)), '-') AS error FROM p WHERE {IN_WEEK} AND metric IN ('click', 'error') GROUP BY 1")
 def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.text_rows(Query.select("click", "error").time_range(WEEK).group_by("hour").aggregate("count").run(points.event_points(spark, sf_dir), NOW))
+    return export.text_rows(Query.select("click", "error").time_range(WEEK).group_by("hour").aggregate("count").run(points.event_points(spark, sf_dir), NOW, KINDS))
 
 
 @add(
