@@ -1,14 +1,16 @@
 import math
+import os
 import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality, toxicity
+from tidemark.llm import quality, suffixtree, toxicity
 from tidemark.llm.common import crc_of_id
 from tidemark.llm.queries import op2_quality, op4_suffix_tree, op5_toxicity
 from tidemark.llm.suffixtree import score_texts
+from tidemark.session import shared_folder
 
 BIGGER = "/root/testdata/sf0.1"
 
@@ -253,3 +255,20 @@ def test_suffix_tree_of_odd_rows(odd, empty):
     assert score_texts(empty, everything).count() == 0
     untrained = score_texts(odd, F.lit(False)).collect()
     assert {r["train_tokens"] for r in untrained} == {0} and {r["n_known"] for r in untrained} == {0}
+
+
+def test_tables_of_levels_go_before_texts_are_scored(spark, monkeypatch):
+    folder, names, there = shared_folder(spark).removeprefix("file://"), [], []
+    before, real = set(os.listdir(folder)), suffixtree.stage_table
+
+    def stage(df, name, **kw):
+        names.append(name)
+        if name == "scored":
+            there.extend(x for x in os.listdir(folder) if x not in before)
+        return real(df, name, **kw)
+
+    monkeypatch.setattr(suffixtree, "stage_table", stage)
+    df = spark.createDataFrame([(i, "a b c d a b c e " * 9) for i in range(9)], "doc_id long, text string")
+    assert score_texts(df, F.col("doc_id") % 7 != 2, worth=0.5, worth_each=0.0).count() == 9
+    assert names.index("often") < names.index("kept")  # counts are a table before they are joined
+    assert any("-tree-" in x for x in there) and not any(k in x for x in there for k in ("-often-", "-kept-", "-chances-", "-states-", "-contexts-"))

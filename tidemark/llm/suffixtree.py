@@ -324,7 +324,7 @@ def _counted(texts: DataFrame, contexts: DataFrame, length: int, sent: int) -> D
 
 
 def grow(texts: DataFrame, size: int, floor: float, depth: int, worth: float, worth_each: float, sent: int) -> DataFrame:
-    """(run, cost, weight), staged: the tree. Runs of one symbol have a cost each; the run of none is no row."""
+    """(run, cost, weight), a kept table: the tree. Runs of one symbol have a cost each; the run of none is no row."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:  # ..., context, suffix of the context, symbol
@@ -342,9 +342,11 @@ def grow(texts: DataFrame, size: int, floor: float, depth: int, worth: float, wo
     contexts = stage_table(single.where(F.col("n") >= floor).select("run", F.lit(1).cast("long").alias("suffix"), F.col("n").alias("total")), "contexts")
     for length in range(1, depth + 1):
         with scratch(texts.sparkSession):  # what only this level needs goes at its end
-            often = _counted(texts, contexts, length, sent).where("n > 1").join(contexts.withColumnRenamed("run", "context"), "context")
-            often = often.select("n", "total", "context", "suffix", "symbol").mapInArrow(named, "n long, total long, context long, run long, suffix long")
-            rated = often.join(chance.withColumnRenamed("run", "suffix"), "suffix", "left").select("run", "context", "suffix", "n", "total", "p")
+            often = stage_table(_counted(texts, contexts, length, sent).where("n > 1"), "often")  # a table, so that the shuffle of all counts goes before the next ones
+            ends = contexts.withColumnRenamed("run", "context")
+            met = often.join(ends, "context").select("n", F.col("symbol").alias("last"), "context", "suffix", "symbol").mapInArrow(named, "n long, last int, context long, run long, suffix long")
+            rated = met.drop("run").join(chance.withColumnRenamed("run", "suffix"), "suffix", "left").select("context", F.col("last").alias("symbol"), "n", "p")
+            rated = rated.join(ends, "context")  # what is one for all of a context's rows is not shuffled with each
             known = F.col("p").isNotNull()  # else the context without its first symbol is no state, and this one cannot be
             own = Window.partitionBy("context")  # no more rows than there are symbols
             over = lambda x: F.coalesce(F.sum(F.when(known, x)).over(own), F.lit(0))
@@ -353,8 +355,9 @@ def grow(texts: DataFrame, size: int, floor: float, depth: int, worth: float, wo
             gain = F.col("s") + F.when(once > 0, once * F.log(once / (F.col("total") * F.greatest(1 - F.col("q"), F.lit(1e-12))))).otherwise(0.0)
             whole, m = F.col("total") + F.col("often") + once, F.col("often") + 2 * once
             state = known & (gain >= worth + worth_each * F.col("often"))
-            kept = tested.select("run", "context", "suffix", "n", F.when(state, whole).alias("whole"), F.when(state, m).alias("m"), F.when(state, (F.col("n") + m * F.col("p")) / whole).alias("p"))
-            kept = stage_table(kept.where(F.col("p").isNotNull() | (F.col("n") >= floor)), "kept")  # rows of states, and contexts of the next level
+            kept = tested.select("n", F.when(state, whole).alias("whole"), F.when(state, m).alias("m"), F.when(state, (F.col("n") + m * F.col("p")) / whole).alias("p"), "context", "suffix", "symbol")
+            kept = kept.where(F.col("p").isNotNull() | (F.col("n") >= floor)).mapInArrow(named, "n long, whole long, m long, p double, context long, run long, suffix long")
+            kept = stage_table(kept, "kept")  # rows of states, and contexts of the next level
             states = stage_table(kept.where("p is not null").groupBy("context").agg(F.first("whole").alias("whole"), F.first("m").alias("m")), "states", keep=True)
             new = stage_table(kept.where("p is not null").select("run", "p"), "chances", keep=True)
             longer = stage_table(kept.where(F.col("n") >= floor).select("run", "suffix", F.col("n").alias("total")), "contexts", keep=True)
@@ -364,7 +367,7 @@ def grow(texts: DataFrame, size: int, floor: float, depth: int, worth: float, wo
         chance, contexts = new, longer
         if states.isEmpty() or contexts.isEmpty():
             break
-    return stage_table(tree.groupBy("run").agg(F.max("cost").cast("float").alias("cost"), F.max("weight").cast("float").alias("weight")), "tree")
+    return stage_table(tree.groupBy("run").agg(F.max("cost").cast("float").alias("cost"), F.max("weight").cast("float").alias("weight")), "tree", keep=True)
 
 
 def symbol_costs(symbols: np.ndarray, before: np.ndarray, known: Known, depth: int) -> np.ndarray:
@@ -398,7 +401,8 @@ def score_texts(
             n, v = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 0)).first()
             known, rated = alphabet(words, n, max(1.0, n**0.75 / own), common)
         texts = read_texts(docs, known, id_col, text_col, trains)
-        tree = grow(texts, known.size, max(2.0, n**0.6 / rare), depth, worth, worth_each, sent)
+        with scratch(docs.sparkSession):  # of the levels only the tree stays
+            tree = grow(texts, known.size, max(2.0, n**0.6 / rare), depth, worth, worth_each, sent)
 
         def work(pieces: Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Known]]) -> Iterator[pa.RecordBatch]:
             for b, symbols, before, found in pieces:
