@@ -232,6 +232,33 @@ def test_tree_against_brute_force(spark, sent):
         assert found[i] == pytest.approx(wanted[i], rel=1e-5), i
 
 
+def test_runs_that_are_not_sent_are_few(spark, monkeypatch):
+    """Of a tree that is too large to send, a text deals only what a filter lets through, not all its runs; scores are the same."""
+    import random
+
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choice("abcdefghijklmnop") + rnd.choice("xy") * (rnd.random() < 0.2) for _ in range(150))) for i in range(60)]
+    rows += [(60 + i, rows[i][1]) for i in range(5)] + [(70, None)]
+    settings = {"own": 60.0, "rare": 40.0, "depth": 3, "worth": 1.0, "worth_each": 0.0}
+    wanted, _ = brute_tree(rows, lambda i: i % 7 != 2, **settings)
+    tables, real = {}, suffixtree.stage_table
+
+    def stage(df, name, **kw):
+        out = real(df, name, **kw)
+        if name in ("tree", "scored"):
+            tables[name] = out.toPandas()
+        return out
+
+    monkeypatch.setattr(suffixtree, "stage_table", stage)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["id"]: r["score"] for r in score_texts(df, F.col("doc_id") % 7 != 2, sent=200, **settings).collect()}
+    dealt, tokens = tables["scored"]["others"].map(len).sum(), tables["scored"]["n_tokens"].sum()
+    tree = tables["tree"]
+    assert ((tree["symbols"] > 1) & tree["cost"].notna()).sum() > 200 and 0 < dealt < tokens
+    for i in wanted:
+        assert found[i] == pytest.approx(wanted[i], rel=1e-5), i
+
+
 def test_held_out_rows_and_copies(spark):
     """Held-out rows are likelier than by word frequencies; texts that occur twice in training more so than others: longer contexts know them."""
     found = op4_suffix_tree(spark, "/root/testdata/sf0.01").collect()
