@@ -203,3 +203,44 @@ def test_squares_lose_no_pair(spark):
         (c, z, p), (d, y, q) = by[a], by[b]
         if c != d and p[0] == q[0]:  # first in both orders
             assert ((a, b) in cut) == (min(z, y) >= 0.8 / 1.8 * (z + y) - 1e-6)
+
+
+def test_squares_do_not_shuffle_rows(spark):
+    """Rows of large groups are dealt where they are; the groups are all that is shuffled afterwards."""
+    nodes = template_nodes(spark, 3000)
+    rows = nodes.select("node", "component", "size", "rare", s.F.posexplode("prefix").alias("at", "h")).withColumn("band", s.F.lit(6))
+    dealt = s._squares(rows, 200)
+    assert "Exchange hashpartitioning" not in dealt._jdf.queryExecution().executedPlan().toString()
+    assert dealt.count() == 3000 * 22 + 2 * 3000 * 15  # 15 blocks of 200
+    few = s._squares(rows, 200, keys=10)  # blocks of 600
+    assert few.count() == 3000 * 22 + 2 * 3000 * 5
+
+
+@settings(max_examples=60)
+@given(st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 2**32))
+def test_parities_never_count_too_many(shared, one, two, seed):
+    h = np.unique(np.random.default_rng(seed).integers(0, 2**64, shared + one + two, np.uint64))
+    h = np.random.default_rng(seed).permutation(h)
+    x, y = np.sort(h[: shared + one]), np.sort(np.concatenate((h[:shared], h[shared + one :])))
+    assert s.differing(s.parities(x), s.parities(y)) == s.differing(s.parities(y), s.parities(x)) <= len(np.setxor1d(x, y))
+    assert s.differing(s.parities(x), s.parities(x)) == 0
+    assert (s._among(x, y) == np.isin(x, y)).all()
+
+
+def test_texts_that_share_a_passage_are_not_moved_to_be_compared(spark, monkeypatch):
+    """Candidates of one passage grow with the square of the texts that hold it; none of them that is clearly unlike gets to the texts."""
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join(passage + [word() for _ in range(60)])) for i in range(60)]
+    rows += [(60 + i, rows[i][1] + " more") for i in range(20)]
+    moved, confirm = [], s.confirm
+
+    def counted(links, *more):
+        moved.append(links.count())
+        return confirm(links, *more)
+
+    monkeypatch.setattr(s, "confirm", counted)
+    found = s.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["id"]: r["component"] for r in found} == {i: i % 60 for i in range(80)}
+    assert 20 <= sum(moved) <= 200

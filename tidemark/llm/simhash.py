@@ -20,7 +20,8 @@ so many blocks alone cannot escape.
 within a text do not vote, so a repeated line decides nothing); rows with one set are exact copies. `block_links` takes fingerprints that agree on three of nine blocks
 and differ in at most `radius` bits as candidates, which joins most copies, and large groups of them, by few links; then, as fingerprints do
 not bound the similarity, every pair still apart that shares a shingle of its prefixes is a candidate (prefix filtering: sets that are alike enough must share
-one). Every link is confirmed on the texts before it counts, and only texts with links are moved for that.
+one). Candidates whose sets differ in too many shingles by their parities, a few bits for each shingle, are dropped; the others are
+confirmed on the texts before they count, and only texts with such links are moved for that.
 
 Edge cases: a null or empty text has no words and the fingerprint zero, linked like any other; all such texts are copies of each other. Repeated
 rows are separate rows with equal results. Rows whose id is null keep a null id; they join the component
@@ -92,8 +93,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return chosen.mapInArrow(run, "id long, fp long, size long")
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in `known`, which is sorted and may be much longer."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def parities(different: np.ndarray) -> bytes:
+    """A bit for each remainder of the hashes: whether an odd number of them have it. There are two to four bits for each hash, 131,072 at most."""
+    n = 1 << min(17, max(6, (2 * len(different) - 1).bit_length()))
+    return np.packbits(np.bincount((different % np.uint64(n)).astype(np.int64), minlength=n) & 1 > 0, bitorder="little").tobytes()
+
+
+def differing(one: bytes, two: bytes) -> int:
+    """So many hashes at least are in one of two sets only, by their parities: each changes one bit."""
+    x, y = sorted((np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """(id, text_hash, fp, size, same, also, prefix, rare): `fp` is the vote of different shingles, `same` and `also` (128 bits) tell their set, `prefix` has the hashes of which texts that are alike enough share one.
+    """(id, text_hash, fp, size, same, also, prefix, rare, bits): `fp` is the vote of different shingles, `same` and `also` (128 bits) tell their set, `prefix` has the hashes of which texts that are alike enough share one, `bits` their parities.
 
     Of n shingles a text that is alike has ceil(similarity * n) at least, so in any order that is the same for all texts,
     two such texts share one of the first n - ceil(similarity * n) + 1. `common` hashes come last in that order; `rare` counts the others.
@@ -102,23 +122,24 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, simila
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            values, same, also, sizes, rares, prefixes = (*(np.zeros(b.num_rows, k) for k in (np.uint64, np.uint64, np.uint64, np.int64, np.int32)), [])
+            values, same, also, sizes, rares, prefixes, bits = (*(np.zeros(b.num_rows, k) for k in (np.uint64, np.uint64, np.uint64, np.int64, np.int32)), [], [])
             for i, x in enumerate(b.column(2)):
                 different = np.unique(shingle_hashes(x.as_py(), width))
                 whole = xxhash.xxh3_128_intdigest(different.tobytes(), 7)
                 values[i], same[i], also[i], sizes[i] = simhash(different), whole >> 64, whole & (2**64 - 1), len(different)
-                rare = ~np.isin(different, last.value)
+                rare = ~_among(different, last.value)
                 rares[i] = rare.sum()
                 needed = math.ceil(similarity * len(different) - 1e-9)
                 prefixes.append(np.concatenate((different[rare], different[~rare]))[: len(different) - needed + 1].view(np.int64))
+                bits.append(parities(different))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            made = [pa.array(values.view(np.int64)), pa.array(sizes), pa.array(same.view(np.int64)), pa.array(also.view(np.int64)), lists, pa.array(rares)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["id", "text_hash", "fp", "size", "same", "also", "prefix", "rare"])
+            made = [pa.array(values.view(np.int64)), pa.array(sizes), pa.array(same.view(np.int64)), pa.array(also.view(np.int64)), lists, pa.array(rares), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["id", "text_hash", "fp", "size", "same", "also", "prefix", "rare", "bits"])
 
     text = F.col(text_col).cast("string")
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
-    return chosen.mapInArrow(run, "id long, text_hash long, fp long, size long, same long, also long, prefix array<long>, rare int")
+    return chosen.mapInArrow(run, "id long, text_hash long, fp long, size long, same long, also long, prefix array<long>, rare int, bits binary")
 
 
 def _common(docs: DataFrame, text_col: str, width: int, one_in: int = 16, share: int = 5000) -> np.ndarray:
@@ -133,7 +154,7 @@ def _common(docs: DataFrame, text_col: str, width: int, one_in: int = 16, share:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(x.as_py(), width)).view(np.int64))], ["h"])
 
     chosen = docs.select(F.col(text_col).cast("string").cast("binary").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
-    least = max(8, chosen.count() // share)
+    least = max(4, chosen.count() // share)
     found = chosen.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least).select("h").toArrow()
     return np.sort(found.column("h").to_numpy().view(np.uint64))
 
@@ -307,6 +328,20 @@ def confirm(links: DataFrame, texts: DataFrame, width: int, similarity: float) -
         return stage_table(pairs.select("a", "b", "one", "two").mapInArrow(run, "a long, b long"), "confirmed", keep=True)
 
 
+def likely(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b), each once, but for those whose sets (node, size, bits) differ by their parities in more shingles than the similarity allows, which moves no text; a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 4096):
+            most = (1 - similarity) / (1 + similarity) * (b.column(2).to_numpy() + b.column(3).to_numpy()) + 1e-6
+            found = [differing(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(np.array(found, np.int64) <= most))
+
+    links = stage_table(links.distinct(), "candidates")
+    one, two = (sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    return stage_table(links.join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long"), "likely")
+
+
 def _bands(size: Column, similarity: float) -> Column:
     """The band of a size, by powers of two, and that of the largest size which is alike enough, where this is another: sizes that are alike enough share a band."""
     of = lambda n: F.floor(F.log2(F.greatest(n.cast("double"), F.lit(1.0)))).cast("int")
@@ -352,21 +387,21 @@ def _pairs(h: np.ndarray, at: np.ndarray, node: np.ndarray, size: np.ndarray, co
     return np.unique(np.concatenate(out), axis=0)
 
 
-def _squares(rows: DataFrame, square: int) -> DataFrame:
+def _squares(rows: DataFrame, square: int, keys: int = 1_000_000) -> DataFrame:
     """Rows (node, component, size, at, h, band) in groups (h) of at most about two blocks of `square` rows, in which every two rows of one h and band meet.
 
     The rows of a shingle and band that have more than a block are dealt into blocks, and every two blocks are a group: a row is in as many groups as there are blocks.
+    Such shingles are broadcast, so that rows are shuffled once, by group. From `keys` times `square` rows on, blocks are larger, so that there are at most `keys` of those.
     """
-    counts = rows.groupBy("h", "band").agg(F.count("*").alias("_n")).where(F.col("_n") > square)
-    large = stage_table(counts.select("h", "band", "_n", F.ceil(F.col("_n") / square).cast("int").alias("_k")), "large")
-    apart = rows.join(large.select("h", "band").hint("merge"), ["h", "band"], "left_anti") if not large.isEmpty() else rows
-    few = apart.select("node", "component", "size", "at", F.xxhash64("h", "band").alias("h"))
-    if apart is rows:
-        return few
-    dealt = join_heavy(rows, large, ["h", "band"], F.col("_n") > HEAVY)
+    counts = stage_table(rows.groupBy("h", "band").agg(F.count("*").alias("_n")).where(F.col("_n") > square), "large")
+    block = max(square, math.ceil((counts.agg(F.sum("_n")).first()[0] or 0) / keys))
+    large = counts.where(F.col("_n") > block).select("h", "band", F.ceil(F.col("_n") / block).cast("int").alias("_k"))
+    dealt = rows.join(F.broadcast(large), ["h", "band"], "left")
+    others = F.when(F.col("_k").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))
     own = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int").alias("_own")
-    dealt = dealt.select("node", "component", "size", "at", "h", "band", own, F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_other"))
-    return few.union(dealt.select("node", "component", "size", "at", F.xxhash64("h", "band", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("h")))
+    dealt = dealt.select("node", "component", "size", "at", "h", "band", "_k", own, F.explode(others).alias("_other"))
+    group = F.when(F.col("_k").isNull(), F.xxhash64("h", "band")).otherwise(F.xxhash64("h", "band", F.least("_own", "_other"), F.greatest("_own", "_other")))
+    return dealt.select("node", "component", "size", "at", group.alias("h"))
 
 
 def prefix_links(nodes: DataFrame, similarity: float, rows_each: int = 400_000, square: int = SQUARE) -> DataFrame:
@@ -408,13 +443,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     with scratch(docs.sparkSession):
         sets = stage_table(shingle_sets(docs, id_col, text_col, width, similarity, _common(docs, text_col, width)), "sets")
         row = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
-        distinct = sets.groupBy(*SAME).agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min(row).alias("row"), F.count("*").alias("n"))
+        distinct = sets.groupBy(*SAME).agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bits").alias("bits"), F.min(row).alias("row"), F.count("*").alias("n"))
         distinct = stage_table(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")  # a number of its own for each set, fixed by being written
         text = F.col(text_col).cast("string")
         own = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), text.cast("binary").alias("text"))
 
         def confirmed(links: DataFrame) -> DataFrame:
-            links = stage_table(links.distinct(), "candidates")
+            links = likely(links, distinct, similarity)
             ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
             wanted = distinct.join(ends, "node").select("node", "row.id", "row.text_hash")
             texts = own.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash"))).select("node", "text")
@@ -424,7 +459,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         root = connected_components(confirmed(block_links(banded, radius)))
         prefixes = sets.groupBy(*SAME).agg(F.first("prefix").alias("prefix"), F.first("rare").alias("rare"), F.first("size").alias("size"))
         nodes = prefixes.join(distinct.select(*SAME, "node"), SAME).drop(*SAME).join(root.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        more = confirmed(prefix_links(nodes, similarity))
+        more = confirmed(prefix_links(stage_table(nodes, "nodes"), similarity))
         root = connected_components(root.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         grouped = stage_table(distinct.join(root, "node", "left").withColumn("class", F.coalesce("component", "node")), "classed")
         heads = grouped.groupBy("class").agg(F.min("row").alias("head"), F.count("*").alias("members"))
