@@ -3,7 +3,9 @@
 import os
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,5 +136,67 @@ def test_subscriptions_come_and_go(spark, tmp_path):
     assert have == wanted(points, asked, {"click": "productivity", "error": "health"}, edge) and have
 
 
+class Kept(dict):
+    """Map state that counts its calls."""
+
+    calls = 0
+
+    def getValue(self, k):
+        Kept.calls += 1
+        return self[k]
+
+    def updateValue(self, k, v):
+        Kept.calls += 1
+        self[k] = v
+
+    removeKey = dict.__delitem__
+    iterator = dict.items
+
+
+class Handle(set):
+    """State of one shard, in memory; the set holds its timers."""
+
+    def getMapState(self, name, *kinds):
+        return Kept()
+
+    listTimers, registerTimer, deleteTimer = set.copy, set.add, set.remove
+
+
+@pytest.mark.parametrize(("at_once", "batch", "out"), [(500_000, 50_000, 1_000_000), (40, 7, 30)])
+def test_deliveries_take_many_rows_at_once(monkeypatch, at_once, batch, out):
+    """Rows wait as batches; taken in parts, over several watermarks, also before 1970, they give what the rule says."""
+    for k, v in (("AT_ONCE", at_once), ("BATCH", batch), ("OUT_AT_ONCE", out)):
+        monkeypatch.setattr(subscriptions, k, v)
+    monkeypatch.setattr(Kept, "calls", 0)
+    rnd = random.Random(4)
+    start = datetime(1969, 12, 30)
+    at = lambda: start + timedelta(minutes=30 * rnd.randint(0, 199))
+    us = lambda x: (x - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    points = [(rnd.choice(["click", "odd"]), at(), float(i), i) for i in range(900)]
+    topics = ["metrics.click", "metrics.*", "category.custom", "category.*", "metrics.odd", "metrics.none"]
+    asked = [(f"s{rnd.randint(0, 3)}", rnd.choice(topics), at(), rnd.choice(["subscribe", "subscribe", "unsubscribe"]), rnd.choice([None, timedelta(hours=3), timedelta(hours=9)])) for _ in range(80)]
+    categories = {"click": "productivity"}
+    rows = [(us(t), subscriptions.POINT, "", f"metrics.{m}", 0, f"category.{categories.get(m, 'custom')}", v, n) for m, t, v, n in points]
+    rows += [(us(t), subscriptions.SUBSCRIBE if a == "subscribe" else subscriptions.UNSUBSCRIBE, s, topic, lease // timedelta(microseconds=1) if lease else subscriptions.FOREVER, "", 0.0, -1) for s, topic, t, a, lease in asked]
+    rows.sort(key=lambda r: r[0] + rnd.randint(0, 20) * 3_600_000_000)  # out of order by up to 20 hours
+    made, handle, shard = [], Handle(), subscriptions.Deliveries()
+    shard.init(handle)
+    names = [x.split()[0] for x in subscriptions.ROW.split(", ")]
+    clock = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    mark = us(start) // 1000
+    for a in range(0, len(rows), 100):
+        frames = [pd.DataFrame(rows[k : k + 25], columns=names) for k in range(a, min(a + 100, len(rows)), 25)]
+        made += shard.handleInputRows((0,), iter(frames), clock(mark))
+        mark = max(mark, min((r[0] for r in rows[a + 100 :]), default=us(start + timedelta(hours=90))) // 1000)
+    assert len(handle) == 1 and min(handle) > us(start) // 1000
+    edge = start + timedelta(hours=90)
+    made += shard.handleExpiredTimer((0,), clock(us(edge) // 1000), None)
+    have = sorted(map(tuple, pd.concat(made)[["subscriber", "topic", "at", "value", "seq"]].itertuples(index=False)))
+    assert have == wanted(points, asked, categories, edge) and have
+    assert sum(r[0] >= us(edge) for r in rows) > 0 and handle == {min(r[0] for r in rows if r[0] >= us(edge)) // 1000 + 1}
+    if batch > 7:
+        assert Kept.calls < len(rows) / 2
+
+
 def test_zones(spark):
     assert streams.valid_topic("metrics.click") and not streams.valid_topic("metrics.")
